@@ -47,14 +47,15 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.transform(F.array(section), down)[0]
 
 
-def with_next_text(docs: DataFrame, buckets: int = 256, out: str = "next_text") -> DataFrame:
+def with_next_text(docs: DataFrame, out: str = "next_text", rows_per_bucket: int = 20_000) -> DataFrame:
     """(doc_id, text, next_text): each row with the text of the next row by ascending id; after the last comes the first.
 
-    Ids are cut into ranges at approximate quantiles (`buckets` numbers on the driver); only a range is ever
-    ordered in one place. The first row of each range is also dealt to the range before it, so that one shuffle of
+    Ids are cut into ranges at approximate quantiles, 256 to 65,536 of them, which come to the driver; only a range is
+    ever ordered in one place. The first row of each range is also dealt to the range before it, so that one shuffle of
     the texts is all.
     """
     spark = docs.sparkSession
+    buckets = min(max(256, docs.count() // rows_per_bucket), 1 << 16)
     marks = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []
     marks = sorted(set(marks))
     steps = []

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factgraph.llm.fingerprints import op3_merkle_fingerprints
 from factgraph.llm.mixing import op4_source_mix
+from factgraph.llm.mpeg import op10_mpeg_media
+from factgraph.llm.pii import op2_pii_anchors
+from factgraph.llm.quality import op1_importance_resampling
+from factgraph.llm.secrets import op7_secret_layers
 from factgraph.llm.sharding import op8_feistel_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op2_pii_anchors": op2_pii_anchors,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_source_mix": op4_source_mix,
+    "op7_secret_layers": op7_secret_layers,
     "op8_feistel_shards": op8_feistel_shards,
+    "op10_mpeg_media": op10_mpeg_media,
 }
 
 ORACLES: dict[str, str] = {}
