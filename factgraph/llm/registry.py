@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factgraph.llm.fingerprints import op3_merkle_fingerprints
+from factgraph.llm.minhash import op6_minhash_components
 from factgraph.llm.mixing import op4_source_mix
 from factgraph.llm.mpeg import op10_mpeg_media
 from factgraph.llm.pii import op2_pii_anchors
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_anchors": op2_pii_anchors,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_source_mix": op4_source_mix,
+    "op6_minhash_components": op6_minhash_components,
     "op7_secret_layers": op7_secret_layers,
     "op8_feistel_shards": op8_feistel_shards,
     "op10_mpeg_media": op10_mpeg_media,
