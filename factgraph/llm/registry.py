@@ -12,6 +12,7 @@ from factgraph.llm.mixing import op4_source_mix
 from factgraph.llm.mpeg import op10_mpeg_media
 from factgraph.llm.pii import op2_pii_anchors
 from factgraph.llm.quality import op1_importance_resampling
+from factgraph.llm.repeats import op5_suffix_repeats
 from factgraph.llm.secrets import op7_secret_layers
 from factgraph.llm.sharding import op8_feistel_shards
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_anchors": op2_pii_anchors,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_source_mix": op4_source_mix,
+    "op5_suffix_repeats": op5_suffix_repeats,
     "op6_minhash_components": op6_minhash_components,
     "op7_secret_layers": op7_secret_layers,
     "op8_feistel_shards": op8_feistel_shards,
