@@ -15,6 +15,7 @@ from factgraph.llm.quality import op1_importance_resampling
 from factgraph.llm.repeats import op5_suffix_repeats
 from factgraph.llm.secrets import op7_secret_layers
 from factgraph.llm.sharding import op8_feistel_shards
+from factgraph.llm.tokens import op9_sentencepiece_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_components": op6_minhash_components,
     "op7_secret_layers": op7_secret_layers,
     "op8_feistel_shards": op8_feistel_shards,
+    "op9_sentencepiece_scan": op9_sentencepiece_scan,
     "op10_mpeg_media": op10_mpeg_media,
 }
 
