@@ -64,3 +64,12 @@ def digest_rows(batches, columns: list[str], rows: int = 256):
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
             yield [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+
+
+def with_unique_id(docs: DataFrame, out: str = "__uid") -> DataFrame:
+    """The rows with an id that no other row has, in the order of doc_id: doc_id itself where it is unique, else (null or
+    repeated ids) row numbers by doc_id, nulls first, then by text."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn(out, F.col("doc_id").cast("long"))
+    return with_row_number(docs, [F.col("doc_id"), F.col("text")], "unique-rows", out)[0]
