@@ -1,0 +1,3 @@
+"""The queries; importing the modules registers them."""
+
+from factgraph.plans import basics  # noqa: F401
