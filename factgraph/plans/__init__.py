@@ -1,3 +1,3 @@
 """The queries; importing the modules registers them."""
 
-from factgraph.plans import basics, graph  # noqa: F401
+from factgraph.plans import basics, change, graph, overview  # noqa: F401
