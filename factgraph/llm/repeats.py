@@ -2,9 +2,9 @@
 
 Every window of `length` bytes is represented by one suffix that starts in it: the one whose q-gram has the least
 hash. Equal windows choose the same suffix, so a window can only repeat where its suffix's q-gram does. Suffixes are
-first bucketed by q-gram; a bucket of one is final. The others are refined: by the bucket identifiers at the later
-offsets q, 2q, ... of the stretch that their windows cover; and, where a bucket still holds several classes, window by
-window, again by the identifiers of the q-gram buckets at later offsets. Spark's aggregates sort the buckets.
+first bucketed by q-gram; a bucket of one is final. The others are refined: sorted by the bucket identifiers at the
+later offsets q, 2q, ... of the stretch that their windows cover; and, where a bucket still holds several classes,
+for groups of neighbouring windows and at last window by window, each time by the same identifiers at later offsets.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import digest_rows, documents, stage, with_row_number
+from factgraph.llm.common import digest_rows, documents, stage, width, with_unique_id
 
 #: Window starts that are worked on at once: bounds memory on giant texts.
 TILE = 1 << 18
@@ -89,40 +89,77 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def buckets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """h: the initial bucket of every sampled suffix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in digest_rows(batches, ["text"]):
-            out = [np.zeros(0, U)]
-            for text in texts:
-                for _, tile in plan.tiles((text or "").encode()):
-                    ids = gram_ids(tile, plan.q, 0)
-                    out.append(ids[plan.runs(ids)[2]])
-            yield pa.RecordBatch.from_pydict({"h": signed(np.concatenate(out))})
-
-    return docs.select("text").mapInArrow(run, "h long")
+#: Sampled suffixes that a task holds before it deals them out.
+HELD = 400_000
+COLUMNS = (np.int64, np.int64, np.int64, np.int32, np.int32)
 
 
-def suffixes(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(h, k, uid, start, shape): bucket, refined class, document, first window and shape (windows * 1024 + offset of
-    the suffix) of every sampled suffix."""
+def dealt(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
+    """(part, done, body): the sampled suffixes (bucket, refined class, document, first window, shape), columns packed, in
+    parts by bucket. shape is windows * 1024 + offset of the suffix. Of suffixes of one class that a task holds at once,
+    all but the first are done: they repeat. So a class that is everywhere sends few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, k, uid, start, shape = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((start, uid, k, h))
+            h, k, uid, start, shape = (x[order] for x in (h, k, uid, start, shape))
+            later = np.concatenate([[False], (h[1:] == h[:-1]) & (k[1:] == k[:-1])])
+            part = ((h.view(U) >> U(32)) % U(parts)).astype(np.int64) * 2 + later
+            order = np.argsort(part, kind="stable")
+            part, columns = part[order], [x[order].astype(t) for x, t in zip((h, k, uid, start, shape), COLUMNS, strict=True)]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            pieces = zip(*(np.split(c, cuts) for c in columns), strict=True)
+            keys = part[np.concatenate([[0], cuts])]
+            return pa.RecordBatch.from_pydict({"part": pa.array((keys // 2).astype(np.int32)), "done": pa.array(keys % 2 == 1), "body": pa.array([b"".join(c.tobytes() for c in x) for x in pieces], pa.binary())})
+
         for uids, texts in digest_rows(batches, ["uid", "text"]):
-            out: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             for uid, text in zip(uids, texts, strict=True):
                 for begin, tile in plan.tiles((text or "").encode()):
                     ids, other = gram_ids(tile, plan.q, 0), gram_ids(tile, plan.q, 1)
                     first, n, at = plan.runs(ids)
                     shape = n * 1024 + at - first
                     key = plan.refined(other, first, n + plan.length - 1) ^ mixed(shape.astype(U))
-                    for column, x in zip(out, (ids[at], key, np.full(len(first), uid), first + begin, shape), strict=True):
-                        column.append(x)
-            h, k, uid, start, shape = map(np.concatenate, out)
-            yield pa.RecordBatch.from_pydict({"h": signed(h), "k": signed(k), "uid": pa.array(uid), "start": pa.array(start.astype(np.int32)), "shape": pa.array(shape.astype(np.int32))})
-
-    return docs.select("uid", "text").mapInArrow(run, "h long, k long, uid long, start int, shape int")
+                    held.append((ids[at].view(np.int64), key.view(np.int64), np.full(len(first), uid), first + begin, shape))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    return docs.select("uid", "text").mapInArrow(run, "part int, done boolean, body binary")
+
+
+def unpacked(bodies: list[bytes]) -> list[np.ndarray]:
+    width, out = sum(np.dtype(t).itemsize for t in COLUMNS), [[np.zeros(0, t)] for t in COLUMNS]
+    for body in bodies:
+        n, at = len(body) // width, 0
+        for column, t in zip(out, COLUMNS, strict=True):
+            column.append(np.frombuffer(body, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(c) for c in out]
+
+
+def sorted_out(table: pa.Table) -> pa.Table:
+    """Of one part of the buckets: (uid, start, shape, open). Later members of a class repeat as a whole; the first of each
+    class is open if its bucket holds several classes, and else final, as is a bucket of one."""
+    done = table.column("done").to_pylist()
+    bodies = table.column("body").to_pylist()
+    _, _, uid0, start0, shape0 = unpacked([b for b, d in zip(bodies, done, strict=True) if d])
+    h, k, uid, start, shape = unpacked([b for b, d in zip(bodies, done, strict=True) if not d])
+    order = np.lexsort((start, uid, k, h))
+    h, k, uid, start, shape = (x[order] for x in (h, k, uid, start, shape))
+    new_h = np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]])
+    new_k = new_h | np.concatenate([np.ones(min(1, len(h)), bool), k[1:] != k[:-1]])
+    bucket = np.cumsum(new_h) - 1
+    several = np.bincount(bucket, weights=new_k, minlength=1)[bucket] > 1 if len(h) else np.zeros(0, bool)
+    keep = ~new_k | several
+    return pa.table({
+        "uid": np.concatenate([uid0, uid[keep]]), "start": np.concatenate([start0, start[keep]]),
+        "shape": np.concatenate([shape0, shape[keep]]), "open": np.concatenate([np.zeros(len(uid0), bool), new_k[keep]]),
+    })
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -137,6 +174,36 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, body binary")
 
 
+def cores(bodies: DataFrame, plan: Plan) -> DataFrame:
+    """(c1, c2, uid, start, n): the windows of open runs in groups of neighbours, each with the identifiers of what all
+    windows of that place in a run share. Where that does not repeat, none of them does."""
+    slack = plan.length - plan.q
+    edges = [(slack + 1) * j // 4 for j in range(5)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for uids, texts, opened in digest_rows(batches, ["uid", "body", "open"], 64):
+            out: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            for uid, body, runs in zip(uids, texts, opened, strict=True):
+                runs = np.array([(r["start"], r["shape"] // 1024, r["shape"] % 1024) for r in runs], np.int64).reshape(-1, 3)
+                for begin, tile in plan.tiles(unpack.decompress(body)):
+                    ids, other = gram_ids(tile, plan.q, 0), gram_ids(tile, plan.q, 1)
+                    s, n, off = runs[(runs[:, 0] >= begin) & (runs[:, 0] < begin + TILE)].T
+                    at = s - begin + off
+                    for j, (low, high) in enumerate(zip(edges, (e - 1 for e in edges[1:]), strict=False)):
+                        a, b = np.maximum(off - n + 1, low), np.minimum(off, high)  # distances of windows to the suffix
+                        some = a <= b
+                        span = np.full(int(some.sum()), plan.length - (high - low))
+                        first = at[some] - low
+                        mark = U(j + 1)
+                        for column, x in zip(out, (plan.refined(ids, first, span) ^ mark, plan.refined(other, first, span) ^ mark, np.full(len(first), uid), at[some] - b[some] + begin, (b - a + 1)[some]), strict=True):
+                            column.append(x)
+            c1, c2, uid, start, n = map(np.concatenate, out)
+            yield pa.RecordBatch.from_pydict({"c1": signed(c1), "c2": signed(c2), "uid": pa.array(uid), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+
+    return bodies.mapInArrow(run, "c1 long, c2 long, uid long, start int, n int")
+
+
 def windows(bodies: DataFrame, plan: Plan) -> DataFrame:
     """(w1, w2, uid, start): the windows of the runs in `open`, by the identifiers of their bytes."""
 
@@ -145,7 +212,7 @@ def windows(bodies: DataFrame, plan: Plan) -> DataFrame:
         for uids, texts, opened in digest_rows(batches, ["uid", "body", "open"], 64):
             out: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             for uid, body, runs in zip(uids, texts, opened, strict=True):
-                runs = np.array(sorted({(r["start"], r["shape"] // 1024) for r in runs}), np.int64).reshape(-1, 2)
+                runs = np.array([(r["start"], r["n"]) for r in runs], np.int64).reshape(-1, 2)
                 for begin, tile in plan.tiles(unpack.decompress(body)):
                     ids, other = gram_ids(tile, plan.q, 0), gram_ids(tile, plan.q, 1)
                     mine = runs[(runs[:, 0] >= begin) & (runs[:, 0] < begin + TILE)]
@@ -159,33 +226,21 @@ def windows(bodies: DataFrame, plan: Plan) -> DataFrame:
     return bodies.mapInArrow(run, "w1 long, w2 long, uid long, start int")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text) with a unique uid in the order of doc_id: the id itself where ids are unique, else (null or
-    repeated ids) row numbers by id, nulls first, then by text."""
-    rows = docs.select("doc_id", "text")
-    odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
-    if odd.isEmpty():
-        return rows.withColumn("uid", F.col("doc_id").cast("long"))
-    return with_row_number(rows, [F.col("doc_id"), F.col("text")], "repeat-rows", "uid")[0]
-
-
 def removed(docs: DataFrame, plan: Plan) -> DataFrame:
     """(uid, start, end) stretches whose windows all start earlier elsewhere; they may overlap."""
-    repeated = stage(buckets(docs, plan).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeat-buckets")
-    found = stage(suffixes(docs, plan).join(repeated, "h", "left_semi"), "repeat-suffixes")
-    place = F.struct("uid", "start", "shape")
-    classes = stage(found.groupBy("h", "k").agg(F.min(place).alias("first")), "repeat-classes")
-    several = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeat-several")
-    opened = classes.join(several, "h", "left_semi").select("first.*")
-    firsts = classes.select(F.col("first.uid").alias("uid"), F.col("first.start").alias("start"))
-    # All but the first of a class repeat as a whole. By document, no group of copies meets in one place.
-    later = found.join(firsts, ["uid", "start"], "left_anti")
-    whole = later.select("uid", "start", (F.col("start") + F.floor(F.col("shape") / 1024) + plan.length - 1).alias("end"))
-    opened = stage(opened.groupBy("uid").agg(F.collect_list(F.struct("start", "shape")).alias("open")), "repeat-open")
-    bodies = packed(docs).join(opened, "uid").select("uid", "body", "open")
-    single = stage(windows(bodies, plan), "repeat-windows")
+    parts = 4 * width(docs.sparkSession)
+    runs = dealt(docs, plan, parts).repartition(width(docs.sparkSession), "part").groupBy("part").applyInArrow(sorted_out, "uid long, start int, shape int, open boolean")
+    runs = stage(runs, "repeat-runs")
+    whole = runs.where("not open").select("uid", "start", (F.col("start") + F.floor(F.col("shape") / 1024) + plan.length - 1).alias("end"))
+    opened = runs.where("open").groupBy("uid").agg(F.collect_list(F.struct("start", "shape")).alias("open"))
+    bodies = stage(packed(docs).join(opened, "uid").select("uid", "body", "open"), "repeat-bodies")
+    groups = stage(cores(bodies, plan), "repeat-cores")
+    twice = stage(groups.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c1", "c2"), "repeat-twice")
+    left = groups.join(twice, ["c1", "c2"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("open"))
+    single = stage(windows(bodies.drop("open").join(left, "uid"), plan), "repeat-windows")
     least = single.groupBy("w1", "w2").agg(F.min(F.struct("uid", "start")).alias("first")).select("first.*")
-    again = single.select("uid", "start").join(least, ["uid", "start"], "left_anti")
+    # All but the first repeat. By document, no group of copies meets in one place.
+    again = single.join(least, ["uid", "start"], "left_anti")
     return whole.unionByName(again.select("uid", "start", (F.col("start") + plan.length).cast("long").alias("end")))
 
 
@@ -201,7 +256,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, q: int = 32, id_col: str =
     columns are ignored.
     """
     plan = Plan(length, q)
-    rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows = with_unique_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "uid")
     spans = removed(rows, plan).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
