@@ -54,10 +54,10 @@ def test_duplicate_slots_are_never_paired(spark):
     side = "endpoint_id string, http_method string, path string, handler string"
     before = spark.createDataFrame([("b1", "GET", "/x", "h"), ("b2", "GET", "/x", "h"), ("b3", "GET", "/y", "h"), ("b4", "GET", "/z", "h")], side)
     after = spark.createDataFrame([("a1", "GET", "/x", "h"), ("a3", "GET", "/y", "k"), ("a4", "GET", "/z", "h"), ("a5", "PUT", "/n", None)], side)
-    assert rows(diff.diff_endpoints(before, after)) == [
+    assert rows(diff.diff_endpoints(before, after)) == sorted([
         (None, "a1", "GET", "/x", "added"), (None, "a5", "PUT", "/n", "added"), ("b1", None, "GET", "/x", "removed"), ("b2", None, "GET", "/x", "removed"),
         ("b3", "a3", "GET", "/y", "slot"), ("b4", "a4", "GET", "/z", "exact"),
-    ]
+    ], key=str)
 
 
 def test_a_keyed_diff_reports_ambiguity(spark):
