@@ -262,4 +262,5 @@ TYPES = {name: ARROW[kind] for name, kind in (x.strip().split(" ") for x in FEAT
 def op10_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as MPEG streams, read back. Equal texts give equal streams; repeated rows give repeated results; an empty
     table gives an empty result; other columns are ignored."""
-    return media_features(text_media(documents(spark, sf_dir)))
+    rows = media_features(text_media(documents(spark, sf_dir)))
+    return rows.withColumn("frame_offsets", F.array_join(F.transform("frame_offsets", lambda o: o.cast("string")), ","))

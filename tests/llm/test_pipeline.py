@@ -11,7 +11,7 @@ from factgraph.llm.common import documents
 from tests.llm.test_minhash import brute
 from tests.llm.test_native import brute_targets
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 def rows_of(df):
@@ -48,7 +48,7 @@ def test_every_stage_against_plain_python(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=tokens.MODEL)
     assert Counter((r.doc_id, r.ids) for r in ids) == Counter((r.doc_id, " ".join(map(str, library.encode(r.text)))) for r in mixed)
     assert all(r.round_trip for r in ids)
-    assert ids[0].asDict().keys() == cp.run(spark, "/root/testdata/sf0.001").limit(1).collect()[0].asDict().keys()
+    assert ids[0].asDict().keys() == cp.run(spark, SF).limit(1).collect()[0].asDict().keys()
 
 
 @pytest.mark.parametrize("k", range(5))
