@@ -170,20 +170,56 @@ def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that are in different components still."""
-    right = rows.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    pairs = rows.withColumnRenamed("node", "a").join(right, "key").where("a < b and component != other")
-    return pairs.select("a", "b").distinct()
+def unshared(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, n, u): of the nodes in open buckets, how many shingles they have, and how many that no other of these nodes
+    has. A partner must be one of these nodes, so two sets share at most n - u shingles, and miss at least each other's u."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for ids, bodies in digest_rows(batches, ["node", "body"], 64):
+            found = [shingle_hashes(unpack.decompress(b).decode(), k) for b in bodies]
+            h = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h), "node": pa.array(np.repeat(np.array(ids, np.int64), [len(f) for f in found]))})
+
+    part = nodes.select("node", "body").join(rows.select("node").distinct(), "node", "left_semi")
+    shingles = part.mapInArrow(run, "h long, node long")
+    once = shingles.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("hi")).where("node = hi").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    sizes = shingles.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return stage(sizes.join(once, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u")), "near-unshared")
+
+
+def linkable(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """The rows with n and u, without nodes that can be linked with nothing, in buckets that hold several components."""
+    able = rows.join(counts.where(F.lit(100) * (F.col("n") - F.col("u")) >= F.lit(percent) * F.col("n")), "node")
+    able = stage(able, "near-able")
+    mixed = able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    return stage(able.join(stage(mixed.select("key"), "near-mixed"), "key", "left_semi"), "near-linkable")
+
+
+def clean_star_pairs(rows: DataFrame) -> DataFrame:
+    """Each member of a bucket against the one with the fewest shingles of its own."""
+    hubs = stage(rows.groupBy("key").agg(F.min(F.struct("u", "node", "component")).alias("hub")).select("key", "hub.node", "hub.component").toDF("key", "hub", "hub_component"), "near-hubs")
+    pairs = rows.join(hubs, "key").where("component != hub_component")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members that are in different components still and that their own shingles do not rule out:
+    they share at most n - u of either and have at least n + u of the other together."""
+    left = rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("u").alias("ua"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("u").alias("ub"))
+    fits = f"100 * least(na - ua, nb - ub) >= {percent} * greatest(na + ub, nb + ua)"
+    return left.join(right, "key").where(f"a < b and ca != cb and {fits}").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mh: MinHash | None = None, star_turns: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mh: MinHash | None = None, star_turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Rows with equal shingle sets fold into their least id first. The others meet in buckets of equal band keys. In
     `star_turns` rounds the members of each bucket are held against a hub of it; a bucket whose members are all in one
-    component is done. What then still crosses components is compared pair by pair, so no link is lost that any bucket
-    holds. Links are confirmed on the full sets. component_id is the least id that links reach; kept marks that row.
+    component is done. For the others the shingles that a node has for itself alone are counted: they bound what it can
+    share. A last round takes the member with the fewest as hub; what then still crosses components and is not ruled out
+    is compared pair by pair, so no link is lost that any bucket holds. Links are confirmed on the full sets. component_id is the least id that links reach; kept marks that row.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing. A text with fewer than k
     words is one shingle. Repeated rows share their result. Rows that share an id are one node of the graph. A row
@@ -203,11 +239,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mh: MinHash
     bodies = packed(pairs).join(wanted, "node", "left_semi")
     nodes = stage(bodies.join(low, "node"), "near-nodes")
     links = components = None
-    for turn in range(star_turns + 1):
+    counts = None
+    for turn in range(star_turns + 2):
         rows = open_buckets(members, components)
+        if turn >= star_turns and not rows.isEmpty():
+            counts = unshared(rows, nodes, k) if counts is None else counts
+            rows = linkable(rows, counts, percent)
         if rows.isEmpty():
             break
-        fresh = confirmed(stage(star_pairs(rows, turn) if turn < star_turns else crossing_pairs(rows), "near-pairs"), nodes, k, mh, percent)
+        wanted = star_pairs(rows, turn) if turn < star_turns else clean_star_pairs(rows) if turn == star_turns else crossing_pairs(rows, percent)
+        fresh = confirmed(stage(wanted, "near-pairs"), nodes, k, mh, percent)
         links = fresh if links is None else links.unionByName(fresh)
         components = stage(connected_components(links), "near-components")
     owned = found.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left")
