@@ -61,20 +61,25 @@ class Pieces:
         by_word = not any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         self.stretches = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if by_word else r"(?s).+")
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text in normal form, stretch by stretch: merges never cross from one to the next."""
-        out: list[int] = []
-        for part in self.stretches.findall(text):
-            ids = self.known.get(part)
-            if ids is None:
-                ids = self.processor.encode(part)
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                if len(part) < 64:
-                    self.known[part] = ids
-            out += ids
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts in normal form, stretch by stretch: merges never cross from one to the next. Stretches that were
+        not met before go to the model in one call."""
+        cut = [self.stretches.findall(t) for t in texts]
+        new = list({p for parts in cut for p in parts} - self.known.keys())
+        found = dict(zip(new, self.processor.encode(new), strict=True)) if new else {}
+        if len(self.known) + len(new) > CACHE:
+            self.known = {p: self.known[p] for parts in cut for p in parts if p in self.known}
+        self.known.update(found)
+        known = self.known
+        out = [[i for p in parts for i in known[p]] for parts in cut]
+        for p in new:
+            if len(p) >= 64:
+                del known[p]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
     def cuts(self, text: str, start: int, stop: int) -> Iterator[int]:
         return (i for i in range(max(start, 1), stop) if text[i - 1 : i + 1] not in self.inner)
 
@@ -148,7 +153,7 @@ def encoded(rows: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for ids, texts in digest_rows(batches, ["doc_id", "text"]):
-            found = [pieces.encode(normal(t or "")) for t in texts]
+            found = pieces.encode_all([normal(t or "") for t in texts])
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "ids": pa.array(found, pa.list_(pa.int32()))})
 
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
