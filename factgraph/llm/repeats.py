@@ -101,6 +101,7 @@ def dealt(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        pack = zstandard.ZstdCompressor(1)
 
         def flush() -> pa.RecordBatch:
             h, k, uid, start, shape = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -109,12 +110,13 @@ def dealt(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
             h, k, uid, start, shape = (x[order] for x in (h, k, uid, start, shape))
             later = np.concatenate([[False], (h[1:] == h[:-1]) & (k[1:] == k[:-1])])
             part = ((h.view(U) >> U(32)) % U(parts)).astype(np.int64) * 2 + later
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((start, uid, part))  # by document within a part: so the columns compress
             part, columns = part[order], [x[order].astype(t) for x, t in zip((h, k, uid, start, shape), COLUMNS, strict=True)]
             cuts = np.flatnonzero(np.diff(part)) + 1
             pieces = zip(*(np.split(c, cuts) for c in columns), strict=True)
             keys = part[np.concatenate([[0], cuts])]
-            return pa.RecordBatch.from_pydict({"part": pa.array((keys // 2).astype(np.int32)), "done": pa.array(keys % 2 == 1), "body": pa.array([b"".join(c.tobytes() for c in x) for x in pieces], pa.binary())})
+            bodies = [pack.compress(b"".join(c.tobytes() for c in x)) for x in pieces]
+            return pa.RecordBatch.from_pydict({"part": pa.array((keys // 2).astype(np.int32)), "done": pa.array(keys % 2 == 1), "body": pa.array(bodies, pa.binary())})
 
         for uids, texts in digest_rows(batches, ["uid", "text"]):
             for uid, text in zip(uids, texts, strict=True):
@@ -134,7 +136,8 @@ def dealt(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
 
 def unpacked(bodies: list[bytes]) -> list[np.ndarray]:
     width, out = sum(np.dtype(t).itemsize for t in COLUMNS), [[np.zeros(0, t)] for t in COLUMNS]
-    for body in bodies:
+    unpack = zstandard.ZstdDecompressor()
+    for body in map(unpack.decompress, bodies):
         n, at = len(body) // width, 0
         for column, t in zip(out, COLUMNS, strict=True):
             column.append(np.frombuffer(body, t, n, at))
@@ -175,19 +178,19 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def cores(bodies: DataFrame, plan: Plan) -> DataFrame:
-    """(c1, c2, uid, start, n): the windows of open runs in groups of neighbours, each with the identifiers of what all
-    windows of that place in a run share. Where that does not repeat, none of them does."""
+    """(core, uid, start, n): the windows of open runs in groups of neighbours, each with the identifier of what all windows
+    of that place in a run share. Where that does not repeat, none of them does; a chance match costs no more than work."""
     slack = plan.length - plan.q
     edges = [(slack + 1) * j // 4 for j in range(5)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for uids, texts, opened in digest_rows(batches, ["uid", "body", "open"], 64):
-            out: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            out: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             for uid, body, runs in zip(uids, texts, opened, strict=True):
                 runs = np.array([(r["start"], r["shape"] // 1024, r["shape"] % 1024) for r in runs], np.int64).reshape(-1, 3)
                 for begin, tile in plan.tiles(unpack.decompress(body)):
-                    ids, other = gram_ids(tile, plan.q, 0), gram_ids(tile, plan.q, 1)
+                    ids = gram_ids(tile, plan.q, 0)
                     s, n, off = runs[(runs[:, 0] >= begin) & (runs[:, 0] < begin + TILE)].T
                     at = s - begin + off
                     for j, (low, high) in enumerate(zip(edges, (e - 1 for e in edges[1:]), strict=False)):
@@ -196,12 +199,12 @@ def cores(bodies: DataFrame, plan: Plan) -> DataFrame:
                         span = np.full(int(some.sum()), plan.length - (high - low))
                         first = at[some] - low
                         mark = U(j + 1)
-                        for column, x in zip(out, (plan.refined(ids, first, span) ^ mark, plan.refined(other, first, span) ^ mark, np.full(len(first), uid), at[some] - b[some] + begin, (b - a + 1)[some]), strict=True):
+                        for column, x in zip(out, (plan.refined(ids, first, span) ^ mark, np.full(len(first), uid), at[some] - b[some] + begin, (b - a + 1)[some]), strict=True):
                             column.append(x)
-            c1, c2, uid, start, n = map(np.concatenate, out)
-            yield pa.RecordBatch.from_pydict({"c1": signed(c1), "c2": signed(c2), "uid": pa.array(uid), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+            core, uid, start, n = map(np.concatenate, out)
+            yield pa.RecordBatch.from_pydict({"core": signed(core), "uid": pa.array(uid), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
 
-    return bodies.mapInArrow(run, "c1 long, c2 long, uid long, start int, n int")
+    return bodies.mapInArrow(run, "core long, uid long, start int, n int")
 
 
 def windows(bodies: DataFrame, plan: Plan) -> DataFrame:
@@ -235,8 +238,8 @@ def removed(docs: DataFrame, plan: Plan) -> DataFrame:
     opened = runs.where("open").groupBy("uid").agg(F.collect_list(F.struct("start", "shape")).alias("open"))
     bodies = stage(packed(docs).join(opened, "uid").select("uid", "body", "open"), "repeat-bodies")
     groups = stage(cores(bodies, plan), "repeat-cores")
-    twice = stage(groups.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c1", "c2"), "repeat-twice")
-    left = groups.join(twice, ["c1", "c2"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("open"))
+    twice = stage(groups.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core"), "repeat-twice")
+    left = groups.join(twice, "core", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("open"))
     single = stage(windows(bodies.drop("open").join(left, "uid"), plan), "repeat-windows")
     least = single.groupBy("w1", "w2").agg(F.min(F.struct("uid", "start")).alias("first")).select("first.*")
     # All but the first repeat. By document, no group of copies meets in one place.
