@@ -54,6 +54,10 @@ class Layer:
     def __init__(self, text: str, stretches: list[tuple[int, int, int, bool]]):
         self.text, self.stretches, self.starts = text, stretches, [s[0] for s in stretches]
 
+    def key(self) -> bytes:
+        """What it says and where it comes from: equal layers of two places are two."""
+        return hashlib.sha256(repr((self.text, self.stretches)).encode()).digest()
+
     def origin(self, start: int, end: int) -> tuple[int, int, bool]:
         """The document's span behind start:end, and whether any of it was decoded."""
         i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
@@ -140,7 +144,7 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 def find(text: str, limit: int) -> list[tuple[int, int, int]]:
     """All spans of a text and its layers, by start and kind, in code points of the text."""
     spans = set(detect(text))
-    work, seen = deque([Layer(text, [(0, 0, len(text), False)])]), {hashlib.sha256(text.encode()).digest()}
+    work, seen = deque([Layer(text, [(0, 0, len(text), False)])]), set()
     while work:
         layer = work.popleft()
         inner = []
@@ -153,7 +157,7 @@ def find(text: str, limit: int) -> list[tuple[int, int, int]]:
                 first, last, _ = layer.origin(*m.span())
                 inner.append(Layer(plain, [(0, first, last, True)]))
         for new in inner:
-            if new and (key := hashlib.sha256(new.text.encode(errors="surrogatepass")).digest()) not in seen:
+            if new and (key := new.key()) not in seen:
                 seen.add(key)
                 work.append(new)
                 for kind, start, end in detect(new.text):
@@ -171,8 +175,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Every text is scanned, then its layers: runs of percent escapes, Unicode escapes and character references are
     decoded in place, base64 runs are opened, through compressed streams. Layers join a worklist until there is no
-    new one; a layer whose content was seen in the same document is not scanned again, which also ends cycles. A
-    finding in a layer is a decoded_ kind over the stretch of the document it was encoded in. A compressed layer of
+    new one; a layer is not scanned again if one of the same content came from the same places of the document. Each
+    decoding shortens its run, so layers end. A finding in a layer is a decoded_ kind over the stretch of the document it was encoded in. A compressed layer of
     more than `max_layer_bytes` is left closed, which bounds memory. A null or empty text has no spans; repeated rows
     give repeated results; an empty table gives an empty result; other columns are ignored.
     """

@@ -104,6 +104,15 @@ def test_nested_layers_are_mapped_back():
     assert layers("nothing %zz here " * 50) == []
 
 
+def test_each_place_of_an_encoded_secret_is_reported():
+    b64 = base64.b64encode(b'password = "hunter2hunter2"').decode()
+    text = f"first {b64} then {b64}, and {quote(b64, safe='').replace('a', '%61')}"
+    found = [(a, b) for k, a, b in secrets.find(text, 1 << 20) if secrets.KINDS[k] == "decoded_assign"]
+    assert found[:2] == [(6, 6 + len(b64)), (12 + len(b64), 12 + 2 * len(b64))]
+    assert found[-1][1] == len(text) and len(found) == 3
+    assert layers("q=token%3Dabcdef123 q=token%3Dabcdef123") == [("decoded_assign", "token%3Dabcdef123")] * 2
+
+
 def test_a_bomb_stays_closed():
     b64 = base64.b64encode(zlib.compress(b"password=abcdefgh " * 200_000)).decode()
     assert layers(f"a {b64}") == []
