@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
 import lzma
@@ -12,7 +13,8 @@ import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -32,6 +34,13 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|x[0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+# The further lines of base64 that is wrapped; line ends may be escaped. A line with other words behind is none.
+LINE = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*([A-Za-z0-9+/_-]++(?![\x20\t]+\S)={0,2})")
+MORE = re.compile(rf"(?:{LINE.pattern.replace('={0,2}', '')})+={{0,2}}")
+# Where a text can be cut: no match of the above, and no such match once escapes are decoded, reaches over.
+CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"':\x20%\\&#;\t\r\n]|(?<=[.:"'%\\&#=\n])\n|(?<=[g-zG-Z_./+"'-])\x20(?=[A-Za-z0-9_./+"'-])""")
+#: Bytes that a decoder gives at once.
+STEP = 1 << 18
 
 
 def detect(text: str) -> list[tuple[int, int, int]]:
@@ -66,46 +75,223 @@ class Layer:
         return first, last_end if last_coded else last + end - last_at, any(s[3] for s in self.stretches[i : j + 1])
 
 
-def inflated(data: bytes, limit: int) -> bytes | None:
-    """The content of a gzip, zlib, bzip2, xz or zstd stream; None if it is none, is broken or exceeds the limit."""
+def packing(head: bytes) -> str | None:
+    """How a stream that begins with these bytes may be compressed."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib"
+    return {b"BZh": "bz2", b"\xfd7z": "xz", b"\x28\xb5\x2f": "zstd"}.get(head[:3])
+
+
+class Chunks:
+    """A stream of chunks as a file to read."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.left = chunks, b""
+
+    def read(self, size: int) -> bytes:
+        self.left = self.left or next(self.chunks, b"")
+        out, self.left = self.left[:size], self.left[size:]
+        return out
+
+
+def inflated(chunks: Iterator[bytes], how: str) -> Iterator[bytes]:
+    """The content of a gzip, zlib, bzip2, xz or zstd stream in pieces, as far as it can be read. Decoders take the memory
+    that the stream's dictionary or window needs."""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
+        if how == "zlib":
             stream = zlib.decompressobj(47)
-            out = stream.decompress(data, limit + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, limit + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor(memlimit=1 << 26).decompress(data, limit + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=1 << 26).stream_reader(data) as stream:
-                out = stream.read(limit + 1)
+            for data in chunks:
+                while data and not stream.eof:
+                    yield stream.decompress(data, STEP)
+                    data = stream.unconsumed_tail
+            yield stream.flush()
+        elif how == "zstd":
+            with zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(Chunks(chunks)) as reader:
+                while out := reader.read(STEP):
+                    yield out
         else:
-            return None
+            stream = bz2.BZ2Decompressor() if how == "bz2" else lzma.LZMADecompressor()
+            for data in chunks:
+                yield stream.decompress(data, STEP)
+                while not stream.eof and not stream.needs_input:
+                    yield stream.decompress(b"", STEP)
+                if stream.eof:
+                    break
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return out if len(out) <= limit else None
+        return
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+#: A stream that can be read from its start again.
+Source = Callable[[], Iterator[bytes]]
 
 
-def opened(run: str, limit: int) -> str | None:
-    """The text in a base64 run, through any compressed layers within."""
+def held(chunks: Iterator[bytes], limit: int) -> bytes | None:
+    """All of a stream, None if it exceeds the limit."""
+    parts, size = [], 0
+    for chunk in chunks:
+        parts.append(chunk)
+        size += len(chunk)
+        if size > limit:
+            return None
+    return b"".join(parts)
+
+
+def contents(data: bytes, limit: int, closed: bool) -> Iterator[Source]:
+    """The data, what it holds if it is a compressed stream, what that holds, and so on. What exceeds the limit is
+    decompressed each time it is read, or left out if `closed`."""
+    source: Source = lambda: iter((data,))
+    seen = set()
+    while True:
+        yield source
+        head = b""
+        for chunk in source():
+            head += chunk
+            if len(head) >= 3:
+                break
+        if not (how := packing(head)):
+            return
+        mark = hashlib.sha256()
+        for chunk in source():
+            mark.update(chunk)
+        if mark.digest() in seen:  # a stream that holds itself
+            return
+        seen.add(mark.digest())
+        whole = held(inflated(source(), how), limit)
+        if whole is None and closed:
+            return
+        source = partial(lambda outer, how: inflated(outer(), how), source, how) if whole is None else partial(lambda part: iter((part,)), whole)
+
+
+def codings(source: Source) -> Iterator[str]:
+    """The encodings in which a stream is text. A secret is ASCII: in UTF-16 and UTF-32 it takes zero bytes."""
+    zero = any(b"\0" in chunk for chunk in source())
+    for coding in ("utf-8", "utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be")[: 5 if zero else 1]:
+        decoder = codecs.getincrementaldecoder(coding)()
+        try:
+            for chunk in source():
+                decoder.decode(chunk)
+            decoder.decode(b"", True)
+        except UnicodeDecodeError:
+            continue
+        yield coding
+
+
+def windows(source: Source, coding: str, limit: int) -> Iterator[str]:
+    """A text in pieces of about `limit` characters, cut only where nothing that is searched for or decoded can reach
+    over. Where there is no such place a piece grows until there is one."""
+    decoder = codecs.getincrementaldecoder(coding)()
+    parts, size, goal = [], 0, limit
+    for chunk in source():
+        parts.append(decoder.decode(chunk))
+        size += len(parts[-1])
+        if size >= goal:
+            text = "".join(parts)
+            cut = 0
+            for begin in (max(0, len(text) - 65536), 0):
+                for m in CUT.finditer(text, begin):
+                    cut = m.end()
+                if cut:
+                    break
+            if cut:
+                yield text[:cut]
+            parts, size = [text[cut:]], len(text) - cut
+            goal = limit if cut and size < limit else 2 * size
+    yield "".join([*parts, decoder.decode(b"", True)])
+
+
+def unpacked(run: str) -> bytes | None:
+    """The bytes of a base64 run."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
         return None
-    while (inner := inflated(data, limit)) is not None:
-        data = inner
-    return readable(data)
+
+
+def opens(data: bytes) -> bool:
+    """Whether bytes are text or the beginning of a compressed stream."""
+    source: Source = lambda: iter((data,))
+    how = packing(data)
+    return next(codings(source), None) is not None or how is not None and any(inflated(source(), how))
+
+
+def blocks(sizes: list[int]) -> Iterator[list[tuple[int, int]]]:
+    """Of lines with these many base64 characters, those that may be one wrapped run: lines of one length, the line
+    before if it is shorter (it began within its line) and the line after if it is shorter (the last)."""
+    i = 0
+    while i < len(sizes):
+        j = i + 1
+        while j < len(sizes) and sizes[j] == sizes[i]:
+            j += 1
+        head = i - (i > 0 and sizes[i - 1] < sizes[i])
+        tail = j + (j < len(sizes) and sizes[j] < sizes[i])
+        yield [(a, b) for a, b in dict.fromkeys([(head, tail), (head, j), (i, tail), (i, j)]) if b - a > 1]
+        i = j
+
+
+def runs(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of the base64 runs of a text: those within a line, and those that are wrapped over lines, of
+    which the longest choice of lines counts that opens."""
+    done = 0
+    for m in BASE64.finditer(text):
+        if data := unpacked(m[0]):
+            yield *m.span(), data
+        if m.start() < done or m[0][-1] == "=" or not (more := MORE.match(text, m.end())):
+            continue
+        done = more.end()
+        lines = [m.span(), *(k.span(1) for k in LINE.finditer(text, m.end(), done))]
+        for choices in blocks([len(text[a:b].rstrip("=")) for a, b in lines]):
+            for i, j in choices:
+                if (data := unpacked("".join(text[a:b] for a, b in lines[i:j]))) and opens(data):
+                    yield lines[i][0], lines[j - 1][1], data
+                    break
+
+
+def variants(text: str) -> Iterator[str]:
+    """The text and all that decoding its escapes in place makes of it."""
+    work, seen = deque([text]), set()
+    while work:
+        text = work.popleft()
+        key = hashlib.sha256(text.encode(errors="surrogatepass")).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        yield text
+        if "%" in text:
+            work.append(PERCENT.sub(lambda m: unpercent(m[0]), text))
+        if "\\" in text or "&#" in text:
+            work.append(ESCAPE.sub(lambda m: unescape(m[0]) or m[0], text))
+
+
+def kinds_within(data: bytes, limit: int, closed: bool) -> set[int]:
+    """The places of the kinds found in the bytes of a base64 run and in all layers within. They come from the run as a
+    whole, so no more than the kinds is needed, and layers are read as streams."""
+    found: set[int] = set()
+    seen: set[bytes] = set()
+
+    def scanned(data: bytes) -> Iterator[bytes]:
+        for source in contents(data, limit, closed):
+            for coding in codings(source):
+                for window in windows(source, coding, limit):
+                    for text in variants(window):
+                        found.update(kind for kind, _, _ in detect(text))
+                        yield from (inner for _, _, inner in runs(text))
+
+    stack = [iter((data,))]
+    while stack and len(found) < len(BASE):
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        elif (key := hashlib.sha256(inner).digest()) not in seen:
+            seen.add(key)
+            stack.append(scanned(inner))
+    return found
+
+
+def unpercent(run: str) -> str:
+    return unquote_to_bytes(run).decode(errors="replace")
 
 
 def unescape(run: str) -> str:
@@ -141,21 +327,23 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), stretches)
 
 
-def find(text: str, limit: int) -> list[tuple[int, int, int]]:
-    """All spans of a text and its layers, by start and kind, in code points of the text."""
+def find(text: str, limit: int, closed: bool = True) -> list[tuple[int, int, int]]:
+    """All spans of a text and its layers, by start and kind, in code points of the text. Compressed layers over the limit
+    stay closed if `closed`, else they are read in windows of about that size."""
     spans = set(detect(text))
-    work, seen = deque([Layer(text, [(0, 0, len(text), False)])]), set()
+    work, seen, within = deque([Layer(text, [(0, 0, len(text), False)])]), set(), {}
     while work:
         layer = work.popleft()
+        for start, end, data in runs(layer.text):
+            if data not in within:
+                within[data] = kinds_within(data, limit, closed)
+            first, last, _ = layer.origin(start, end)
+            spans.update((kind + len(BASE), first, last) for kind in within[data])
         inner = []
         if "%" in layer.text:
-            inner.append(replaced(layer, PERCENT, lambda r: unquote_to_bytes(r).decode(errors="replace")))
+            inner.append(replaced(layer, PERCENT, unpercent))
         if "\\" in layer.text or "&#" in layer.text:
             inner.append(replaced(layer, ESCAPE, unescape))
-        for m in BASE64.finditer(layer.text):
-            if plain := opened(m[0], limit):
-                first, last, _ = layer.origin(*m.span())
-                inner.append(Layer(plain, [(0, first, last, True)]))
         for new in inner:
             if new and (key := new.key()) not in seen:
                 seen.add(key)
@@ -174,16 +362,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and `spans`, an array of (kind, start, end) in code points, end exclusive, by start and kind.
 
     Every text is scanned, then its layers: runs of percent escapes, Unicode escapes and character references are
-    decoded in place, base64 runs are opened, through compressed streams. Layers join a worklist until there is no
-    new one; a layer is not scanned again if one of the same content came from the same places of the document. Each
+    decoded in place, base64 runs, also wrapped ones, are opened, through compressed streams, and read if they are
+    UTF-8, UTF-16 or UTF-32. Layers join a worklist until there is no new one; a layer is not scanned again if one of the same content came from the same places of the document. Each
     decoding shortens its run, so layers end. A finding in a layer is a decoded_ kind over the stretch of the document it was encoded in. A compressed layer of
-    more than `max_layer_bytes` is left closed, which bounds memory. A null or empty text has no spans; repeated rows
+    more than `max_layer_bytes` is read as a stream, in windows of about so many characters that are cut where nothing
+    reaches over; a stretch without such a place, and a decoder's dictionary, are held as they are. A null or empty text has no spans; repeated rows
     give repeated results; an empty table gives an empty result; other columns are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in digest_rows(batches, ["id", "text"]):
-            found = [find(t or "", max_layer_bytes) for t in texts]
+            found = [find(t or "", max_layer_bytes, closed=False) for t in texts]
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s] for s in found]
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "spans": pa.array(rows, SPANS)})
 

@@ -1,10 +1,12 @@
 import base64
 import hashlib
+import lzma
 import re
 import zlib
 from collections import Counter
 from urllib.parse import quote
 
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -118,6 +120,50 @@ def test_a_bomb_stays_closed():
     assert layers(f"a {b64}") == []
 
 
+def test_large_layers_are_read(spark):
+    junk = "".join(f"line {i}, of no account\n" for i in range(9000))
+    pack = lambda text: base64.b64encode(zlib.compress(text.encode())).decode()
+    for text in (f"{junk}password=abcdefgh\n{junk}", f"{junk}{pack(junk + 'password=abcdefgh')}\n{junk}", "password=abcdefgh " * 9000):
+        b64 = pack(text)
+        docs = spark.createDataFrame([(1, f"é {b64}")], "doc_id long, text string")
+        rows = secrets.find_secrets(docs, max_layer_bytes=4096).collect()
+        assert [(s.kind, s.start, s.end) for s in rows[0].spans] == [("decoded_assign", 2, 2 + len(b64))]
+        assert secrets.find(f"é {b64}", 1 << 24, closed=False) == secrets.find(f"é {b64}", 4096, closed=False)
+    # Decoders get the dictionary and window that a stream asks for.
+    big = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).compressobj()
+    for body in (lzma.compress(b"password=abcdefgh", preset=9), big.compress(b"password=abcdefgh") + big.flush()):
+        b64 = base64.b64encode(body).decode()
+        assert layers(b64) == [("decoded_assign", b64)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "token", "=", "%3D", "%253D", ":", " ", "\n", '"', "abc123", "zzzz", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "&#61;", ",", "cGFzc3dvcmQ9YWJj", "ZGVmZ2hpamtsbW5v"]), max_size=40).map("".join), st.integers(8, 60))
+def test_windows_find_what_the_whole_holds(text, limit):
+    data = text.encode()
+    source = lambda: (data[i : i + 7] for i in range(0, len(data), 7))
+    pieces = list(secrets.windows(source, "utf-8", limit))
+    assert "".join(pieces) == text
+    assert {k for k, _, _ in secrets.find(text, 1 << 20)} == {k for p in pieces for k, _, _ in secrets.find(p, 1 << 20)}
+
+
+def test_any_text_in_base64_is_read():
+    for text in ("a\u00a0b password=abcdefgh", "\x00\x0c\x1b password=abcdefgh"):
+        for coding in ("utf-8", "utf-16", "utf-16-le", "utf-16-be", "utf-32"):
+            b64 = base64.b64encode(text.encode(coding)).decode()
+            assert layers(b64) == [("decoded_assign", b64)]
+
+
+def test_wrapped_base64_is_joined():
+    b64 = base64.b64encode(b"some words to begin with and password=abcdefghijklmnop and others behind").decode()
+    for n in (17, 19, 34, 50):
+        for end in ("\n", "\r\n", "\n    ", "\\n"):
+            wrapped = end.join(b64[i : i + n] for i in range(0, len(b64), n))
+            assert ("decoded_assign", wrapped) in layers(f"-----BEGIN CERTIFICATE-----{end}{wrapped}{end}-----END CERTIFICATE-----")
+            assert ("decoded_assign", wrapped) in layers(f"{wrapped}{end}and so on")
+    early = f"{b64[:11 + 9]}\n{b64[20:54]}\n{b64[54:88]}\n{b64[88:]}"
+    assert ("decoded_assign", early) in layers(f"key: {early}")
+
+
 def test_scans_handle_odd_rows(docs):
     for rows in (pii.find_pii(docs), secrets.find_secrets(docs)):
         assert rows.count() == 9 and rows.where("size(spans) > 0").count() == 0
