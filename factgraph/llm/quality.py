@@ -129,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int, seed: int, buckets:
     held = dict(zip(ids[fold == 1].tolist(), quality[fold == 1].tolist(), strict=True))
     wanted = docs.sparkSession.createDataFrame([(i,) for i in held], "id long")  # at most max_labels numbers
     chosen = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("id"), "left_semi")
-    rows = scored(chosen.select("doc_id", "text"), ratios, seed, ("n", "w", "k")).select("doc_id", "w").collect() if held else []
+    weights = scored(chosen.select("doc_id", "text"), ratios, seed, ("n", "w", "k"))
+    # One weight for each label: the mean where several rows share an id, in decimals, whose sum has no order.
+    rows = weights.groupBy("doc_id").agg(F.avg(F.col("w").cast("decimal(20,9)")).cast("double").alias("w")).collect() if held else []
     pairs = [(r["w"], held[r["doc_id"]]) for r in rows]
     return ratios, calibrated_cut(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
 

@@ -97,7 +97,8 @@ COLUMNS = (np.int64, np.int64, np.int64, np.int32, np.int32)
 def dealt(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
     """(part, done, body): the sampled suffixes (bucket, refined class, document, first window, shape), columns packed, in
     parts by bucket. shape is windows * 1024 + offset of the suffix. Of suffixes of one class that a task holds at once,
-    all but the first are done: they repeat. So a class that is everywhere sends few."""
+    all but the first are done: they repeat. These need no bucket and are dealt evenly; so a class that is everywhere sends
+    few to its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -109,7 +110,8 @@ def dealt(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
             order = np.lexsort((start, uid, k, h))
             h, k, uid, start, shape = (x[order] for x in (h, k, uid, start, shape))
             later = np.concatenate([[False], (h[1:] == h[:-1]) & (k[1:] == k[:-1])])
-            part = ((h.view(U) >> U(32)) % U(parts)).astype(np.int64) * 2 + later
+            anywhere = mixed(uid[:1].view(U) ^ mixed(start[:1].astype(U)))
+            part = (np.where(later, anywhere, h.view(U) >> U(32)) % U(parts)).astype(np.int64) * 2 + later
             order = np.lexsort((start, uid, part))  # by document within a part: so the columns compress
             part, columns = part[order], [x[order].astype(t) for x, t in zip((h, k, uid, start, shape), COLUMNS, strict=True)]
             cuts = np.flatnonzero(np.diff(part)) + 1
@@ -145,24 +147,43 @@ def unpacked(bodies: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in out]
 
 
-def sorted_out(table: pa.Table) -> pa.Table:
-    """Of one part of the buckets: (uid, start, shape, open). Later members of a class repeat as a whole; the first of each
-    class is open if its bucket holds several classes, and else final, as is a bucket of one."""
-    done = table.column("done").to_pylist()
-    bodies = table.column("body").to_pylist()
-    _, _, uid0, start0, shape0 = unpacked([b for b, d in zip(bodies, done, strict=True) if d])
-    h, k, uid, start, shape = unpacked([b for b, d in zip(bodies, done, strict=True) if not d])
-    order = np.lexsort((start, uid, k, h))
-    h, k, uid, start, shape = (x[order] for x in (h, k, uid, start, shape))
-    new_h = np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]])
-    new_k = new_h | np.concatenate([np.ones(min(1, len(h)), bool), k[1:] != k[:-1]])
-    bucket = np.cumsum(new_h) - 1
-    several = np.bincount(bucket, weights=new_k, minlength=1)[bucket] > 1 if len(h) else np.zeros(0, bool)
-    keep = ~new_k | several
-    return pa.table({
-        "uid": np.concatenate([uid0, uid[keep]]), "start": np.concatenate([start0, start[keep]]),
-        "shape": np.concatenate([shape0, shape[keep]]), "open": np.concatenate([np.zeros(len(uid0), bool), new_k[keep]]),
-    })
+def sampled(dealt: DataFrame, parts: int) -> DataFrame:
+    """The rows of dealt, unpacked, each bucket in one partition, sorted by bucket and class; done ones come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done, bodies in digest_rows(batches, ["done", "body"], 1):
+            columns = unpacked(bodies)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), done[0])), *map(pa.array, columns)], ["done", "h", "k", "uid", "start", "shape"])
+
+    rows = dealt.repartition(parts, "part").mapInArrow(run, "done boolean, h long, k long, uid long, start int, shape int")
+    return rows.sortWithinPartitions("done", "h", "k", "uid", "start")
+
+
+def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted samples: (uid, start, shape, open). Later members of a class repeat as a whole; the first of each class is
+    open if its bucket holds several classes, and else final, as is a bucket of one. Holds one batch and one row."""
+    at = None  # bucket and class of the row before
+    first = None  # the first row of its bucket, while one class of that is known
+    for batch in batches:
+        done, h, k, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        out = [[x[done] for x in (*rest, np.zeros(len(done), bool))]]
+        h, k, *rest = (x[~done] for x in (h, k, *rest))
+        if len(h):
+            new_h = np.concatenate([[at is None or h[0] != at[0]], h[1:] != h[:-1]])
+            new_k = new_h | np.concatenate([[at is None or k[0] != at[1]], k[1:] != k[:-1]])
+            bucket = np.cumsum(new_h)
+            several = np.bincount(bucket, weights=new_k & ~new_h) > 0  # a class after the bucket's first
+            if first is not None and several[0]:
+                out.append([*first, np.ones(1, bool)])
+            if several[0] or bucket[-1]:
+                first = None
+            keep = ~new_h | several[bucket]
+            out.append([x[keep] for x in (*rest, new_k)])
+            if bucket[-1] and not several[-1]:
+                place = np.flatnonzero(new_h)[-1:]
+                first = [x[place] for x in rest]
+            at = h[-1], k[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["uid", "start", "shape", "open"])
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -232,7 +253,7 @@ def windows(bodies: DataFrame, plan: Plan) -> DataFrame:
 def removed(docs: DataFrame, plan: Plan) -> DataFrame:
     """(uid, start, end) stretches whose windows all start earlier elsewhere; they may overlap."""
     parts = 4 * width(docs.sparkSession)
-    runs = dealt(docs, plan, parts).repartition(width(docs.sparkSession), "part").groupBy("part").applyInArrow(sorted_out, "uid long, start int, shape int, open boolean")
+    runs = sampled(dealt(docs, plan, parts), parts).mapInArrow(sifted, "uid long, start int, shape int, open boolean")
     runs = stage(runs, "repeat-runs")
     whole = runs.where("not open").select("uid", "start", (F.col("start") + F.floor(F.col("shape") / 1024) + plan.length - 1).alias("end"))
     opened = runs.where("open").groupBy("uid").agg(F.collect_list(F.struct("start", "shape")).alias("open"))

@@ -52,6 +52,18 @@ def test_kth_largest_is_exact(spark):
     assert quality.kth_largest(df, "x", 0) is None and quality.kth_largest(df.limit(0), "x", 3) is None
 
 
+def test_one_weight_for_each_label(spark, monkeypatch):
+    texts = ["good words stand here", "bad bad spam", "other good words", "spam spam"] * 5
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id bigint, quality int")
+    sizes = []
+    cut = quality.calibrated_cut
+    monkeypatch.setattr(quality, "calibrated_cut", lambda w, q: sizes.append(len(w)) or cut(w, q))
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for docs in (once, once.union(once).union(once)):
+        quality.fit(docs, labels, 50, 1, 100)
+    assert sizes[0] == sizes[1] <= 20
+
+
 def test_odd_rows(spark, docs):
     labels = spark.createDataFrame([(0, 1), (7, 0), (None, 1), (5, None), (0, 1), (3, 0), (99, 1)], "doc_id bigint, quality int")
     rows, least = quality.resample(docs, labels, names=("__n", "__w", "__k"))

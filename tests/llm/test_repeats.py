@@ -1,7 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from factgraph.llm import repeats
 from factgraph.llm.common import documents
@@ -65,6 +68,36 @@ def test_tiles_do_not_change_runs(monkeypatch):
     assert owners() == whole and [w for w, _ in whole] == list(range(2961))
 
 
+def test_a_class_that_is_everywhere_fills_no_group(spark):
+    rows = [(i, "-" * 300 + f"{i % 7}{i}" * 9 + " " * (i % 90)) for i in range(64)]
+    df = spark.createDataFrame(rows, "uid long, text string").repartition(8)
+    alike = df.select("uid", F.lit("-" * 300).alias("text"))  # one bucket
+    sent = repeats.dealt(alike, repeats.Plan(), 64)
+    assert sent.where("done").select("part").distinct().count() > 1
+    bodies = [bytes(r.body) for r in sent.where("not done").collect()]
+    assert sum(len(x) for x in repeats.unpacked(bodies)[:1]) <= 2 * 8
+    got = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), bytes(r.kept)) for r in repeats.drop_repeats(df.withColumnRenamed("uid", "doc_id"), 20, 8).collect()}
+    assert got == brute(rows, 20)
+
+
+def test_sifting_does_not_depend_on_batches():
+    rng = np.random.default_rng(5)
+    names = ["done", "h", "k", "uid", "start", "shape"]
+    for _ in range(60):
+        n = int(rng.integers(1, 30))
+        rows = sorted((bool(rng.random() < 0.2), int(rng.integers(5)), int(rng.integers(3)), i, 0, 1) for i in range(n))
+        table = pa.table({c: pa.array(x, t) for c, x, t in zip(names, zip(*rows), [pa.bool_(), *[pa.int64()] * 3, pa.int32(), pa.int32()])})
+        want = [(r[3], False) for r in rows if r[0]]
+        live = [r for r in rows if not r[0]]
+        for i, r in enumerate(live):
+            new = not any(x[1:3] == r[1:3] for x in live[:i])
+            several = len({x[2] for x in live if x[1] == r[1]}) > 1
+            want += [(r[3], new)] if not new or several else []
+        for size in (1, 2, 5, 100):
+            out = pa.Table.from_batches(list(repeats.sifted(iter(table.to_batches(max_chunksize=size)))))
+            assert sorted(zip(out["uid"].to_pylist(), out["open"].to_pylist())) == sorted(want)
+
+
 def test_odd_rows(spark, docs):
     rows = sorted(repeats.drop_repeats(docs).collect(), key=str)
     assert len(rows) == 9
