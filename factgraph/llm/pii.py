@@ -17,7 +17,7 @@ from factgraph.llm.common import digest_rows, documents
 KINDS = ("email", "ip", "card", "phone", "login", "account")
 BASE = KINDS[:4]
 
-#: Words that announce an identifier, as they are, capitalised and in capitals.
+#: Words that announce an identifier, in any case.
 CUES = ("account", "acct", "iban", "ssn", "passport", "konto", "cuenta", "compte", "licence no", "license no", "customer no", "tax id")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -28,7 +28,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++(?::[A-Za-z0-9._~%!$&'()*+,;=:-]*+)?@")
-NUMBER = re.compile(r"(?:[\x20.:#=-]|no\b|nr\b|number\b|code\b){0,12}([A-Za-z]{0,4}[0-9][0-9A-Za-z]*(?:[\x20-][0-9A-Za-z]*[0-9][0-9A-Za-z]*)*)", re.ASCII)
+NUMBER = re.compile(r"(?:[\x20.:#=-]|no\b|nr\b|number\b|code\b){0,12}([A-Za-z]{0,4}[0-9][0-9A-Za-z]*(?:[\x20-][0-9A-Za-z]*[0-9][0-9A-Za-z]*)*)", re.ASCII | re.IGNORECASE)
+GROUP = re.compile(r"[0-9A-Za-z]+")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,}\Z")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -36,8 +38,7 @@ def automaton() -> ahocorasick.Automaton:
     for word, what in [("@", "at"), ("://", "scheme"), ("+", "plus")]:
         found.add_word(word, (what, len(word)))
     for cue in CUES:
-        for word in {cue, cue.capitalize(), cue.upper()}:
-            found.add_word(word, ("cue", len(word)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -65,23 +66,36 @@ def email_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
 
 def account_at(text: str, end: int) -> tuple[int, int] | None:
     """Expands an identifier cue to the number that follows it: 5 to 34 letters and digits with 5 digits or more;
-    what looks like an IBAN must pass its check."""
+    what looks like an IBAN must pass its check. Of the groups that follow, as many count as make a number; where all of
+    them look like an IBAN that is printed in fours, no fewer make a plain number."""
     m = NUMBER.match(text, end)
     if not m:
         return None
-    plain = re.sub(r"[\x20-]", "", m[1]).upper()
-    if not 5 <= len(plain) <= 34 or sum(c.isdigit() for c in plain) < 5:
-        return None
-    if re.match(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,}\Z", plain) and not iban(plain):
-        return None
-    return m.span(1)
+    choices, plain, sizes = [], "", []
+    for group in GROUP.finditer(text, m.start(1), m.end(1)):
+        plain += group[0].upper()
+        if len(plain) > 34:
+            break
+        sizes.append(len(group[0]))
+        choices.append((plain, group.end()))
+    choices = [(c, stop) for c, stop in choices if len(c) >= 5 and sum(x.isdigit() for x in c) >= 5]
+    fours = bool(choices and sizes[:2] == [4, 4] and IBAN.match(choices[-1][0]))
+    for plain, stop in reversed(choices):
+        if iban(plain) if IBAN.match(plain) else not fours:
+            return m.start(1), stop
+    return None
+
+
+def folded(text: str) -> str:
+    """The text in lower case, character by character: one letter alone would become two."""
+    return text.replace("\u0130", "\u0131").lower()
 
 
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(kind's place, start, end) of all spans, in code points, by kind and start."""
     spans: list[tuple[int, int, int]] = []
     email_end = phone_end = 0
-    for last, (what, length) in anchors.iter(text):
+    for last, (what, length) in anchors.iter(folded(text)):
         if what == "at":
             if found := email_at(text, last, email_end):
                 email_end = found[1]

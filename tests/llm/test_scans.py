@@ -85,6 +85,17 @@ def test_pii_the_method_adds():
     assert kinds("account of the year") == []
 
 
+def test_account_numbers_end_at_their_boundary():
+    accounts = lambda text: [v for k, v in kinds(text) if k == "account"]
+    assert accounts("IBAN DE89370400440532013000 2024 10 20") == ["DE89370400440532013000"]
+    assert accounts("IBAN DE89 3704 0044 0532 0130 00 2024 12345678 12345678 12345678") == ["DE89 3704 0044 0532 0130 00"]
+    assert accounts("account 12345678 " + "23456789 " * 9) == ["12345678 23456789 23456789 23456789"]
+    assert accounts("account AB12345 2024 10 20 30") == ["AB12345 2024 10"]
+    assert accounts("iban DE88370400440532013000 2025") == []
+    for head in ("Account Number: ", "ACCOUNT NO ", "Customer No ", "iBaN code ", "\u0130 Acct Nr. ", "Tax ID #"):
+        assert accounts(head + "12345678") == ["12345678"]
+
+
 def test_redaction_keeps_the_rest():
     text = "mail a.b@c.de or +49 30 1234567 é"
     assert pii.redacted(text, pii.find(text, ANCHORS)) == "mail <EMAIL> or <PHONE> é"
