@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import digest_rows, documents, stage
+from factgraph.llm.common import digest_rows, documents, stage, unstage
 from factgraph.llm.components import connected_components
 
 
@@ -83,7 +83,7 @@ class MinHash:
 
 
 def features(docs: DataFrame, k: int, mh: MinHash) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the set), bands (their keys), low bytes of the signature."""
+    """doc_id, n_shingles, set_key (a digest of the words), bands (their keys), low bytes of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in digest_rows(batches, ["id", "text"]):
@@ -92,7 +92,7 @@ def features(docs: DataFrame, k: int, mh: MinHash) -> DataFrame:
                 found = shingle_hashes(text or "", k)
                 n.append(len(found))
                 signature = mh.signature(found) if len(found) else None
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                keys.append(hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest() if len(found) else None)
                 bands.append(mh.band_keys(signature) if len(found) else None)
                 low.append(signature.astype(np.uint8).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_pydict({
@@ -157,15 +157,15 @@ def labelled(members: DataFrame, components: DataFrame | None) -> DataFrame:
 
 def open_buckets(members: DataFrame, components: DataFrame | None) -> DataFrame:
     """(key, node, component) of the buckets that hold several components: all others have nothing left to link."""
-    rows = stage(labelled(members, components), "near-labelled")
+    rows = labelled(members, components)
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    return stage(rows.join(stage(mixed.select("key"), "near-mixed"), "key", "left_semi"), "near-open")
+    return stage(rows.join(mixed.select("key"), "key", "left_semi"), "near-open")
 
 
 def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Each member of a bucket against the bucket's hub, which another turn chooses anew. One row for a member at most."""
     choice = F.struct(F.lit(0) if turn == 0 else F.xxhash64(F.lit(turn), "node"), "node", "component")
-    hubs = stage(rows.groupBy("key").agg(F.min(choice).alias("hub")).select("key", "hub.node", "hub.component").toDF("key", "hub", "hub_component"), "near-hubs")
+    hubs = rows.groupBy("key").agg(F.min(choice).alias("hub")).select("key", "hub.node", "hub.component").toDF("key", "hub", "hub_component")
     pairs = rows.join(hubs, "key").where("component != hub_component")
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
@@ -191,35 +191,103 @@ def unshared(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def linkable(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """The rows with n and u, without nodes that can be linked with nothing, in buckets that hold several components."""
     able = rows.join(counts.where(F.lit(100) * (F.col("n") - F.col("u")) >= F.lit(percent) * F.col("n")), "node")
-    able = stage(able, "near-able")
     mixed = able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    return stage(able.join(stage(mixed.select("key"), "near-mixed"), "key", "left_semi"), "near-linkable")
+    return stage(able.join(mixed.select("key"), "key", "left_semi"), "near-linkable")
 
 
 def clean_star_pairs(rows: DataFrame) -> DataFrame:
     """Each member of a bucket against the one with the fewest shingles of its own."""
-    hubs = stage(rows.groupBy("key").agg(F.min(F.struct("u", "node", "component")).alias("hub")).select("key", "hub.node", "hub.component").toDF("key", "hub", "hub_component"), "near-hubs")
+    hubs = rows.groupBy("key").agg(F.min(F.struct("u", "node", "component")).alias("hub")).select("key", "hub.node", "hub.component").toDF("key", "hub", "hub_component")
     pairs = rows.join(hubs, "key").where("component != hub_component")
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def crossing_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members that are in different components still and that their own shingles do not rule out:
-    they share at most n - u of either and have at least n + u of the other together."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("u").alias("ua"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("u").alias("ub"))
-    fits = f"100 * least(na - ua, nb - ub) >= {percent} * greatest(na + ub, nb + ua)"
-    return left.join(right, "key").where(f"a < b and ca != cb and {fits}").select("a", "b").distinct()
+def differences(members: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """members (hub, node, component) with what tells each from its hub: `shared_hub` (|H|), `weight` (100 for each of the
+    hub's shingles that it misses, `percent` for each that it has besides), `own_bound` and `marks` (the hashes of those
+    shingles, missing ones inverted).
 
+    For two members a and b of one hub, 100 |A & B| >= percent |A | B| is the same as
+    weight a + weight b <= (100 - percent) |H| + (100 + percent) (marks that a and b share).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for hubs, ids, components, x, y in digest_rows(batches, ["hub", "node", "component", "x", "y"], 64):
+            sets = {body: shingle_hashes(unpack.decompress(body).decode(), k).view(np.int64) for body in {*x, *y}}
+            size, weight, bound, marks = [], [], [], []
+            for hub, own in zip((sets[body] for body in x), (sets[body] for body in y), strict=True):
+                missing, extra = np.setdiff1d(hub, own, assume_unique=True), np.setdiff1d(own, hub, assume_unique=True)
+                size.append(len(hub))
+                weight.append(100 * len(missing) + percent * len(extra))
+                # A partner shares percent / 100 of this set at least.
+                bound.append(-(-percent * len(own) // 100) - len(hub) + len(missing))
+                marks.append(np.concatenate([~missing, extra]))
+            n = pa.int64()
+            yield pa.RecordBatch.from_pydict({
+                "hub": pa.array(hubs, n), "node": pa.array(ids, n), "component": pa.array(components, n), "shared_hub": pa.array(size, n),
+                "weight": pa.array(weight, n), "own_bound": pa.array(bound, n), "marks": pa.array(marks, pa.list_(n)),
+            })
+
+    x = nodes.select(F.col("node").alias("hub"), F.col("body").alias("x"))
+    y = nodes.select("node", F.col("body").alias("y"))
+    both = members.join(y, "node").join(x, "hub").select("hub", "node", "component", "x", "y")
+    return both.mapInArrow(run, "hub long, node long, component long, shared_hub long, weight long, own_bound long, marks array<long>")
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mh: MinHash | None = None, star_turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def with_need(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of differences with `far` (not linked with the hub) and `need`: how many marks a row shares at least with
+    any partner that it may be linked with. One of two partners is far: two that are linked with the hub are joined
+    already. Rows that have fewer marks go, as do hubs without far members."""
+    far = F.col("weight") > (100 - percent) * F.col("shared_hub")
+    least = rows.groupBy("hub").agg(F.min("weight").alias("any_weight"), F.min(F.when(far, F.col("weight"))).alias("far_weight")).where("far_weight is not null")
+    partner = F.when(far, F.col("any_weight")).otherwise(F.col("far_weight"))
+    spare = F.col("weight") + partner - (100 - percent) * F.col("shared_hub")
+    need = F.greatest(F.ceil(spare / (100 + percent)), F.col("own_bound"), F.lit(1)).cast("int")
+    out = rows.join(least, "hub").withColumn("far", far).withColumn("need", need)
+    return out.drop("any_weight", "far_weight").where(F.size("marks") >= F.col("need"))
+
+
+def common_marks(rows: DataFrame) -> DataFrame:
+    """The rows with the marks alone that another row of their hub has too, the rarest first."""
+    single = rows.select("hub", "node", F.explode("marks").alias("mark"))
+    often = single.groupBy("hub", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = single.join(often, ["hub", "mark"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("n", "mark")))["mark"].alias("marks"))
+    return rows.drop("marks").join(kept, ["hub", "node"])
+
+
+def crossing_pairs(rows: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs of different components that may be linked, of the members that have one hub.
+
+    They are found by an overlap join on what tells the members from their hub: of two rows that share t marks, the
+    first (number of marks - t + 1) of either, rarest first, have one in common, and from there on either has t left.
+    What all members have from their hub is never joined on, and no pair within the bounds is left out.
+    """
+    hubs = rows.groupBy("key").agg(F.min(F.struct("u", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    members = rows.join(hubs, "key").where("node != hub").select("hub", "node", "component").distinct()
+    open_rows = stage(differences(members, nodes, k, percent), "near-differences")
+    for name in ("near-marks", "near-marks-again"):  # what is rare after the first round leaves further rows too few marks
+        open_rows = stage(common_marks(with_need(open_rows, percent).drop("far", "need")), name)
+    left = with_need(open_rows, percent).withColumn("size", F.size("marks"))
+    first = left.select("hub", "node", "component", "shared_hub", "weight", "far", "size", F.posexplode(F.slice("marks", F.lit(1), F.col("size") - F.col("need") + 1)).alias("at", "mark"))
+    first = stage(first.withColumn("rest", F.col("size") - F.col("at")).drop("size", "at"), "near-first-marks")
+    a = first.select("hub", "mark", "shared_hub", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "weight", "far", "rest")])
+    b = first.where("far").select("hub", "mark", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "weight", "rest")])
+    fits = f"weight_a + weight_b <= {100 - percent} * shared_hub + {100 + percent} * least(rest_a, rest_b)"
+    pairs = a.join(b, ["hub", "mark"]).where(f"component_a != component_b and (node_a < node_b or not far_a) and {fits}")
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mh: MinHash | None = None, star_turns: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
-    Rows with equal shingle sets fold into their least id first. The others meet in buckets of equal band keys. In
+    Rows with equal words fold into their least id first. The others meet in buckets of equal band keys. In
     `star_turns` rounds the members of each bucket are held against a hub of it; a bucket whose members are all in one
     component is done. For the others the shingles that a node has for itself alone are counted: they bound what it can
-    share. A last round takes the member with the fewest as hub; what then still crosses components and is not ruled out
-    is compared pair by pair, so no link is lost that any bucket holds. Links are confirmed on the full sets. component_id is the least id that links reach; kept marks that row.
+    share. A further round takes the member with the fewest as hub. Pairs that then still cross components are found by
+    an overlap join on what tells them from their hub (crossing_pairs), so no link is lost that any bucket holds, and
+    pairs that have no more in common than their hub's text are not made. Links are confirmed on the full sets.
+    component_id is the least id that links reach; kept marks that row.
 
     A null or empty text, or one without words, has no shingles and is linked with nothing. A text with fewer than k
     words is one shingle. Repeated rows share their result. Rows that share an id are one node of the graph. A row
@@ -232,25 +300,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, mh: MinHash
     sets = stage(found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "near-sets")
     reps = found.join(sets, "set_key").where("doc_id = rep").select("rep", F.explode("bands").alias("key"))
     bands = stage(reps.select("key", F.col("rep").alias("node")), "near-bands")
-    shared = stage(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key"), "near-shared")
+    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
     members = stage(bands.join(shared, "key", "left_semi"), "near-members")
+    unstage(bands)
     wanted = stage(members.select("node").distinct(), "near-wanted")
     low = found.select(F.col("doc_id").alias("node"), "low").where("low is not null").join(wanted, "node", "left_semi")
     bodies = packed(pairs).join(wanted, "node", "left_semi")
     nodes = stage(bodies.join(low, "node"), "near-nodes")
-    links = components = None
-    counts = None
+    components = counts = None
     for turn in range(star_turns + 2):
         rows = open_buckets(members, components)
+        unstage(members)
+        members = rows.select("key", "node")  # a bucket that is closed stays so
         if turn >= star_turns and not rows.isEmpty():
             counts = unshared(rows, nodes, k) if counts is None else counts
             rows = linkable(rows, counts, percent)
         if rows.isEmpty():
             break
-        wanted = star_pairs(rows, turn) if turn < star_turns else clean_star_pairs(rows) if turn == star_turns else crossing_pairs(rows, percent)
-        fresh = confirmed(stage(wanted, "near-pairs"), nodes, k, mh, percent)
-        links = fresh if links is None else links.unionByName(fresh)
-        components = stage(connected_components(links), "near-components")
+        wanted = star_pairs(rows, turn) if turn < star_turns else clean_star_pairs(rows) if turn == star_turns else crossing_pairs(rows, nodes, k, percent)
+        components = connected_components(confirmed(stage(wanted, "near-pairs"), nodes, k, mh, percent), components)
     owned = found.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left")
     owned = owned.withColumn("node", F.coalesce("rep", "doc_id"))
     if components is not None:

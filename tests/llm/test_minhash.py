@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,59 @@ def test_odd_rows(spark, docs):
     assert [r for r in got if r[0] != 6] == sorted(want, key=str)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
     assert minhash.near_duplicates(docs.where("doc_id = 7")).select(F.col("component_id")).first()[0] == 7
+
+
+def family(n, words, edits, pool, seed):
+    """n near copies of one text: `edits` words of each are replaced, from a pool; every tenth is a small change of another."""
+    rng = random.Random(seed)
+    base, rows = [f"b{i}" for i in range(words)], []
+    for i in range(n):
+        text = list(rows[rng.randrange(i)].split()) if i and i % 10 == 0 else list(base)
+        for _ in range(rng.randrange(1, 4) if i and i % 10 == 0 else rng.randrange(*edits)):
+            text[rng.randrange(words)] = f"p{rng.randrange(pool)}"
+        rows.append(" ".join(text))
+    return rows
+
+
+def brute_by_matrix(texts, k, percent=80):
+    """component by place: all pairs by a product of the incidence matrix."""
+    sets = [minhash.shingle_set(t, k) for t in texts]
+    place = {x: i for i, x in enumerate(sorted({x for s in sets for x in s}))}
+    m = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    component = np.arange(len(sets))
+    while True:
+        new = np.where(linked, component[None, :], len(sets)).min(axis=1)
+        if (new == component).all():
+            return component.tolist(), int((linked.sum() - len(sets)) // 2)
+        component = new
+
+
+@pytest.mark.parametrize("n, words, edits, pool", [(2000, 140, (9, 17), 10**6), (600, 140, (9, 17), 40), (400, 60, (2, 14), 8)])
+def test_a_large_family_of_near_copies(spark, n, words, edits, pool):
+    texts = list(dict.fromkeys(family(n, words, edits, pool, 11)))
+    want, links = brute_by_matrix(texts, 2)
+    assert len(set(want)) > 20 and links > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=2).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_pairs_made_stay_few(spark, monkeypatch):
+    """A family whose members share nothing but their hub's text makes few pairs, though each bucket holds most of them."""
+    made = []
+    pairs = minhash.crossing_pairs
+    monkeypatch.setattr(minhash, "crossing_pairs", lambda *a: made.append(pairs(*a)) or made[-1])
+    texts = family(1000, 140, (13, 17), 10**6, 12)
+    minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()
+    assert made and made[0].count() < 20 * len(texts)
+
+
+def test_components_add_to_known_ones(spark):
+    edges = lambda *e: spark.createDataFrame(e, "u long, v long")
+    known = connected_components(edges((2, 1), (3, 2), (6, 5)))
+    got = {r.node: r.component for r in connected_components(edges((6, 3), (9, 8)), known).collect()}
+    assert got == {2: 1, 3: 1, 5: 1, 6: 1, 9: 8}
