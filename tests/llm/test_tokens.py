@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -43,7 +44,7 @@ def giants():
 def test_chunks_without_a_cut(spark):
     texts = list(giants())
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for chunk in (64, 500):
+    for chunk in (20, 64, 500):  # 20: more chunks than one product takes
         got = {r.doc_id: r.ids for r in tokens.encode_documents(df, giant=50, chunk=chunk).collect()}
         for i, t in enumerate(texts):
             assert got[i] == LIBRARY.encode(t), (i, chunk)
@@ -59,6 +60,20 @@ def test_stretches_and_merges_agree_with_the_library(text):
     assert [PIECES.processor.piece_to_id(p) for p in known if p in PIECES.score] == [i for i in LIBRARY.encode(text) if not LIBRARY.is_byte(i)]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31999)), max_size=8), max_size=5), st.text(st.sampled_from("a \né日\x07"), max_size=9))
+def test_any_ids_decode_as_the_library_does(rows, text):
+    rows = [*rows, LIBRARY.encode(text)]
+    pieces = tokens.Pieces(LIBRARY.serialized_model_proto())
+    assert pieces.decode_all(pa.array(rows, pa.list_(pa.int32())), LIBRARY).to_pylist() == [LIBRARY.decode(r) if r else "" for r in rows]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("the a\n 日\u00e9"), max_size=20), max_size=6))
+def test_batches_of_texts_encode_as_single_ones(texts):
+    assert PIECES.encode_all(pa.array(["", *texts], pa.string())).slice(1).to_pylist() == [LIBRARY.encode(t) for t in texts]
+
+
 def test_max_plus_product_is_associative():
     import numpy as np
 
