@@ -31,14 +31,19 @@ BASE = KINDS[:3]
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|x[0-9A-Fa-f]{1,6});")
+# An escape whose own first character was escaped, any number of times, is one layer: so a chain of them is read once.
+PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(
+    r"\\(?:u005[Cc]|x5[Cc])*(?:u[Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})"
+    r"|&(?:\#38;|\#[xX]26;|amp;)*(?:\#[0-9]{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", re.ASCII
+)
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 # The further lines of base64 that is wrapped; line ends may be escaped. A line with other words behind is none.
 LINE = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*([A-Za-z0-9+/_-]++(?![\x20\t]+\S)={0,2})")
 MORE = re.compile(rf"(?:{LINE.pattern.replace('={0,2}', '')})+={{0,2}}")
 # Where a text can be cut: no match of the above, and no such match once escapes are decoded, reaches over.
 CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"':\x20%\\&#;\t\r\n]|(?<=[.:"'%\\&#=\n])\n|(?<=[g-zG-Z_./+"'-])\x20(?=[A-Za-z0-9_./+"'-])""")
+SEPARATOR, PART = re.compile("[/_-]"), re.compile("[A-Za-z0-9+]{16,}+={0,2}")
 #: Bytes that a decoder gives at once.
 STEP = 1 << 18
 
@@ -101,9 +106,13 @@ def inflated(chunks: Iterator[bytes], how: str) -> Iterator[bytes]:
         if how == "zlib":
             stream = zlib.decompressobj(47)
             for data in chunks:
-                while data and not stream.eof:
+                while data:
+                    if stream.eof:  # a further gzip member
+                        if data[:1] != b"\x1f":
+                            return
+                        stream = zlib.decompressobj(47)
                     yield stream.decompress(data, STEP)
-                    data = stream.unconsumed_tail
+                    data = stream.unconsumed_tail or stream.unused_data
             yield stream.flush()
         elif how == "zstd":
             with zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(Chunks(chunks)) as reader:
@@ -136,9 +145,9 @@ def held(chunks: Iterator[bytes], limit: int) -> bytes | None:
     return b"".join(parts)
 
 
-def contents(data: bytes, limit: int, closed: bool) -> Iterator[Source]:
+def contents(data: bytes, limit: int) -> Iterator[Source]:
     """The data, what it holds if it is a compressed stream, what that holds, and so on. What exceeds the limit is
-    decompressed each time it is read, or left out if `closed`."""
+    decompressed each time it is read."""
     source: Source = lambda: iter((data,))
     seen = set()
     while True:
@@ -157,8 +166,6 @@ def contents(data: bytes, limit: int, closed: bool) -> Iterator[Source]:
             return
         seen.add(mark.digest())
         whole = held(inflated(source(), how), limit)
-        if whole is None and closed:
-            return
         source = partial(lambda outer, how: inflated(outer(), how), source, how) if whole is None else partial(lambda part: iter((part,)), whole)
 
 
@@ -238,6 +245,10 @@ def runs(text: str) -> Iterator[tuple[int, int, bytes]]:
     for m in BASE64.finditer(text):
         if data := unpacked(m[0]):
             yield *m.span(), data
+        if SEPARATOR.search(m[0]) and not (data and opens(data)):  # what stands between separators, as in a path
+            for part in PART.finditer(m[0]):
+                if inner := unpacked(part[0]):
+                    yield m.start() + part.start(), m.start() + part.end(), inner
         if m.start() < done or m[0][-1] == "=" or not (more := MORE.match(text, m.end())):
             continue
         done = more.end()
@@ -261,18 +272,18 @@ def variants(text: str) -> Iterator[str]:
         yield text
         if "%" in text:
             work.append(PERCENT.sub(lambda m: unpercent(m[0]), text))
-        if "\\" in text or "&#" in text:
+        if "\\" in text or "&" in text:
             work.append(ESCAPE.sub(lambda m: unescape(m[0]) or m[0], text))
 
 
-def kinds_within(data: bytes, limit: int, closed: bool) -> set[int]:
+def kinds_within(data: bytes, limit: int) -> set[int]:
     """The places of the kinds found in the bytes of a base64 run and in all layers within. They come from the run as a
     whole, so no more than the kinds is needed, and layers are read as streams."""
     found: set[int] = set()
     seen: set[bytes] = set()
 
     def scanned(data: bytes) -> Iterator[bytes]:
-        for source in contents(data, limit, closed):
+        for source in contents(data, limit):
             for coding in codings(source):
                 for window in windows(source, coding, limit):
                     for text in variants(window):
@@ -291,11 +302,22 @@ def kinds_within(data: bytes, limit: int, closed: bool) -> set[int]:
 
 
 def unpercent(run: str) -> str:
-    return unquote_to_bytes(run).decode(errors="replace")
+    return unquote_to_bytes(CHAIN.sub("%", run)).decode(errors="replace")
+
+
+CHAIN = re.compile("%(?:25)+(?=[0-9A-Fa-f]{2})")
+LINKS = re.compile(r"^&(?:\#38;|\#[xX]26;|amp;)*(?=[\#A-Za-z])|^\\(?:u005[Cc]|x5[Cc])*(?=[ux])")
 
 
 def unescape(run: str) -> str:
-    return html.unescape(run) if run[0] == "&" else chr(int(run[2:], 16))
+    """The character behind an escape or a reference; nothing for a name that no character has."""
+    run = run[0] + run[LINKS.match(run).end() :]
+    if run[0] == "&":
+        text = html.unescape(run)
+        return "" if text == run else text
+    if len(run) == 12:  # a pair of surrogates
+        return (bytes.fromhex(run[2:6]) + bytes.fromhex(run[8:12])).decode("utf-16-be")
+    return chr(int(run[2:], 16))
 
 
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
@@ -327,22 +349,22 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), stretches)
 
 
-def find(text: str, limit: int, closed: bool = True) -> list[tuple[int, int, int]]:
+def find(text: str, limit: int) -> list[tuple[int, int, int]]:
     """All spans of a text and its layers, by start and kind, in code points of the text. Compressed layers over the limit
-    stay closed if `closed`, else they are read in windows of about that size."""
+    are read in windows of about that size."""
     spans = set(detect(text))
     work, seen, within = deque([Layer(text, [(0, 0, len(text), False)])]), set(), {}
     while work:
         layer = work.popleft()
         for start, end, data in runs(layer.text):
             if data not in within:
-                within[data] = kinds_within(data, limit, closed)
+                within[data] = kinds_within(data, limit)
             first, last, _ = layer.origin(start, end)
             spans.update((kind + len(BASE), first, last) for kind in within[data])
         inner = []
         if "%" in layer.text:
             inner.append(replaced(layer, PERCENT, unpercent))
-        if "\\" in layer.text or "&#" in layer.text:
+        if "\\" in layer.text or "&" in layer.text:
             inner.append(replaced(layer, ESCAPE, unescape))
         for new in inner:
             if new and (key := new.key()) not in seen:
@@ -362,17 +384,19 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and `spans`, an array of (kind, start, end) in code points, end exclusive, by start and kind.
 
     Every text is scanned, then its layers: runs of percent escapes, Unicode escapes and character references are
-    decoded in place, base64 runs, also wrapped ones, are opened, through compressed streams, and read if they are
-    UTF-8, UTF-16 or UTF-32. Layers join a worklist until there is no new one; a layer is not scanned again if one of the same content came from the same places of the document. Each
-    decoding shortens its run, so layers end. A finding in a layer is a decoded_ kind over the stretch of the document it was encoded in. A compressed layer of
-    more than `max_layer_bytes` is read as a stream, in windows of about so many characters that are cut where nothing
-    reaches over; a stretch without such a place, and a decoder's dictionary, are held as they are. A null or empty text has no spans; repeated rows
-    give repeated results; an empty table gives an empty result; other columns are ignored.
+    decoded in place (an escape that was escaped again and again is one layer), base64 runs, also wrapped ones and those
+    between separators, are opened, through compressed streams, and read if they are UTF-8, UTF-16 or UTF-32. Layers
+    join a worklist until there is no new one; a layer is not scanned again if one of the same content came from the
+    same places of the document. Each decoding shortens its run, so layers end. A finding in a layer is a decoded_ kind
+    over the stretch of the document it was encoded in. A compressed layer of more than `max_layer_bytes` is read as a
+    stream, in windows of about so many characters that are cut where nothing reaches over; a stretch without such a
+    place, and a decoder's dictionary, are held as they are. A null or empty text has no spans; repeated rows give
+    repeated results; an empty table gives an empty result; other columns are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in digest_rows(batches, ["id", "text"]):
-            found = [find(t or "", max_layer_bytes, closed=False) for t in texts]
+            found = [find(t or "", max_layer_bytes) for t in texts]
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s] for s in found]
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "spans": pa.array(rows, SPANS)})
 
