@@ -22,20 +22,23 @@ CUES = ("account", "acct", "iban", "ssn", "passport", "konto", "cuenta", "compte
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
-# Only the first digit of a run can begin an ip: what fails there fails at the run's other digits.
-IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+RUN = re.compile(r"[0-9]+\Z")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++(?::[A-Za-z0-9._~%!$&'()*+,;=:-]*+)?@")
-NUMBER = re.compile(r"(?:[\x20.:#=-]|no\b|nr\b|number\b|code\b){0,12}([A-Za-z]{0,4}[0-9][0-9A-Za-z]*(?:[\x20-][0-9A-Za-z]*[0-9][0-9A-Za-z]*)*)", re.ASCII | re.IGNORECASE)
+FILLER = re.compile(r"(?:[\x20.:#=-]|no\b|nr\b|number\b|code\b){0,12}", re.ASCII | re.IGNORECASE)
+NUMBER = re.compile(r"[A-Za-z]{0,4}[0-9][0-9A-Za-z]*(?:[\x20-][0-9A-Za-z]*[0-9][0-9A-Za-z]*)*", re.ASCII)
+#: Letters and digits of an account number at most, and what they and the single separators between them take.
+LONGEST, REACH = 34, 72
 GROUP = re.compile(r"[0-9A-Za-z]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,}\Z")
 
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for word, what in [("@", "at"), ("://", "scheme"), ("+", "plus")]:
+    for word, what in [("@", "at"), ("://", "scheme"), ("+", "plus"), *((f".{d}", "dot") for d in range(10))]:
         found.add_word(word, (what, len(word)))
     for cue in CUES:
         found.add_word(cue, ("cue", len(cue)))
@@ -68,13 +71,14 @@ def account_at(text: str, end: int) -> tuple[int, int] | None:
     """Expands an identifier cue to the number that follows it: 5 to 34 letters and digits with 5 digits or more;
     what looks like an IBAN must pass its check. Of the groups that follow, as many count as make a number; where all of
     them look like an IBAN that is printed in fours, no fewer make a plain number."""
-    m = NUMBER.match(text, end)
+    start = FILLER.match(text, end).end()
+    m = NUMBER.match(text, start, start + REACH)  # a group that is cut there has too many characters anyway
     if not m:
         return None
     choices, plain, sizes = [], "", []
-    for group in GROUP.finditer(text, m.start(1), m.end(1)):
+    for group in GROUP.finditer(text, start, m.end()):
         plain += group[0].upper()
-        if len(plain) > 34:
+        if len(plain) > LONGEST:
             break
         sizes.append(len(group[0]))
         choices.append((plain, group.end()))
@@ -82,10 +86,22 @@ def account_at(text: str, end: int) -> tuple[int, int] | None:
     fours = bool(choices and sizes[:2] == [4, 4] and IBAN.match(choices[-1][0]))
     for plain, stop in reversed(choices):
         if iban(plain) if IBAN.match(plain) else not fours:
-            return m.start(1), stop
+            return start, stop
     return None
 
 
+def address_at(text: str, dot: int, floor: int) -> tuple[int, int] | None:
+    """Expands a dot between digits: left over the digits before it, not below `floor`, right over three more parts."""
+    head = RUN.search(text, max(floor, dot - 32), dot)
+    if not head:
+        return None
+    start = head.start()
+    while start > floor and text[start - 1].isascii() and text[start - 1].isdigit():
+        start -= 1
+    m = IP.match(text, start)
+    return m.span() if m else None
+
+
 def folded(text: str) -> str:
     """The text in lower case, character by character: one letter alone would become two."""
     return text.replace("\u0130", "\u0131").lower()
@@ -94,7 +110,7 @@ def folded(text: str) -> str:
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(kind's place, start, end) of all spans, in code points, by kind and start."""
     spans: list[tuple[int, int, int]] = []
-    email_end = phone_end = 0
+    email_end = phone_end = address_end = 0
     for last, (what, length) in anchors.iter(folded(text)):
         if what == "at":
             if found := email_at(text, last, email_end):
@@ -105,15 +121,17 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                 phone_end = m.end()
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                     spans.append((3, *m.span()))
+        elif what == "dot":
+            if last > address_end and (found := address_at(text, last - 1, address_end)):
+                address_end = found[1]
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text[slice(*found)].split(".")):
+                    spans.append((1, *found))
         elif what == "scheme":
             head = last + 1 - length
             if SCHEME.search(text, max(0, head - 32), head) and (m := USERINFO.match(text, last + 1)):
                 spans.append((4, m.start(), m.end() - 1))
         elif found := account_at(text, last + 1):
             spans.append((5, *found))
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-            spans.append((1, *m.span()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -141,9 +159,9 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and `spans`, an array of (kind, start, end) in code points, end exclusive, by kind and start.
 
-    One automaton finds at-signs, schemes, plus signs and identifier cues in a single pass; local parsers expand each
-    anchor to the whole email, phone, login (of a URL) or account number and validate it; digit runs are the anchors
-    of ip and card. Rows are independent, nothing is shuffled. A null or empty text has no spans; repeated rows give
+    One automaton finds at-signs, schemes, plus signs, dots before digits and identifier cues in a single pass; local
+    parsers expand each anchor to the whole email, phone, address, login (of a URL) or account number and validate it;
+    the anchors of cards are digits, for which no automaton is needed. Rows are independent, nothing is shuffled. A null or empty text has no spans; repeated rows give
     repeated results; an empty table gives an empty result; other columns are ignored.
     """
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -172,7 +190,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """The rows with personal data in `text` replaced by <KIND>; all columns stay. Null and empty texts stay as they are."""
+    """The rows with personal data in `text` replaced by <KIND>; all columns stay. Null and empty texts stay as they are,
+    repeated rows give repeated results, an empty table an empty one."""
     return docs.mapInArrow(redact, docs.schema)
 
 

@@ -1,7 +1,9 @@
 import base64
+import gzip
 import hashlib
 import lzma
 import re
+import time
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -96,6 +98,13 @@ def test_account_numbers_end_at_their_boundary():
         assert accounts(head + "12345678") == ["12345678"]
 
 
+def test_cues_and_dots_without_end_take_linear_time():
+    began = time.time()
+    for text in ("acct1" * 200_000, "account " * 100_000 + "x", "acct 1 " * 100_000, "1.2." * 200_000, "iban " + "1 " * 400_000, "a.@" * 300_000):
+        kinds(text)
+    assert time.time() - began < 60
+
+
 def test_redaction_keeps_the_rest():
     text = "mail a.b@c.de or +49 30 1234567 é"
     assert pii.redacted(text, pii.find(text, ANCHORS)) == "mail <EMAIL> or <PHONE> é"
@@ -126,12 +135,40 @@ def test_each_place_of_an_encoded_secret_is_reported():
     assert layers("q=token%3Dabcdef123 q=token%3Dabcdef123") == [("decoded_assign", "token%3Dabcdef123")] * 2
 
 
-def test_a_bomb_stays_closed():
-    b64 = base64.b64encode(zlib.compress(b"password=abcdefgh " * 200_000)).decode()
-    assert layers(f"a {b64}") == []
+def test_chains_of_escapes_take_linear_time():
+    began = time.time()
+    for n in (4, 400_000):
+        secret = "AKIA" + "B" * 20
+        for chain in ("%" + "25" * n + "41KIA", "\\u005c" + "u005c" * n + "u0041KIA", "&" + "#38;" * n + "#65;KIA", "&" + "amp;" * n + "#x41;KIA"):
+            text = f"see {chain}{secret[4:]}!"
+            assert ("decoded_access", f"{chain}{secret[4:]}") in layers(text)
+            assert not [k for k, _ in layers(f"see {chain[: -len('41KIA')]} and") if k.startswith("decoded")]
+    assert time.time() - began < 60
+
+
+def test_streams_end():
+    inner = b"x"
+    for _ in range(40):
+        inner = zlib.compress(inner)
+    assert layers(base64.b64encode(inner).decode()) == []
+    many = " ".join(base64.b64encode(zlib.compress(bytes([i]) + b" " * 3_000_000)).decode() for i in range(12))
+    assert layers(many) == []
+
+
+def test_more_layers_are_opened():
+    secret = b"password=abcdefgh"
+    members = base64.b64encode(gzip.compress(b"nothing here") + gzip.compress(secret)).decode()
+    assert layers(members) == [("decoded_assign", members)]
+    behind = base64.b64encode(secret + b"!").decode()
+    assert layers(f"dir/sub/{behind}") == [("decoded_assign", behind)]
+    assert layers("password&equals;abcdef9") == [("decoded_assign", "password&equals;abcdef9")]
+    assert layers("&nosuchname; password &amp;c") == []
+    assert layers("\\ud83d\\ude00 token\\x3dabcdef1") == [("decoded_assign", "token\\x3dabcdef1")]
 
 
 def test_large_layers_are_read(spark):
+    bomb = base64.b64encode(zlib.compress(b"password=abcdefgh " * 2_000_000)).decode()
+    assert layers(f"a {bomb}") == [("decoded_assign", bomb)]
     junk = "".join(f"line {i}, of no account\n" for i in range(9000))
     pack = lambda text: base64.b64encode(zlib.compress(text.encode())).decode()
     for text in (f"{junk}password=abcdefgh\n{junk}", f"{junk}{pack(junk + 'password=abcdefgh')}\n{junk}", "password=abcdefgh " * 9000):
@@ -139,7 +176,7 @@ def test_large_layers_are_read(spark):
         docs = spark.createDataFrame([(1, f"é {b64}")], "doc_id long, text string")
         rows = secrets.find_secrets(docs, max_layer_bytes=4096).collect()
         assert [(s.kind, s.start, s.end) for s in rows[0].spans] == [("decoded_assign", 2, 2 + len(b64))]
-        assert secrets.find(f"é {b64}", 1 << 24, closed=False) == secrets.find(f"é {b64}", 4096, closed=False)
+        assert secrets.find(f"é {b64}", 1 << 24) == secrets.find(f"é {b64}", 4096)
     # Decoders get the dictionary and window that a stream asks for.
     big = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).compressobj()
     for body in (lzma.compress(b"password=abcdefgh", preset=9), big.compress(b"password=abcdefgh") + big.flush()):
