@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factgraph.llm.common import digest_rows, documents, stage
+from factgraph.llm.common import digest_rows, documents, stage, unstage
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words and pairs of words are hashed into this many buckets, whatever the size of the corpus.
 BUCKETS = 10_000
 PRIOR = 16
-#: Of the sampling: Gumbel noise counts this many times as much as log weight.
+#: The log weight is the mean over a text's n-grams; divided by this, it is that of a text of 100 of them.
 TEMPERATURE = 0.01
 
 
@@ -70,10 +70,12 @@ def gumbel(seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def scored(docs: DataFrame, ratios: np.ndarray, seed: int, names: tuple[str, str, str]) -> DataFrame:
+def scored(docs: DataFrame, ratios: np.ndarray, seed: int, names: tuple[str, str, str], temperature: float = TEMPERATURE) -> DataFrame:
     """The rows with three columns more: number of n-grams, log weight, Gumbel key. The log weight is the mean of the
-    n-grams' log ratios, with PRIOR further ones of 0, so that length alone decides nothing."""
+    n-grams' log ratios, with PRIOR further ones of 0, so that length alone decides nothing. Columns of these names are
+    replaced."""
     grams, weight, key = names
+    docs = docs.drop(*names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +87,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, seed: int, names: tuple[str, str
                 yield part.append_column(weight, pa.array([round(float(ratios[f].sum()) / (len(f) + PRIOR), 9) for f in found], pa.float64()))
 
     schema = T.StructType([*docs.schema.fields, T.StructField(grams, T.LongType()), T.StructField(weight, T.DoubleType())])
-    return docs.mapInArrow(score, schema).withColumn(key, F.col(weight) / TEMPERATURE + gumbel(seed))
+    return docs.mapInArrow(score, schema).withColumn(key, F.col(weight) / temperature + gumbel(seed))
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1024) -> float | None:
@@ -136,22 +138,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int, seed: int, buckets:
     return ratios, calibrated_cut(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
 
 
-def resample(docs: DataFrame, labels: DataFrame, max_labels: int = 50_000, seed: int = 1, buckets: int = BUCKETS, names: tuple[str, str, str] = ("n_grams", "log_weight", "gumbel_key")) -> tuple[DataFrame, float | None]:
+def resample(
+    docs: DataFrame, labels: DataFrame, target_size: int | None = None, temperature: float = TEMPERATURE, max_labels: int = 50_000, seed: int = 1,
+    buckets: int = BUCKETS, names: tuple[str, str, str] = ("n_grams", "log_weight", "gumbel_key"),
+) -> tuple[DataFrame, float | None]:
     """The rows of docs with `names` added, and the least Gumbel key of a row that is kept (None: none is).
 
-    A hashed n-gram model of texts labelled good is set against one of all texts. A row's log weight is the log ratio
-    of its likelihoods; k rows, as many as have a log weight at or above the cut that held-out labels set, are drawn
-    without replacement in proportion to their tempered weights by Gumbel top-k: those whose log weight over
-    TEMPERATURE plus Gumbel noise is largest. The fit sees at most `max_labels` labelled rows; the raw model, the weights and k cover every row.
+    A hashed n-gram model of texts labelled good is set against one of all texts. A row's log weight is the mean log
+    ratio of its likelihoods. `target_size` rows are drawn without replacement in proportion to exp(log weight /
+    temperature) by Gumbel top-k: those whose tempered log weight plus Gumbel noise is largest. By default as many are
+    drawn as have a log weight at or above the cut that held-out labels set. The fit sees at most `max_labels` labelled
+    rows; the raw model, the weights and the number drawn cover every row.
 
     Null and empty texts have weight 0 in logarithm, no n-grams. Rows that tie with the k-th are all kept, repeated
     rows share one fate. Without good or without bad labels every row is kept. An empty table gives an empty result.
     """
     ratios, cut = fit(docs, labels, max_labels, seed, buckets)
-    rows = scored(docs, ratios, seed, names)
+    rows = scored(docs, ratios, seed, names, temperature)
     keys = stage(rows.select(*names[1:]), "quality-keys")
-    k = keys.where(F.col(names[1]) >= F.lit(cut)).count()
-    return rows, kth_largest(keys, names[2], k)
+    k = keys.where(F.col(names[1]) >= F.lit(cut)).count() if target_size is None else min(target_size, keys.count())
+    least = kth_largest(keys, names[2], k)
+    unstage(keys)
+    return rows, least
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

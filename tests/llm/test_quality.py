@@ -1,6 +1,9 @@
 import math
+import struct
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from factgraph.llm import quality
@@ -42,6 +45,63 @@ def test_models_against_plain_counting(spark):
     assert math.isclose(float(np.log((0 + 500) / 500)), 0)
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark over an int, a long and a text."""
+    h = 42
+    for form, v in zip(("<i", "<q", None), values, strict=True):
+        h = xxhash.xxh64_intdigest(struct.pack(form, v) if form else v.encode(), h) if v is not None else h
+    return h
+
+
+def test_the_whole_query_by_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in documents(spark, sf).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id is not None and r.quality is not None}
+    fold = {i: xxhash.xxh64_intdigest(struct.pack("<q", i), xxhash.xxh64_intdigest(struct.pack("<i", 1), 42)) & 1 for i in labels}
+    good = {i for i, q in labels.items() if q == 1 and fold[i] == 0}
+    counts = {i: Counter(quality.hashed_grams(t, quality.BUCKETS).tolist()) for i, t in docs.items()}
+    raw, target = Counter(range(quality.BUCKETS)), Counter()
+    for i, c in counts.items():
+        raw.update(c)
+        target.update(c if i in good else {})
+    total, n_target = sum(raw.values()), sum(target.values())
+    ratio = [math.log((target[b] / (raw[b] / total) + quality.BUCKETS) / (n_target + quality.BUCKETS)) for b in range(quality.BUCKETS)]
+    weight = {i: sum(ratio[b] * n for b, n in c.items()) / (sum(c.values()) + quality.PRIOR) for i, c in counts.items()}
+    held = [i for i in labels if fold[i] == 1 and i in docs]
+    best = max(
+        (sum(weight[i] >= cut - 1e-9 for i in held if labels[i] == 1) / sum(labels[i] == 1 for i in held) + sum(weight[i] < cut - 1e-9 for i in held if labels[i] != 1) / sum(labels[i] != 1 for i in held), -cut)
+        for cut in [-1e9, *(weight[i] for i in held)]
+    )
+    cut = -best[1]
+    cut = (cut + max(weight[i] for i in held if labels[i] != 1 and weight[i] < cut - 1e-9)) / 2
+    noise = {i: -math.log(-math.log(((spark_hash(1, i, t) >> 11) + 0.5) / 2**53)) for i, t in docs.items()}
+    key = {i: weight[i] / quality.TEMPERATURE + noise[i] for i in docs}
+    k = sum(w >= cut for w in weight.values())
+    kept = set(sorted(key, key=key.get)[len(key) - k :])
+    rows = quality.op1_importance_resampling(spark, sf).collect()
+    assert {r.doc_id for r in rows if r.kept} == kept and 0 < k < len(docs)
+    for r in rows:
+        assert r.n_grams == sum(counts[r.doc_id].values()) and math.isclose(r.log_weight, weight[r.doc_id], abs_tol=2e-9) and math.isclose(r.gumbel_key, key[r.doc_id], abs_tol=1e-6)
+
+
+def test_draws_follow_the_weights(spark):
+    """Of two kinds of rows with log weights w and w + 1, the second is drawn e times as often at temperature 1."""
+    ratios = np.array([0.0, 1.0])
+    words = {quality.hashed_grams(w, 2)[0]: w for w in ("a", "b", "c", "d", "e")}
+    repeated = [" ".join([words[b]] * 400) for b in (0, 1)]
+    weights = [ratios[quality.hashed_grams(t, 2)].sum() / (799 + quality.PRIOR) for t in repeated]
+    df = spark.createDataFrame([(i, repeated[i % 2]) for i in range(8000)], "doc_id long, text string")
+    rows = quality.scored(df, ratios, 3, ("n", "w", "k"), temperature=0.5)
+    least = quality.kth_largest(rows, "k", 400)
+    drawn = Counter(r.doc_id % 2 for r in rows.where(F.col("k") >= least).collect())
+    assert drawn.total() == 400
+    share = math.exp((weights[1] - weights[0]) / 0.5)
+    assert drawn[0] > 0 and 0.6 * share < drawn[1] / drawn[0] < 1.6 * share  # a plain top 400 would hold no even ids
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id bigint, quality int")
+    rows, least = quality.resample(df.withColumn("log_weight", F.lit(9)), labels, target_size=123)
+    assert rows.where(F.col("gumbel_key") >= least).count() == 123 and rows.columns.count("log_weight") == 1
+
+
 def test_kth_largest_is_exact(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(size=500), np.repeat(0.25, 300), [1e9, -1e9]]).tolist()
