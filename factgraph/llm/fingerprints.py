@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.common import documents
 
-#: Leaves below a paragraph: runs of up to 96 characters that end with their sentence, so that an edit within a
-#: long paragraph can be located, and likeness is not all or nothing.
+#: Leaves of a paragraph: runs of up to 96 characters that end with their sentence, so that an edit within a long
+#: paragraph can be located, and likeness is not all or nothing. They leave nothing out.
 LEAF = r"[^.!?\n]{1,96}[.!?]*|[.!?\n]+"
 
 
 def merkle(text: Column) -> Column:
     """struct(root, sections, leaves): the tree of a text.
 
-    Sections are split at blank lines, paragraphs at line ends. A paragraph's node is the SHA-256 of its text, a
-    section's that of its paragraphs' nodes, the root that of the sections' nodes. Splitting loses nothing, so
-    equal roots mean equal texts. Leaves are 64-bit hashes of the pieces of paragraphs.
+    Sections are split at blank lines, paragraphs at line ends, and paragraphs into leaves. A leaf's node is the SHA-256
+    of its text, a paragraph's that of its leaves' nodes, a section's that of its paragraphs' nodes, the root that of the
+    sections' nodes. Splitting loses nothing, so equal roots mean equal texts. `leaves` are 64-bit hashes of the distinct
+    leaves: comparing them takes linear time, where looking for equal branches by name would not.
     """
-    paragraphs = F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.sha2(p, 256)))
-    sections = F.transform(paragraphs, lambda p: F.struct(F.sha2(F.array_join(p, ""), 256).alias("node"), p.alias("paragraphs")))
-    root = F.transform(F.array(sections), lambda s: F.struct(F.sha2(F.array_join(s["node"], ""), 256).alias("root"), s.alias("sections")))
-    leaves = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda p: F.xxhash64(p)))
-    return F.transform(root, lambda r: F.struct(r["root"].alias("root"), r["sections"].alias("sections"), leaves.alias("leaves")))[0]
+    over = lambda parts: F.sha2(F.array_join(parts, ""), 256)
+    pieces = F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: F.regexp_extract_all(p, F.lit(LEAF), F.lit(0))))
+    paragraphs = lambda s: F.transform(s, lambda p: over(F.transform(p, lambda leaf: F.sha2(leaf, 256))))
+    leaves = lambda all_: F.array_distinct(F.transform(F.flatten(F.flatten(all_)), lambda p: F.xxhash64(p)))
+    tree = F.transform(F.array(pieces), lambda t: F.struct(F.transform(t, paragraphs).alias("paragraphs"), leaves(t).alias("leaves")))
+    sections = lambda ps: F.transform(ps, lambda p: F.struct(over(p).alias("node"), p.alias("paragraphs")))
+    tree = F.transform(tree, lambda t: F.struct(sections(t["paragraphs"]).alias("sections"), t["leaves"].alias("leaves")))
+    return F.transform(tree, lambda t: F.struct(over(t["sections"]["node"]).alias("root"), t["sections"].alias("sections"), t["leaves"].alias("leaves")))[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -52,7 +56,8 @@ def with_next_text(docs: DataFrame, out: str = "next_text", rows_per_bucket: int
 
     Ids are cut into ranges at approximate quantiles, 256 to 65,536 of them, which come to the driver; only a range is
     ever ordered in one place. The first row of each range is also dealt to the range before it, so that one shuffle of
-    the texts is all.
+    the texts is all. Rows that share an id, or have none, follow one another by text; they lie in one range, and all
+    rows with the first id of a range are dealt twice. A table of one row gives that row's own text, an empty one nothing.
     """
     spark = docs.sparkSession
     buckets = min(max(256, docs.count() // rows_per_bucket), 1 << 16)
@@ -106,6 +111,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of each document and of its edited text. Null texts count as empty; repeated rows are edited with the next
+    row of the order in with_next_text; equal texts have equal fingerprints; an empty table gives an empty result."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pairs = with_next_text(docs).withColumn("edited", edit_tail(F.col("text"), F.col("next_text")))
     trees = pairs.select(
@@ -119,3 +126,35 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(own["sections"]).alias("n_sections"), F.size(own["leaves"]).alias("n_leaves"),
         first_difference(own, edited).alias("edit"),
     ).select("*", F.col("edit.section").alias("edited_section"), F.col("edit.paragraph").alias("edited_paragraph")).drop("edit")
+
+
+def tree_sql(text: str, name: str) -> str:
+    """The tree of a text in DuckDB: (doc_id, root, nodes, paragraphs, leaves)."""
+    over = lambda parts: f"sha256(array_to_string({parts}, ''))"
+    leaves = f"list_transform(string_split(s, chr(10)), lambda p: regexp_extract_all(p, '{LEAF}'))"
+    return f"""{name}_pieces as (select doc_id, list_transform(string_split({text}, chr(10)||chr(10)), lambda s: {leaves}) as pieces from pairs),
+{name}_parts as (select doc_id, list_transform(pieces, lambda s: list_transform(s, lambda p: {over("list_transform(p, lambda x: sha256(x))")})) as paragraphs, list_distinct(flatten(flatten(pieces))) as leaves from {name}_pieces),
+{name}_nodes as (select *, list_transform(paragraphs, lambda s: {over("s")}) as nodes from {name}_parts),
+{name} as (select *, {over("nodes")} as root from {name}_nodes)"""
+
+
+def near_sql(a: str, b: str) -> str:
+    both = f"len(list_intersect({a}.leaves, {b}.leaves))"
+    either = f"(len({a}.leaves) + len({b}.leaves) - {both})"
+    return f"case when {a}.root = {b}.root then 1.0::double when {either} = 0 then 0.0::double else {both}::double / {either} end"
+
+
+def unequal_sql(a: str, b: str) -> str:
+    return f"coalesce(list_filter(range(1, greatest(len({a}), len({b}), 1) + 1), lambda i: {a}[i] is distinct from {b}[i])[1], 0)::int"
+
+
+#: For tables whose ids are unique. Leaves are compared by their texts.
+SQL = f"""with docs as (select doc_id, coalesce(text, '') as text from documents),
+ahead as (select doc_id, text, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as following from docs),
+pairs as (select *, left(text, (length(text) - length(text) // 4)::int)||left(following, (length(text) // 4)::int) as edited from ahead),
+{tree_sql("text", "own")}, {tree_sql("edited", "new")}, {tree_sql("following", "other")},
+placed as (select p.doc_id, length(p.text) as n_chars, sha256(edited) as edited_sha256, own.root as fingerprint, new.root as edited_fingerprint, {near_sql("own", "new")} as near_edited, {near_sql("own", "other")} as near_next,
+ len(own.nodes)::int as n_sections, len(own.leaves)::int as n_leaves, {unequal_sql("own.nodes", "new.nodes")} as edited_section, own.paragraphs as a, new.paragraphs as b
+ from pairs p join own on own.doc_id = p.doc_id join new on new.doc_id = p.doc_id join other on other.doc_id = p.doc_id),
+branches as (select *, case when edited_section = 0 then [] else coalesce(a[edited_section], []) end as x, case when edited_section = 0 then [] else coalesce(b[edited_section], []) end as y from placed)
+select doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_sections, n_leaves, edited_section, case when edited_section = 0 then 0 else {unequal_sql("x", "y")} end as edited_paragraph from branches"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factgraph.llm import fingerprints
 from factgraph.llm.fingerprints import op3_merkle_fingerprints
 from factgraph.llm.minhash import op6_minhash_components
 from factgraph.llm.mixing import op4_source_mix
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mpeg_media": op10_mpeg_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_merkle_fingerprints": fingerprints.SQL}

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,13 +30,23 @@ def test_fingerprints_against_plain_python(spark):
         r = rows[i]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        root = lambda t: sha("".join(sha("".join(map(sha, s.split("\n")))) for s in t.split("\n\n")))
+        paragraph = lambda p: sha("".join(map(sha, re.findall(fingerprints.LEAF, p))))
+        root = lambda t: sha("".join(sha("".join(map(paragraph, s.split("\n")))) for s in t.split("\n\n")))
+        assert all("".join(re.findall(fingerprints.LEAF, p)) == p for p in text.split("\n"))
         assert (r.fingerprint, r.edited_fingerprint) == (root(text), root(edited))
         assert (r.near_edited == 1) == (text == edited) and 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
         assert (r.edited_section == 0) == (text == edited)
     assert sum(r.near_edited > r.near_next for r in rows.values()) > 0.95 * len(rows)
 
 
+def test_fingerprints_against_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    df = fingerprints.op3_merkle_fingerprints(spark, SF)
+    cols = sorted(df.columns)
+    assert sorted(map(tuple, df.select(cols).collect())) == sorted(con.sql(f"select {', '.join(cols)} from ({fingerprints.SQL}) q").fetchall())
+
+
 def test_fingerprints_handle_odd_rows(spark, docs):
     rows = fingerprints.fingerprint_documents(docs).collect()
     assert len(rows) == 9
