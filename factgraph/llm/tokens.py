@@ -56,7 +56,6 @@ class Pieces:
     model: bytes
     known: dict[str, np.ndarray] = field(default_factory=dict)
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-    paths: dict[str, list[int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         proto = sentencepiece_model_pb2.ModelProto()
@@ -217,20 +216,41 @@ class Pieces:
     def ids_of(self, pieces: list[str]) -> list[int]:
         return [i for p in pieces for i in ([self.processor.piece_to_id(p)] if p in self.score else self.processor.encode(p))]
 
-    def traced(self, text: str, begin: int, end: int, before: tuple[int, int] | None, last: tuple[int, int]) -> list[int]:
-        """Ids from behind the piece `before`, which ends at `begin`, to the piece `last`, which ends at `end`. Between cuts
-        the path is one for a word, wherever it stands, and looked up."""
-        cuts = [c for c in self.cuts(text, begin + 1, last[0] + 1)]
-        if not cuts:
-            return self.ids_of(self.path(text, begin, end, before, last))
-        out = self.ids_of(self.path(text, begin, cuts[0], before))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if (found := self.paths.get(word := text[a:b])) is None:
-                if len(self.paths) >= CACHE:
-                    self.paths.clear()
-                found = self.paths[word] = self.ids_of(self.path(word, 0, len(word)))
-            out += found
-        return out + self.ids_of(self.path(text, cuts[-1], end, None, last))
+    def words_between(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """The first and the last place after `begin` and up to `end` where a word begins: no merge reaches over it."""
+        found = WORD_START.search(text, begin, end + 1) if self.by_word else None
+        if not found:
+            return None
+        last = text.rfind(SPACE, begin, end + 1)
+        while text[last - 1] == SPACE:
+            last -= 1
+        return found.end() - 1, last
+
+    def traced(self, rows: list[tuple[str, int, int, tuple[int, int] | None, tuple[int, int]]]) -> pa.ListArray:
+        """For each (text, begin, end, before, last) the ids from behind the piece `before`, which ends at `begin`, to the
+        piece `last`, which ends at `end`. Up to the first word and from the last one on the path is traced through the
+        lattice. From word to word it is the words' own, which are looked up."""
+        heads, middles, tails = [], [], []
+        for text, begin, end, before, last in rows:
+            cut = self.words_between(text, begin, last[0]) if begin < end else None
+            if begin >= end:
+                heads.append([])
+            elif cut:
+                heads.append(self.ids_of(self.path(text, begin, cut[0], before)))
+            else:
+                heads.append(self.ids_of(self.path(text, begin, end, before, last)))
+            middles.append(text[cut[0] + 1 : cut[1]].replace(SPACE, " ") if cut else "")
+            tails.append(self.ids_of(self.path(text, cut[1], end, None, last)) if cut else [])
+        known = self.encode_all(pa.array(middles, pa.string()))
+        values, at = known.values.to_numpy(), known.offsets.to_numpy()
+        parts = [x for i, (head, tail) in enumerate(zip(heads, tails, strict=True)) for x in (head, values[at[i] : at[i + 1]], tail)]
+        sizes = np.array(list(map(len, parts)), np.int64).reshape(-1, 3).sum(axis=1)
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in parts)])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
+
+
+#: A space behind something else.
+WORD_START = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
 def normal(text: str) -> str:
@@ -386,10 +406,8 @@ def traced(rows: DataFrame, model: bytes) -> DataFrame:
                 start, stop = r["start"], r["stop"]
                 before = (start + r["in_start"], start + r["in_end"]) if start else None
                 end = stop + r["out_end"]
-                begin = before[1] if before else 0
-                part = pieces.traced(r["piece"], begin, end, before, (stop + r["out_start"], end)) if begin < end else []
-                out.append({"key": r["key"], "n": r["n"], "part": part})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.string()), ("n", pa.int32()), ("part", pa.list_(pa.int32()))]))
+                out.append((r["piece"], before[1] if before else 0, end, before, (stop + r["out_start"], end)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pieces.traced(out)], ["key", "n", "part"])
 
     return rows.select("key", "n", "piece", "start", "stop", "in_start", "in_end", "out_start", "out_end").mapInArrow(run, "key string, n int, part array<int>")
 
