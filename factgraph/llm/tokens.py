@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -69,6 +70,7 @@ class Pieces:
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         surface = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
         self.surfaces = pa.array([surface[p.type](p.piece) if p.type in surface else None for p in proto.pieces], pa.binary())
+        self.heads = np.array([p.type == NORMAL and p.piece.startswith(SPACE) for p in proto.pieces])
         self.numbers = {mark: pa.array([f"{i}{mark}" for i in range(len(proto.pieces))], pa.binary()) for mark in ", "}
 
     def units(self, texts: pa.Array) -> pa.ListArray:
@@ -128,7 +130,7 @@ class Pieces:
         out = []
         for i, found in enumerate(self.joined(ids, self.surfaces)):
             try:
-                text = str(found[1:], "utf-8") if found and found[0] == 32 else None
+                text = str(found[1:], "utf-8") if found and self.heads[ids[i][0].as_py()] else None
             except UnicodeDecodeError:
                 text = None
             out.append(library.decode(ids[i].as_py()) if text is None and len(ids[i]) else text or "")
@@ -288,9 +290,11 @@ def described(rows: DataFrame, model: bytes, describe: Describe, schema: str) ->
 
 
 def chunks(texts: DataFrame, size: int, halo: int) -> DataFrame:
-    """(key, n, piece, start, stop, last): overlapping pieces of the texts in normal form; start..stop is the chunk."""
+    """(key, n, piece, start, stop, last): overlapping pieces of the texts in normal form, compressed for the network;
+    start..stop is the chunk. Texts of one key are equal, so their pieces are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3)
         for batch in batches:
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 form = normal(text)
@@ -299,25 +303,25 @@ def chunks(texts: DataFrame, size: int, halo: int) -> DataFrame:
                     rows = []
                     for n, begin in enumerate(starts[first : first + 64], first):
                         low, stop = max(0, begin - halo), min(begin + size, len(form))
-                        rows.append({"key": key, "n": n, "piece": form[low : stop + halo], "start": begin - low, "stop": stop - low, "last": stop == len(form)})
+                        rows.append({"key": key, "n": n, "piece": pack.compress(form[low : stop + halo].encode()), "start": begin - low, "stop": stop - low, "last": stop == len(form)})
                     yield pa.RecordBatch.from_pylist(rows, CHUNK)
 
-    return texts.select("key", "text").mapInArrow(run, "key string, n int, piece string, start int, stop int, last boolean")
+    return texts.select("key", "text").mapInArrow(run, "key string, n int, piece binary, start int, stop int, last boolean")
 
 
-CHUNK = pa.schema([("key", pa.string()), ("n", pa.int32()), ("piece", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("last", pa.bool_())])
+CHUNK = pa.schema([("key", pa.string()), ("n", pa.int32()), ("piece", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("last", pa.bool_())])
 
 
 def matrices(rows: DataFrame, model: bytes) -> DataFrame:
     """(key, n, begin, end, m): each chunk's matrix over the pieces across its ends, these as places relative to the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces, unpack = Pieces(model), zstandard.ZstdDecompressor()
         relative = lambda ps, at: [x - at for p in ps for x in p]
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                text, start, stop = row["piece"], row["start"], row["stop"]
+                text, start, stop = unpack.decompress(row["piece"]).decode(), row["start"], row["stop"]
                 begin = pieces.across(text, start) if start else [(0, 0)]
                 end = [p for p in pieces.across(text, stop) if not row["last"] or p[1] == stop]
                 if start:
@@ -399,14 +403,14 @@ def traced(rows: DataFrame, model: bytes) -> DataFrame:
     """The ids of each chunk: from behind the piece across its start to the end of that across its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces, unpack = Pieces(model), zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 start, stop = r["start"], r["stop"]
                 before = (start + r["in_start"], start + r["in_end"]) if start else None
                 end = stop + r["out_end"]
-                out.append((r["piece"], before[1] if before else 0, end, before, (stop + r["out_start"], end)))
+                out.append((unpack.decompress(r["piece"]).decode(), before[1] if before else 0, end, before, (stop + r["out_start"], end)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pieces.traced(out)], ["key", "n", "part"])
 
     return rows.select("key", "n", "piece", "start", "stop", "in_start", "in_end", "out_start", "out_end").mapInArrow(run, "key string, n int, part array<int>")
@@ -414,7 +418,8 @@ def traced(rows: DataFrame, model: bytes) -> DataFrame:
 
 def encode_giants(texts: DataFrame, model: bytes, size: int) -> DataFrame:
     """(key, text) to (key, ids): equal texts have one key."""
-    rows = stage(chunks(texts, size, 2 * Pieces(model).longest).repartition(width(texts.sparkSession), "key", "n"), "token-chunks")
+    spread = chunks(texts, size, 2 * Pieces(model).longest).repartition(width(texts.sparkSession), "key", "n")
+    rows = stage(spread.dropDuplicates(["key", "n"]), "token-chunks")
     states = boundaries(stage(matrices(rows, model), "token-matrices"))
     parts = traced(rows.join(states, ["key", "n"]), model)
     return parts.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda p: p["part"])).alias("ids"))
@@ -427,10 +432,9 @@ def tokenized(docs: DataFrame, path: str, giant: int, chunk: int, describe: Desc
     long = F.coalesce(F.char_length("text") > giant, F.lit(False))
     small = encoded(rows.where(~long), model, describe, schema)
     giants = rows.where(long).withColumn("key", F.sha2("text", 256))
-    distinct = giants.groupBy("key").agg(F.first("text").alias("text"))
     if giants.isEmpty():
         return small
-    ids = stage(encode_giants(distinct, model, chunk), "token-giants")
+    ids = stage(encode_giants(giants, model, chunk), "token-giants")
     return small.unionByName(described(giants.join(ids, "key"), model, describe, schema))
 
 
