@@ -26,6 +26,13 @@ BITRATES = {
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 CRC_POLYNOMIAL, CRC_START = 0x8005, 0xFFFF
+# Layer II: bits of the allocation of each subband, as (bits, number of subbands), by table.
+ALLOCATIONS = {
+    "a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19)),
+}
+# ID3: text encodings, and the fields of a tag at the end as (name, from, to).
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+LAST_TAG = (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97), ("COMM", 97, 125))
 
 
 @dataclass(frozen=True)
@@ -38,6 +45,39 @@ class Header:
     mono: bool
     length: int
     samples: int
+    bound: int  # subbands from here on share one allocation between the channels
+
+    @property
+    def channels(self) -> int:
+        return 1 if self.mono else 2
+
+    def protected_bits(self, body: bytes) -> int:
+        """How many bits behind the checksum it covers: side information, or allocations (and, in layer II, what says
+        which scale factors follow)."""
+        if self.layer == 3:
+            return 8 * self.side_info
+        if self.layer == 1:
+            return 4 * (32 if self.mono else 2 * self.bound + 32 - self.bound)
+        bits, at, used = int.from_bytes(body[:64], "big"), 0, 0
+        band = 0
+        for size, n in ALLOCATIONS[self.table]:
+            for _ in range(n):
+                for _ in range(1 if self.mono or band >= self.bound else 2):
+                    given = bits >> (8 * len(body[:64]) - at - size) & (1 << size) - 1 if at + size <= 8 * len(body) else 0
+                    used += (given > 0) * (self.channels if band >= self.bound else 1)
+                    at += size
+                band += 1
+        return at + 2 * used
+
+    @property
+    def table(self) -> str:
+        """Of layer II: which table of allocations holds."""
+        each = self.kbps // self.channels
+        if not self.version1:
+            return "low"
+        if each < 56:
+            return "d" if self.rate == 32000 else "c"
+        return "a" if self.rate == 48000 or each < 96 else "b"
 
     @property
     def side_info(self) -> int:
@@ -57,16 +97,17 @@ def header(word: int) -> Header | None:
     kbps, hertz = BITRATES[v1, layer][index], RATES[version][rate]
     samples = 384 if layer == 1 else 576 if layer == 3 and not v1 else 1152
     length = (12000 * kbps // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hertz + padding
-    return Header(v1, layer, not word >> 16 & 1, kbps, hertz, word >> 6 & 3 == 3, length, samples)
+    mode = word >> 6 & 3
+    return Header(v1, layer, not word >> 16 & 1, kbps, hertz, mode == 3, length, samples, 4 * (word >> 4 & 3) + 4 if mode == 1 else 32)
 
 
 @lru_cache(maxsize=4096)
-def checksum(data: bytes) -> int:
+def checksum(data: bytes, bits: int | None = None) -> int:
+    """Of the first `bits` of the data, or of all."""
     crc = CRC_START
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ CRC_POLYNOMIAL if crc & 0x8000 else crc << 1) & 0xFFFF
+    for i in range(8 * len(data) if bits is None else min(bits, 8 * len(data))):
+        bit = data[i >> 3] >> (7 - (i & 7)) & 1
+        crc = (crc << 1 ^ CRC_POLYNOMIAL if (crc >> 15) ^ bit else crc << 1) & 0xFFFF
     return crc
 
 
@@ -85,33 +126,85 @@ class Stream:
     declared_frames: int | None = None
     declared_bytes: int | None = None
     toc: bytes = b""
+    #: Of a VBRI table: bytes from entry to entry, and the frames that each stands for.
+    steps: list[int] = field(default_factory=list)
+    entry_frames: int = 0
 
 
 def synchsafe(data: bytes) -> int:
     return data[0] << 21 | data[1] << 14 | data[2] << 7 | data[3]
 
 
+def text_of(raw: bytes, encoding: int) -> str:
+    coding = ENCODINGS[encoding] if encoding < len(ENCODINGS) else "latin-1"
+    if coding == "utf-16" and raw[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+        coding = "utf-16-le"
+    return raw.decode(coding, "replace")
+
+
+def read_frames(tag: bytes, major: int, flags: int, out: Stream) -> None:
+    """The text frames of an ID3v2 tag of version 2.2, 2.3 or 2.4."""
+    if flags & 0x80 and major < 4:  # unsynchronised as a whole
+        tag = tag.replace(b"\xff\x00", b"\xff")
+    at = 0
+    if flags & 0x40 and major > 2 and len(tag) >= 4:  # an extended header
+        at = synchsafe(tag[:4]) if major == 4 else 4 + int.from_bytes(tag[:4], "big")
+    name_size, head = (3, 6) if major == 2 else (4, 10)
+    while at + head <= len(tag) and tag[at : at + name_size].strip(b"\0"):
+        length = tag[at + name_size : at + (6 if major == 2 else 8)]
+        size = synchsafe(length) if major == 4 else int.from_bytes(length, "big")
+        body = tag[at + head : at + head + size]
+        if major == 4 and (flags & 0x80 or tag[at + 9] & 2):
+            body = body.replace(b"\xff\x00", b"\xff")
+        if major == 4 and tag[at + 9] & 1:  # a length stands in front
+            body = body[4:]
+        name = tag[at : at + name_size].decode("latin-1")
+        if name[0] == "T" and body:
+            value = text_of(body[1:], body[0]).rstrip("\0")
+            if name in ("TXXX", "TXX") and "\0" in value:
+                name, value = value.split("\0", 1)
+            out.tags[name] = value.lstrip("\ufeff").replace("\0", "; ")
+        at += head + size
+
+
 def read_tags(data: bytes, out: Stream) -> tuple[int, int]:
-    """Parses an ID3v2 tag in front and an ID3v1 tag behind; where the audio begins and ends."""
+    """Parses ID3v2 tags in front and an ID3v1 tag behind; where the audio begins and ends."""
     begin, end = 0, len(data)
     while data[begin : begin + 3] == b"ID3" and len(data) >= begin + 10:
-        stop, at, major = min(end, begin + 10 + synchsafe(data[begin + 6 : begin + 10])), begin + 10, data[begin + 3]
-        while at + 10 <= stop and data[at : at + 4].strip(b"\0"):
-            size = synchsafe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-            text = data[at + 10 : at + 10 + size]
-            if data[at : at + 1] == b"T" and text:
-                name, value = data[at : at + 4].decode("latin-1"), text[1:].decode("utf-8" if text[0] == 3 else "latin-1", "replace")
-                if name == "TXXX" and "\0" in value:
-                    name, value = value.split("\0", 1)
-                out.tags[name] = value.rstrip("\0")
-            at += 10 + size
-        begin = stop
+        major, flags = data[begin + 3], data[begin + 5]
+        stop = min(end, begin + 10 + synchsafe(data[begin + 6 : begin + 10]))
+        read_frames(data[begin + 10 : stop], major, flags, out)
+        begin = min(end, stop + 10 * (major == 4 and flags >> 4 & 1))  # a footer
     if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
-        out.tags.setdefault("TIT2", data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1"))
+        last = data[end - 128 : end]
+        for name, a, b in LAST_TAG:
+            if value := last[a:b].split(b"\0")[0].rstrip(b" ").decode("latin-1"):
+                out.tags.setdefault(name, value)
+        if not last[125] and last[126]:
+            out.tags.setdefault("TRCK", str(last[126]))
         end -= 128
     return begin, end
 
 
+def read_seek_table(body: bytes, frame: bytes, out: Stream) -> bool:
+    """Whether a first frame is a Xing, Info or VBRI table, which is then read. body: what follows the side information."""
+    if body[:4] in (b"Xing", b"Info"):
+        flags, p = int.from_bytes(body[4:8], "big"), 8
+        for bit, name in ((1, "declared_frames"), (2, "declared_bytes")):
+            if flags & bit:
+                setattr(out, name, int.from_bytes(body[p : p + 4], "big"))
+                p += 4
+        out.toc = body[p : p + 100] if flags & 4 else b""
+        return True
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:  # always 32 bytes behind the header
+        out.declared_bytes, out.declared_frames = (int.from_bytes(frame[i : i + 4], "big") for i in (46, 50))
+        entries, scale, size = (int.from_bytes(frame[i : i + 2], "big") for i in (54, 56, 58))
+        out.entry_frames = int.from_bytes(frame[60:62], "big")
+        out.steps = [scale * int.from_bytes(frame[62 + k * size : 62 + (k + 1) * size], "big") for k in range(entries) if 62 + (k + 1) * size <= len(frame)]
+        return True
+    return False
+
+
 def read(data: bytes) -> Stream:
     """Reads a stream: tags, then frame after frame; where no header stands, it moves on byte by byte until two headers
     stand a frame apart (or one ends the stream). A header alone can be chance, two in step are not."""
@@ -132,18 +225,12 @@ def read(data: bytes) -> Stream:
             out.skipped, at = out.skipped + jump - at, jump
             continue
         locked, begin = True, at + 4 + 2 * h.protected
-        if h.protected and h.layer == 3:
-            covered = data[at + 2 : at + 4] + data[begin : begin + h.side_info]
-            out.bad_checksums += checksum(covered) != int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.protected:
+            bits = h.protected_bits(data[begin : at + h.length])
+            covered = data[at + 2 : at + 4] + data[begin : begin + (bits + 7) // 8]
+            out.bad_checksums += checksum(covered, 16 + bits) != int.from_bytes(data[at + 4 : at + 6], "big")
         body = data[begin + h.side_info : at + h.length]
-        if not out.offsets and out.declared_frames is None and body[:4] in (b"Xing", b"Info"):
-            flags, p = int.from_bytes(body[4:8], "big"), 8
-            for bit, name in ((1, "declared_frames"), (2, "declared_bytes")):
-                if flags & bit:
-                    setattr(out, name, int.from_bytes(body[p : p + 4], "big"))
-                    p += 4
-            out.toc = body[p : p + 100] if flags & 4 else b""
-        else:
+        if out.offsets or out.declared_frames is not None or not read_seek_table(body, data[at : at + h.length], out):
             out.offsets.append(at)
             out.bodies.append(body)
             out.samples += h.samples
@@ -238,8 +325,8 @@ def features(media: bytes | None) -> dict:
 def media_features(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), media_col: str = "media") -> DataFrame:
     """The columns in `keep`, and for each stream: bytes carried, exact samples, duration, checksums and frame offsets.
 
-    Works on any MPEG 1, 2 or 2.5 stream of layers I to III (free format excepted): damaged parts are skipped and
-    counted. A null or empty stream has no frames, duration 0. Rows are independent; nothing is shuffled.
+    Works on any MPEG 1, 2 or 2.5 stream of layers I to III (free format excepted) with ID3 tags of any version: damaged
+    parts are skipped and counted, checksums of all layers are verified, Xing, Info and VBRI tables are read. A null or empty stream has no frames, duration 0. Rows are independent; nothing is shuffled.
     """
     kept = [f for f in media.select(*keep).schema.fields]
 
