@@ -2,9 +2,11 @@
 
 Every window of `length` bytes is represented by one suffix that starts in it: the one whose q-gram has the least
 hash. Equal windows choose the same suffix, so a window can only repeat where its suffix's q-gram does. Suffixes are
-first bucketed by q-gram; a bucket of one is final. The others are refined: sorted by the bucket identifiers at the
-later offsets q, 2q, ... of the stretch that their windows cover; and, where a bucket still holds several classes,
-for groups of neighbouring windows and at last window by window, each time by the same identifiers at later offsets.
+first bucketed by q-gram; a bucket of one is final. The others are refined: the identifier of a place becomes that of
+the pair (own identifier, identifier `reach` bytes later), the reach doubles each time, and each step takes what the one
+before has written (`Ladder`). Two identifiers of one rung, at a stretch's start and so that they end with it, say what
+the whole stretch is. Where a bucket still holds several classes, groups of neighbouring windows and at last single
+windows are refined the same way.
 """
 
 from __future__ import annotations
@@ -19,19 +21,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import digest_rows, documents, stage, width, with_unique_id
+from factgraph.llm.common import digest_rows, documents, stage, unstage, width, with_unique_id
 
 #: Window starts that are worked on at once: bounds memory on giant texts.
 TILE = 1 << 18
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 
 
 @lru_cache(maxsize=2)
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64."""
-    inverse = pow(base, -1, 1 << 64)
-    return tuple(np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, b, U), dtype=U)]) for b in (base, inverse))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i modulo 2 ** 64."""
+    inverse = pow(BASE, -1, 1 << 64)
+    return tuple(np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, b, U), dtype=U)]) for b in (BASE, inverse))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -40,13 +42,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def gram_ids(data: np.ndarray, q: int, which: int) -> np.ndarray:
+def gram_ids(data: np.ndarray, q: int) -> np.ndarray:
     """The bucket identifier of the q-gram at each position: a polynomial hash, so it says only what the bytes are."""
-    up, down = powers(BASES[which], TILE + 4096)
+    up, down = powers(TILE + 4096)
     sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * up[: len(data)], dtype=U)])
     return mixed((sums[q:] - sums[:-q]) * down[: len(data) - q + 1])
 
 
+class Ladder:
+    """Identifiers of each place, refined by those at later offsets: rung k says what the next q * 2 ** k bytes are."""
+
+    def __init__(self, ids: np.ndarray, q: int):
+        self.q, self.rungs = q, [ids]
+
+    def rung(self, k: int) -> np.ndarray:
+        while len(self.rungs) <= k:
+            last, reach = self.rungs[-1], self.q << (len(self.rungs) - 1)
+            self.rungs.append(mixed(last[:-reach] * U(0xFF51AFD7ED558CCD) + last[reach:]))
+        return self.rungs[k]
+
+    def stretch(self, first: np.ndarray, span: np.ndarray, salt: int = 0) -> np.ndarray:
+        """What the bytes first .. first + span are: the highest rung that fits, at the start and at the end."""
+        out = np.zeros(len(first), U)
+        height = np.log2(span // self.q).astype(np.int64)
+        for k in np.unique(height).tolist():
+            of, at = self.rung(k), height == k
+            a, n = first[at], span[at]
+            out[at] = mixed((of[a] ^ U(salt)) * U(0x9FB21C651E98DF25) + of[a + n - (self.q << k)] + n.astype(U))
+        return out
+
+
 def sliding_argmin(ids: np.ndarray, width: int) -> np.ndarray:
     """Place of the least of each `width` neighbours, the leftmost of equals."""
     v = (ids & ~U(0xFFFFF)) | np.arange(len(ids), dtype=U)
@@ -76,14 +101,6 @@ class Plan:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         return first, np.diff(np.append(first, len(at))), at[first]
 
-    def refined(self, ids: np.ndarray, first: np.ndarray, span: np.ndarray) -> np.ndarray:
-        """Refines by the identifiers at offsets 0, q, 2q, ... up to the last q-gram of first .. first + span."""
-        last = first + span - self.q
-        key = mixed(span.astype(U))
-        for j in range(int(span.max(initial=0)) // self.q + 1):
-            key = mixed(key * U(0xFF51AFD7ED558CCD) + ids[np.minimum(first + j * self.q, last)])
-        return key
-
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
@@ -123,10 +140,10 @@ def dealt(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
         for uids, texts in digest_rows(batches, ["uid", "text"]):
             for uid, text in zip(uids, texts, strict=True):
                 for begin, tile in plan.tiles((text or "").encode()):
-                    ids, other = gram_ids(tile, plan.q, 0), gram_ids(tile, plan.q, 1)
+                    ids = gram_ids(tile, plan.q)
                     first, n, at = plan.runs(ids)
                     shape = n * 1024 + at - first
-                    key = plan.refined(other, first, n + plan.length - 1) ^ mixed(shape.astype(U))
+                    key = Ladder(ids, plan.q).stretch(first, n + plan.length - 1) ^ mixed(shape.astype(U))
                     held.append((ids[at].view(np.int64), key.view(np.int64), np.full(len(first), uid), first + begin, shape))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield flush()
@@ -211,7 +228,7 @@ def cores(bodies: DataFrame, plan: Plan) -> DataFrame:
             for uid, body, runs in zip(uids, texts, opened, strict=True):
                 runs = np.array([(r["start"], r["shape"] // 1024, r["shape"] % 1024) for r in runs], np.int64).reshape(-1, 3)
                 for begin, tile in plan.tiles(unpack.decompress(body)):
-                    ids = gram_ids(tile, plan.q, 0)
+                    ids = Ladder(gram_ids(tile, plan.q), plan.q)
                     s, n, off = runs[(runs[:, 0] >= begin) & (runs[:, 0] < begin + TILE)].T
                     at = s - begin + off
                     for j, (low, high) in enumerate(zip(edges, (e - 1 for e in edges[1:]), strict=False)):
@@ -220,7 +237,7 @@ def cores(bodies: DataFrame, plan: Plan) -> DataFrame:
                         span = np.full(int(some.sum()), plan.length - (high - low))
                         first = at[some] - low
                         mark = U(j + 1)
-                        for column, x in zip(out, (plan.refined(ids, first, span) ^ mark, np.full(len(first), uid), at[some] - b[some] + begin, (b - a + 1)[some]), strict=True):
+                        for column, x in zip(out, (ids.stretch(first, span) ^ mark, np.full(len(first), uid), at[some] - b[some] + begin, (b - a + 1)[some]), strict=True):
                             column.append(x)
             core, uid, start, n = map(np.concatenate, out)
             yield pa.RecordBatch.from_pydict({"core": signed(core), "uid": pa.array(uid), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
@@ -228,26 +245,69 @@ def cores(bodies: DataFrame, plan: Plan) -> DataFrame:
     return bodies.mapInArrow(run, "core long, uid long, start int, n int")
 
 
+#: Windows that a task holds before it hands them on.
+WINDOWS = 1 << 19
+
+
 def windows(bodies: DataFrame, plan: Plan) -> DataFrame:
-    """(w1, w2, uid, start): the windows of the runs in `open`, by the identifiers of their bytes."""
+    """(done, w1, w2, uid, start, end): the windows of the runs in `open`, by the identifiers of their bytes. Of equal
+    windows that a task holds at once all but the first repeat: these are done, joined to stretches, and dealt evenly. So
+    a window that is everywhere sends one row for each WINDOWS windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            w1, w2, uid, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((start, uid, w2, w1))
+            w1, w2, uid, start = (x[order] for x in (w1, w2, uid, start))
+            later = np.concatenate([[False], (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])])
+            d, s = uid[later], start[later]
+            order = np.lexsort((s, d))
+            d, s = d[order], s[order]
+            head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
+            tail = np.append(head[1:], len(d))[: len(head)] - 1
+            anywhere = mixed(d[head].view(U) ^ mixed(s[head].astype(U)))
+            columns = (
+                [np.ones(len(head), bool), anywhere, np.zeros(len(head), U), d[head], s[head], s[tail] + plan.length],
+                [np.zeros(int((~later).sum()), bool), w1[~later], w2[~later], uid[~later], start[~later], start[~later] + plan.length],
+            )
+            done, w1, w2, uid, start, end = (np.concatenate(c) for c in zip(*columns, strict=True))
+            arrays = [pa.array(done), signed(w1), signed(w2), pa.array(uid), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(arrays, ["done", "w1", "w2", "uid", "start", "end"])
+
         for uids, texts, opened in digest_rows(batches, ["uid", "body", "open"], 64):
-            out: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
             for uid, body, runs in zip(uids, texts, opened, strict=True):
                 runs = np.array([(r["start"], r["n"]) for r in runs], np.int64).reshape(-1, 2)
                 for begin, tile in plan.tiles(unpack.decompress(body)):
-                    ids, other = gram_ids(tile, plan.q, 0), gram_ids(tile, plan.q, 1)
                     mine = runs[(runs[:, 0] >= begin) & (runs[:, 0] < begin + TILE)]
-                    starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, s + n) - begin for s, n in mine)])
-                    span = np.full(len(starts), plan.length)
-                    for column, x in zip(out, (plan.refined(ids, starts, span), plan.refined(other, starts, span), np.full(len(starts), uid), starts + begin), strict=True):
-                        column.append(x)
-            w1, w2, uid, start = map(np.concatenate, out)
-            yield pa.RecordBatch.from_pydict({"w1": signed(w1), "w2": signed(w2), "uid": pa.array(uid), "start": pa.array(start.astype(np.int32))})
+                    if len(mine):
+                        ids = Ladder(gram_ids(tile, plan.q), plan.q)
+                        starts = np.concatenate([np.arange(s, s + n) - begin for s, n in mine])
+                        span = np.full(len(starts), plan.length)
+                        held.append((ids.stretch(starts, span), ids.stretch(starts, span, 0x5BD1E995), np.full(len(starts), uid), starts + begin))
+                    if sum(len(x[0]) for x in held) >= WINDOWS:
+                        yield flush()
+        if held:
+            yield flush()
+
+    return bodies.select("uid", "body", "open").mapInArrow(run, "done boolean, w1 long, w2 long, uid long, start int, end int")
 
-    return bodies.mapInArrow(run, "w1 long, w2 long, uid long, start int")
+
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted windows: the stretches (uid, start, end) of those that are done or not the first of their kind. Holds one
+    batch and one row."""
+    last = None
+    for batch in batches:
+        done, w1, w2, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        same = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]) & ~done[:-1]
+        first = last is not None and len(w1) > 0 and not done[0] and (w1[0], w2[0]) == last
+        again = done | np.concatenate([[first], same])[: len(w1)]
+        if len(w1):
+            last = (w1[-1], w2[-1]) if not done[-1] else None
+        yield pa.RecordBatch.from_arrays([pa.array(x[again].astype(np.int64)) for x in rest], ["uid", "start", "end"])
 
 
 def removed(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -259,13 +319,13 @@ def removed(docs: DataFrame, plan: Plan) -> DataFrame:
     opened = runs.where("open").groupBy("uid").agg(F.collect_list(F.struct("start", "shape")).alias("open"))
     bodies = stage(packed(docs).join(opened, "uid").select("uid", "body", "open"), "repeat-bodies")
     groups = stage(cores(bodies, plan), "repeat-cores")
-    twice = stage(groups.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core"), "repeat-twice")
+    twice = groups.groupBy("core").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("core")
     left = groups.join(twice, "core", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("start", "n")).alias("open"))
-    single = stage(windows(bodies.drop("open").join(left, "uid"), plan), "repeat-windows")
-    least = single.groupBy("w1", "w2").agg(F.min(F.struct("uid", "start")).alias("first")).select("first.*")
-    # All but the first repeat. By document, no group of copies meets in one place.
-    again = single.join(least, ["uid", "start"], "left_anti")
-    return whole.unionByName(again.select("uid", "start", (F.col("start") + plan.length).cast("long").alias("end")))
+    # All but the first repeat. Windows are sorted and read as a stream, so no group of copies is held in one place.
+    single = windows(bodies.drop("open").join(left, "uid"), plan).repartition(parts, "w1").sortWithinPartitions("w1", "w2", "done", "uid", "start")
+    again = stage(single.mapInArrow(repeated, "uid long, start long, end long"), "repeat-windows")
+    unstage(bodies, groups)
+    return whole.unionByName(again)
 
 
 def drop_repeats(docs: DataFrame, length: int = 100, q: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +333,8 @@ def drop_repeats(docs: DataFrame, length: int = 100, q: int = 32, id_col: str =
 
     Texts are UTF-8 bytes. A byte goes if a string of `length` bytes over it also starts earlier: in a document of
     smaller id, or before it in the same one. Strings are compared as they stand in the input and never reach over a
-    document's end. Comparison is by 128 bits of hash.
+    document's end. Strings are compared by identifiers, not byte by byte: within a bucket of equal q-grams (64 bits)
+    stretches by 64 bits, single windows by 128.
 
     A null or empty text, or a shorter one than `length`, keeps all. Rows that share an id, or have none, rank by text
     (null ids first), so the second of two equal rows is removed whole. An empty table gives an empty result; other

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from factgraph.llm import repeats
@@ -59,7 +60,7 @@ def test_tiles_do_not_change_runs(monkeypatch):
     def owners():
         out = []
         for begin, tile in plan.tiles(data):
-            first, n, at = plan.runs(repeats.gram_ids(tile, plan.q, 0))
+            first, n, at = plan.runs(repeats.gram_ids(tile, plan.q))
             out += [(int(f + begin + j), int(a + begin)) for f, c, a in zip(first, n, at, strict=True) for j in range(c)]
         return out
 
@@ -80,6 +81,41 @@ def test_a_class_that_is_everywhere_fills_no_group(spark):
     assert got == brute(rows, 20)
 
 
+def test_rungs_say_what_the_bytes_are():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 2, 4000, np.uint8)
+    ladder = repeats.Ladder(repeats.gram_ids(data, 4), 4)
+    for span in (4, 7, 8, 9, 15, 16, 20, 33):
+        first = np.arange(len(data) - span + 1)
+        found = ladder.stretch(first, np.full(len(first), span)).tolist()
+        texts = [data[i : i + span].tobytes() for i in first]
+        assert len(set(found)) == len(set(texts)) == len(set(zip(found, texts, strict=True)))
+
+
+def test_windows_do_not_depend_on_batches_or_flushes(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice(["abcabcab", "xyz" * 9, f"{i}", "q" * 30]) for _ in range(12))) for i in range(40)]
+    monkeypatch.setattr(repeats, "WINDOWS", 50)  # in the driver only; workers take the usual number
+    bodies = [(i, zstandard.compress(t.encode()), [{"start": 0, "n": max(0, len(t) - 19)}]) for i, t in rows]
+    batch = pa.RecordBatch.from_pydict({"uid": [b[0] for b in bodies], "body": [b[1] for b in bodies], "open": [b[2] for b in bodies]})
+
+    class Bodies:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return pa.Table.from_batches(list(run(iter([batch]))))
+
+    table = repeats.windows(Bodies(), repeats.Plan(20, 8)).sort_by([(c, "ascending") for c in ("w1", "w2", "done", "uid", "start")])
+    want = {i: d for i, (_, _, _, d) in brute(rows, 20).items()}
+    for size in (1, 3, 1000):
+        gone = {i: bytearray(len(t)) for i, t in rows}
+        for b in repeats.repeated(iter(table.to_batches(max_chunksize=size))):
+            for uid, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                gone[uid][start:end] = b"\x01" * (end - start)
+        assert {i: bytes(b for b, g in zip(t.encode(), gone[i], strict=True) if not g) for i, t in rows} == want
+
+
 def test_sifting_does_not_depend_on_batches():
     rng = np.random.default_rng(5)
     names = ["done", "h", "k", "uid", "start", "shape"]
