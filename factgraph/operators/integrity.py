@@ -19,7 +19,7 @@ def check_ids(envelope: DataFrame) -> DataFrame:
 
 def check_references(edges: DataFrame, envelope: DataFrame, rules: DataFrame) -> DataFrame:
     """edges: (subject_id, predicate, object_id); rules: (predicate, subject_kind, object_kind), a closed list. One row
-    for each end that is missing or of a kind that the predicate does not allow."""
+    for each end that is missing or of a kind that the predicate does not allow, and for each predicate without a rule."""
     known = envelope.select("id", "kind").distinct()
     ends = edges.join(F.broadcast(rules), "predicate").select(
         "subject_id", "predicate", "object_id",
@@ -29,7 +29,9 @@ def check_references(edges: DataFrame, envelope: DataFrame, rules: DataFrame) ->
         )).alias("checked"),
     ).select("predicate", "checked.*").where("id is not null")
     issue = F.when(F.col("kind").isNull(), "missing_reference").when(F.col("kind") != F.col("want"), "wrong_kind")
-    return ends.join(known, "id", "left").select("predicate", "end", "id", issue.alias("issue")).where("issue is not null").distinct()
+    odd = edges.select("predicate").distinct().join(F.broadcast(rules.select("predicate")), "predicate", "left_anti")
+    odd = odd.select("predicate", F.lit("predicate").alias("end"), F.col("predicate").alias("id"), F.lit("unknown_predicate").alias("issue"))
+    return ends.join(known, "id", "left").select("predicate", "end", "id", issue.alias("issue")).where("issue is not null").distinct().unionByName(odd)
 
 
 def check_assertions(assertions: DataFrame) -> DataFrame:

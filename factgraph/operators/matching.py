@@ -44,13 +44,15 @@ def evidence_locations(df: DataFrame, key: str, evidence: DataFrame, files: Data
     return places.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(at)), ";").alias("locations"))
 
 
-def match_exact(interactions: DataFrame, handlers: DataFrame) -> DataFrame:
-    """(interaction_id, handler_id): same kind and queue, and the handler's job is the producer's or any (null). A producer
-    whose queue is not known matches nothing."""
-    known = interactions.where("queue is not null")
-    theirs = handlers.select("handler_id", "kind", "queue", F.col("job").alias("handler_job"))
-    pairs = known.join(theirs, ["kind", "queue"]).where("handler_job is null or handler_job = job")
-    return pairs.select("interaction_id", "handler_id")
+def match_exact(interactions: DataFrame, handlers: DataFrame, scope: tuple[str, ...] = (), either: tuple[str, ...] = ("transport",)) -> DataFrame:
+    """(interaction_id, handler_id): same kind and queue, and the handler's job is the producer's or any (null). Within one
+    document or service if `scope` names its columns. Columns in `either` agree unless a side does not know (null). A
+    producer whose queue is not known matches nothing."""
+    keys = [*scope, "kind", "queue"]
+    known = interactions.where("queue is not null").select("interaction_id", "job", *keys, *either)
+    theirs = handlers.select("handler_id", *keys, F.col("job").alias("handler_job"), *[F.col(c).alias(f"handler_{c}") for c in either])
+    fits = " and ".join(["(handler_job is null or handler_job = job)", *[f"({c} is null or handler_{c} is null or {c} = handler_{c})" for c in either]])
+    return known.join(theirs, keys).where(fits).select("interaction_id", "handler_id")
 
 
 def pattern_regex(pattern: Column, delimiter: str = ".") -> Column:
@@ -63,15 +65,25 @@ def pattern_regex(pattern: Column, delimiter: str = ".") -> Column:
 def match_wildcard(events: DataFrame, patterns: DataFrame, delimiter: str = ".") -> DataFrame:
     """(event, pattern): distinct events against distinct patterns.
 
-    Patterns that begin with a plain segment meet only events with that first segment; the others are few by nature and
-    meet every distinct event.
+    A pattern meets only events that hold its first plain segment somewhere. Patterns without a plain segment say no more
+    than how many segments an event has: those with one number meet the events of that number; with ** also longer ones,
+    so nearly every pair they meet in is a result.
     """
-    rules = patterns.select("pattern").distinct().select("pattern", pattern_regex(F.col("pattern"), delimiter).alias("rx"), F.substring_index("pattern", delimiter, 1).alias("head"))
-    names = events.select("event").where("event is not null").distinct().withColumn("head", F.substring_index("event", delimiter, 1))
+    parts, any_ = F.split("pattern", re.escape(delimiter)), F.lit("**")
+    plain = F.filter(parts, lambda s: ~s.isin("*", "**"))
+    rules = patterns.select("pattern").where("pattern is not null").distinct().select(
+        "pattern", pattern_regex(F.col("pattern"), delimiter).alias("rx"), F.get(plain, F.lit(0)).alias("segment"),
+        F.size(F.filter(parts, lambda s: s != any_)).alias("least"), F.array_contains(parts, any_).alias("open"),
+    )
+    names = events.select("event").where("event is not null").distinct().withColumn("parts", F.split("event", re.escape(delimiter)))
     hit = F.regexp_like(F.concat(F.lit(delimiter), F.col("event")), F.col("rx"))
-    fixed = names.join(rules.where("head not like '*%'"), "head").where(hit)
-    free = names.drop("head").join(rules.where("head like '*%'").drop("head"), hit)
-    return fixed.select("event", "pattern").unionByName(free.select("event", "pattern"))
+    held = names.select("event", F.explode(F.array_distinct("parts")).alias("segment"))
+    fixed = held.join(rules.where("segment is not null"), "segment").where(hit)
+    counted = names.select("event", F.size("parts").alias("n"))
+    free = rules.where("segment is null").select("pattern", "least", "open")
+    same = counted.join(free.where("not open"), F.col("n") == F.col("least"))
+    longer = counted.join(free.where("open"), F.col("n") >= F.col("least"))
+    return fixed.select("event", "pattern").unionByName(same.select("event", "pattern")).unionByName(longer.select("event", "pattern"))
 
 
 def cap_fan_out(matches: DataFrame, n: int) -> DataFrame:

@@ -132,34 +132,45 @@ def resolved_reach(seeds: DataFrame, edges: DataFrame, depth: int | None = None)
     return walk(seeds.where("rank = 1"), edges.where("status_rank = 1"), depth).select("root", "node").distinct()
 
 
-def module_visibility(modules: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(module_id, class_id) visible, and (module_id, complete).
+def module_visibility(modules: DataFrame, edges: DataFrame, scope: str = "analysis_id") -> tuple[DataFrame, DataFrame]:
+    """(scope, module_id, class_id) visible, and (scope, module_id, complete).
 
     A module exports what it exports itself and what the modules it exports export (a fixpoint over rounds). It sees its
-    own providers, the exports of imports, and those of global modules. It is complete if no module that its imports
-    or exports lead to is incomplete.
+    own providers, the exports of imports, and those of the global modules of its document. It is complete if no module
+    that its imports or exports lead to is incomplete. Ids hold within a document, which `scope` names.
     """
-    of = lambda p: edges.where(F.col("predicate") == p).select("subject_id", "object_id").distinct()
-    resolved = lambda df: df.withColumn("status_rank", F.lit(1))
-    every = modules.select(F.col("module_id").alias("root"), F.col("module_id").alias("node"), F.lit(1).alias("rank"))
+    whole = lambda c: F.concat_ws("/", scope, c)
+    of = lambda p: edges.where(F.col("predicate") == p).select(scope, whole("subject_id").alias("subject_id"), F.col("object_id").alias("raw"), whole("object_id").alias("object_id")).distinct()
+    resolved = lambda df: df.select("subject_id", "object_id").withColumn("status_rank", F.lit(1))
+    known = modules.withColumn("node", whole("module_id"))
+    every = known.select(F.col("node").alias("root"), "node", F.lit(1).alias("rank"))
     exporters = walk(every, resolved(of("MODULE_EXPORTS_MODULE")), None).select("root", "node").distinct()
-    exported = exporters.join(of("MODULE_EXPORTS_CLASS"), F.col("node") == F.col("subject_id")).select(F.col("root").alias("exporter"), F.col("object_id").alias("class_id")).distinct()
+    exported = exporters.join(of("MODULE_EXPORTS_CLASS"), F.col("node") == F.col("subject_id")).select(F.col("root").alias("exporter"), F.col("raw").alias("class_id")).distinct()
     exported = stage(exported, "exports")
-    own = of("MODULE_PROVIDES_CLASS").select(F.col("subject_id").alias("module_id"), F.col("object_id").alias("class_id"))
-    imported = of("MODULE_IMPORTS_MODULE").join(exported, F.col("object_id") == F.col("exporter")).select(F.col("subject_id").alias("module_id"), "class_id")
-    everywhere = modules.where("is_global").join(exported, F.col("module_id") == F.col("exporter")).select("class_id").distinct()
-    shared = modules.select("module_id").crossJoin(everywhere)  # modules of one document, and the few global exports
-    visible = own.unionByName(imported).unionByName(shared).distinct()
+    own = of("MODULE_PROVIDES_CLASS").select(F.col("subject_id").alias("node"), F.col("raw").alias("class_id"))
+    imported = of("MODULE_IMPORTS_MODULE").join(exported, F.col("object_id") == F.col("exporter")).select(F.col("subject_id").alias("node"), "class_id")
+    everywhere = known.where("is_global").join(exported, F.col("node") == F.col("exporter")).select(scope, "class_id").distinct()
+    shared = known.select(scope, "node").join(everywhere, scope).select("node", "class_id")
+    seen = own.unionByName(imported).unionByName(shared).distinct()
+    visible = known.select(scope, "module_id", "node").join(seen, "node").select(scope, "module_id", "class_id")
     links = of("MODULE_IMPORTS_MODULE").unionByName(of("MODULE_EXPORTS_MODULE")).distinct()
-    reach = walk(every, resolved(links), None)
-    broken = modules.where("completeness = 'incomplete'").select(F.col("module_id").alias("node"))
-    bad = reach.join(broken, "node", "left_semi").select(F.col("root").alias("module_id"), F.lit(False).alias("whole")).distinct()
-    complete = modules.select("module_id").join(bad, "module_id", "left").select("module_id", F.coalesce("whole", F.lit(True)).alias("complete"))
+    broken = known.where("completeness = 'incomplete'").select("node")
+    bad = walk(every, resolved(links), None).join(broken, "node", "left_semi").select(F.col("root").alias("node"), F.lit(False).alias("whole")).distinct()
+    complete = known.join(bad, "node", "left").select(scope, "module_id", F.coalesce("whole", F.lit(True)).alias("complete"))
     return visible, complete
 
 
 def shortest_path(starts: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(root, node, path): one shortest path from each root to each node, the least of equals by its nodes."""
-    paths = simple_paths(starts, edges, depth)
-    key = F.struct(F.size("path"), F.array_join("path", ">"))
-    return paths.groupBy("root", "node").agg(F.min_by(F.array_join("path", ">"), key).alias("path"), (F.min(F.size("path")) - 1).alias("length"))
+    """(root, node, path, length): one shortest path from each root to each node, the least of equals by its nodes. Breadth
+    first: each round keeps one path to a node, and only to nodes that no earlier round has reached."""
+    steps = walkable(edges).select("subject_id", "object_id").distinct()
+    frontier = stage(starts.select("root").distinct().select("root", F.col("root").alias("node"), F.col("root").alias("path"), F.lit(0).alias("length")), "shortest")
+    found = frontier
+    for length in range(1, depth + 1):
+        ahead = frontier.join(steps, F.col("node") == F.col("subject_id")).select("root", F.col("object_id").alias("node"), F.concat_ws(">", "path", "object_id").alias("path"))
+        best = ahead.groupBy("root", "node").agg(F.min("path").alias("path")).join(found.select("root", "node"), ["root", "node"], "left_anti")
+        frontier = stage(best.withColumn("length", F.lit(length)), "shortest")
+        found = found.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    return found

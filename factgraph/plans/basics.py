@@ -17,7 +17,7 @@ union all select class_id, 'class', qualified_name from fx_classes
 union all select method_id, 'method', name from fx_methods
 union all select table_id, 'table', table_name from fx_tables
 union all select endpoint_id, 'endpoint', http_method||path from fx_endpoints
-union all select module_id, case when is_global then 'module' else 'module' end, completeness from fx_modules
+union all select distinct module_id, 'module', 'module' from fx_modules
 union all select 'x'||table_id, 'table', table_name from fx_tables where table_name like '%7'
 """
 
@@ -77,16 +77,15 @@ def ordered(f: Facts) -> DataFrame:
     return S.canonical_order(rows, ["user_id"], ["kinds"]).withColumn("kinds", F.array_join("kinds", ";"))
 
 
-@query("f1_stable_id", "select doc_id, 'source:'||substr(sha256(to_json([nfc_normalize(source), nfc_normalize(substr(text,1,40))])), 1, 32) as stable_id from documents")
+@query("f1_stable_id", "select doc_id, 'source:'||substr(sha256(to_json([nfc_normalize(source), nfc_normalize(text)])), 1, 32) as stable_id from documents")
 def stable_ids(f: Facts) -> DataFrame:
-    return f["documents"].select("doc_id", C.stable_id("source", F.col("source"), F.substring("text", 1, 40)).alias("stable_id"))
+    return f["documents"].select("doc_id", C.stable_id("source", F.col("source"), F.col("text")).alias("stable_id"))
 
 
 @query("f2_semantic_key", """
-select doc_id, to_json(['method', nfc_normalize(source), nfc_normalize(substr(text,1,60))]) as semantic_key, trim(regexp_replace(substr(text,1,90), '\\s+', ' ', 'g')) as signature from documents""")
+select doc_id, to_json(['method', nfc_normalize(source), nfc_normalize(text)]) as semantic_key, trim(regexp_replace(text, '\\s+', ' ', 'g')) as signature from documents""")
 def semantic_keys(f: Facts) -> DataFrame:
-    head = F.substring("text", 1, 60)
-    return f["documents"].select("doc_id", C.semantic_key("method", F.col("source"), head).alias("semantic_key"), C.normalize_signature(F.substring("text", 1, 90)).alias("signature"))
+    return f["documents"].select("doc_id", C.semantic_key("method", F.col("source"), F.col("text")).alias("semantic_key"), C.normalize_signature(F.col("text")).alias("signature"))
 
 
 @query("f3_fingerprint", """
@@ -139,9 +138,9 @@ def snippets(f: Facts) -> DataFrame:
 
 @query("f10_sanitize_text", r"""
 select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\r\n\t]+', ' ', 'g'), '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') as clean,
-  regexp_replace(replace(replace(replace(substr(text,1,80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{{}}\[\]()#+\-.!|~])', '\\\1', 'g') as escaped from documents""".replace("{{", "{").replace("}}", "}"))
+  regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{{}}\[\]()#+\-.!|~])', '\\\1', 'g') as escaped from documents""".replace("{{", "{").replace("}}", "}"))
 def sanitized(f: Facts) -> DataFrame:
-    return f["documents"].select("doc_id", C.sanitize_text(F.col("text"), 1 << 24).alias("clean"), C.escape_markdown(F.substring("text", 1, 80)).alias("escaped"))
+    return f["documents"].select("doc_id", C.sanitize_text(F.col("text"), 1 << 24).alias("clean"), C.escape_markdown(F.col("text")).alias("escaped"))
 
 
 @query("f12_target_key", """
@@ -175,16 +174,17 @@ def ids(f: Facts) -> DataFrame:
 
 EDGES = """select subject_id, 'ENDPOINT_IMPLEMENTED_BY' as predicate, object_id, status_rank from fx_impl
 union all select subject_id, 'CALLS', object_id, status_rank from fx_calls union all select subject_id, predicate, object_id, status_rank from fx_access
-union all select subject_id, predicate, object_id, 1 from fx_module_edges"""
+union all select distinct subject_id, predicate, object_id, 1 from fx_module_edges"""
 RULES = """(values ('ENDPOINT_IMPLEMENTED_BY','endpoint','method'),('CALLS','method','method'),('METHOD_READS_TABLE','method','table'),('METHOD_WRITES_TABLE','method','table'),
-('MODULE_IMPORTS_MODULE','module','module'),('MODULE_EXPORTS_MODULE','module','class')) as r(predicate, subject_kind, object_kind)"""
+('MODULE_IMPORTS_MODULE','module','module'),('MODULE_EXPORTS_MODULE','module','class'),('MODULE_PROVIDES_CLASS','module','class')) as r(predicate, subject_kind, object_kind)"""
 
 
 @query("v2_check_references", f"""
 with known as (select distinct id, kind from ({ENVELOPE}) e),
 ends as (select e.predicate, 'subject' as "end", subject_id as id, subject_kind as want from ({EDGES}) e join {RULES} on e.predicate = r.predicate
   union all select e.predicate, 'object', object_id, object_kind from ({EDGES}) e join {RULES} on e.predicate = r.predicate)
-select distinct predicate, "end", e.id, case when kind is null then 'missing_reference' else 'wrong_kind' end as issue from ends e left join known k on k.id = e.id
+select distinct predicate, 'predicate' as "end", predicate as id, 'unknown_predicate' as issue from ({EDGES}) e where predicate not in (select predicate from {RULES})
+union all select distinct predicate, "end", e.id, case when kind is null then 'missing_reference' else 'wrong_kind' end as issue from ends e left join known k on k.id = e.id
 where e.id is not null and (kind is null or kind <> want)""")
 def references(f: Facts) -> DataFrame:
     return integrity.check_references(f.sql(f"select * from ({EDGES}) e"), f.sql(f"select * from ({ENVELOPE}) e"), f.sql(f"select * from {RULES}"))

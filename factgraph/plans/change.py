@@ -11,7 +11,7 @@ from factgraph.operators import policy as P
 from factgraph.operators import walk as W
 from factgraph.operators.matching import endpoint_authorization, match_exact
 from factgraph.operators.select import filter_policy
-from factgraph.plans.graph import ACCESS, CALLS, IMPL, MATCHES, SEEDS, TERMINALS
+from factgraph.plans.graph import ACCESS, CALLS, IMPL, LOCAL, SEEDS, TERMINALS
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
 
@@ -313,7 +313,7 @@ def activation(f: Facts) -> DataFrame:
     return P.finish(P.rule_activation(f["fx_interactions"]), "activation", "warning", "info")
 
 
-P7 = f"""with m as (select interaction_id, count(*) as any_, count(case when registration = 'proven_registered' then 1 end) as sure from ({MATCHES}) x join fx_handlers h on h.handler_id = x.handler_id group by 1),
+P7 = f"""with m as (select interaction_id, count(*) as any_, count(case when registration = 'proven_registered' then 1 end) as sure from ({LOCAL}) x join fx_handlers h on h.handler_id = x.handler_id group by 1),
 rows_ as (select i.interaction_id as subject_key, case when coalesce(any_, 0) = 0 and queue is not null then 'fail' when coalesce(sure, 0) = 0 then 'unknown' else 'pass' end as outcome,
  case when coalesce(any_, 0) = 0 and queue is not null then 'handler_missing' when coalesce(sure, 0) = 0 then 'handler_unproven' else 'handler_proven' end as reason_code
  from fx_interactions i left join m on m.interaction_id = i.interaction_id where kind in ('in_process_event', 'job_queue'))"""
@@ -321,7 +321,7 @@ rows_ as (select i.interaction_id as subject_key, case when coalesce(any_, 0) =
 
 @query("p7_local_handler", rule_sql("local_handler", P7))
 def local_handler(f: Facts) -> DataFrame:
-    rows = P.rule_local_handler(f["fx_interactions"], match_exact(f["fx_interactions"], f["fx_handlers"]), f["fx_handlers"], ["in_process_event", "job_queue"])
+    rows = P.rule_local_handler(f["fx_interactions"], match_exact(f["fx_interactions"], f["fx_handlers"], ("service_ns",)), f["fx_handlers"], ["in_process_event", "job_queue"])
     return P.finish(rows, "local_handler")
 
 

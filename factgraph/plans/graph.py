@@ -58,39 +58,45 @@ def located(f: Facts) -> DataFrame:
     return M.evidence_locations(ids.groupBy("method_id").agg(F.collect_list("evidence_id").alias("evidence_ids")), "method_id", f["fx_evidence"], f.side("fx_files"))
 
 
-MATCHES = "select interaction_id, handler_id from fx_interactions i join fx_handlers h on h.kind = i.kind and h.queue = i.queue and (h.job is null or h.job = i.job)"
+#: Of one contract; LOCAL within a service, MATCHES across all.
+FITS = "h.kind = i.kind and h.queue = i.queue and (h.job is null or h.job = i.job) and (h.transport is null or i.transport is null or h.transport = i.transport)"
+MATCHES = f"select interaction_id, handler_id from fx_interactions i join fx_handlers h on {FITS}"
+LOCAL = f"{MATCHES} and h.service_ns = i.service_ns"
 
 
-@query("j5_match_exact", MATCHES)
+def local(f: Facts) -> DataFrame:
+    return M.match_exact(f["fx_interactions"], f["fx_handlers"], ("service_ns",))
+
+
+@query("j5_match_exact", LOCAL)
 def exact(f: Facts) -> DataFrame:
-    return M.match_exact(f["fx_interactions"], f["fx_handlers"])
+    return local(f)
 
 
 EVENTS = "select distinct replace(regexp_replace(url, '^https?://[^/]+/', ''), '/', '.') as event from pages"
 
 
 @query("j6_match_wildcard", f"""
-select event, pattern from ({EVENTS}) e join fx_patterns p on case pattern when '**' then true when 'en.**' then event = 'en' or event like 'en.%'
- when 'fr.*' then event like 'fr.%' and event not like 'fr.%.%' when '*.685' then event like '%.685' and event not like '%.%.%'
- when 'de.*.x' then event like 'de.%.x' and event not like 'de.%.%.x' when 'es.533' then event = 'es.533' end""")
+with rules as (select pattern, '^'||array_to_string(list_transform(string_split(pattern, '.'), lambda s: case s when '**' then '(?:[.][^.]*)*' when '*' then '[.][^.]*' else '[.]'||regexp_escape(s) end), '')||'$' as rx from fx_patterns)
+select event, pattern from ({EVENTS}) e join rules on regexp_matches('.'||event, rx)""")
 def wildcard(f: Facts) -> DataFrame:
     return M.match_wildcard(f.sql(EVENTS), f["fx_patterns"])
 
 
 @query("j7_cap_fan_out", f"""
 select interaction_id, handler_id, place, total, total > 2 as limited from (select interaction_id, handler_id, row_number() over (partition by interaction_id order by handler_id) as place,
- count(*) over (partition by interaction_id) as total from ({MATCHES}) m) x where place <= 2""")
+ count(*) over (partition by interaction_id) as total from ({LOCAL}) m) x where place <= 2""")
 def capped(f: Facts) -> DataFrame:
-    return M.cap_fan_out(M.match_exact(f["fx_interactions"], f["fx_handlers"]), 2)
+    return M.cap_fan_out(local(f), 2)
 
 
 @query("j8_select_branches", f"""
 select m.interaction_id, branch_id, case when selector_kind = 'all_jobs' then 'matches' when selector_kind = 'unknown' or i.job is null then 'unknown'
   when selector_kind = 'exact_jobs' then case when list_contains(string_split(jobs, ','), i.job) then 'matches' else 'does_not_match' end
   else case when list_contains(string_split(jobs, ','), i.job) then 'does_not_match' else 'matches' end end as verdict
-from ({MATCHES}) m join fx_interactions i on i.interaction_id = m.interaction_id join fx_branches b on b.handler_id = m.handler_id""")
+from ({LOCAL}) m join fx_interactions i on i.interaction_id = m.interaction_id join fx_branches b on b.handler_id = m.handler_id""")
 def branches(f: Facts) -> DataFrame:
-    return M.select_branches(M.match_exact(f["fx_interactions"], f["fx_handlers"]), f["fx_interactions"], f["fx_branches"])
+    return M.select_branches(local(f), f["fx_interactions"], f["fx_branches"])
 
 
 @query("j9_attribute_regions", """
@@ -141,8 +147,8 @@ def call_trace(f: Facts) -> DataFrame:
     return W.call_trace(f.sql(SEEDS), f.side("fx_calls"))
 
 
-HOPS = """select source_method_id as subject_id, method_id as object_id, case i.kind when 'in_process_event' then 'local_async' else 'distributed' end as kind
-from fx_interactions i join fx_handlers h on h.kind = i.kind and h.queue = i.queue and (h.job is null or h.job = i.job)"""
+HOPS = f"""select source_method_id as subject_id, method_id as object_id, case i.kind when 'in_process_event' then 'local_async' else 'distributed' end as kind
+from fx_interactions i join fx_handlers h on {FITS} and h.service_ns = i.service_ns"""
 
 
 def trace_sql(seeds: str) -> str:
@@ -187,7 +193,7 @@ def handler_trace(f: Facts) -> DataFrame:
 
 
 #: Methods of files whose content changed.
-CHANGED = """select distinct 'method:p'||p_partkey as root from part join documents on doc_id = p_partkey%200 where doc_id%9=0 and doc_id%10 not in (7,8) and p_partkey < 200"""
+CHANGED = "select distinct method_id as root from fx_methods m join fx_classes c on c.class_id = m.class_id join fx_files f on f.file_id = c.file_id and f.side = 'after' join documents on 'source:'||doc_id = f.file_id where doc_id%9=0 and doc_id%10<>7"
 
 
 def paths_sql(depth: int = 3) -> str:
@@ -239,21 +245,22 @@ def resolved(f: Facts) -> DataFrame:
     return W.resolved_reach(f.sql(SEEDS), f.sql(CALLS))
 
 
-VISIBLE = """with recursive ex(root, node) as (select module_id, module_id from fx_modules union select ex.root, e.object_id from ex join fx_module_edges e on e.subject_id = ex.node and e.predicate = 'MODULE_EXPORTS_MODULE'),
-exported as (select distinct root, object_id as class_id from ex join fx_module_edges e on e.subject_id = ex.node and e.predicate = 'MODULE_EXPORTS_CLASS'),
-visible as (select subject_id as module_id, object_id as class_id from fx_module_edges where predicate = 'MODULE_PROVIDES_CLASS'
- union select i.subject_id, x.class_id from fx_module_edges i join exported x on x.root = i.object_id where i.predicate = 'MODULE_IMPORTS_MODULE'
- union select m.module_id, x.class_id from fx_modules m cross join exported x join fx_modules g on g.module_id = x.root and g.is_global),
-li(root, node) as (select module_id, module_id from fx_modules union select li.root, e.object_id from li join fx_module_edges e on e.subject_id = li.node and e.predicate in ('MODULE_IMPORTS_MODULE', 'MODULE_EXPORTS_MODULE')),
-complete as (select m.module_id, not exists (select 1 from li join fx_modules b on b.module_id = li.node and b.completeness = 'incomplete' where li.root = m.module_id) as complete from fx_modules m)"""
+VISIBLE = """with recursive ex(a, root, node) as (select analysis_id, module_id, module_id from fx_modules union select ex.a, ex.root, e.object_id from ex join fx_module_edges e on e.analysis_id = ex.a and e.subject_id = ex.node and e.predicate = 'MODULE_EXPORTS_MODULE'),
+exported as (select distinct a, root, object_id as class_id from ex join fx_module_edges e on e.analysis_id = ex.a and e.subject_id = ex.node and e.predicate = 'MODULE_EXPORTS_CLASS'),
+visible as (select analysis_id, subject_id as module_id, object_id as class_id from fx_module_edges where predicate = 'MODULE_PROVIDES_CLASS'
+ union select i.analysis_id, i.subject_id, x.class_id from fx_module_edges i join exported x on x.a = i.analysis_id and x.root = i.object_id where i.predicate = 'MODULE_IMPORTS_MODULE'
+ union select m.analysis_id, m.module_id, x.class_id from fx_modules m join exported x on x.a = m.analysis_id join fx_modules g on g.analysis_id = x.a and g.module_id = x.root and g.is_global),
+li(a, root, node) as (select analysis_id, module_id, module_id from fx_modules union select li.a, li.root, e.object_id from li join fx_module_edges e on e.analysis_id = li.a and e.subject_id = li.node and e.predicate in ('MODULE_IMPORTS_MODULE', 'MODULE_EXPORTS_MODULE')),
+broken as (select distinct li.a, li.root from li join fx_modules b on b.analysis_id = li.a and b.module_id = li.node and b.completeness = 'incomplete'),
+complete as (select m.analysis_id, m.module_id, b.root is null as complete from fx_modules m left join broken b on b.a = m.analysis_id and b.root = m.module_id)"""
 
 
-@query("g11_module_visibility", VISIBLE + "\nselect module_id, class_id from visible")
+@query("g11_module_visibility", VISIBLE + "\nselect analysis_id, module_id, class_id from visible")
 def visibility(f: Facts) -> DataFrame:
     return W.module_visibility(f["fx_modules"], f["fx_module_edges"])[0]
 
 
-@query("g11_module_completeness", VISIBLE + "\nselect module_id, complete from complete")
+@query("g11_module_completeness", VISIBLE + "\nselect analysis_id, module_id, complete from complete")
 def completeness(f: Facts) -> DataFrame:
     return W.module_visibility(f["fx_modules"], f["fx_module_edges"])[1]
 

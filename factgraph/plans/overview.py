@@ -173,19 +173,22 @@ def heat(f: Facts) -> DataFrame:
     return X.heat(values(f), X.metric_legend(values(f)))
 
 
-OWNED = """select c.class_id, case when n is null then 'not_declared' when n > 1 then 'multiple' when odd > 0 then 'unknown' else 'unique' end as state, case when n = 1 then first end as owner from fx_classes c left join (
- select object_id, count(*) as n, min(subject_id) as first, count(case when completeness = 'incomplete' then 1 end) as odd from (select distinct subject_id, object_id from fx_module_edges where predicate = 'MODULE_PROVIDES_CLASS') e
- join fx_modules m on m.module_id = e.subject_id group by 1) o on o.object_id = c.class_id"""
+#: Classes with the document that they stand in; some documents have no modules.
+CLASSES = "select case when doc_id % 13 = 0 then 'bare' else 'svc'||(doc_id%n_suppliers) end as analysis_id, 'class:'||doc_id as class_id from documents cross join fx_size"
+OWNED = f"""select c.analysis_id, c.class_id, case when c.analysis_id not in (select analysis_id from fx_modules) then 'unavailable' when n is null then 'not_declared' when n > 1 then 'multiple' when odd > 0 then 'unknown' else 'unique' end as state,
+ case when n = 1 then first end as owner from ({CLASSES}) c left join (select e.analysis_id, object_id, count(*) as n, min(subject_id) as first, count(case when completeness = 'incomplete' then 1 end) as odd
+ from (select distinct analysis_id, subject_id, object_id from fx_module_edges where predicate = 'MODULE_PROVIDES_CLASS') e
+ join fx_modules m on m.analysis_id = e.analysis_id and m.module_id = e.subject_id group by 1, 2) o on o.analysis_id = c.analysis_id and o.object_id = c.class_id"""
 
 
 @query("m5_module_ownership", OWNED)
 def ownership(f: Facts) -> DataFrame:
-    return X.module_ownership(f["fx_classes"], f["fx_module_edges"], f["fx_modules"])
+    return X.module_ownership(f.sql(CLASSES), f["fx_module_edges"], f["fx_modules"])
 
 
 @query("m5_architecture_summary", f"select state, count(*) as n, count(owner) as owned from ({OWNED}) o group by state")
 def summary(f: Facts) -> DataFrame:
-    return X.architecture_summary(X.module_ownership(f["fx_classes"], f["fx_module_edges"], f["fx_modules"]))
+    return X.architecture_summary(X.module_ownership(f.sql(CLASSES), f["fx_module_edges"], f["fx_modules"]))
 
 
 GUARDS = f"""g0 as (select s.endpoint_id, guard_id, 0 as scope_rank, guard_order as place, 1 as status_rank from ({SERVED}) s join fx_global_guards gg on gg.service_ns = s.service_ns
@@ -213,17 +216,25 @@ def control_evidence(f: Facts) -> DataFrame:
     return X.control_evidence(catalogue, guards, terminals, lineage.join(methods, "origin_id"), p8(f))
 
 
-@query("m8_bounded_scene")
+SCENES = f"select s.root, c.subject_id as source, c.object_id as target, c.status_rank as kind_rank, c.subject_id||'>'||c.object_id as edge_id from ({SEEDS}) s join fx_calls c on c.side='after' and c.subject_id = s.node and c.object_id is not null"
+
+
+@query("m8_bounded_scene", f"""
+with recursive o as (select *, row_number() over (partition by root order by kind_rank, edge_id) as i, count(*) over (partition by root) as total from ({SCENES}) e),
+s(root, i, nodes, kept, taken) as (select distinct root, 0::bigint, [root], 0, null::varchar from o union all
+ select o.root, o.i, case when kept < 6 and len(list_distinct(nodes||[source, target])) <= 4 then list_distinct(nodes||[source, target]) else nodes end,
+  kept + case when kept < 6 and len(list_distinct(nodes||[source, target])) <= 4 then 1 else 0 end, case when kept < 6 and len(list_distinct(nodes||[source, target])) <= 4 then edge_id end
+ from s join o on o.root = s.root and o.i = s.i + 1)
+select s.root, taken as edge_id, e.n_nodes, e.total - e.kept as omitted from s join (select s.root, len(s.nodes) as n_nodes, s.kept, o.total from s join o on o.root = s.root and o.i = s.i where s.i = o.total) e on e.root = s.root where taken is not null""")
 def bounded_scene(f: Facts) -> DataFrame:
-    edges = f.sql("select s.root, c.subject_id as source, c.object_id as target, c.status_rank as kind_rank, c.subject_id||'>'||c.object_id as edge_id from (" + SEEDS + ") s join fx_calls c on c.side='after' and c.subject_id = s.node")
-    return X.bounded_scene(edges.where("target is not null"), 4, 6)
+    return X.bounded_scene(f.sql(SCENES), 4, 6)
 
 
-RUNS = "select o.side, service_ns, case when service_ns = 'svc6' and side='after' then 'v2' else 'v1' end as tool, 'c'||length(service_ns) as config from fx_observations o where state = 'available'"
+RUNS = "select o.side, service_ns, case when service_ns like '%6' and side='after' then 'v2' else 'v1' end as tool, 'c'||case when service_ns like '%5' and side = 'after' then 0 else length(service_ns) end as config from fx_observations o where state = 'available'"
 
 
 @query("m10_check_comparable", f"""
-select coalesce(b.service_ns, a.service_ns) as service_ns, case when a.tool is null or b.tool is null then 'missing_side' when a.tool <> b.tool then 'not_comparable' else 'comparable' end as state, case when a.tool <> b.tool then 'tool' end as differ
+select coalesce(b.service_ns, a.service_ns) as service_ns, case when a.tool is null or b.tool is null then 'missing_side' when a.tool <> b.tool or a.config <> b.config then 'not_comparable' else 'comparable' end as state, case when a.tool <> b.tool then 'tool' when a.config <> b.config then 'config' end as differ
 from (select * from ({RUNS}) x where side='before') b full outer join (select * from ({RUNS}) y where side='after') a on a.service_ns = b.service_ns""")
 def comparable(f: Facts) -> DataFrame:
     rows = f.sql(RUNS)

@@ -14,6 +14,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS: dict[str, str] = {
     "fx_side": """
 select * from (values ('before'),('after')) as s(side)
+""",
+    "fx_size": """
+select (select count(*) from documents) as n_docs, (select count(*) from part) as n_parts, (select count(*) from supplier) as n_suppliers,
+  cast(greatest(floor((select count(*) from supplier) / 8), 15) as bigint) as n_queues
 """,
     "fx_files": """
 select side, 'source:'||doc_id as file_id, source||'/'||lang||'/'||doc_id||'.ts' as path,
@@ -24,12 +28,12 @@ where (side='before' and doc_id%10<>7) or (side='after' and doc_id%10<>8)
     "fx_classes": """
 select 'class:'||doc_id as class_id, 'source:'||doc_id as file_id, 'C'||doc_id as qualified_name,
   case doc_id%4 when 0 then 'controller' when 1 then 'entity' when 2 then 'guard' else 'provider' end as role
-from documents where doc_id<200
+from documents
 """,
     "fx_methods": """
-select 'method:o'||o_orderkey as method_id, 'class:'||((o_orderkey*4)%200) as class_id, 'h'||o_orderkey as name from orders
+select 'method:o'||o_orderkey as method_id, 'class:'||((o_orderkey*4)%n_docs) as class_id, 'h'||o_orderkey as name from orders cross join fx_size
 union all
-select 'method:p'||p_partkey, 'class:'||(p_partkey%200), p_name from part
+select 'method:p'||p_partkey, 'class:'||(p_partkey%n_docs), p_name from part cross join fx_size
 """,
     "fx_tables": """
 select 'table:'||s_suppkey as table_id, lower(s_name) as table_name from supplier
@@ -38,7 +42,7 @@ select 'table:'||s_suppkey as table_id, lower(s_name) as table_name from supplie
 select side, 'endpoint:'||c_custkey as endpoint_id,
   case c_mktsegment when 'AUTOMOBILE' then 'GET' when 'BUILDING' then 'POST' when 'FURNITURE' then 'PUT'
     when 'HOUSEHOLD' then 'PATCH' else 'DELETE' end as http_method,
-  '/'||lower(c_mktsegment)||'/'||case when c_custkey%20=0 then 'shared'||(c_custkey%200) else 'c'||c_custkey end as path
+  '/'||lower(c_mktsegment)||'/'||case when c_custkey%20=0 then 'shared'||(c_custkey-c_custkey%40) else 'c'||c_custkey end as path
 from customer cross join fx_side
 where (side='before' and c_custkey%10<>7) or (side='after' and c_custkey%10<>8)
 """,
@@ -56,8 +60,8 @@ from lineitem cross join fx_side
 where (side='before' and l_partkey%10<>7) or (side='after' and l_partkey%10<>8)
 group by side, l_orderkey, l_partkey
 union all
-select side, 'method:p'||p_partkey, 'method:p'||((p_partkey*7+3)%200), case when p_partkey%11=0 then 2 else 1 end
-from part cross join fx_side where p_partkey%3=0
+select side, 'method:p'||p_partkey, 'method:p'||((p_partkey*7+3)%n_parts), case when p_partkey%11=0 then 2 else 1 end
+from part cross join fx_side cross join fx_size where p_partkey%3=0
 """,
     "fx_access": """
 select side, 'method:p'||l_partkey as subject_id, 'table:'||l_suppkey as object_id,
@@ -77,25 +81,26 @@ select 'svc'||s.n as service_ns, 'guard:g'||r_regionkey as guard_id, r_regionkey
 from region cross join (values (0),(1),(2),(3)) as s(n) where r_regionkey<s.n
 """,
     "fx_modules": """
-select 'module:'||n_nationkey as module_id, n_regionkey=0 as is_global,
-  case when n_nationkey%6=5 then 'incomplete' else 'complete' end as completeness from nation
+select 'svc'||s_suppkey as analysis_id, 'module:'||n_nationkey as module_id, (n_nationkey+s_suppkey)%12=0 as is_global,
+  case when (n_nationkey+s_suppkey)%6=5 then 'incomplete' else 'complete' end as completeness from nation cross join supplier
 """,
     "fx_module_edges": """
-select 'module:'||n_nationkey as subject_id, 'MODULE_IMPORTS_MODULE' as predicate, 'module:'||((n_nationkey+3)%25) as object_id from nation
-union all select 'module:'||n_nationkey, 'MODULE_EXPORTS_MODULE', 'module:'||((n_nationkey*2+1)%25) from nation where n_nationkey%2=0
-union all select 'module:'||(doc_id%25), 'MODULE_PROVIDES_CLASS', 'class:'||doc_id from documents where doc_id<200
-union all select 'module:'||(doc_id%24), 'MODULE_PROVIDES_CLASS', 'class:'||doc_id from documents where doc_id<200 and doc_id%9=0
-union all select 'module:'||(doc_id%25), 'MODULE_EXPORTS_CLASS', 'class:'||doc_id from documents where doc_id<200 and doc_id%3=0
+select 'svc'||s_suppkey as analysis_id, 'module:'||n_nationkey as subject_id, 'MODULE_IMPORTS_MODULE' as predicate, 'module:'||((n_nationkey+3)%25) as object_id
+from nation cross join supplier where (n_nationkey+s_suppkey)%4<>0
+union all select 'svc'||s_suppkey, 'module:'||n_nationkey, 'MODULE_EXPORTS_MODULE', 'module:'||((n_nationkey*2+1)%25) from nation cross join supplier where n_nationkey%2=0
+union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%25), 'MODULE_PROVIDES_CLASS', 'class:'||doc_id from documents cross join fx_size
+union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%24), 'MODULE_PROVIDES_CLASS', 'class:'||doc_id from documents cross join fx_size where doc_id%9=0
+union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%25), 'MODULE_EXPORTS_CLASS', 'class:'||doc_id from documents cross join fx_size where doc_id%3=0
 """,
     "fx_evidence": """
-select 'evidence:'||l_orderkey||'_'||l_partkey as evidence_id, 'source:'||(l_partkey%200) as file_id,
+select 'evidence:'||l_orderkey||'_'||l_partkey as evidence_id, 'source:'||(l_partkey%n_docs) as file_id,
   min(cast(l_quantity as int)) as start_line, min(l_linenumber) as start_column,
   min(cast(l_quantity as int))+1 as end_line, max(l_linenumber) as end_column
-from lineitem group by l_orderkey, l_partkey
+from lineitem cross join fx_size group by l_orderkey, l_partkey, n_docs
 """,
     "fx_regions": """
-select 'region:'||p_partkey as region_id, 'source:'||(p_partkey%200) as file_id, p_size as start_line, 1 as start_column,
-  p_size+10 as end_line, 9 as end_column from part where p_partkey%4=0
+select 'region:'||p_partkey as region_id, 'source:'||(p_partkey%n_docs) as file_id, p_size as start_line, 1 as start_column,
+  p_size+10 as end_line, 9 as end_column from part cross join fx_size where p_partkey%4=0
 """,
     "fx_diagnostics": """
 select side, 'diagnostic:'||event_id as diagnostic_id,
@@ -108,24 +113,26 @@ where event_type='error' and ((side='before' and event_id%10<>7) or (side='after
     "fx_interactions": """
 select 'interaction:'||event_id as interaction_id, 'svc'||(user_id%8) as service_ns, 'method:o'||user_id as source_method_id,
   case event_type when 'purchase' then 'job_queue' when 'signup' then 'microservice_message' else 'in_process_event' end as kind,
-  case when event_id%13=0 then null else 'q'||(user_id%12) end as queue,
+  case when event_id%13=0 then null else 'q'||(user_id%(n_queues-3)) end as queue,
   case when event_id%11=0 then null else 'j'||(cast(regexp_extract(props,'[0-9]+',0) as int)%5) end as job,
+  case event_id%5 when 0 then null when 1 then 'kafka' else 'rmq' end as transport,
   case event_id%6 when 0 then 'constructed_cold' when 1 then 'unknown' when 2 then 'proven_activated' else 'eager' end as activation
-from events where event_type in ('purchase','signup','click')
+from events cross join fx_size where event_type in ('purchase','signup','click')
 """,
     "fx_handlers": """
 select 'handler:'||s_suppkey as handler_id, 'svc'||(s_suppkey%8) as service_ns, 'method:p'||s_suppkey as method_id,
   case when s_suppkey%2=0 then 'job_queue' else 'microservice_message' end as kind,
-  'q'||(s_suppkey%15) as queue, case when s_suppkey%4=0 then null else 'j'||(s_suppkey%5) end as job,
+  'q'||(s_suppkey%n_queues) as queue, case s_suppkey%3 when 0 then null when 1 then 'kafka' else 'rmq' end as transport, case when s_suppkey%4=0 then null else 'j'||(s_suppkey%5) end as job,
   case when s_suppkey%9=0 then 'registration_unknown' else 'proven_registered' end as registration
-from supplier
+from supplier cross join fx_size
 """,
     "fx_bindings": """
-select 'svc'||s.n as service_ns, 'q'||n_nationkey as queue, 'realm:'||((n_nationkey+case when s.n=5 then 1 else 0 end)%5) as realm_id
-from nation cross join (values (0),(1),(2),(3),(4),(5)) as s(n) where n_nationkey<15
+select 'svc'||s.n as service_ns, 'q'||s_suppkey as queue, 'realm:'||((s_suppkey+case when s.n=5 then 1 else 0 end)%5) as realm_id
+from supplier cross join (values (0),(1),(2),(3),(4),(5)) as s(n) cross join fx_size where s_suppkey<n_queues
 """,
     "fx_patterns": """
-select * from (values ('en.**'),('fr.*'),('*.685'),('**'),('de.*.x'),('es.533')) as p(pattern)
+select distinct case page_id%7 when 0 then first||'.**' when 1 then first||'.*' when 2 then '*.'||last when 3 then '**.'||last when 4 then first||'.*.'||last when 5 then '*.*' else '*.'||first||'.**' end as pattern
+from (select page_id, split_part(rest, '/', 1) as first, split_part(rest, '/', 2) as last from (select page_id, regexp_replace(url, '^https?://[^/]+/', '') as rest from pages) u) v
 """,
     "fx_auth_metadata": """
 select 'meta:'||c_custkey as metadata_id, 'endpoint:'||c_custkey as endpoint_id, 'key'||(c_nationkey%3) as metadata_key,
@@ -148,8 +155,8 @@ from orders group by o_custkey
 select 'origin:'||o_orderkey as origin_id, 'param:'||o_custkey as parameter_id, 'field'||(o_orderkey%9) as property_path from orders
 """,
     "fx_columns": """
-select 'column:'||p_partkey as column_id, 'entity:'||(p_partkey%200) as entity_id, 'f'||p_partkey as property_name,
-  case when p_partkey%6=0 then null else 'db_'||p_partkey end as database_name from part
+select 'column:'||p_partkey as column_id, 'entity:'||(p_partkey%n_docs) as entity_id, 'f'||p_partkey as property_name,
+  case when p_partkey%6=0 then null else 'db_'||p_partkey end as database_name from part cross join fx_size
 """,
     "fx_influences": """
 select 'origin:'||l_orderkey as origin_id, 'column:'||l_partkey as column_id, 'method:p'||l_partkey as method_id,
@@ -168,13 +175,13 @@ select 'resource:'||p_partkey as resource_id, 'method:p'||p_partkey as method_id
   case when p_partkey%5=0 then null else p_brand end as target from part where p_partkey%2=0
 """,
     "fx_scoped_calls": """
-select 'method:p'||p_partkey as subject_id, 'method:p'||((p_partkey*7+3)%200) as object_id, 'section:'||p_partkey as section_id
-from part where p_partkey%6=0
+select 'method:p'||p_partkey as subject_id, 'method:p'||((p_partkey*7+3)%n_parts) as object_id, 'section:'||p_partkey as section_id
+from part cross join fx_size where p_partkey%6=0
 """,
     "fx_observations": """
-select side, 'svc'||s.n as service_ns,
-  case when s.n=3 and side='after' then 'missing' when s.n=4 and side='after' then 'not_present' else 'available' end as state
-from fx_side cross join (values (0),(1),(2),(3),(4),(5),(6),(7)) as s(n)
+select side, 'svc'||s_suppkey as service_ns,
+  case when s_suppkey%8=3 and side='after' then 'missing' when s_suppkey%8=4 and side='after' then 'not_present' else 'available' end as state
+from fx_side cross join supplier
 """,
     "fx_realms": """
 select side, 'realm:'||r_regionkey as realm_id, case when r_regionkey=2 and side='after' then 'kafka' else 'rmq' end as transport

@@ -1,6 +1,7 @@
 """Single operators on literal rows, the negative cases included."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -41,13 +42,22 @@ def test_simple_paths_never_repeat_a_node(spark):
 
 
 def test_modules_see_through_reexports_and_cycles(spark):
-    modules = spark.createDataFrame([("A", False, "complete"), ("B", False, "complete"), ("C", False, "incomplete"), ("G", True, "complete")], "module_id string, is_global boolean, completeness string")
+    modules = spark.createDataFrame([("s", "A", False, "complete"), ("s", "B", False, "complete"), ("s", "C", False, "incomplete"), ("s", "G", True, "complete"), ("t", "A", False, "complete"), ("t", "C", False, "complete")], "analysis_id string, module_id string, is_global boolean, completeness string")
     edges = spark.createDataFrame([
-        ("A", "MODULE_IMPORTS_MODULE", "B"), ("B", "MODULE_EXPORTS_MODULE", "C"), ("C", "MODULE_EXPORTS_MODULE", "B"), ("C", "MODULE_EXPORTS_CLASS", "x"), ("G", "MODULE_EXPORTS_CLASS", "g"), ("B", "MODULE_PROVIDES_CLASS", "own"),
-    ], "subject_id string, predicate string, object_id string")
+        ("s", "A", "MODULE_IMPORTS_MODULE", "B"), ("s", "B", "MODULE_EXPORTS_MODULE", "C"), ("s", "C", "MODULE_EXPORTS_MODULE", "B"), ("s", "C", "MODULE_EXPORTS_CLASS", "x"), ("s", "G", "MODULE_EXPORTS_CLASS", "g"),
+        ("s", "B", "MODULE_PROVIDES_CLASS", "own"), ("t", "A", "MODULE_IMPORTS_MODULE", "C"), ("t", "C", "MODULE_EXPORTS_CLASS", "y"),
+    ], "analysis_id string, subject_id string, predicate string, object_id string")
     visible, complete = walk.module_visibility(modules, edges)
-    assert rows(visible) == [("A", "g"), ("A", "x"), ("B", "g"), ("B", "own"), ("C", "g"), ("G", "g")]
-    assert rows(complete) == [("A", False), ("B", False), ("C", False), ("G", True)]
+    # Two documents share module ids: neither sees the other's modules, global ones included.
+    assert rows(visible) == [("s", "A", "g"), ("s", "A", "x"), ("s", "B", "g"), ("s", "B", "own"), ("s", "C", "g"), ("s", "G", "g"), ("t", "A", "y")]
+    assert rows(complete) == [("s", "A", False), ("s", "B", False), ("s", "C", False), ("s", "G", True), ("t", "A", True), ("t", "C", True)]
+
+
+def test_a_producer_meets_handlers_of_its_own_service(spark):
+    i = spark.createDataFrame([("i1", "s", "k", "q", "j", None), ("i2", "t", "k", "q", "j", "rmq"), ("i3", "s", "k", None, "j", None)], "interaction_id string, service_ns string, kind string, queue string, job string, transport string")
+    h = spark.createDataFrame([("h1", "s", "k", "q", None, "kafka"), ("h2", "t", "k", "q", "j", "kafka"), ("h3", "t", "k", "q", None, None)], "handler_id string, service_ns string, kind string, queue string, job string, transport string")
+    assert rows(matching.match_exact(i, h, ("service_ns",))) == [("i1", "h1"), ("i2", "h3")]
+    assert rows(matching.match_exact(i, h)) == [("i1", "h1"), ("i1", "h2"), ("i1", "h3"), ("i2", "h3")]
 
 
 def test_duplicate_slots_are_never_paired(spark):
@@ -132,6 +142,22 @@ def test_a_scene_keeps_both_budgets(spark):
     assert {r.edge_id for r in got} == {"e00", "e02"} and {(r.n_nodes, r.omitted) for r in got} == {(3, 8)}
 
 
+def test_scenes_against_plain_python(spark):
+    rng = random.Random(3)
+    edges = [(f"r{r}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", rng.randrange(3), f"e{r:03}{k:03}") for r in range(200) for k in range(rng.randrange(60))]
+    edges += [("late", f"x{i}", f"y{i}", 0, f"e{i:03}") for i in range(40)] + [("late", "late", "z", 1, "z0"), ("late", "z", "late", 1, "z1")]
+    want = set()
+    for root in {e[0] for e in edges}:
+        nodes, kept, mine = {root}, [], sorted((e for e in edges if e[0] == root), key=lambda e: e[3:])
+        for e in mine:
+            if len(kept) < 4 and len(nodes | {e[1], e[2]}) <= 3:
+                nodes |= {e[1], e[2]}
+                kept.append(e[4])
+        want |= {(root, k, len(nodes), len(mine) - len(kept)) for k in kept}
+    df = spark.createDataFrame(edges, "root string, source string, target string, kind_rank int, edge_id string").repartition(5)
+    assert {tuple(r) for r in metrics.bounded_scene(df, 3, 4).collect()} == want
+
+
 def test_redaction_and_safe_text(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
     cases = [("x https://u:pw@h/ y", "x https://u:[REDACTED]@h/ y"), ("Bearer abc.def", "Bearer [REDACTED]"), ("token = 'abc'", "token = '[REDACTED]'"), ('secret === "s"', 'secret === "[REDACTED]"'), (key, "[REDACTED PRIVATE KEY]"), ("tokens = 'abc'", "tokens = 'abc'")]
