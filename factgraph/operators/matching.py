@@ -33,7 +33,8 @@ def effective_guards(endpoints: DataFrame, uses: DataFrame, global_guards: DataF
 
 def endpoint_authorization(metadata: DataFrame, enforcement: DataFrame) -> DataFrame:
     """Requirements of each endpoint with what enforces them."""
-    return metadata.join(enforcement.select("metadata_id", "state", "guard_id"), "metadata_id").select("endpoint_id", "metadata_id", "metadata_key", "scope", "state", "guard_id")
+    proofs = enforcement.select("metadata_id", "state", "guard_id", "evidence_id")
+    return metadata.join(proofs, "metadata_id").select("endpoint_id", "metadata_id", "metadata_key", "scope", "state", "guard_id", "evidence_id")
 
 
 def evidence_locations(df: DataFrame, key: str, evidence: DataFrame, files: DataFrame) -> DataFrame:

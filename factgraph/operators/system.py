@@ -56,8 +56,9 @@ def system_policies(correlations: DataFrame) -> DataFrame:
     """Every matched producer needs a declared realm; none may be ambiguous."""
     matched = correlations.where("role = 'producer' and state <> 'unmatched'")
     key = F.col("record_id").alias("subject_key")
-    realm = matched.select(key, *verdict(F.col("state") == "target_only", F.col("state") == "ambiguous", ("realm_undeclared", "realm_ambiguous", "realm_declared")))
-    clear = matched.select(key, *verdict(F.col("state") == "ambiguous", F.lit(False), ("ambiguous", "", "unambiguous")))
+    none = F.lit("").alias("evidence_ids")
+    realm = matched.select(key, none, *verdict(F.col("state") == "target_only", F.col("state") == "ambiguous", ("realm_undeclared", "realm_ambiguous", "realm_declared")))
+    clear = matched.select(key, none, *verdict(F.col("state") == "ambiguous", F.lit(False), ("ambiguous", "", "unambiguous")))
     return finish(realm, "declared_realm").unionByName(finish(clear, "no_ambiguity"))
 
 

@@ -121,7 +121,11 @@ def path_incomplete(paths: DataFrame, gaps: DataFrame) -> DataFrame:
 def terminal_facts(seeds: DataFrame, calls: DataFrame, access: DataFrame, depth: int = 3) -> DataFrame:
     """(root, predicate, table_id, rank, contributors): over all paths the best status wins, where a path is as certain as
     its worst step."""
-    reached = walk(seeds, calls, depth)
+    return terminals_of(walk(seeds, calls, depth), access)
+
+
+def terminals_of(reached: DataFrame, access: DataFrame) -> DataFrame:
+    """The same of a walk that is at hand."""
     found = reached.join(access.select(F.col("subject_id").alias("node"), F.col("object_id").alias("table_id"), "predicate", "status_rank"), "node")
     found = found.withColumn("rank", F.greatest("rank", "status_rank"))
     return found.groupBy("root", "predicate", "table_id").agg(F.min("rank").alias("rank"), F.count_distinct("node").alias("contributors"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from factgraph.operators import policy as P
 from factgraph.operators import walk as W
 from factgraph.operators.matching import endpoint_authorization, match_exact
 from factgraph.operators.select import filter_policy
-from factgraph.plans.graph import ACCESS, CALLS, IMPL, LOCAL, SEEDS, TERMINALS
+from factgraph.plans.graph import ACCESS, CALLS, IMPL, LOCAL, SEEDS, SERVED, TERMINALS
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
 
@@ -36,19 +38,22 @@ def collisions(f: Facts) -> DataFrame:
     return D.key_collisions(keys(f))
 
 
-def keyed_sql(source: str, key: str, col: str) -> str:
-    """A keyed diff of one compared column: change is null where nothing changed."""
-    names = [k.strip() for k in key.split(",")]
+def keyed_sql(source: str, key: str, cols: str) -> str:
+    """A keyed diff of the compared columns: change is null where nothing changed."""
+    names, compared = ([k.strip() for k in x.split(",")] for x in (key, cols))
     same = " and ".join(f"b.{k} is not distinct from a.{k}" for k in names)
     picked = ", ".join(f"case when b.side is null then a.{k} else b.{k} end as {k}" for k in names)
+    least = ", ".join(f"min({c}) as v_{c}" for c in compared)
+    differ = " or ".join(f"b.v_{c} is distinct from a.v_{c}" for c in compared)
+    why = ", ".join(f"case when b.v_{c} is distinct from a.v_{c} then '{c}' end" for c in compared)
     return f"""(select * from (select {picked}, case when coalesce(b.n,0) > 1 or coalesce(a.n,0) > 1 then 'ambiguous' when b.n is null then 'added' when a.n is null then 'removed'
-  when b.v is distinct from a.v then 'modified' end as change, case when b.n = 1 and a.n = 1 and b.v is distinct from a.v then '{col}' end as reasons
- from (select side, {key}, count(*) as n, min({col}) as v from {source} where side='before' group by side, {key}) b
- full outer join (select side, {key}, count(*) as n, min({col}) as v from {source} where side='after' group by side, {key}) a on {same}) x where change is not null)"""
+  when {differ} then 'modified' end as change, case when b.n = 1 and a.n = 1 and ({differ}) then concat_ws(';', {why}) end as reasons
+ from (select side, {key}, count(*) as n, {least} from {source} where side = 'before' group by side, {key}) b
+ full outer join (select side, {key}, count(*) as n, {least} from {source} where side = 'after' group by side, {key}) a on {same}) x where change is not null)"""
 
 
-def keyed(f: Facts, table: str, key: list[str], col: str) -> DataFrame:
-    return D.diff_keyed(f.side(table, "before"), f.side(table), key, [col])
+def keyed(f: Facts, table: str, key: list[str], *cols: str) -> DataFrame:
+    return D.diff_keyed(f.side(table, "before"), f.side(table), key, list(cols))
 
 
 @query("d2_diff_assertions", f"select * from {keyed_sql('fx_calls', 'subject_id, object_id', 'status_rank')} d")
@@ -61,6 +66,33 @@ def diff_diagnostics(f: Facts) -> DataFrame:
     return keyed(f, "fx_diagnostics", ["code", "message"], "severity")
 
 
+#: Further families: table, key and compared columns.
+FAMILIES = {
+    "interactions": ("fx_interactions2", "interaction_id", "kind, queue, job, activation"), "handlers": ("fx_handlers2", "handler_id", "queue, job, registration"),
+    "queue_facts": ("fx_branches2", "branch_id", "selector_kind, jobs"),
+}
+
+
+def family(f: Facts, name: str) -> DataFrame:
+    table, key, cols = FAMILIES[name]
+    return keyed(f, table, [key], *cols.split(", "))
+
+
+@query("d2_diff_interactions", f"select * from {keyed_sql(*FAMILIES['interactions'])} d")
+def diff_interactions(f: Facts) -> DataFrame:
+    return family(f, "interactions")
+
+
+@query("d2_diff_handlers", f"select * from {keyed_sql(*FAMILIES['handlers'])} d")
+def diff_handlers(f: Facts) -> DataFrame:
+    return family(f, "handlers")
+
+
+@query("d2_diff_queue_facts", f"select * from {keyed_sql(*FAMILIES['queue_facts'])} d")
+def diff_queue_facts(f: Facts) -> DataFrame:
+    return family(f, "queue_facts")
+
+
 HANDLED = "select e.side, e.endpoint_id, e.http_method, e.path, i.object_id as handler from fx_endpoints e left join fx_impl i on i.side = e.side and i.subject_id = e.endpoint_id"
 PAIRS = f"""h as (select *, count(*) over (partition by side, http_method, path) as n from ({HANDLED}) x),
 paired as (select b.endpoint_id as before_id, a.endpoint_id as after_id, b.http_method, b.path, case when b.handler is not distinct from a.handler then 'exact' else 'slot' end as match
@@ -79,19 +111,40 @@ def diff_endpoints(f: Facts) -> DataFrame:
     return pairs(f)
 
 
-DIRECT_ROWS = """select e.side, e.subject_id as endpoint_id, a.predicate||a.object_id||':'||a.status_rank as value from fx_impl e join fx_calls c on c.side = e.side and c.subject_id = e.object_id and c.status_rank <= 2
-  join fx_access a on a.side = e.side and a.subject_id = c.object_id where e.status_rank <= 2"""
-REASONS = f"""{PAIRS}, terms as (select side, endpoint_id, to_json(list_sort(list_distinct(list(value)))) as v from ({DIRECT_ROWS}) d group by 1, 2),
-why as (select p.before_id, p.after_id, case when b.handler is distinct from a.handler then 'handler' end as r1, case when tb.v is distinct from ta.v then 'terminals' end as r2
- from paired p join h b on b.side='before' and b.endpoint_id = p.before_id join h a on a.side='after' and a.endpoint_id = p.after_id
- left join terms tb on tb.side='before' and tb.endpoint_id = p.before_id left join terms ta on ta.side='after' and ta.endpoint_id = p.after_id),
-reasons as (select before_id, after_id, concat_ws(';', r1, r2) as reasons from why where r1 is not null or r2 is not null)"""
+def of_side(text: str, side: str) -> str:
+    """A text that is written for the after side (side='after', without spaces), for either."""
+    return text.replace("side='after'", f"side='{side}'")
+
+
+NUMBER = "cast(split_part(endpoint_id, ':', 2) as bigint)"
+#: The values that are compared of an endpoint, by facet; terminals are those of the whole walk on their side.
+FACETS = {
+    "handler": f"select side, endpoint_id, handler as value from ({HANDLED}) h where handler is not null",
+    "guards": f"select side, endpoint_id, scope||':'||guard_id||':'||status_rank as value from fx_guard_use cross join fx_side where side='before' or {NUMBER}%31<>0",
+    "effective_guards": f"""select side, endpoint_id, scope||':'||guard_id as value from fx_guard_use cross join fx_side where side='before' or {NUMBER}%31<>0
+ union all select side, endpoint_id, 'global:'||guard_id from ({SERVED}) s join fx_global_guards g on g.service_ns = s.service_ns cross join fx_side where side='before' or {NUMBER}%37<>0""",
+    "authorization": f"""select side, m.endpoint_id, metadata_key||':'||case when side='after' and cast(split_part(m.endpoint_id, ':', 2) as bigint)%23=0 then 'enforcement_unknown' else state end as value
+ from fx_auth_metadata m join fx_auth_enforcement e on e.metadata_id = m.metadata_id cross join fx_side""",
+    "resources": """select i.side, i.subject_id as endpoint_id, operation||':'||coalesce(target, '?') as value from fx_impl i join fx_calls c on c.side = i.side and c.subject_id = i.object_id and c.status_rank <= 2
+ join fx_resources r on r.method_id = c.object_id where i.status_rank <= 2""",
+    "terminals": " union all ".join(f"select '{s}' as side, root as endpoint_id, predicate||table_id||':'||rank as value from ({of_side(TERMINALS, s)} select * from terminals) t_{s}" for s in ("before", "after")),
+}
+REASONS = f"""{PAIRS}, {", ".join(f"f_{n} as (select side, endpoint_id, to_json(list_sort(list_distinct(list(value)))) as v from ({t}) d group by 1, 2)" for n, t in FACETS.items())},
+why as (select p.before_id, p.after_id, {", ".join(f"case when b_{n}.v is distinct from a_{n}.v then '{n}' end as r_{n}" for n in FACETS)} from paired p
+ {" ".join(f"left join f_{n} b_{n} on b_{n}.side='before' and b_{n}.endpoint_id = p.before_id left join f_{n} a_{n} on a_{n}.side='after' and a_{n}.endpoint_id = p.after_id" for n in FACETS)}),
+reasons as (select * from (select before_id, after_id, concat_ws(';', {", ".join(f"r_{n}" for n in FACETS)}) as reasons from why) y where reasons <> '')"""
+
+
+def side_terminals(f: Facts, side: str) -> DataFrame:
+    return W.terminal_facts(*(f.sql(of_side(x, side)) for x in (SEEDS, CALLS, ACCESS)))
 
 
 def reasons_of(f: Facts) -> DataFrame:
-    both = lambda df: tuple(df.where(f"side = '{s}'").select("endpoint_id", "value") for s in ("before", "after"))
-    handlers = f.sql(HANDLED).where("handler is not null").withColumnRenamed("handler", "value")
-    return D.endpoint_reasons(pairs(f), {"handler": both(handlers), "terminals": both(f.sql(DIRECT_ROWS))})
+    both = lambda text: tuple(f.sql(text).where(f"side = '{s}'").select("endpoint_id", "value") for s in ("before", "after"))
+    facets = {name: both(text) for name, text in FACETS.items() if name != "terminals"}
+    value = F.concat("predicate", "table_id", F.lit(":"), F.col("rank").cast("string")).alias("value")
+    facets["terminals"] = tuple(side_terminals(f, s).select(F.col("root").alias("endpoint_id"), value) for s in ("before", "after"))
+    return D.endpoint_reasons(pairs(f), facets)
 
 
 @query("d4_endpoint_reasons", f"with {REASONS}\nselect * from reasons")
@@ -115,16 +168,22 @@ def ambiguities(f: Facts) -> DataFrame:
 
 FEED = f"""select 'files' as family, path as subject, change, coalesce(reasons, '') as reasons from {keyed_sql('fx_files', 'path', 'content_hash')} a
 union all select 'calls', subject_id||'>'||object_id, change, coalesce(reasons, '') from {keyed_sql('fx_calls', 'subject_id, object_id', 'status_rank')} b
-union all select 'access', subject_id||'>'||predicate||'>'||object_id, change, coalesce(reasons, '') from {keyed_sql('fx_access', 'subject_id, predicate, object_id', 'status_rank')} c"""
+union all select 'access', subject_id||'>'||predicate||'>'||object_id, change, coalesce(reasons, '') from {keyed_sql('fx_access', 'subject_id, predicate, object_id', 'status_rank')} c
+union all select 'diagnostics', code||'>'||message, change, coalesce(reasons, '') from {keyed_sql('fx_diagnostics', 'code, message', 'severity')} d
+union all select 'endpoints', http_method||' '||path, match, '' from (with {PAIRS} select * from matched where match in ('added', 'removed')) e
+union all {" union all ".join(f"select '{n}', {spec[1]}, change, coalesce(reasons, '') from {keyed_sql(*spec)} f_{n}" for n, spec in FAMILIES.items())}"""
 
 
 def feed(f: Facts) -> DataFrame:
     calls = keyed(f, "fx_calls", ["subject_id", "object_id"], "status_rank")
     access = keyed(f, "fx_access", ["subject_id", "predicate", "object_id"], "status_rank")
     files = D.diff_files(f.side("fx_files", "before"), f.side("fx_files"))
+    moved = pairs(f).where("match in ('added', 'removed')").select("http_method", "path", F.col("match").alias("change"), F.lit(None).cast("string").alias("reasons"))
     return D.change_feed({
         "files": (files, F.col("path")), "calls": (calls, F.concat_ws(">", "subject_id", "object_id")),
         "access": (access, F.concat_ws(">", "subject_id", "predicate", "object_id")),
+        "diagnostics": (keyed(f, "fx_diagnostics", ["code", "message"], "severity"), F.concat_ws(">", "code", "message")),
+        "endpoints": (moved, F.concat_ws(" ", "http_method", "path")), **{n: (family(f, n), F.col(spec[1])) for n, spec in FAMILIES.items()},
     })
 
 
@@ -138,27 +197,43 @@ def diff_summary(f: Facts) -> DataFrame:
     return D.diff_summary(feed(f))
 
 
-CHANGED_FILES = f"select file_id from fx_files f join {keyed_sql('fx_files', 'path', 'content_hash')} d on d.path = f.path where f.side = 'after' and d.change in ('added', 'modified')"
+#: Of a side: the files that stand there and were changed, added (after) or removed (before).
+CHANGED_FILES = f"select file_id from fx_files f join {keyed_sql('fx_files', 'path', 'content_hash')} d on d.path = f.path where f.side='after' and d.change <> 'ambiguous'"
 
 
-def changed_files(f: Facts) -> DataFrame:
-    changes = D.diff_files(f.side("fx_files", "before"), f.side("fx_files")).where("change in ('added', 'modified')")
-    return f.side("fx_files").join(changes.select("path"), "path").select("file_id")
+def changed_files(f: Facts, side: str) -> DataFrame:
+    changes = D.diff_files(f.side("fx_files", "before"), f.side("fx_files")).where("change <> 'ambiguous'")
+    return f.side("fx_files", side).join(changes.select("path"), "path").select("file_id")
 
 
-def backwards(targets: str) -> str:
-    """best(target, endpoint_id, depth, rank) from the methods `root` of a text."""
-    return f"""with recursive calls as ({CALLS}), t as (select distinct root from ({targets}) t0),
+def impact_sql(changed: str) -> str:
+    """found(endpoint_id, category, subject, direct, rank) from (root, category, subject, own) texts, on both sides."""
+
+    def one(side: str) -> str:
+        return f"""(with recursive changed as ({of_side(changed, side)}), calls as ({of_side(CALLS, side)}), t as (select distinct root from changed),
 w(root, node, rank, depth) as (select root, root, 1, 0 from t union select w.root, c.subject_id, greatest(w.rank, c.status_rank), w.depth + 1 from w join calls c on c.object_id = w.node where w.depth < 3),
-best as (select w.root as target, i.subject_id as endpoint_id, min(depth) as depth, min(greatest(rank, status_rank)) as rank from w join ({IMPL}) i on i.object_id = w.node group by 1, 2)"""
+best as (select w.root, i.subject_id as endpoint_id, min(depth) as depth, min(greatest(rank, status_rank)) as rank from w join ({of_side(IMPL, side)}) i on i.object_id = w.node group by 1, 2)
+select endpoint_id, category, subject, bool_or(depth = 0 and category <> 'entity_change') as direct, min(greatest(rank, own)) as rank from best b join changed c on c.root = b.root group by 1, 2, 3)"""
+
+    return f"with found as (select endpoint_id, category, subject, bool_or(direct) as direct, min(rank) as rank from (select * from {one('before')} x union all select * from {one('after')} y) u group by 1, 2, 3)"
+
 
+def impact(f: Facts, changed: Callable[[str], DataFrame]) -> DataFrame:
+    """changed: the changed methods of a side."""
+    one = lambda s: I.impact_methods(changed(s), f.sql(of_side(CALLS, s)), f.sql(of_side(IMPL, s)))
+    return I.either_side(one("before"), one("after"))
 
-TOUCHED = f"select m.method_id as root, c.file_id from fx_methods m join fx_classes c on c.class_id = m.class_id join ({CHANGED_FILES}) cf on cf.file_id = c.file_id"
-FILE_IMPACT = backwards(TOUCHED) + f""", found as (select endpoint_id, 'file_change' as category, file_id as subject, min(depth) = 0 as direct, min(rank) as rank from best b join ({TOUCHED}) t on t.root = b.target group by endpoint_id, file_id)"""
+
+TOUCHED = f"select m.method_id as root, 'file_change' as category, c.file_id as subject, 1 as own from fx_methods m join fx_classes c on c.class_id = m.class_id join ({CHANGED_FILES}) cf on cf.file_id = c.file_id"
+FILE_IMPACT = impact_sql(TOUCHED)
+
+
+def touched(f: Facts, side: str) -> DataFrame:
+    return I.changed_symbols(changed_files(f, side), f["fx_classes"], f["fx_methods"])
 
 
 def file_impact(f: Facts) -> DataFrame:
-    return I.impact_files(changed_files(f), f["fx_classes"], f["fx_methods"], f.sql(CALLS), f.sql(IMPL))
+    return impact(f, lambda s: touched(f, s))
 
 
 @query("i1_impact_files", FILE_IMPACT + "\nselect * from found")
@@ -166,89 +241,138 @@ def impact_files(f: Facts) -> DataFrame:
     return file_impact(f)
 
 
-MAPPING = "select class_id, 'table:'||split_part(class_id, ':', 2) as table_id from fx_classes where role = 'entity'"
+MAPPING = "select class_id, 'table:'||(cast(split_part(class_id, ':', 2) as bigint)%n_suppliers) as table_id from fx_classes cross join fx_size where role = 'entity'"
+ENTITY_USERS = f"""select distinct a.subject_id as root, 'entity_change' as category, a.object_id as subject, a.status_rank as own from ({ACCESS}) a
+ join (select table_id from ({MAPPING}) m join fx_classes c on c.class_id = m.class_id join ({CHANGED_FILES}) cf on cf.file_id = c.file_id) x on x.table_id = a.object_id"""
 
 
-def table_impact_sql(tables: str, category: str) -> str:
-    users = f"select distinct a.subject_id as root, a.object_id, a.status_rank as ar from ({ACCESS}) a join ({tables}) x on x.table_id = a.object_id"
-    return backwards(users) + f""", found as (select endpoint_id, '{category}' as category, object_id as subject, false as direct, min(greatest(rank, ar)) as rank from best b join ({users}) u on u.root = b.target group by endpoint_id, object_id)"""
+def entity_users(f: Facts, side: str) -> DataFrame:
+    return I.changed_entities(changed_files(f, side), f["fx_classes"], f.sql(MAPPING), f.sql(of_side(ACCESS, side)))
 
 
-@query("i2_impact_entities", table_impact_sql(f"select table_id from ({MAPPING}) m join fx_classes c on c.class_id = m.class_id join ({CHANGED_FILES}) cf on cf.file_id = c.file_id", "entity_change") + "\nselect * from found")
+@query("i2_impact_entities", impact_sql(ENTITY_USERS) + "\nselect * from found")
 def impact_entities(f: Facts) -> DataFrame:
-    mapping = f["fx_classes"].where("role = 'entity'").select("class_id", F.concat(F.lit("table:"), F.substring_index("class_id", ":", -1)).alias("table_id"))
-    return I.impact_entities(changed_files(f), f["fx_classes"], mapping, f.sql(CALLS), f.sql(ACCESS), f.sql(IMPL))
+    return impact(f, lambda s: entity_users(f, s))
+
+
+DIRECT = f"(with {REASONS} select after_id as endpoint_id, 'endpoint_change' as category, reasons as subject, true as direct, 1 as rank from reasons where reasons <> 'terminals')"
 
 
-@query("i3_impact_direct", f"with {REASONS}\nselect after_id as endpoint_id, 'endpoint_change' as category, reasons as subject, true as direct, 1 as rank from reasons where reasons <> 'terminals'")
+@query("i3_impact_direct", f"select * from {DIRECT} d")
 def impact_direct(f: Facts) -> DataFrame:
     return I.impact_direct(reasons_of(f))
 
 
-def method_impact_sql(changed: str, category: str) -> str:
-    return backwards(changed) + f""", found as (select endpoint_id, '{category}' as category, subject, min(depth) = 0 as direct, min(rank) as rank from best b join (select distinct root, subject from ({changed}) c0) u on u.root = b.target group by endpoint_id, subject)"""
+CHANGED_ACCESS = f"select subject_id as root, 'table_access' as category, predicate||'>'||object_id||':'||change as subject, 1 as own from {keyed_sql('fx_access', 'subject_id, predicate, object_id', 'status_rank')} d"
 
 
-CHANGED_ACCESS = f"select subject_id as root, predicate||'>'||object_id||':'||change as subject from {keyed_sql('fx_access', 'subject_id, predicate, object_id', 'status_rank')} d"
+def access_changes(f: Facts) -> DataFrame:
+    changes = keyed(f, "fx_access", ["subject_id", "predicate", "object_id"], "status_rank")
+    return I.changed_facts("table_access", changes, "subject_id", F.concat("predicate", F.lit(">"), "object_id", F.lit(":"), "change"))
 
 
-@query("i4_impact_table_access", method_impact_sql(CHANGED_ACCESS, "table_access") + "\nselect * from found")
+@query("i4_impact_table_access", impact_sql(CHANGED_ACCESS) + "\nselect * from found")
 def impact_access(f: Facts) -> DataFrame:
-    changes = keyed(f, "fx_access", ["subject_id", "predicate", "object_id"], "status_rank")
-    subject = F.concat("predicate", F.lit(">"), "object_id", F.lit(":"), "change")
-    return I.impact_methods(changes.select(F.col("subject_id").alias("method_id"), subject.alias("subject")), "table_access", f.sql(CALLS), f.sql(IMPL))
+    rows = access_changes(f)
+    return impact(f, lambda _: rows)
+
+
+def named_sql(name: str, methods: str) -> str:
+    _, key, _ = spec = FAMILIES[name]
+    return f"select distinct m.method_id as root, '{name}' as category, d.{key}||':'||change as subject, 1 as own from {keyed_sql(*spec)} d join ({methods}) m on m.{key} = d.{key}"
+
+
+#: Which method a changed record stands in.
+PLACES = {
+    "interactions": "select distinct interaction_id, source_method_id as method_id from fx_interactions2", "handlers": "select distinct handler_id, method_id from fx_handlers2",
+    "queue_facts": "select distinct branch_id, method_id from fx_branches2 b join fx_handlers h on h.handler_id = b.handler_id",
+}
+CHANGED_FACTS = f"""select subject_id as root, 'resolution' as category, change as subject, 1 as own from {keyed_sql('fx_calls', 'subject_id, object_id', 'status_rank')} d where change <> 'ambiguous'
+ union all {" union all ".join(named_sql(n, places) for n, places in PLACES.items())}"""
+CHANGED_FACTS = f"select distinct * from ({CHANGED_FACTS}) facts"
+#: Diagnostics that name an endpoint need no walk.
+NOTED = f"""select distinct s.subject_id as endpoint_id, 'diagnostics' as category, d.diagnostic_id||':'||change as subject, true as direct, 1 as rank
+from {keyed_sql('fx_diagnostics', 'diagnostic_id', 'severity')} d join fx_diagnostics s on s.diagnostic_id = d.diagnostic_id where s.subject_id is not null"""
 
 
-CHANGED_CALLS = f"select subject_id as root, change as subject from {keyed_sql('fx_calls', 'subject_id, object_id', 'status_rank')} d where change <> 'ambiguous'"
+def fact_changes(f: Facts) -> DataFrame:
+    calls = keyed(f, "fx_calls", ["subject_id", "object_id"], "status_rank").where("change <> 'ambiguous'")
+    parts = [I.changed_facts("resolution", calls, "subject_id", F.col("change"))]
+    for name, places in PLACES.items():
+        key = FAMILIES[name][1]
+        parts.append(I.changed_facts(name, family(f, name).join(f.sql(places), key), "method_id", F.concat_ws(":", key, "change")))
+    return I.all_reasons(*parts)
 
 
-def call_impact(f: Facts) -> DataFrame:
-    changes = keyed(f, "fx_calls", ["subject_id", "object_id"], "status_rank").where("change <> 'ambiguous'")
-    return I.impact_methods(changes.select(F.col("subject_id").alias("method_id"), F.col("change").alias("subject")), "resolution", f.sql(CALLS), f.sql(IMPL))
+def noted(f: Facts) -> DataFrame:
+    changes = keyed(f, "fx_diagnostics", ["diagnostic_id"], "severity")
+    rows = changes.join(f["fx_diagnostics"].where("subject_id is not null").select("diagnostic_id", "subject_id").distinct(), "diagnostic_id")
+    return rows.select(F.col("subject_id").alias("endpoint_id"), F.lit("diagnostics").alias("category"), F.concat_ws(":", "diagnostic_id", "change").alias("subject"), F.lit(True).alias("direct"), F.lit(1).alias("rank"))
 
 
-@query("i5_impact_facts", method_impact_sql(CHANGED_CALLS, "resolution") + "\nselect * from found")
+@query("i5_impact_facts", impact_sql(CHANGED_FACTS) + f"\nselect * from found union all select * from ({NOTED}) n")
 def impact_facts(f: Facts) -> DataFrame:
-    return call_impact(f)
+    rows = fact_changes(f)
+    return impact(f, lambda _: rows).unionByName(noted(f))
 
 
-@query("i6_add_uncertainty", FILE_IMPACT + "\nselect * from found union all select endpoint_id, 'unknown', subject, direct, rank from found where rank > 1")
+EVERY = f"select * from ({TOUCHED}) e1 union all select * from ({ENTITY_USERS}) e2 union all select * from ({CHANGED_ACCESS}) e3 union all select * from ({CHANGED_FACTS}) e4"
+UNSURE = "select * from {0} union all select endpoint_id, 'unknown', subject, direct, rank from {0} where rank > 1"
+ALL_IMPACT = impact_sql(EVERY) + f", every as (select * from found union all select * from ({NOTED}) n union all select * from {DIRECT} d), whole as ({UNSURE.format('every')})"
+
+
+def every_impact(f: Facts) -> DataFrame:
+    """All reasons: one walk a side serves files, entities, accesses and facts."""
+    same = access_changes(f).unionByName(fact_changes(f))
+    walked = impact(f, lambda s: touched(f, s).unionByName(entity_users(f, s)).unionByName(same))
+    return I.all_reasons(walked, noted(f), I.impact_direct(reasons_of(f)))
+
+
+@query("i6_add_uncertainty", FILE_IMPACT + f", whole as ({UNSURE.format('found')}) select * from whole")
 def uncertainty(f: Facts) -> DataFrame:
     return I.add_uncertainty(file_impact(f))
 
 
-@query("i7_impacted_endpoints", FILE_IMPACT + """
-, whole as (select * from found union all select endpoint_id, 'unknown', subject, direct, rank from found where rank > 1),
-single as (select http_method, path, category, subject, bool_or(direct) as direct, min(rank) as rank from whole w join fx_endpoints e on e.side='after' and e.endpoint_id = w.endpoint_id group by 1, 2, 3, 4)
+ENDS = "select distinct endpoint_id, http_method, path from fx_endpoints"
+
+
+@query("i7_impacted_endpoints", ALL_IMPACT + f"""
+, single as (select http_method, path, category, subject, bool_or(direct) as direct, min(rank) as rank from whole w join ({ENDS}) e on e.endpoint_id = w.endpoint_id group by 1, 2, 3, 4)
 select http_method, path, bool_or(direct) as direct, min(rank) = 1 as certain, count(*) as n_reasons, array_to_string(list_sort(list_distinct(list(category))), ';') as categories from single group by 1, 2""")
 def impacted(f: Facts) -> DataFrame:
-    return I.impacted_endpoints(I.add_uncertainty(file_impact(f)), f.side("fx_endpoints"))
+    return I.impacted_endpoints(I.add_uncertainty(every_impact(f)), f.sql(ENDS))
 
 
-@query("i7_impact_summary", FILE_IMPACT + """
-, whole as (select * from found union all select endpoint_id, 'unknown', subject, direct, rank from found where rank > 1)
+@query("i7_impact_summary", ALL_IMPACT + """
 select category, count(distinct endpoint_id) as endpoints, count(case when direct then 1 end) as direct, count(case when rank > 1 then 1 end) as uncertain from whole group by category""")
 def impact_summary(f: Facts) -> DataFrame:
-    return I.impact_summary(I.add_uncertainty(file_impact(f)))
+    return I.impact_summary(I.add_uncertainty(every_impact(f)))
+
+
+ANY_FILE = f"select distinct file_id from (select * from ({CHANGED_FILES}) a union all select * from ({of_side(CHANGED_FILES, 'before')}) b) c"
 
 
 @query("i8_unreachable_changes", FILE_IMPACT + f"""
-select cf.file_id, case when exists (select 1 from fx_classes c where c.file_id = cf.file_id) then 'no_endpoint_path' else 'no_symbols' end as reason from ({CHANGED_FILES}) cf where cf.file_id not in (select subject from found)""")
+select cf.file_id, case when exists (select 1 from fx_classes c where c.file_id = cf.file_id) then 'no_endpoint_path' else 'no_symbols' end as reason from ({ANY_FILE}) cf where cf.file_id not in (select subject from found)""")
 def unreachable(f: Facts) -> DataFrame:
-    return I.unreachable_changes(changed_files(f), f["fx_classes"], file_impact(f))
+    return I.unreachable_changes(changed_files(f, "before").unionByName(changed_files(f, "after")), f["fx_classes"], file_impact(f))
 
 
 def rule_sql(rule: str, body: str, severity: str = "error", on_unknown: str = "warning") -> str:
-    """Wraps a text whose last part is rows_(subject_key, outcome, reason_code)."""
+    """Wraps a text whose last part is rows_(subject_key, outcome, reason_code, evidence_ids)."""
     return body + f"""
-, done as (select subject_key, outcome, reason_code from rows_ union all select '', 'not_applicable', 'no_subject' where not exists (select 1 from rows_))
-select '{rule}' as rule_id, outcome, case when outcome = 'unknown' then '{on_unknown}' else '{severity}' end as severity, reason_code, subject_key,
+, done as (select subject_key, outcome, reason_code, evidence_ids from rows_ union all select '', 'not_applicable', 'no_subject', '' where not exists (select 1 from rows_))
+select '{rule}' as rule_id, outcome, case when outcome = 'unknown' then '{on_unknown}' else '{severity}' end as severity, reason_code, subject_key, evidence_ids,
  outcome in ('fail', 'unknown') and case when outcome = 'unknown' then '{on_unknown}' else '{severity}' end = 'error' as blocking from done"""
 
 
-P1 = """with own as (select class_id, count(case when a.status_rank = 1 then 1 end) as sure, count(case when a.status_rank = 2 then 1 end) as maybe from fx_classes c left join fx_methods m using (class_id)
+def ids_sql(col: str) -> str:
+    return f"coalesce(array_to_string(list_sort(list_distinct(list({col}) filter ({col} is not null))), ';'), '')"
+
+
+P1 = f"""with own as (select class_id, count(case when a.status_rank = 1 then 1 end) as sure, count(case when a.status_rank = 2 then 1 end) as maybe, {ids_sql("case when a.status_rank <= 2 then a.evidence_id end")} as evidence_ids from fx_classes c left join fx_methods m using (class_id)
   left join (select * from fx_access where side='after') a on a.subject_id = m.method_id where role = 'controller' group by class_id),
-rows_ as (select class_id as subject_key, case when sure > 0 then 'fail' when maybe > 0 then 'unknown' else 'pass' end as outcome, case when sure > 0 then 'direct_access' when maybe > 0 then 'access_ambiguous' else 'no_access' end as reason_code from own)"""
+rows_ as (select class_id as subject_key, case when sure > 0 then 'fail' when maybe > 0 then 'unknown' else 'pass' end as outcome, case when sure > 0 then 'direct_access' when maybe > 0 then 'access_ambiguous' else 'no_access' end as reason_code, evidence_ids from own)"""
 
 
 def p1(f: Facts) -> DataFrame:
@@ -261,8 +385,8 @@ def no_direct_access(f: Facts) -> DataFrame:
 
 
 WRITING = TERMINALS + ", writing as (select root as endpoint_id, min(rank) as rank from terminals where predicate = 'METHOD_WRITES_TABLE' group by root)"
-P2 = WRITING + """, g as (select w.endpoint_id, w.rank, count(u.guard_id) as any_, count(case when u.status_rank = 1 then 1 end) as sure from writing w left join fx_guard_use u on u.endpoint_id = w.endpoint_id group by 1, 2),
-rows_ as (select endpoint_id as subject_key, case when any_ = 0 and rank = 1 then 'fail' when sure = 0 then 'unknown' else 'pass' end as outcome, case when any_ = 0 and rank = 1 then 'guard_missing' when sure = 0 then 'guard_or_write_unproven' else 'guarded' end as reason_code from g)"""
+P2 = WRITING + f""", g as (select w.endpoint_id, w.rank, count(u.guard_id) as any_, count(case when u.status_rank = 1 then 1 end) as sure, {ids_sql("evidence_id")} as evidence_ids from writing w left join fx_guard_use u on u.endpoint_id = w.endpoint_id group by 1, 2),
+rows_ as (select endpoint_id as subject_key, case when any_ = 0 and rank = 1 then 'fail' when sure = 0 then 'unknown' else 'pass' end as outcome, case when any_ = 0 and rank = 1 then 'guard_missing' when sure = 0 then 'guard_or_write_unproven' else 'guarded' end as reason_code, evidence_ids from g)"""
 
 
 def terminals(f: Facts) -> DataFrame:
@@ -274,29 +398,38 @@ def guard_on_write(f: Facts) -> DataFrame:
     return P.finish(P.rule_guard_on_write(terminals(f), f["fx_guard_use"]), "guard_on_write", on_unknown="error")
 
 
-P3 = WRITING + """, holes as (select distinct r.root from r join fx_calls c on c.side='after' and c.status_rank = 3 and c.subject_id = r.node),
-rows_ as (select endpoint_id as subject_key, case when rank > 1 or endpoint_id in (select root from holes) then 'unknown' else 'pass' end as outcome, case when rank > 1 or endpoint_id in (select root from holes) then 'trace_incomplete' else 'trace_complete' end as reason_code from writing)"""
+P3 = WRITING + f""", holes as (select r.root, {ids_sql("evidence_id")} as evidence_ids from (select distinct root, node from r) r join fx_calls c on c.side='after' and c.status_rank = 3 and c.subject_id = r.node group by 1),
+rows_ as (select w.endpoint_id as subject_key, case when rank > 1 or h.root is not null then 'unknown' else 'pass' end as outcome, case when rank > 1 or h.root is not null then 'trace_incomplete' else 'trace_complete' end as reason_code,
+ coalesce(evidence_ids, '') as evidence_ids from writing w left join holes h on h.root = w.endpoint_id)"""
+
+
+def p3(f: Facts, reach: DataFrame) -> DataFrame:
+    gaps = f.side("fx_calls").where("status_rank = 3").select(F.col("subject_id").alias("node"), "evidence_id")
+    return P.rule_complete_write_trace(W.terminals_of(reach, f.sql(ACCESS)), reach.select("root", "node").distinct(), gaps)
 
 
 @query("p3_complete_write_trace", rule_sql("complete_write_trace", P3))
 def complete_write_trace(f: Facts) -> DataFrame:
-    gaps = f.side("fx_calls").where("status_rank = 3").select(F.col("subject_id").alias("node"))
-    return P.finish(P.rule_complete_write_trace(terminals(f), W.walk(f.sql(SEEDS), f.sql(CALLS), 3).select("root", "node").distinct(), gaps), "complete_write_trace")
+    return P.finish(p3(f, W.walk(f.sql(SEEDS), f.sql(CALLS), 3)), "complete_write_trace")
 
 
-P4 = f"""with c as (select diagnostic_id, change from {keyed_sql('fx_diagnostics', 'diagnostic_id', 'severity')} d), s as (select diagnostic_id, severity from fx_diagnostics where side='after'),
+P4 = f"""with c as (select diagnostic_id, change from {keyed_sql('fx_diagnostics', 'diagnostic_id', 'severity')} d), s as (select diagnostic_id, severity, evidence_id from fx_diagnostics where side='after'),
 rows_ as (select c.diagnostic_id as subject_key, case when change = 'added' and severity <> 'info' then 'fail' when change = 'ambiguous' then 'unknown' else 'pass' end as outcome,
- case when change = 'added' and severity <> 'info' then 'new_diagnostic' when change = 'ambiguous' then 'diagnostic_ambiguous' else 'below_severity' end as reason_code from c join s on s.diagnostic_id = c.diagnostic_id where change in ('added', 'ambiguous'))"""
+ case when change = 'added' and severity <> 'info' then 'new_diagnostic' when change = 'ambiguous' then 'diagnostic_ambiguous' else 'below_severity' end as reason_code, coalesce(evidence_id, '') as evidence_ids from c join s on s.diagnostic_id = c.diagnostic_id where change in ('added', 'ambiguous'))"""
+
+
+def p4(f: Facts) -> DataFrame:
+    changes = keyed(f, "fx_diagnostics", ["diagnostic_id"], "severity").join(f.side("fx_diagnostics").select("diagnostic_id", "severity", "evidence_id"), "diagnostic_id")
+    return P.rule_no_new_diagnostics(changes)
 
 
 @query("p4_no_new_diagnostics", rule_sql("no_new_diagnostics", P4))
 def no_new_diagnostics(f: Facts) -> DataFrame:
-    changes = keyed(f, "fx_diagnostics", ["diagnostic_id"], "severity").join(f.side("fx_diagnostics").select("diagnostic_id", "severity"), "diagnostic_id")
-    return P.finish(P.rule_no_new_diagnostics(changes), "no_new_diagnostics")
+    return P.finish(p4(f), "no_new_diagnostics")
 
 
 P5 = """with rows_ as (select interaction_id as subject_key, case when queue is null then 'fail' when job is null then 'unknown' else 'pass' end as outcome,
- case when queue is null then 'target_dynamic' when job is null then 'job_dynamic' else 'target_static' end as reason_code from fx_interactions)"""
+ case when queue is null then 'target_dynamic' when job is null then 'job_dynamic' else 'target_static' end as reason_code, coalesce(evidence_id, '') as evidence_ids from fx_interactions)"""
 
 
 @query("p5_static_target", rule_sql("static_target", P5))
@@ -305,7 +438,7 @@ def static_target(f: Facts) -> DataFrame:
 
 
 P6 = """with rows_ as (select interaction_id as subject_key, case activation when 'constructed_cold' then 'fail' when 'unknown' then 'unknown' else 'pass' end as outcome,
- case activation when 'constructed_cold' then 'never_activated' when 'unknown' then 'activation_unknown' else 'activation_proven' end as reason_code from fx_interactions)"""
+ case activation when 'constructed_cold' then 'never_activated' when 'unknown' then 'activation_unknown' else 'activation_proven' end as reason_code, coalesce(evidence_id, '') as evidence_ids from fx_interactions)"""
 
 
 @query("p6_activation", rule_sql("activation", P6, severity="warning", on_unknown="info"))
@@ -313,20 +446,25 @@ def activation(f: Facts) -> DataFrame:
     return P.finish(P.rule_activation(f["fx_interactions"]), "activation", "warning", "info")
 
 
-P7 = f"""with m as (select interaction_id, count(*) as any_, count(case when registration = 'proven_registered' then 1 end) as sure from ({LOCAL}) x join fx_handlers h on h.handler_id = x.handler_id group by 1),
+P7 = f"""with m as (select interaction_id, count(*) as any_, count(case when registration = 'proven_registered' then 1 end) as sure, list(distinct h.evidence_id) as theirs from ({LOCAL}) x join fx_handlers h on h.handler_id = x.handler_id group by 1),
 rows_ as (select i.interaction_id as subject_key, case when coalesce(any_, 0) = 0 and queue is not null then 'fail' when coalesce(sure, 0) = 0 then 'unknown' else 'pass' end as outcome,
- case when coalesce(any_, 0) = 0 and queue is not null then 'handler_missing' when coalesce(sure, 0) = 0 then 'handler_unproven' else 'handler_proven' end as reason_code
+ case when coalesce(any_, 0) = 0 and queue is not null then 'handler_missing' when coalesce(sure, 0) = 0 then 'handler_unproven' else 'handler_proven' end as reason_code,
+ array_to_string(list_sort(list_append(coalesce(theirs, []), i.evidence_id)), ';') as evidence_ids
  from fx_interactions i left join m on m.interaction_id = i.interaction_id where kind in ('in_process_event', 'job_queue'))"""
 
 
+def p7(f: Facts) -> DataFrame:
+    matches = match_exact(f["fx_interactions"], f["fx_handlers"], ("service_ns",))
+    return P.rule_local_handler(f["fx_interactions"], matches, f["fx_handlers"], ["in_process_event", "job_queue"])
+
+
 @query("p7_local_handler", rule_sql("local_handler", P7))
 def local_handler(f: Facts) -> DataFrame:
-    rows = P.rule_local_handler(f["fx_interactions"], match_exact(f["fx_interactions"], f["fx_handlers"], ("service_ns",)), f["fx_handlers"], ["in_process_event", "job_queue"])
-    return P.finish(rows, "local_handler")
+    return P.finish(p7(f), "local_handler")
 
 
-P8 = """with a as (select m.endpoint_id, bool_or(state = 'configured_relationship') as bad, bool_and(state = 'proven_enforced') as all_ from fx_auth_metadata m join fx_auth_enforcement e on e.metadata_id = m.metadata_id group by 1),
-rows_ as (select endpoint_id as subject_key, case when bad then 'fail' when not all_ then 'unknown' else 'pass' end as outcome, case when bad then 'not_enforced' when not all_ then 'enforcement_unknown' else 'enforced' end as reason_code from a)"""
+P8 = f"""with a as (select m.endpoint_id, bool_or(state = 'configured_relationship') as bad, bool_and(state = 'proven_enforced') as all_, {ids_sql("evidence_id")} as evidence_ids from fx_auth_metadata m join fx_auth_enforcement e on e.metadata_id = m.metadata_id group by 1),
+rows_ as (select endpoint_id as subject_key, case when bad then 'fail' when not all_ then 'unknown' else 'pass' end as outcome, case when bad then 'not_enforced' when not all_ then 'enforcement_unknown' else 'enforced' end as reason_code, evidence_ids from a)"""
 
 
 def p8(f: Facts) -> DataFrame:
@@ -338,14 +476,22 @@ def authorization(f: Facts) -> DataFrame:
     return P.finish(p8(f), "authorization")
 
 
-RULES = " union all ".join(f"select * from ({rule_sql(n, b, *lv)}) r_{n}" for n, b, *lv in (("no_direct_access", P1), ("static_target", P5), ("activation", P6, "warning", "info"), ("authorization", P8)))
+#: Severity and severity of unknowns of each configured rule.
+CONFIG = {
+    "no_direct_access": (P1, "error", "warning"), "guard_on_write": (P2, "error", "error"), "complete_write_trace": (P3, "error", "warning"),
+    "no_new_diagnostics": (P4, "error", "warning"), "static_target": (P5, "error", "warning"), "activation": (P6, "warning", "info"),
+    "local_handler": (P7, "error", "warning"), "authorization": (P8, "error", "warning"),
+}
+RULES = " union all ".join(f"select * from ({rule_sql(n, *c)}) r_{n}" for n, c in CONFIG.items())
 
 
 def policies(f: Facts) -> DataFrame:
-    return P.evaluate_policies({
-        "no_direct_access": (p1(f), "error", "warning"), "static_target": (P.rule_static_target(f["fx_interactions"]), "error", "warning"),
-        "activation": (P.rule_activation(f["fx_interactions"]), "warning", "info"), "authorization": (p8(f), "error", "warning"),
-    })
+    reach = W.walk(f.sql(SEEDS), f.sql(CALLS), 3)
+    rows = {
+        "no_direct_access": p1(f), "guard_on_write": P.rule_guard_on_write(W.terminals_of(reach, f.sql(ACCESS)), f["fx_guard_use"]), "complete_write_trace": p3(f, reach), "no_new_diagnostics": p4(f),
+        "static_target": P.rule_static_target(f["fx_interactions"]), "activation": P.rule_activation(f["fx_interactions"]), "local_handler": p7(f), "authorization": p8(f),
+    }
+    return P.evaluate_policies({rule: (rows[rule], *levels) for rule, (_, *levels) in CONFIG.items()})
 
 
 @query("p9_evaluate_policies", RULES)

@@ -45,7 +45,7 @@ def guards(f: Facts) -> DataFrame:
 
 
 @query("j3_endpoint_authorization", """
-select m.endpoint_id, m.metadata_id, metadata_key, scope, state, guard_id from fx_auth_metadata m join fx_auth_enforcement e on e.metadata_id = m.metadata_id""")
+select m.endpoint_id, m.metadata_id, metadata_key, scope, state, guard_id, evidence_id from fx_auth_metadata m join fx_auth_enforcement e on e.metadata_id = m.metadata_id""")
 def authorization(f: Facts) -> DataFrame:
     return M.endpoint_authorization(f["fx_auth_metadata"], f["fx_auth_enforcement"])
 

@@ -11,7 +11,7 @@ from factgraph.operators import system as S
 from factgraph.operators import walk as W
 from factgraph.operators.diff import merge_ambiguities
 from factgraph.operators.select import distributed_candidates
-from factgraph.plans.change import FILE_IMPACT, P8, RULES, TWICE, file_impact, p8, policies, rule_sql
+from factgraph.plans.change import ALL_IMPACT, P8, RULES, TWICE, every_impact, p8, policies, rule_sql
 from factgraph.plans.graph import ACCESS, CALLS, LINEAGE, MATCHES, SEEDS, SERVED, TERMINALS, reach_sql
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
@@ -57,8 +57,8 @@ def candidates(f: Facts) -> DataFrame:
 
 
 X4A = f"""with {CORRELATED}, rows_ as (select record_id as subject_key, case state when 'target_only' then 'fail' when 'ambiguous' then 'unknown' else 'pass' end as outcome,
- case state when 'target_only' then 'realm_undeclared' when 'ambiguous' then 'realm_ambiguous' else 'realm_declared' end as reason_code from corr where role = 'producer' and state <> 'unmatched')"""
-X4B = f"""with {CORRELATED}, rows_ as (select record_id as subject_key, case state when 'ambiguous' then 'fail' else 'pass' end as outcome, case state when 'ambiguous' then 'ambiguous' else 'unambiguous' end as reason_code
+ case state when 'target_only' then 'realm_undeclared' when 'ambiguous' then 'realm_ambiguous' else 'realm_declared' end as reason_code, '' as evidence_ids from corr where role = 'producer' and state <> 'unmatched')"""
+X4B = f"""with {CORRELATED}, rows_ as (select record_id as subject_key, case state when 'ambiguous' then 'fail' else 'pass' end as outcome, case state when 'ambiguous' then 'ambiguous' else 'unambiguous' end as reason_code, '' as evidence_ids
  from corr where role = 'producer' and state <> 'unmatched')"""
 
 
@@ -242,19 +242,17 @@ def comparable(f: Facts) -> DataFrame:
 
 
 @query("m10_gate_gaps", f"""
-with pol as ({RULES}), amb as (select kind, key, case when count(distinct side) > 1 then 'both' else min(side) end as side from ({TWICE}) t group by 1, 2), imp as ({FILE_IMPACT} select * from found)
+with pol as ({RULES}), amb as (select kind, key, case when count(distinct side) > 1 then 'both' else min(side) end as side from ({TWICE}) t group by 1, 2), imp as ({ALL_IMPACT} select * from every)
 select 'policy' as source, subject_key as subject, reason_code as reason from pol where outcome = 'unknown' union all select distinct 'impact', endpoint_id, category from imp where rank > 1 union all select 'diff', key, 'ambiguous_'||side from amb""")
 def gaps(f: Facts) -> DataFrame:
+    return X.gate_gaps(policies(f), every_impact(f), merge_ambiguities(f.sql(TWICE)))
 
 
-    return X.gate_gaps(policies(f), file_impact(f), merge_ambiguities(f.sql(TWICE)))
-
-
-PLACES = "select class_id as subject_key, path, 1 as line from fx_classes c join fx_files f on f.side='after' and f.file_id = c.file_id"
+SITES = "select class_id as subject_key, path, 1 as line from fx_classes c join fx_files f on f.side='after' and f.file_id = c.file_id"
 
 
 @query("m10_gate_findings", f"""
 select rule_id, p.subject_key, case severity when 'error' then 'failure' when 'warning' then 'warning' else 'notice' end as level, location from ({RULES}) p
-left join (select subject_key, min(path||':'||line) as location from ({PLACES}) x group by 1) l on l.subject_key = p.subject_key where outcome = 'fail' or blocking""")
+left join (select subject_key, min(path||':'||line) as location from ({SITES}) x group by 1) l on l.subject_key = p.subject_key where outcome = 'fail' or blocking""")
 def findings(f: Facts) -> DataFrame:
-    return X.gate_findings(policies(f), f.sql(PLACES))
+    return X.gate_findings(policies(f), f.sql(SITES))

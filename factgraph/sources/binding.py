@@ -55,25 +55,25 @@ from orders cross join fx_side group by side, o_custkey
 """,
     "fx_calls": """
 select side, 'method:o'||l_orderkey as subject_id, 'method:p'||l_partkey as object_id,
-  min(case when l_linenumber=6 then 2 when l_linenumber=7 then 3 else 1 end) as status_rank
+  min(case when l_linenumber=6 then 2 when l_linenumber=7 then 3 else 1 end) as status_rank, 'evidence:'||l_orderkey||'_'||l_partkey as evidence_id
 from lineitem cross join fx_side
 where (side='before' and l_partkey%10<>7) or (side='after' and l_partkey%10<>8)
 group by side, l_orderkey, l_partkey
 union all
-select side, 'method:p'||p_partkey, 'method:p'||((p_partkey*7+3)%n_parts), case when p_partkey%11=0 then 2 else 1 end
+select side, 'method:p'||p_partkey, 'method:p'||((p_partkey*7+3)%n_parts), case when p_partkey%11=0 then 2 else 1 end, 'evidence:p'||p_partkey
 from part cross join fx_side cross join fx_size where p_partkey%3=0
 """,
     "fx_access": """
 select side, 'method:p'||l_partkey as subject_id, 'table:'||l_suppkey as object_id,
   case when l_returnflag='R' then 'METHOD_WRITES_TABLE' else 'METHOD_READS_TABLE' end as predicate,
-  min(case when l_linestatus='F' and l_quantity<10 and (side='before' or l_suppkey%5<>0) then 2 else 1 end) as status_rank
+  min(case when l_linestatus='F' and l_quantity<10 and (side='before' or l_suppkey%5<>0) then 2 else 1 end) as status_rank, 'evidence:a'||l_partkey||'_'||l_suppkey as evidence_id
 from lineitem cross join fx_side where l_linenumber=1
 group by side, l_partkey, l_suppkey, case when l_returnflag='R' then 'METHOD_WRITES_TABLE' else 'METHOD_READS_TABLE' end
 """,
     "fx_guard_use": """
 select 'endpoint:'||c_custkey as endpoint_id, 'guard:'||c_nationkey as guard_id,
   case when c_nationkey%2=0 then 'controller' else 'method' end as scope,
-  case when c_nationkey%7=0 then 2 else 1 end as status_rank
+  case when c_nationkey%7=0 then 2 else 1 end as status_rank, 'evidence:g'||c_custkey as evidence_id
 from customer where c_acctbal>0
 """,
     "fx_global_guards": """
@@ -106,7 +106,7 @@ select 'region:'||p_partkey as region_id, 'source:'||(p_partkey%n_docs) as file_
 select side, 'diagnostic:'||event_id as diagnostic_id,
   case event_id%4 when 0 then 'CALL_DEPTH_LIMIT' when 1 then 'CALL_TARGET_UNRESOLVED' when 2 then 'TARGET_DYNAMIC' else 'IMPORT_UNRESOLVED' end as code,
   case when value>8 and side='after' then 'error' when value>4 then 'warning' else 'info' end as severity,
-  case when event_id%5=0 then null else 'endpoint:'||user_id end as subject_id, props as message
+  case when event_id%5=0 then null else 'endpoint:'||user_id end as subject_id, props as message, 'evidence:d'||event_id as evidence_id
 from events cross join fx_side
 where event_type='error' and ((side='before' and event_id%10<>7) or (side='after' and event_id%10<>8))
 """,
@@ -116,14 +116,14 @@ select 'interaction:'||event_id as interaction_id, 'svc'||(user_id%8) as service
   case when event_id%13=0 then null else 'q'||(user_id%(n_queues-3)) end as queue,
   case when event_id%11=0 then null else 'j'||(cast(regexp_extract(props,'[0-9]+',0) as int)%5) end as job,
   case event_id%5 when 0 then null when 1 then 'kafka' else 'rmq' end as transport,
-  case event_id%6 when 0 then 'constructed_cold' when 1 then 'unknown' when 2 then 'proven_activated' else 'eager' end as activation
+  case event_id%6 when 0 then 'constructed_cold' when 1 then 'unknown' when 2 then 'proven_activated' else 'eager' end as activation, 'evidence:i'||event_id as evidence_id
 from events cross join fx_size where event_type in ('purchase','signup','click')
 """,
     "fx_handlers": """
 select 'handler:'||s_suppkey as handler_id, 'svc'||(s_suppkey%8) as service_ns, 'method:p'||s_suppkey as method_id,
   case when s_suppkey%2=0 then 'job_queue' else 'microservice_message' end as kind,
   'q'||(s_suppkey%n_queues) as queue, case s_suppkey%3 when 0 then null when 1 then 'kafka' else 'rmq' end as transport, case when s_suppkey%4=0 then null else 'j'||(s_suppkey%5) end as job,
-  case when s_suppkey%9=0 then 'registration_unknown' else 'proven_registered' end as registration
+  case when s_suppkey%9=0 then 'registration_unknown' else 'proven_registered' end as registration, 'evidence:h'||s_suppkey as evidence_id
 from supplier cross join fx_size
 """,
     "fx_bindings": """
@@ -133,6 +133,20 @@ from supplier cross join (values (0),(1),(2),(3),(4),(5)) as s(n) cross join fx_
     "fx_patterns": """
 select distinct case page_id%7 when 0 then first||'.**' when 1 then first||'.*' when 2 then '*.'||last when 3 then '**.'||last when 4 then first||'.*.'||last when 5 then '*.*' else '*.'||first||'.**' end as pattern
 from (select page_id, split_part(rest, '/', 1) as first, split_part(rest, '/', 2) as last from (select page_id, regexp_replace(url, '^https?://[^/]+/', '') as rest from pages) u) v
+""",
+    "fx_interactions2": """
+select s.side, interaction_id, service_ns, source_method_id, kind, case when s.side='after' and n%17=0 then 'q0' else queue end as queue, job,
+  case when s.side='after' and n%19=0 then 'unknown' else activation end as activation
+from (select *, cast(split_part(interaction_id, ':', 2) as bigint) as n from fx_interactions) i cross join fx_side s where (s.side='before' and n%10<>7) or (s.side='after' and n%10<>8)
+""",
+    "fx_handlers2": """
+select s.side, handler_id, service_ns, method_id, kind, queue, case when s.side='after' and n%7=0 then null else job end as job,
+  case when s.side='after' and n%11=0 then 'registration_unknown' else registration end as registration
+from (select *, cast(split_part(handler_id, ':', 2) as bigint) as n from fx_handlers) h cross join fx_side s where (s.side='before' and n%10<>7) or (s.side='after' and n%10<>8)
+""",
+    "fx_branches2": """
+select s.side, branch_id, handler_id, selector_kind, case when s.side='after' and n%5=0 then jobs||',j9' else jobs end as jobs
+from (select *, cast(split_part(handler_id, ':', 2) as bigint) as n from fx_branches) b cross join fx_side s where (s.side='before' and n%12<>7) or (s.side='after' and n%14<>8)
 """,
     "fx_auth_metadata": """
 select 'meta:'||c_custkey as metadata_id, 'endpoint:'||c_custkey as endpoint_id, 'key'||(c_nationkey%3) as metadata_key,
@@ -142,7 +156,7 @@ from customer where c_custkey%4<>3
     "fx_auth_enforcement": """
 select 'enf:'||c_custkey as enforcement_id, 'meta:'||c_custkey as metadata_id, 'endpoint:'||c_custkey as endpoint_id,
   case c_custkey%5 when 0 then 'configured_relationship' when 1 then 'enforcement_unknown' else 'proven_enforced' end as state,
-  case when c_custkey%5=1 then null else 'guard:'||c_nationkey end as guard_id
+  case when c_custkey%5=1 then null else 'guard:'||c_nationkey end as guard_id, case when c_custkey%5=1 then null else 'evidence:e'||c_custkey end as evidence_id
 from customer where c_custkey%4<>3
 """,
     "fx_parameters": """

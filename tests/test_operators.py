@@ -83,16 +83,20 @@ def test_an_uncalled_method_is_no_impact(spark):
     impl = spark.createDataFrame([("e1", "m1", 1), ("e2", "m2", 1), ("e3", None, 1)], EDGE)
     files, classes = spark.createDataFrame([("f",), ("g",)], "file_id string"), spark.createDataFrame([("c", "f"), ("d", "g")], "class_id string, file_id string")
     methods = spark.createDataFrame([("helper", "c"), ("lonely", "d")], "method_id string, class_id string")
-    found = impact.impact_files(files, classes, methods, calls, impl)
-    assert rows(found) == [("e1", "file_change", "f", False, 1), ("e2", "file_change", "f", False, 2)]
+    changed = impact.changed_symbols(files, classes, methods)
+    found = impact.impact_methods(changed, calls, impl)
+    assert rows(found.select("endpoint_id", "category", "subject", "direct", "rank")) == [("e1", "file_change", "f", False, 1), ("e2", "file_change", "f", False, 2)]
     assert rows(impact.unreachable_changes(files, classes, found)) == [("g", "no_endpoint_path")]
+    # A caller that only stood before is hit by the edges of its side.
+    before = impact.impact_methods(changed, spark.createDataFrame([("m3", "helper", 1)], EDGE), spark.createDataFrame([("e9", "m3", 1)], EDGE))
+    assert {r.endpoint_id for r in impact.either_side(before, found).collect()} == {"e1", "e2", "e9"}
 
 
 def test_every_policy_outcome(spark):
     t = spark.createDataFrame([("e1", "METHOD_WRITES_TABLE", "t", 1), ("e2", "METHOD_WRITES_TABLE", "t", 1), ("e3", "METHOD_WRITES_TABLE", "t", 1), ("e4", "METHOD_READS_TABLE", "t", 1)], "root string, predicate string, table_id string, rank int")
-    uses = spark.createDataFrame([("e1", "g", 1), ("e3", "g", 2)], "endpoint_id string, guard_id string, status_rank int")
-    got = rows(policy.finish(policy.rule_guard_on_write(t, uses), "r", "error", "error").select("subject_key", "outcome", "blocking"))
-    assert got == [("e1", "pass", False), ("e2", "fail", True), ("e3", "unknown", True)]
+    uses = spark.createDataFrame([("e1", "g", 1, "v2"), ("e1", "h", 1, "v1"), ("e3", "g", 2, "v3")], "endpoint_id string, guard_id string, status_rank int, evidence_id string")
+    got = rows(policy.finish(policy.rule_guard_on_write(t, uses), "r", "error", "error").select("subject_key", "outcome", "blocking", "evidence_ids"))
+    assert got == [("e1", "pass", False, "v1;v2"), ("e2", "fail", True, ""), ("e3", "unknown", True, "v3")]
     none = policy.finish(policy.rule_guard_on_write(t.limit(0), uses), "r")
     assert rows(none.select("outcome", "subject_key", "blocking")) == [("not_applicable", "", False)]
 
