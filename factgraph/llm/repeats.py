@@ -50,25 +50,28 @@ def gram_ids(data: np.ndarray, q: int) -> np.ndarray:
 
 
 class Ladder:
-    """Identifiers of each place, refined by those at later offsets: rung k says what the next q * 2 ** k bytes are."""
+    """Identifiers of places, refined by those at later offsets: rung k says what the next q * 2 ** k bytes are."""
 
     def __init__(self, ids: np.ndarray, q: int):
-        self.q, self.rungs = q, [ids]
-
-    def rung(self, k: int) -> np.ndarray:
-        while len(self.rungs) <= k:
-            last, reach = self.rungs[-1], self.q << (len(self.rungs) - 1)
-            self.rungs.append(mixed(last[:-reach] * U(0xFF51AFD7ED558CCD) + last[reach:]))
-        return self.rungs[k]
-
-    def stretch(self, first: np.ndarray, span: np.ndarray, salt: int = 0) -> np.ndarray:
-        """What the bytes first .. first + span are: the highest rung that fits, at the start and at the end."""
-        out = np.zeros(len(first), U)
+        self.ids, self.q = ids, q
+
+    def rung(self, k: int, at: np.ndarray) -> np.ndarray:
+        """From the rung below, there and as many bytes later as that reaches. Only for the places that are asked for."""
+        if not k:
+            return self.ids[at]
+        return mixed(self.rung(k - 1, at) * U(0xFF51AFD7ED558CCD) + self.rung(k - 1, at + (self.q << (k - 1))))
+
+    def stretch(self, first: np.ndarray, span: np.ndarray, salts: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+        """What the bytes first .. first + span are, once for each salt: the highest rung that fits, at the start and so
+        that it ends with them."""
+        out = [np.zeros(len(first), U) for _ in salts]
         height = np.log2(span // self.q).astype(np.int64)
         for k in np.unique(height).tolist():
-            of, at = self.rung(k), height == k
+            at = height == k
             a, n = first[at], span[at]
-            out[at] = mixed((of[a] ^ U(salt)) * U(0x9FB21C651E98DF25) + of[a + n - (self.q << k)] + n.astype(U))
+            begin, end = self.rung(k, a), self.rung(k, a + n - (self.q << k)) + n.astype(U)
+            for column, salt in zip(out, salts, strict=True):
+                column[at] = mixed((begin ^ U(salt)) * U(0x9FB21C651E98DF25) + end)
         return out
 
 
@@ -107,7 +110,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 #: Sampled suffixes that a task holds before it deals them out.
-HELD = 400_000
+HELD = 200_000
 COLUMNS = (np.int64, np.int64, np.int64, np.int32, np.int32)
 
 
@@ -143,7 +146,7 @@ def dealt(docs: DataFrame, plan: Plan, parts: int) -> DataFrame:
                     ids = gram_ids(tile, plan.q)
                     first, n, at = plan.runs(ids)
                     shape = n * 1024 + at - first
-                    key = Ladder(ids, plan.q).stretch(first, n + plan.length - 1) ^ mixed(shape.astype(U))
+                    key = Ladder(ids, plan.q).stretch(first, n + plan.length - 1)[0] ^ mixed(shape.astype(U))
                     held.append((ids[at].view(np.int64), key.view(np.int64), np.full(len(first), uid), first + begin, shape))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield flush()
@@ -165,7 +168,7 @@ def unpacked(bodies: list[bytes]) -> list[np.ndarray]:
 
 
 def sampled(dealt: DataFrame, parts: int) -> DataFrame:
-    """The rows of dealt, unpacked, each bucket in one partition, sorted by bucket and class; done ones come first."""
+    """The rows of dealt, unpacked, each bucket in one partition, sorted by bucket and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for done, bodies in digest_rows(batches, ["done", "body"], 1):
@@ -173,7 +176,7 @@ def sampled(dealt: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), done[0])), *map(pa.array, columns)], ["done", "h", "k", "uid", "start", "shape"])
 
     rows = dealt.repartition(parts, "part").mapInArrow(run, "done boolean, h long, k long, uid long, start int, shape int")
-    return rows.sortWithinPartitions("done", "h", "k", "uid", "start")
+    return rows.sortWithinPartitions("h", "k", "uid", "start")
 
 
 def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +240,7 @@ def cores(bodies: DataFrame, plan: Plan) -> DataFrame:
                         span = np.full(int(some.sum()), plan.length - (high - low))
                         first = at[some] - low
                         mark = U(j + 1)
-                        for column, x in zip(out, (ids.stretch(first, span) ^ mark, np.full(len(first), uid), at[some] - b[some] + begin, (b - a + 1)[some]), strict=True):
+                        for column, x in zip(out, (ids.stretch(first, span)[0] ^ mark, np.full(len(first), uid), at[some] - b[some] + begin, (b - a + 1)[some]), strict=True):
                             column.append(x)
             core, uid, start, n = map(np.concatenate, out)
             yield pa.RecordBatch.from_pydict({"core": signed(core), "uid": pa.array(uid), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
@@ -246,7 +249,7 @@ def cores(bodies: DataFrame, plan: Plan) -> DataFrame:
 
 
 #: Windows that a task holds before it hands them on.
-WINDOWS = 1 << 19
+WINDOWS = 1 << 17
 
 
 def windows(bodies: DataFrame, plan: Plan) -> DataFrame:
@@ -287,7 +290,7 @@ def windows(bodies: DataFrame, plan: Plan) -> DataFrame:
                         ids = Ladder(gram_ids(tile, plan.q), plan.q)
                         starts = np.concatenate([np.arange(s, s + n) - begin for s, n in mine])
                         span = np.full(len(starts), plan.length)
-                        held.append((ids.stretch(starts, span), ids.stretch(starts, span, 0x5BD1E995), np.full(len(starts), uid), starts + begin))
+                        held.append((*ids.stretch(starts, span, (0, 0x5BD1E995)), np.full(len(starts), uid), starts + begin))
                     if sum(len(x[0]) for x in held) >= WINDOWS:
                         yield flush()
         if held:

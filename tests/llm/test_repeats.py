@@ -87,7 +87,7 @@ def test_rungs_say_what_the_bytes_are():
     ladder = repeats.Ladder(repeats.gram_ids(data, 4), 4)
     for span in (4, 7, 8, 9, 15, 16, 20, 33):
         first = np.arange(len(data) - span + 1)
-        found = ladder.stretch(first, np.full(len(first), span)).tolist()
+        found = ladder.stretch(first, np.full(len(first), span))[0].tolist()
         texts = [data[i : i + span].tobytes() for i in first]
         assert len(set(found)) == len(set(texts)) == len(set(zip(found, texts, strict=True)))
 
@@ -121,7 +121,7 @@ def test_sifting_does_not_depend_on_batches():
     names = ["done", "h", "k", "uid", "start", "shape"]
     for _ in range(60):
         n = int(rng.integers(1, 30))
-        rows = sorted((bool(rng.random() < 0.2), int(rng.integers(5)), int(rng.integers(3)), i, 0, 1) for i in range(n))
+        rows = sorted(((bool(rng.random() < 0.2), int(rng.integers(5)), int(rng.integers(3)), i, 0, 1) for i in range(n)), key=lambda r: r[1:])
         table = pa.table({c: pa.array(x, t) for c, x, t in zip(names, zip(*rows), [pa.bool_(), *[pa.int64()] * 3, pa.int32(), pa.int32()])})
         want = [(r[3], False) for r in rows if r[0]]
         live = [r for r in rows if not r[0]]
