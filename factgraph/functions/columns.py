@@ -135,10 +135,25 @@ def target_key(**parts: Column) -> Column:
     return F.to_json(F.struct(*[parts[name].alias(name) for name in sorted(parts)]), {"ignoreNullFields": "false"})
 
 
-def target_label(kind: Column, queue: Column, job: Column, technology: str = "bullmq") -> Column:
-    queued = F.concat(F.lit(f"{technology} queue "), F.coalesce(queue, F.lit("dynamic queue")), F.lit("; job "), F.coalesce(job, F.lit("any/dynamic job")))
-    message = F.concat(F.lit("request-response "), F.coalesce(queue, F.lit("dynamic pattern")), F.lit("; client dynamic client; transport unknown transport"))
-    return F.when(kind == "job_queue", queued).when(kind == "microservice_message", message).otherwise(F.coalesce(queue, F.lit("dynamic event")))
+def target_label(kind: Column, **target: Column) -> Column:
+    """A target as people read it: a queue's job, a message of a mode, client and transport, an outbound request, or an
+    event. Parts that are not known are named so. kind: job_queue, microservice_message, outbound_http or another."""
+    part = lambda name, default: F.coalesce(target.get(name, F.lit(None).cast("string")), F.lit(default))
+    queued = F.concat(part("technology", "bullmq"), F.lit(" queue "), part("queue", "dynamic queue"), F.lit("; job "), part("job", "any/dynamic job"))
+    mode = F.when(part("mode", "request_response") == "request_response", "request-response").otherwise("event")
+    message = F.concat(mode, F.lit(" "), part("queue", "dynamic pattern"), F.lit("; client "), part("client", "dynamic client"), F.lit("; transport "), part("transport", "unknown transport"))
+    keys = target.get("query_keys", F.array().cast("array<string>"))
+    asked = F.concat(part("http_method", "GET"), F.lit(" "), part("url", "dynamic target"), F.when(F.size(keys) > 0, F.concat(F.lit("; query keys: "), F.array_join(keys, ", "))).otherwise(""))
+    name = part("queue", "dynamic event")
+    wild = F.when(target["delimiter"].isNull(), name).otherwise(F.concat(name, F.lit(" [wildcard; delimiter "), target["delimiter"], F.lit("]"))) if "delimiter" in target else name
+    return F.when(kind == "job_queue", queued).when(kind == "microservice_message", message).when(kind == "outbound_http", asked).otherwise(wild)
+
+
+def resource_label(technology: Column, operation: Column, kind: Column, value: Column, segments: Column) -> Column:
+    """segments: array of struct(kind, value) of a template: literal, symbolic or placeholder (value is its number)."""
+    text = F.array_join(F.transform(segments, lambda s: F.when(s["kind"] == "literal", s["value"]).otherwise(F.concat(F.lit("${"), s["value"], F.lit("}")))), "")
+    target = F.when(kind == "exact", value).when(kind == "symbolic", F.concat(F.lit("$"), value)).when(kind == "dynamic", "<dynamic>").otherwise(text)
+    return F.concat_ws(" ", technology, operation, target)
 
 
 def result_state(diagnostics: Column, errors: Column, facts: Column) -> Column:

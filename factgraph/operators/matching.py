@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def endpoint_catalogue(endpoints: DataFrame, implementations: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
-    """Endpoint, handler, class, file and status: ambiguous where the slot is not its own, unresolved without handler."""
+def endpoint_catalogue(endpoints: DataFrame, implementations: DataFrame, methods: DataFrame, classes: DataFrame, controller: str | None = None, route: str | None = None) -> DataFrame:
+    """Endpoint, handler, class, file and status: ambiguous where the slot is not its own, unresolved without handler. Only
+    those of a controller (its qualified name) or below a route (whole segments), if these are given; a slot is counted
+    over all endpoints."""
     slots = endpoints.groupBy("http_method", "path").agg(F.count(F.lit(1)).alias("in_slot"))
+    if route is not None:
+        below = F.col("path").startswith(route.rstrip("/") + "/") | (F.col("path") == route)
+        endpoints = endpoints.where(below)
     rows = (
         endpoints.join(slots, ["http_method", "path"])
         .join(implementations.select(F.col("subject_id").alias("endpoint_id"), F.col("object_id").alias("method_id"), "status_rank"), "endpoint_id", "left")
         .join(methods.select("method_id", "class_id"), "method_id", "left").join(classes.select("class_id", "file_id", "qualified_name"), "class_id", "left")
     )
+    if controller is not None:
+        rows = rows.where(F.col("qualified_name") == controller)
     status = F.when(F.col("in_slot") > 1, "ambiguous").when(F.col("method_id").isNull() | (F.col("status_rank") > 2), "unresolved").when(F.col("status_rank") == 2, "ambiguous").otherwise("resolved")
     return rows.select("endpoint_id", "http_method", "path", "method_id", "class_id", "file_id", status.alias("status"))
 
@@ -87,12 +94,15 @@ def match_wildcard(events: DataFrame, patterns: DataFrame, delimiter: str = ".")
     return fixed.select("event", "pattern").unionByName(same.select("event", "pattern")).unionByName(longer.select("event", "pattern"))
 
 
-def cap_fan_out(matches: DataFrame, n: int) -> DataFrame:
-    """The first n handlers of each producer, with how many there were and whether some were left out."""
+def cap_fan_out(matches: DataFrame, interactions: DataFrame, n: int) -> DataFrame:
+    """The first n handlers of each producer, with how many there were, the diagnostic where some were left out, and the
+    state: a request that several handlers would answer is ambiguous."""
     total = matches.groupBy("interaction_id").agg(F.count(F.lit(1)).alias("total"))
     place = F.row_number().over(Window.partitionBy("interaction_id").orderBy("handler_id"))
     first = matches.withColumn("place", place).where(F.col("place") <= n)
-    return first.join(total, "interaction_id").withColumn("limited", F.col("total") > n)
+    rows = first.join(total, "interaction_id").join(interactions.select("interaction_id", "kind"), "interaction_id")
+    state = F.when((F.col("kind") == "microservice_message") & (F.col("total") > 1), "ambiguous").otherwise("resolved")
+    return rows.select("interaction_id", "handler_id", "place", "total", state.alias("state"), F.when(F.col("total") > n, "FAN_OUT_LIMIT").alias("diagnostic"))
 
 
 def select_branches(matches: DataFrame, interactions: DataFrame, branches: DataFrame) -> DataFrame:
@@ -115,14 +125,21 @@ def attribute_regions(evidence: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def match_api_slots(slots: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(http_method, path, theirs, ours, state): an external list against our endpoints, both sides' leftovers included."""
+    """(http_method, path, theirs, ours, state, duplicates): an external list against our endpoints, both sides' leftovers
+    included; duplicates names our endpoints of a slot that holds several."""
     a = slots.groupBy("http_method", "path").agg(F.count(F.lit(1)).alias("theirs"))
-    b = endpoints.groupBy("http_method", "path").agg(F.count(F.lit(1)).alias("ours"))
+    several = F.when(F.count(F.lit(1)) > 1, F.array_join(F.sort_array(F.collect_list("endpoint_id")), ";"))
+    b = endpoints.groupBy("http_method", "path").agg(F.count(F.lit(1)).alias("ours"), several.alias("duplicates"))
     both = a.join(b, ["http_method", "path"], "full_outer").fillna(0, ["theirs", "ours"])
     state = F.when(F.col("theirs") == 0, "not_listed").when(F.col("ours") == 0, "unmatched").when((F.col("ours") > 1) | (F.col("theirs") > 1), "ambiguous").otherwise("resolved")
     return both.withColumn("state", state)
 
 
+def api_summary(slots: DataFrame) -> DataFrame:
+    """Counts of slots by state, with the entries of either side in them."""
+    return slots.groupBy("state").agg(F.count(F.lit(1)).alias("slots"), F.sum("theirs").alias("theirs"), F.sum("ours").alias("ours"))
+
+
 def bind_topology(interactions: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(interaction_id, realm_id, state) with more than one realm an error, and the bindings that nothing used."""
     hits = interactions.select("interaction_id", "service_ns", "queue").join(bindings, ["service_ns", "queue"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,21 +72,56 @@ def diff_systems(before: DataFrame, after: DataFrame, key: list[str], compare: l
     return changes.join(seen, service, "left").select(*key, F.when(gone, "unknown").otherwise(F.col("change")).alias("change"), "reasons")
 
 
+def diff_correlations(before: DataFrame, after: DataFrame, services: DataFrame, observations: DataFrame) -> DataFrame:
+    """(record_id, change, before_state, after_state, before_consumers, after_consumers): producers' correlations that are
+    new, gone (unknown if their service was not observed), in another state, or have other candidates.
+    services: (record_id, service_ns)."""
+    side = lambda df, name: df.where("role = 'producer'").select("record_id", F.col("state").alias(f"{name}_state"), F.col("consumers").alias(f"{name}_consumers"))
+    seen = observations.where("side = 'after'").select("service_ns", F.col("state").alias("observed"))
+    rows = side(before, "before").join(side(after, "after"), "record_id", "full_outer").join(services.distinct(), "record_id", "left").join(seen, "service_ns", "left")
+    ambiguous = lambda c: F.col(c) == "ambiguous"
+    change = (
+        F.when(F.col("before_state").isNull(), "added")
+        .when(F.col("after_state").isNull(), F.when(F.coalesce("observed", F.lit("missing")) == "missing", "unknown").otherwise("removed"))
+        .when(ambiguous("after_state") & ~ambiguous("before_state"), "became_ambiguous").when(ambiguous("before_state") & ~ambiguous("after_state"), "no_longer_ambiguous")
+        .when(F.col("before_state") != F.col("after_state"), "state_changed").when(F.col("before_consumers") != F.col("after_consumers"), "candidates_changed")
+    )
+    return rows.select("record_id", change.alias("change"), "before_state", "after_state", "before_consumers", "after_consumers").where("change is not null")
+
+
+def system_summary(parts: dict[str, DataFrame]) -> DataFrame:
+    """(family, change, n) over diffs that have a `change`."""
+    rows = [df.groupBy("change").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("family"), "change", "n") for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def propagate(seeds: DataFrame, matches: DataFrame, onward: DataFrame, max_hops: int = 4) -> tuple[DataFrame, DataFrame]:
     """seeds: (seed, interaction_id); matches: (interaction_id, handler_id); onward: (handler_id, interaction_id), the
     producers that a handler's calls lead to. Returns (seed, hop, interaction_id, handler_id), a producer at its first hop
-    only, and (seed, interaction_id) of producers that the hop limit cut."""
-    frontier = stage(seeds.select("seed", "interaction_id").distinct(), "hops")
-    seen, links = frontier, None
+    only, and (seed, interaction_id, reason) of the producers at which a path ends: those it had passed at that hop or
+    before (cycle), and those that the limit of hops cut (hop_limit)."""
+    frontier = stage(seeds.select("seed", "interaction_id").distinct().withColumn("hop", F.lit(1)), "hops")
+    seen, links, cut = frontier, None, None
     for hop in range(1, max_hops + 1):
         reached = stage(frontier.join(matches, "interaction_id").select("seed", F.lit(hop).alias("hop"), "interaction_id", "handler_id"), "hop-links")
         links = reached if links is None else links.unionByName(reached)
-        ahead = reached.select("seed", "handler_id").distinct().join(onward, "handler_id").select("seed", "interaction_id").distinct()
-        frontier = stage(ahead.join(seen, ["seed", "interaction_id"], "left_anti"), "hops")
+        ahead = stage(reached.select("seed", "handler_id").distinct().join(onward, "handler_id").select("seed", "interaction_id").distinct(), "hops-ahead")
+        back = ahead.join(seen.select("seed", "interaction_id"), ["seed", "interaction_id"], "left_semi").withColumn("reason", F.lit("cycle"))
+        cut = back if cut is None else cut.unionByName(back)
+        frontier = stage(ahead.join(seen, ["seed", "interaction_id"], "left_anti").withColumn("hop", F.lit(hop + 1)), "hops")
         if frontier.isEmpty():
             break
+        if hop == max_hops:
+            cut = cut.unionByName(frontier.select("seed", "interaction_id", F.lit("hop_limit").alias("reason")))
         seen = seen.unionByName(frontier)
-    return links, frontier
+    return links, cut.distinct()
+
+
+def propagated_effects(links: DataFrame, effects: DataFrame) -> DataFrame:
+    """(seed, predicate, table_id, hop, certain): what the consumers that a seed reaches do, at the first hop.
+    effects: (handler_id, predicate, table_id, status_rank)."""
+    rows = links.groupBy("seed", "handler_id").agg(F.min("hop").alias("hop")).join(effects, "handler_id")
+    return rows.groupBy("seed", "predicate", "table_id").agg(F.min("hop").alias("hop"), F.bool_or(F.col("status_rank") == 1).alias("certain"))
 
 
 def propagation_summary(links: DataFrame) -> DataFrame:
@@ -104,3 +141,10 @@ def path_graph(paths: DataFrame) -> DataFrame:
     node = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("node_id")) for k, c in (("root", "seed"), ("producer", "interaction_id"), ("consumer", "handler_id"))]))
     rows = paths.select("hop", "complete", node.alias("at")).select("hop", "complete", "at.*")
     return rows.groupBy("kind", "node_id").agg(F.count(F.lit(1)).alias("n_paths"), F.min("hop").alias("hop"), F.when(F.bool_and("complete"), "proven").otherwise("conditional").alias("state"))
+
+
+def path_edges(paths: DataFrame) -> DataFrame:
+    """(source, target, n_paths, hop, state): the edges over all paths, root to producer to consumer."""
+    edge = F.explode(F.array(*[F.struct(F.col(a).alias("source"), F.col(b).alias("target")) for a, b in (("seed", "interaction_id"), ("interaction_id", "handler_id"))]))
+    rows = paths.select("hop", "complete", edge.alias("at")).select("hop", "complete", "at.*")
+    return rows.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n_paths"), F.min("hop").alias("hop"), F.when(F.bool_and("complete"), "proven").otherwise("conditional").alias("state"))

@@ -7,7 +7,7 @@ resolved, 2 ambiguous; other edges are not walked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.sources.staging import stage
@@ -68,16 +68,49 @@ def endpoint_trace(seeds: DataFrame, calls: DataFrame, scoped: DataFrame, hops:
     return stage(seen.groupBy(*keys).agg(F.min("depth").alias("depth")), "trace-states")
 
 
-def trace_summary(states: DataFrame, access: DataFrame) -> DataFrame:
-    """Per root: methods, deepest hop, tables read and written by class. access: (subject_id, object_id, predicate)."""
+def trace_steps(reached: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """(root, subject_id, object_id, depth, status_rank, walked): the edges that leave what a walk reached before its last
+    level, at the least depth of their start; those that are not walked (unresolved, without an object) too."""
+    first = reached.groupBy("root", F.col("node").alias("subject_id")).agg(F.min("depth").alias("depth")).where(F.col("depth") < depth)
+    steps = first.join(edges.select("subject_id", "object_id", "status_rank"), "subject_id")
+    return steps.select("root", "subject_id", "object_id", "depth", "status_rank", (F.col("object_id").isNotNull() & (F.col("status_rank") <= 2)).alias("walked"))
+
+
+def trace_terminals(states: DataFrame, access: DataFrame) -> DataFrame:
+    """(root, class, hop, predicate, table_id, rank): the tables behind a trace's states, the best status of each."""
+    rows = states.join(access.select(F.col("subject_id").alias("method"), F.col("object_id").alias("table_id"), "predicate", "status_rank"), "method")
+    return rows.groupBy("root", "class", "hop", "predicate", "table_id").agg(F.min("status_rank").alias("rank"))
+
+
+def limit_states(states: DataFrame, n: int) -> DataFrame:
+    """The first n states of each root by hop, depth, method and class, with how many there were and a diagnostic where
+    some were left out."""
+    total = states.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("hop", "depth", "method", "class"))
+    rows = states.withColumn("place", place).where(F.col("place") <= n).join(total, "root")
+    return rows.select("root", "method", "hop", "class", "depth", "total", F.when(F.col("total") > n, "STATE_LIMIT").alias("diagnostic"))
+
+
+def trace_summary(states: DataFrame, access: DataFrame, interactions: DataFrame, calls: DataFrame, depth: int = 3) -> DataFrame:
+    """Per root: methods, deepest hop, tables read and written by class, interactions by kind, and whether the trace is
+    complete, with the codes of what it lacks. access: (subject_id, object_id, predicate); calls: all, unresolved ones too."""
     effects = states.select("root", "class", F.col("method").alias("subject_id")).distinct().join(access.select("subject_id", "object_id", "predicate").distinct(), "subject_id")
     distinct = effects.select("root", "class", "predicate", "object_id").distinct()
     wide = distinct.groupBy("root").agg(
         F.count_if(F.col("predicate") == "METHOD_READS_TABLE").alias("reads"), F.count_if(F.col("predicate") == "METHOD_WRITES_TABLE").alias("writes"),
         F.count_if(F.col("class") == "sync").alias("sync_effects"), F.count_if(F.col("class") != "sync").alias("other_effects"),
     )
+    sent = states.select("root", "method").distinct().join(interactions.select(F.col("source_method_id").alias("method"), "interaction_id", "kind"), "method")
+    kinds = {"events": "in_process_event", "messages": "microservice_message", "jobs": "job_queue"}
+    sent = sent.groupBy("root").agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()])
+    lost = calls.where("status_rank = 3").select(F.col("subject_id").alias("method")).distinct()
+    more = walkable(calls).select(F.col("subject_id").alias("method")).distinct()
+    coded = lambda rows, code: rows.select("root", F.lit(code).alias("code")).distinct()
+    codes = coded(states.join(lost, "method", "left_semi"), "CALL_TARGET_UNRESOLVED").unionByName(coded(states.where(F.col("depth") == depth).join(more, "method", "left_semi"), "CALL_DEPTH_LIMIT"))
+    codes = codes.groupBy("root").agg(F.array_join(F.sort_array(F.collect_set("code")), ";").alias("codes"))
     base = states.groupBy("root").agg(F.count_distinct("method").alias("methods"), F.max("hop").alias("hops"))
-    return base.join(wide, "root", "left").fillna(0, ["reads", "writes", "sync_effects", "other_effects"])
+    rows = base.join(wide, "root", "left").join(sent, "root", "left").join(codes, "root", "left")
+    return rows.fillna(0, ["reads", "writes", "sync_effects", "other_effects", *kinds]).fillna("", ["codes"]).withColumn("complete", F.col("codes") == "")
 
 
 def simple_paths(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

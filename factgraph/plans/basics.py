@@ -146,11 +146,21 @@ def sanitized(f: Facts) -> DataFrame:
 @query("f12_target_key", """
 select interaction_id, '{"job":'||coalesce('"'||job||'"','null')||',"kind":"'||kind||'","queue":'||coalesce('"'||queue||'"','null')||'}' as target_key,
   case kind when 'job_queue' then 'bullmq queue '||coalesce(queue,'dynamic queue')||'; job '||coalesce(job,'any/dynamic job')
-   when 'microservice_message' then 'request-response '||coalesce(queue,'dynamic pattern')||'; client dynamic client; transport unknown transport' else coalesce(queue,'dynamic event') end as label
+   when 'microservice_message' then case when job is null then 'event ' else 'request-response ' end||coalesce(queue,'dynamic pattern')||'; client '||service_ns||'; transport '||coalesce(transport,'unknown transport') else coalesce(queue,'dynamic event') end as label
 from fx_interactions""")
 def target_keys(f: Facts) -> DataFrame:
     kind, queue, job = F.col("kind"), F.col("queue"), F.col("job")
-    return f["fx_interactions"].select("interaction_id", C.target_key(kind=kind, queue=queue, job=job).alias("target_key"), C.target_label(kind, queue, job).alias("label"))
+    mode = F.when(job.isNull(), "event").otherwise("request_response")
+    label = C.target_label(kind, queue=queue, job=job, mode=mode, client=F.col("service_ns"), transport=F.col("transport"))
+    return f["fx_interactions"].select("interaction_id", C.target_key(kind=kind, queue=queue, job=job).alias("target_key"), label.alias("label"))
+
+
+@query("f12_resource_label", """
+select resource_id, 's3 '||operation||' '||case target_kind when 'exact' then target when 'symbolic' then '$'||target when 'dynamic' then '<dynamic>' else target||'/${0}' end as label from fx_resources""")
+def resource_labels(f: Facts) -> DataFrame:
+    part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    segments = F.array(part("literal", F.col("target")), part("literal", F.lit("/")), part("placeholder", F.lit("0")))
+    return f["fx_resources"].select("resource_id", C.resource_label(F.lit("s3"), F.col("operation"), F.col("target_kind"), F.col("target"), segments).alias("label"))
 
 
 STATES = """select c_nationkey, c_custkey, count(d.diagnostic_id) as n, count(case when severity='error' then 1 end) as errors

@@ -35,6 +35,15 @@ def catalogue(f: Facts) -> DataFrame:
     return M.endpoint_catalogue(f.side("fx_endpoints"), f.side("fx_impl"), f["fx_methods"], f["fx_classes"])
 
 
+@query("j1_filtered_catalogue", """
+with e as (select *, count(*) over (partition by http_method, path) as in_slot from fx_endpoints where side='after')
+select endpoint_id, http_method, path, i.object_id as method_id, m.class_id, c.file_id,
+  case when in_slot > 1 then 'ambiguous' when i.object_id is null or i.status_rank > 2 then 'unresolved' when i.status_rank = 2 then 'ambiguous' else 'resolved' end as status
+from e left join (select * from fx_impl where side='after') i on i.subject_id = e.endpoint_id left join fx_methods m on m.method_id = i.object_id left join fx_classes c on c.class_id = m.class_id where path like '/building/%'""")
+def filtered_catalogue(f: Facts) -> DataFrame:
+    return M.endpoint_catalogue(f.side("fx_endpoints"), f.side("fx_impl"), f["fx_methods"], f["fx_classes"], route="/building")
+
+
 @query("j2_effective_guards", f"""
 with g as (select s.endpoint_id, guard_id, 'global' as scope, guard_order as place, 1 as status_rank from ({SERVED}) s join fx_global_guards gg on gg.service_ns = s.service_ns
  union all select endpoint_id, guard_id, scope, 0, status_rank from fx_guard_use)
@@ -84,10 +93,11 @@ def wildcard(f: Facts) -> DataFrame:
 
 
 @query("j7_cap_fan_out", f"""
-select interaction_id, handler_id, place, total, total > 2 as limited from (select interaction_id, handler_id, row_number() over (partition by interaction_id order by handler_id) as place,
- count(*) over (partition by interaction_id) as total from ({LOCAL}) m) x where place <= 2""")
+select x.interaction_id, handler_id, place, total, case when kind = 'microservice_message' and total > 1 then 'ambiguous' else 'resolved' end as state, case when total > 2 then 'FAN_OUT_LIMIT' end as diagnostic
+from (select interaction_id, handler_id, row_number() over (partition by interaction_id order by handler_id) as place,
+ count(*) over (partition by interaction_id) as total from ({LOCAL}) m) x join fx_interactions i on i.interaction_id = x.interaction_id where place <= 2""")
 def capped(f: Facts) -> DataFrame:
-    return M.cap_fan_out(local(f), 2)
+    return M.cap_fan_out(local(f), f["fx_interactions"], 2)
 
 
 @query("j8_select_branches", f"""
@@ -109,15 +119,27 @@ API = """select case c_mktsegment when 'AUTOMOBILE' then 'GET' when 'BUILDING' t
 '/'||lower(c_mktsegment)||'/'||case when c_custkey % 15 = 0 then 'shared'||(c_custkey%200) else 'c'||c_custkey end as path from customer"""
 
 
-@query("j10_match_api_slots", f"""
-select coalesce(a.http_method, b.http_method) as http_method, coalesce(a.path, b.path) as path, coalesce(theirs, 0) as theirs, coalesce(ours, 0) as ours,
+SLOTS = f"""select coalesce(a.http_method, b.http_method) as http_method, coalesce(a.path, b.path) as path, coalesce(theirs, 0) as theirs, coalesce(ours, 0) as ours, duplicates,
  case when theirs is null then 'not_listed' when ours is null then 'unmatched' when ours > 1 or theirs > 1 then 'ambiguous' else 'resolved' end as state
 from (select http_method, path, count(*) as theirs from ({API}) x group by 1, 2) a
-full outer join (select http_method, path, count(*) as ours from fx_endpoints where side='after' group by 1, 2) b on a.http_method = b.http_method and a.path = b.path""")
-def slots(f: Facts) -> DataFrame:
+full outer join (select http_method, path, count(*) as ours, case when count(*) > 1 then array_to_string(list_sort(list(endpoint_id)), ';') end as duplicates from fx_endpoints where side='after' group by 1, 2) b
+ on a.http_method = b.http_method and a.path = b.path"""
+
+
+def api_slots(f: Facts) -> DataFrame:
     return M.match_api_slots(f.sql(API), f.side("fx_endpoints"))
 
 
+@query("j10_match_api_slots", SLOTS)
+def slots(f: Facts) -> DataFrame:
+    return api_slots(f)
+
+
+@query("j10_api_summary", f"select state, count(*) as slots, cast(sum(theirs) as bigint) as theirs, cast(sum(ours) as bigint) as ours from ({SLOTS}) s group by state")
+def api_summary(f: Facts) -> DataFrame:
+    return M.api_summary(api_slots(f))
+
+
 @query("j11_bind_topology", """
 select interaction_id, case when n = 1 then realm end as realm_id, case n when 0 then 'unbound' when 1 then 'bound' else 'conflict' end as state
 from (select interaction_id, count(realm_id) as n, min(realm_id) as realm from fx_interactions i left join fx_bindings b on b.service_ns = i.service_ns and b.queue = i.queue group by interaction_id) x""")
@@ -147,7 +169,16 @@ def call_trace(f: Facts) -> DataFrame:
     return W.call_trace(f.sql(SEEDS), f.side("fx_calls"))
 
 
-HOPS = f"""select source_method_id as subject_id, method_id as object_id, case i.kind when 'in_process_event' then 'local_async' else 'distributed' end as kind
+STEPS = f"""select root, subject_id, object_id, depth, e.status_rank, e.object_id is not null and e.status_rank <= 2 as walked
+from (select root, node, min(depth) as depth from r group by 1, 2) x join (select * from fx_calls where side='after') e on e.subject_id = x.node where depth < 3"""
+
+
+@query("g1_call_steps", reach_sql(SEEDS, CALLS) + f"\n{STEPS}")
+def call_steps(f: Facts) -> DataFrame:
+    return W.trace_steps(W.walk(f.sql(SEEDS), f.sql(CALLS), 3), f.side("fx_calls"))
+
+
+HOPS = f"""select source_method_id as subject_id, method_id as object_id, case when i.kind <> 'in_process_event' then 'distributed' when i.activation = 'eager' then 'local_sync' else 'local_async' end as kind
 from fx_interactions i join fx_handlers h on {FITS} and h.service_ns = i.service_ns"""
 
 
@@ -171,17 +202,36 @@ def endpoint_trace(f: Facts) -> DataFrame:
     return trace(f)
 
 
+REACHED = f"select root, class, hop, predicate, object_id as table_id, min(status_rank) as rank from states t join ({ACCESS}) a on a.subject_id = t.method group by 1, 2, 3, 4, 5"
+
+
+@query("g2_trace_terminals", trace_sql(SEEDS) + "\n" + REACHED)
+def trace_terminals(f: Facts) -> DataFrame:
+    return W.trace_terminals(trace(f), f.sql(ACCESS))
+
+
+@query("g2_state_limit", trace_sql(SEEDS) + """
+select root, method, hop, class, depth, total, case when total > 5 then 'STATE_LIMIT' end as diagnostic from (select *, row_number() over (partition by root order by hop, depth, method, class) as place, count(*) over (partition by root) as total from states) x where place <= 5""")
+def state_limit(f: Facts) -> DataFrame:
+    return W.limit_states(trace(f), 5)
+
+
 SUMMARY = f"""
-select s.root, methods, hops, coalesce(reads, 0) as reads, coalesce(writes, 0) as writes, coalesce(sync_effects, 0) as sync_effects, coalesce(other_effects, 0) as other_effects
+select s.root, methods, hops, coalesce(reads, 0) as reads, coalesce(writes, 0) as writes, coalesce(sync_effects, 0) as sync_effects, coalesce(other_effects, 0) as other_effects,
+ coalesce(events, 0) as events, coalesce(messages, 0) as messages, coalesce(jobs, 0) as jobs, coalesce(codes, '') = '' as complete, coalesce(codes, '') as codes
 from (select root, count(distinct method) as methods, max(hop) as hops from states group by root) s left join (
   select root, count(case when predicate = 'METHOD_READS_TABLE' then 1 end) as reads, count(case when predicate = 'METHOD_WRITES_TABLE' then 1 end) as writes,
    count(case when class = 'sync' then 1 end) as sync_effects, count(case when class <> 'sync' then 1 end) as other_effects
-  from (select distinct root, class, predicate, object_id from states t join ({ACCESS}) a on a.subject_id = t.method) d group by root) e on e.root = s.root"""
+  from (select distinct root, class, predicate, object_id from states t join ({ACCESS}) a on a.subject_id = t.method) d group by root) e on e.root = s.root
+ left join (select root, count(case when kind = 'in_process_event' then 1 end) as events, count(case when kind = 'microservice_message' then 1 end) as messages, count(case when kind = 'job_queue' then 1 end) as jobs
+  from (select distinct root, interaction_id, kind from states t join fx_interactions i on i.source_method_id = t.method) d group by root) i on i.root = s.root
+ left join (select root, array_to_string(list_sort(list_distinct(list(code))), ';') as codes from (select root, 'CALL_TARGET_UNRESOLVED' as code from states t join fx_calls c on c.side='after' and c.status_rank = 3 and c.subject_id = t.method
+  union all select root, 'CALL_DEPTH_LIMIT' from states t where depth = 3 and method in (select subject_id from ({CALLS}) c)) d group by root) g on g.root = s.root"""
 
 
 @query("g4_trace_summary", trace_sql(SEEDS) + SUMMARY)
 def trace_summary(f: Facts) -> DataFrame:
-    return W.trace_summary(trace(f), f.sql(ACCESS))
+    return W.trace_summary(trace(f), f.sql(ACCESS), f["fx_interactions"], f.side("fx_calls"))
 
 
 HANDLED = "select handler_id as root, method_id as node, 1 as rank from fx_handlers"

@@ -11,7 +11,7 @@ from factgraph.operators import system as S
 from factgraph.operators import walk as W
 from factgraph.operators.diff import merge_ambiguities
 from factgraph.operators.select import distributed_candidates
-from factgraph.plans.change import ALL_IMPACT, P8, RULES, TWICE, every_impact, p8, policies, rule_sql
+from factgraph.plans.change import ALL_IMPACT, P8, RULES, TWICE, every_impact, keyed_sql, p8, policies, rule_sql
 from factgraph.plans.graph import ACCESS, CALLS, LINEAGE, MATCHES, SEEDS, SERVED, TERMINALS, reach_sql
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
@@ -86,16 +86,75 @@ def diff_realms(f: Facts) -> DataFrame:
     return S.diff_keyed(f.side("fx_realms", "before"), f.side("fx_realms"), ["realm_id"], ["transport"])
 
 
+#: The system on a side.
+def sided_system(side: str) -> str:
+    return CORRELATED.replace("from fx_interactions", f"from (select * from fx_interactions2 where side='{side}')").replace("from fx_handlers", f"from (select * from fx_handlers2 where side='{side}')").replace(
+        "from fx_bindings", f"from (select * from ({BOUND}) y where side='{side}')"
+    )
+
+
+BOUND = "select side, service_ns, queue, case when side='after' and queue = 'q2' then 'realm:9' else realm_id end as realm_id from fx_bindings cross join fx_side where side='before' or queue <> 'q3'"
+
+
+def sided_correlation(f: Facts, side: str) -> DataFrame:
+    ends = S.project_system_endpoints(f.side("fx_interactions2", side), f.side("fx_handlers2", side))
+    return S.correlate(ends, f.sql(BOUND).where(f"side = '{side}'").drop("side"))
+
+
+BINDING_CHANGES = keyed_sql(f"({BOUND}) bound_", "service_ns, queue", "realm_id")
+CORRELATION_CHANGES = f"""(select * from (select coalesce(b.record_id, a.record_id) as record_id, case when b.state is null then 'added' when a.state is null then case when coalesce(o.state, 'missing') = 'missing' then 'unknown' else 'removed' end
+  when a.state = 'ambiguous' and b.state <> 'ambiguous' then 'became_ambiguous' when b.state = 'ambiguous' and a.state <> 'ambiguous' then 'no_longer_ambiguous' when b.state <> a.state then 'state_changed' when b.consumers <> a.consumers then 'candidates_changed' end as change,
+  b.state as before_state, a.state as after_state, b.consumers as before_consumers, a.consumers as after_consumers
+ from (with {sided_system('before')} select * from corr where role = 'producer') b full outer join (with {sided_system('after')} select * from corr where role = 'producer') a on a.record_id = b.record_id
+ left join (select distinct interaction_id, service_ns from fx_interactions2) s on s.interaction_id = coalesce(b.record_id, a.record_id) left join fx_observations o on o.side = 'after' and o.service_ns = s.service_ns) d where change is not null)"""
+
+
+def binding_changes(f: Facts) -> DataFrame:
+    rows = f.sql(BOUND)
+    return S.diff_keyed(rows.where("side = 'before'"), rows.where("side = 'after'"), ["service_ns", "queue"], ["realm_id"])
+
+
+def correlation_changes(f: Facts) -> DataFrame:
+    services = f["fx_interactions2"].select(F.col("interaction_id").alias("record_id"), "service_ns")
+    return S.diff_correlations(sided_correlation(f, "before"), sided_correlation(f, "after"), services, f["fx_observations"])
+
+
+@query("x5_diff_bindings", f"select * from {BINDING_CHANGES} d")
+def diff_bindings(f: Facts) -> DataFrame:
+    return binding_changes(f)
+
+
+@query("x5_diff_correlations", f"select * from {CORRELATION_CHANGES} c")
+def diff_correlations(f: Facts) -> DataFrame:
+    return correlation_changes(f)
+
+
+@query("x5_summary", f"select 'bindings' as family, change, count(*) as n from {BINDING_CHANGES} b group by change union all select 'correlations', change, count(*) from {CORRELATION_CHANGES} c group by change")
+def system_summary(f: Facts) -> DataFrame:
+    return S.system_summary({"bindings": binding_changes(f), "correlations": correlation_changes(f)})
+
+
 ROOTS = f"select s.root as seed, i.interaction_id from ({SEEDS}) s join fx_interactions i on i.source_method_id = s.node"
-ONWARD = """select distinct h.handler_id, i.interaction_id from fx_handlers h join fx_branches b on b.handler_id = h.handler_id join fx_interactions i on i.queue = 'q'||split_part(b.branch_id, '_', 2) and i.kind = 'microservice_message'"""
+CONSUMERS = "select handler_id as root, method_id as node, 1 as rank from fx_handlers"
+#: The producers that a handler's calls lead to.
+ONWARD = f"select distinct w.root as handler_id, i.interaction_id from ({reach_sql(CONSUMERS, CALLS)} select distinct root, node from r) w join fx_interactions i on i.source_method_id = w.node"
 HOPPED = f"""with recursive m as ({MATCHES}), onward as ({ONWARD}), seeds as (select distinct seed, interaction_id from ({ROOTS}) r0),
 p(seed, interaction_id, hop) as (select seed, interaction_id, 1 from seeds union select p.seed, o.interaction_id, p.hop + 1 from p join m on m.interaction_id = p.interaction_id join onward o on o.handler_id = m.handler_id where p.hop < 4),
 least_ as (select seed, interaction_id, min(hop) as hop from p group by 1, 2),
 links as (select seed, hop, l.interaction_id, handler_id from least_ l join m on m.interaction_id = l.interaction_id)"""
 
 
+def onward(f: Facts) -> DataFrame:
+    reached = W.walk(f.sql(CONSUMERS), f.sql(CALLS), 3).select(F.col("root").alias("handler_id"), F.col("node").alias("source_method_id")).distinct()
+    return reached.join(f["fx_interactions"].select("interaction_id", "source_method_id"), "source_method_id").select("handler_id", "interaction_id").distinct()
+
+
+def propagated(f: Facts) -> tuple[DataFrame, DataFrame]:
+    return S.propagate(f.sql(ROOTS), M.match_exact(f["fx_interactions"], f["fx_handlers"]), onward(f))
+
+
 def linked(f: Facts) -> DataFrame:
-    return S.propagate(f.sql(ROOTS), M.match_exact(f["fx_interactions"], f["fx_handlers"]), f.sql(ONWARD))[0]
+    return propagated(f)[0]
 
 
 @query("x7_propagate", HOPPED + "\nselect * from links")
@@ -103,6 +162,22 @@ def propagate(f: Facts) -> DataFrame:
     return linked(f)
 
 
+@query("x7_truncations", HOPPED + """
+, ahead as (select distinct l.seed, o.interaction_id, l.hop from links l join onward o on o.handler_id = l.handler_id)
+select distinct a.seed, a.interaction_id, case when x.hop <= a.hop then 'cycle' else 'hop_limit' end as reason from ahead a left join least_ x on x.seed = a.seed and x.interaction_id = a.interaction_id where x.hop <= a.hop or (x.hop is null and a.hop = 4)""")
+def truncations(f: Facts) -> DataFrame:
+    return propagated(f)[1]
+
+
+EFFECT_ROWS = f"select h.handler_id, a.predicate, a.object_id as table_id, a.status_rank from fx_handlers h join ({ACCESS}) a on a.subject_id = h.method_id"
+
+
+@query("x7_effects", HOPPED + f"""
+select seed, predicate, table_id, min(hop) as hop, bool_or(status_rank = 1) as certain from links l join ({EFFECT_ROWS}) e on e.handler_id = l.handler_id group by 1, 2, 3""")
+def effects(f: Facts) -> DataFrame:
+    return S.propagated_effects(linked(f), f.sql(EFFECT_ROWS))
+
+
 @query("x7_propagation_summary", HOPPED + "\nselect hop, count(distinct seed) as seeds, count(distinct interaction_id) as producers, count(distinct handler_id) as consumers, count(*) as links from links group by hop")
 def propagation_summary(f: Facts) -> DataFrame:
     return S.propagation_summary(linked(f))
@@ -128,6 +203,12 @@ def path_graph(f: Facts) -> DataFrame:
     return S.path_graph(paths(f))
 
 
+@query("x10_path_edges", PATHS + """, at_ as (select seed as source, interaction_id as target, hop, complete from paths union all select interaction_id, handler_id, hop, complete from paths)
+select source, target, count(*) as n_paths, min(hop) as hop, case when bool_and(complete) then 'proven' else 'conditional' end as state from at_ group by 1, 2""")
+def path_edges(f: Facts) -> DataFrame:
+    return S.path_edges(paths(f))
+
+
 FAN = """with c as (select distinct subject_id, object_id from fx_calls where side='after' and status_rank = 1)
 select method_id, coalesce(i.n, 0) as fan_in, coalesce(o.n, 0) as fan_out from fx_methods m left join (select object_id, count(*) as n from c group by 1) i on i.object_id = m.method_id left join (select subject_id, count(*) as n from c group by 1) o on o.subject_id = m.method_id"""
 
@@ -200,20 +281,26 @@ g as (select endpoint_id, string_agg(guard_id, '; ' order by scope_rank, place,
 t as (select root as endpoint_id, coalesce(array_to_string(list_sort(list_distinct(list(table_id) filter (predicate = 'METHOD_READS_TABLE'))), '; '), '') as db_reads,
  coalesce(array_to_string(list_sort(list_distinct(list(table_id) filter (predicate = 'METHOD_WRITES_TABLE'))), '; '), '') as db_writes, min(case when predicate = 'METHOD_WRITES_TABLE' then rank end) as write_rank from terminals group by 1),
 lin as (select method_id, count(distinct (label, column_name)) as lineage_columns from ({LINEAGE}) x join fx_origins o on o.origin_id = x.origin_id join fx_parameters p on p.parameter_id = o.parameter_id group by 1),
+txt as (select method_id, string_agg(distinct label||' > '||column_name||' ('||state||')', '; ' order by label||' > '||column_name||' ('||state||')') as lineage from ({LINEAGE}) x join fx_origins o on o.origin_id = x.origin_id join fx_parameters p on p.parameter_id = o.parameter_id group by 1),
+sent as (select root, string_agg(distinct kind||' '||coalesce(queue, '?'), '; ' order by kind||' '||coalesce(queue, '?')) as interactions from (select distinct root, node from r) w join fx_interactions i on i.source_method_id = w.node group by 1),
+site as (select m.method_id, min(f.path) as location from fx_methods m join fx_classes c on c.class_id = m.class_id join fx_files f on f.side='after' and f.file_id = c.file_id group by 1),
 pol as (select subject_key, count(case when outcome = 'fail' then 1 end) as failed_rules from ({rule_sql('authorization', P8)}) y group by 1),
 e as (select *, count(*) over (partition by http_method, path) as in_slot from fx_endpoints where side='after'),
 cat as (select endpoint_id, http_method, path, i.object_id as method_id, case when in_slot > 1 then 'ambiguous' when i.object_id is null or i.status_rank > 2 then 'unresolved' when i.status_rank = 2 then 'ambiguous' else 'resolved' end as status
  from e left join (select * from fx_impl where side='after') i on i.subject_id = e.endpoint_id)
 select c.endpoint_id, http_method, path, status, coalesce(guards, '') as guards, coalesce(proven_guards, 0) as proven_guards, coalesce(db_reads, '') as db_reads, coalesce(db_writes, '') as db_writes,
- case when write_rank = 1 then 'write' when write_rank is not null or status <> 'resolved' then 'unknown' else 'non_write' end as mutation, coalesce(lineage_columns, 0) as lineage_columns, coalesce(failed_rules, 0) as failed_rules
-from cat c left join g on g.endpoint_id = c.endpoint_id left join t on t.endpoint_id = c.endpoint_id left join lin on lin.method_id = c.method_id left join pol on pol.subject_key = c.endpoint_id""")
+ case when write_rank = 1 then 'write' when write_rank is not null or status <> 'resolved' then 'unknown' else 'non_write' end as mutation, coalesce(lineage_columns, 0) as lineage_columns, coalesce(failed_rules, 0) as failed_rules,
+ coalesce(lineage, '') as lineage, coalesce(interactions, '') as interactions, location
+from cat c left join g on g.endpoint_id = c.endpoint_id left join t on t.endpoint_id = c.endpoint_id left join lin on lin.method_id = c.method_id left join pol on pol.subject_key = c.endpoint_id left join txt on txt.method_id = c.method_id left join sent on sent.root = c.endpoint_id left join site on site.method_id = c.method_id""")
 def control_evidence(f: Facts) -> DataFrame:
     catalogue = M.endpoint_catalogue(f.side("fx_endpoints"), f.side("fx_impl"), f["fx_methods"], f["fx_classes"])
     guards = M.effective_guards(f.sql(SERVED), f["fx_guard_use"], f["fx_global_guards"])
-    terminals = W.terminal_facts(f.sql(SEEDS), f.sql(CALLS), f.sql(ACCESS))
+    reached = W.walk(f.sql(SEEDS), f.sql(CALLS), 3)
+    terminals = W.terminals_of(reached, f.sql(ACCESS))
+    sent = reached.select("root", F.col("node").alias("source_method_id")).distinct().join(f["fx_interactions"].select("source_method_id", "kind", "queue"), "source_method_id")
     lineage = M.column_lineage(f["fx_parameters"], f["fx_origins"], f["fx_influences"], f["fx_columns"])
     methods = f["fx_origins"].join(f["fx_parameters"], "parameter_id").select("origin_id", "method_id")
-    return X.control_evidence(catalogue, guards, terminals, lineage.join(methods, "origin_id"), p8(f))
+    return X.control_evidence(catalogue, guards, terminals, lineage.join(methods, "origin_id"), p8(f), sent.select("root", "kind", "queue"), f.side("fx_files"))
 
 
 SCENES = f"select s.root, c.subject_id as source, c.object_id as target, c.status_rank as kind_rank, c.subject_id||'>'||c.object_id as edge_id from ({SEEDS}) s join fx_calls c on c.side='after' and c.subject_id = s.node and c.object_id is not null"
@@ -241,11 +328,17 @@ def comparable(f: Facts) -> DataFrame:
     return X.check_comparable(rows.where("side = 'before'"), rows.where("side = 'after'"), "service_ns", ["tool", "config"])
 
 
+COMPARED = f"""select coalesce(b.service_ns, a.service_ns) as service_ns, case when a.tool is null or b.tool is null then 'missing_side' when a.tool <> b.tool or a.config <> b.config then 'not_comparable' else 'comparable' end as state
+from (select * from ({RUNS}) x where side='before') b full outer join (select * from ({RUNS}) y where side='after') a on a.service_ns = b.service_ns"""
+
+
 @query("m10_gate_gaps", f"""
 with pol as ({RULES}), amb as (select kind, key, case when count(distinct side) > 1 then 'both' else min(side) end as side from ({TWICE}) t group by 1, 2), imp as ({ALL_IMPACT} select * from every)
-select 'policy' as source, subject_key as subject, reason_code as reason from pol where outcome = 'unknown' union all select distinct 'impact', endpoint_id, category from imp where rank > 1 union all select 'diff', key, 'ambiguous_'||side from amb""")
+select 'policy' as source, subject_key as subject, reason_code as reason from pol where outcome = 'unknown' union all select distinct 'impact', endpoint_id, category from imp where rank > 1 union all select 'diff', key, 'ambiguous_'||side from amb
+union all select 'diagnostics', diagnostic_id, code from fx_diagnostics where side='after' and severity = 'error' union all select 'runs', service_ns, state from ({COMPARED}) c where state <> 'comparable'
+union all select 'observations', service_ns, state from fx_observations where side='after' and state <> 'available'""")
 def gaps(f: Facts) -> DataFrame:
-    return X.gate_gaps(policies(f), every_impact(f), merge_ambiguities(f.sql(TWICE)))
+    return X.gate_gaps(policies(f), every_impact(f), merge_ambiguities(f.sql(TWICE)), f.side("fx_diagnostics"), comparable(f), f.side("fx_observations"))
 
 
 SITES = "select class_id as subject_key, path, 1 as line from fx_classes c join fx_files f on f.side='after' and f.file_id = c.file_id"

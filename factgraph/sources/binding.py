@@ -111,7 +111,7 @@ from events cross join fx_side
 where event_type='error' and ((side='before' and event_id%10<>7) or (side='after' and event_id%10<>8))
 """,
     "fx_interactions": """
-select 'interaction:'||event_id as interaction_id, 'svc'||(user_id%8) as service_ns, 'method:o'||user_id as source_method_id,
+select 'interaction:'||event_id as interaction_id, 'svc'||(user_id%8) as service_ns, case when event_id%4=0 then 'method:p'||(user_id%n_parts) else 'method:o'||user_id end as source_method_id,
   case event_type when 'purchase' then 'job_queue' when 'signup' then 'microservice_message' else 'in_process_event' end as kind,
   case when event_id%13=0 then null else 'q'||(user_id%(n_queues-3)) end as queue,
   case when event_id%11=0 then null else 'j'||(cast(regexp_extract(props,'[0-9]+',0) as int)%5) end as job,
@@ -186,7 +186,8 @@ from supplier cross join (values (0),(1),(2),(3)) as b(n) where s_suppkey%2=0 an
     "fx_resources": """
 select 'resource:'||p_partkey as resource_id, 'method:p'||p_partkey as method_id,
   case p_partkey%3 when 0 then 'read' when 1 then 'write' else 'delete' end as operation,
-  case when p_partkey%5=0 then null else p_brand end as target from part where p_partkey%2=0
+  case when p_partkey%5=0 then null else p_brand end as target,
+  case when p_partkey%5=0 then 'dynamic' when p_partkey%4=0 then 'symbolic' when p_partkey%3=0 then 'template' else 'exact' end as target_kind from part where p_partkey%2=0
 """,
     "fx_scoped_calls": """
 select 'method:p'||p_partkey as subject_id, 'method:p'||((p_partkey*7+3)%n_parts) as object_id, 'section:'||p_partkey as section_id

@@ -130,7 +130,33 @@ def test_propagation_meets_cycles_and_limits(spark):
     matches = spark.createDataFrame([("i1", "h1"), ("i2", "h2"), ("i3", "h3")], "interaction_id string, handler_id string")
     onward = spark.createDataFrame([("h1", "i2"), ("h2", "i1"), ("h2", "i3")], "handler_id string, interaction_id string")
     links, cut = system.propagate(seeds, matches, onward, 2)
-    assert rows(links) == [("e", 1, "i1", "h1"), ("e", 2, "i2", "h2")] and rows(cut) == [("e", "i3")]
+    assert rows(links) == [("e", 1, "i1", "h1"), ("e", 2, "i2", "h2")] and rows(cut) == [("e", "i1", "cycle"), ("e", "i3", "hop_limit")]
+    effects = spark.createDataFrame([("h1", "R", "t", 2), ("h2", "R", "t", 1), ("h3", "W", "t", 1)], "handler_id string, predicate string, table_id string, status_rank int")
+    assert rows(system.propagated_effects(links, effects)) == [("e", "R", "t", 1, True)]
+
+
+def test_correlation_changes(spark):
+    cols = "record_id string, role string, state string, reason string, consumers long"
+    before = spark.createDataFrame([("p1", "producer", "target_only", None, 1), ("p2", "producer", "ambiguous", None, 2), ("p3", "producer", "target_only", None, 1), ("p4", "producer", "target_only", None, 1), ("p5", "producer", "target_only", None, 1)], cols)
+    after = spark.createDataFrame([("p1", "producer", "ambiguous", None, 2), ("p2", "producer", "declared_realm", None, 2), ("p3", "producer", "target_only", None, 3), ("p6", "producer", "unmatched", None, 0)], cols)
+    services = spark.createDataFrame([("p4", "s"), ("p5", "t")], "record_id string, service_ns string")
+    seen = spark.createDataFrame([("after", "s", "missing"), ("after", "t", "available")], "side string, service_ns string, state string")
+    got = {r.record_id: r.change for r in system.diff_correlations(before, after, services, seen).collect()}
+    assert got == {"p1": "became_ambiguous", "p2": "no_longer_ambiguous", "p3": "candidates_changed", "p4": "unknown", "p5": "removed", "p6": "added"}
+
+
+def test_a_request_with_several_handlers_is_ambiguous(spark):
+    matches = spark.createDataFrame([("i1", h) for h in "abc"] + [("i2", "a"), ("i3", "a"), ("i3", "b")], "interaction_id string, handler_id string")
+    kinds = spark.createDataFrame([("i1", "microservice_message"), ("i2", "microservice_message"), ("i3", "job_queue")], "interaction_id string, kind string")
+    got = rows(matching.cap_fan_out(matches, kinds, 2))
+    assert got == [("i1", "a", 1, 3, "ambiguous", "FAN_OUT_LIMIT"), ("i1", "b", 2, 3, "ambiguous", "FAN_OUT_LIMIT"), ("i2", "a", 1, 1, "resolved", None), ("i3", "a", 1, 2, "resolved", None), ("i3", "b", 2, 2, "resolved", None)]
+
+
+def test_labels(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(C.target_label(F.lit("outbound_http"), http_method=F.lit("PUT"), url=F.lit("https://h/x"), query_keys=F.array(F.lit("a"), F.lit("b")))) == "PUT https://h/x; query keys: a, b"
+    assert one(C.target_label(F.lit("microservice_message"), mode=F.lit("event"), queue=F.lit("p"))) == "event p; client dynamic client; transport unknown transport"
+    assert one(C.target_label(F.lit("in_process_event"), queue=F.lit("a.*"), delimiter=F.lit("."))) == "a.* [wildcard; delimiter .]"
 
 
 def test_nearest_rank_and_heat(spark):
