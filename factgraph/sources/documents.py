@@ -42,6 +42,21 @@ def read_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"runs": docs.select("analysis_id", "schemaVersion", "runId"), **tables}
 
 
+def qualify_ids(tables: dict[str, DataFrame], scope: str = "analysis_id") -> dict[str, DataFrame]:
+    """The tables with the document in front of every id and of every reference (columns named id, ...Id, ...Ids): then the
+    jobs take the records of many documents at once, though ids repeat from one to the next."""
+
+    def whole(name: str, kind: str) -> Column:
+        within = lambda c: F.concat(F.col(scope), F.lit("/"), c)
+        return F.transform(F.col(name), within) if kind.startswith("array") else within(F.col(name))
+
+    out = {}
+    for family, df in tables.items():
+        names = {n: whole(n, k).alias(n) for n, k in df.dtypes if n != scope and (n == "id" or n.endswith(("Id", "Ids")))}
+        out[family] = df.select(*[names.get(n, F.col(n)) for n in df.columns]) if scope in df.columns else df
+    return out
+
+
 def record_envelope(tables: dict[str, DataFrame]) -> DataFrame:
     """(id, kind, payload) of all records."""
     parts = [tables[n].select("id", F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("payload")) for n, (kind, _) in FAMILIES.items() if n in tables]

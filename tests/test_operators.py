@@ -209,6 +209,18 @@ def test_documents_are_read_by_family(spark, tmp_path):
     assert got["interactions"] == "available" and got["authorization"] == "unavailable"
 
 
+def test_ids_of_two_documents_stay_apart(spark, tmp_path):
+    for name, target in (("a", "method:2"), ("b", "method:3")):
+        doc = {"schemaVersion": "3.0.0", "runId": name, "assertions": [{"id": "assertion:1", "subjectId": "method:1", "predicate": "P", "objectId": target, "status": "resolved", "evidenceIds": ["evidence:1"]}]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    edges = S.qualify_ids(S.read_documents(spark, str(tmp_path)))["assertions"]
+    steps = edges.select(F.col("subjectId").alias("subject_id"), F.col("objectId").alias("object_id"), F.lit(1).alias("status_rank"))
+    seeds = edges.select(F.col("subjectId").alias("root"), F.col("subjectId").alias("node"), F.lit(1).alias("rank"))
+    reached = walk.walk(seeds, steps, None).where("depth = 1").collect()
+    assert sorted((r.root.rsplit("/", 2)[1], r.node.rsplit("/", 1)[1]) for r in reached) == [("a.json", "method:2"), ("b.json", "method:3")]
+    assert all(r.ids[0].endswith(".json/evidence:1") for r in edges.select(F.col("evidenceIds").alias("ids")).collect())
+
+
 def test_csv_lines_end_in_cr_lf(spark, tmp_path):
     df = spark.createDataFrame([("=x", ["b", "a"])], "k string, l array<string>")
     S.write_evidence_csv(df, str(tmp_path / "out"), ["k", "l"])
