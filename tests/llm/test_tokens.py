@@ -88,3 +88,5 @@ def test_odd_rows(docs):
     assert tokens.token_table(docs.limit(0)).count() == 0
     nulls = tokens.encode_documents(docs).select("doc_id", F.lit(None).cast("array<int>").alias("ids"))
     assert {r.decoded for r in tokens.decode_documents(nulls).collect()} == {""}
+    again = tokens.decode_documents(tokens.encode_documents(docs).withColumn("decoded", F.lit(0)))
+    assert again.columns.count("decoded") == 1 and all(r.decoded == (r.text or "") for r in again.collect())
