@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factgraph.llm import fingerprints
+from factgraph.llm.alignment import op11_pair_bitmaps
 from factgraph.llm.fingerprints import op3_merkle_fingerprints
 from factgraph.llm.minhash import op6_minhash_components
 from factgraph.llm.mixing import op4_source_mix
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_shards": op8_feistel_shards,
     "op9_sentencepiece_scan": op9_sentencepiece_scan,
     "op10_mpeg_media": op10_mpeg_media,
+    "op11_pair_bitmaps": op11_pair_bitmaps,
 }
 
 ORACLES: dict[str, str] = {"op3_merkle_fingerprints": fingerprints.SQL}
