@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import fingerprints
+from factgraph.llm import fingerprints, phrases
 from factgraph.llm.alignment import op11_pair_bitmaps
 from factgraph.llm.fingerprints import op3_merkle_fingerprints
 from factgraph.llm.minhash import op6_minhash_components
 from factgraph.llm.mixing import op4_source_mix
 from factgraph.llm.mpeg import op10_mpeg_media
+from factgraph.llm.phrases import op13_phrase_stripes
 from factgraph.llm.pii import op2_pii_anchors
 from factgraph.llm.quality import op1_importance_resampling
 from factgraph.llm.repeats import op5_suffix_repeats
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece_scan": op9_sentencepiece_scan,
     "op10_mpeg_media": op10_mpeg_media,
     "op11_pair_bitmaps": op11_pair_bitmaps,
+    "op13_phrase_stripes": op13_phrase_stripes,
 }
 
-ORACLES: dict[str, str] = {"op3_merkle_fingerprints": fingerprints.SQL}
+ORACLES: dict[str, str] = {"op3_merkle_fingerprints": fingerprints.SQL, "op13_phrase_stripes": phrases.SQL}
