@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factgraph.llm import fingerprints, phrases
 from factgraph.llm.alignment import op11_pair_bitmaps
 from factgraph.llm.fingerprints import op3_merkle_fingerprints
+from factgraph.llm.katz import op12_katz_backoff
 from factgraph.llm.minhash import op6_minhash_components
 from factgraph.llm.mixing import op4_source_mix
 from factgraph.llm.mpeg import op10_mpeg_media
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece_scan": op9_sentencepiece_scan,
     "op10_mpeg_media": op10_mpeg_media,
     "op11_pair_bitmaps": op11_pair_bitmaps,
+    "op12_katz_backoff": op12_katz_backoff,
     "op13_phrase_stripes": op13_phrase_stripes,
 }
 
