@@ -52,15 +52,31 @@ def evidence_locations(df: DataFrame, key: str, evidence: DataFrame, files: Data
     return places.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(at)), ";").alias("locations"))
 
 
-def match_exact(interactions: DataFrame, handlers: DataFrame, scope: tuple[str, ...] = (), either: tuple[str, ...] = ("transport",)) -> DataFrame:
-    """(interaction_id, handler_id): same kind and queue, and the handler's job is the producer's or any (null). Within one
-    document or service if `scope` names its columns. Columns in `either` agree unless a side does not know (null). A
-    producer whose queue is not known matches nothing."""
-    keys = [*scope, "kind", "queue"]
-    known = interactions.where("queue is not null").select("interaction_id", "job", *keys, *either)
-    theirs = handlers.select("handler_id", *keys, F.col("job").alias("handler_job"), *[F.col(c).alias(f"handler_{c}") for c in either])
-    fits = " and ".join(["(handler_job is null or handler_job = job)", *[f"({c} is null or handler_{c} is null or {c} = handler_{c})" for c in either]])
-    return known.join(theirs, keys).where(fits).select("interaction_id", "handler_id")
+def way() -> Column:
+    """What a message must share besides its queue: mode and transport, unknown (null) unless both are known. '' for others."""
+    return F.when(F.col("kind") == "microservice_message", F.concat("mode", F.lit("/"), "transport")).otherwise("")
+
+
+def contract_matches(interactions: DataFrame, handlers: DataFrame, scope: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(contract_id, kind, mode, job, handler_id) for each contract that producers have, and (interaction_id, contract_id).
+
+    A contract is a kind and queue, a message's mode and transport, a job's name, and the columns of `scope` and `also`. A
+    message fits handlers of its mode and transport where both sides know them; a job fits handlers of that job or of any
+    (null); events fit by queue. A producer whose queue, or message's transport, is not known has no contract."""
+    keys = [*scope, "kind", "queue", "way"]
+    named = interactions.withColumns({"way": way(), "job": F.when(F.col("kind") == "job_queue", F.col("job"))}).where("queue is not null and way is not null")
+    named = named.withColumn("contract_id", F.to_json(F.struct(*keys, "job", "mode", *also)))
+    theirs = handlers.withColumn("way", way()).select("handler_id", *keys, F.col("job").alias("handler_job"))
+    contracts = named.select("contract_id", *keys, "job", "mode", *also).distinct()
+    fits = contracts.join(theirs, keys).where("kind <> 'job_queue' or handler_job is null or handler_job = job")
+    return fits.select("contract_id", "kind", "mode", "job", *also, "handler_id"), named.select("interaction_id", "contract_id")
+
+
+def match_exact(interactions: DataFrame, handlers: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(interaction_id, handler_id): same kind and queue, and what else their kind asks. Within one document or service if
+    `scope` names its columns. See contract_matches."""
+    matches, keys = contract_matches(interactions, handlers, scope)
+    return keys.join(matches, "contract_id").select("interaction_id", "handler_id")
 
 
 def pattern_regex(pattern: Column, delimiter: str = ".") -> Column:
@@ -96,12 +112,13 @@ def match_wildcard(events: DataFrame, patterns: DataFrame, delimiter: str = ".")
 
 def cap_fan_out(matches: DataFrame, interactions: DataFrame, n: int) -> DataFrame:
     """The first n handlers of each producer, with how many there were, the diagnostic where some were left out, and the
-    state: a request that several handlers would answer is ambiguous."""
+    state: a request (mode request_response) that several handlers would answer is ambiguous."""
     total = matches.groupBy("interaction_id").agg(F.count(F.lit(1)).alias("total"))
     place = F.row_number().over(Window.partitionBy("interaction_id").orderBy("handler_id"))
     first = matches.withColumn("place", place).where(F.col("place") <= n)
-    rows = first.join(total, "interaction_id").join(interactions.select("interaction_id", "kind"), "interaction_id")
-    state = F.when((F.col("kind") == "microservice_message") & (F.col("total") > 1), "ambiguous").otherwise("resolved")
+    rows = first.join(total, "interaction_id").join(interactions.select("interaction_id", "kind", "mode"), "interaction_id")
+    asked = (F.col("kind") == "microservice_message") & (F.col("mode") == "request_response")
+    state = F.when(asked & (F.least("total", F.lit(n)) > 1), "ambiguous").otherwise("resolved")
     return rows.select("interaction_id", "handler_id", "place", "total", state.alias("state"), F.when(F.col("total") > n, "FAN_OUT_LIMIT").alias("diagnostic"))
 
 

@@ -39,35 +39,6 @@ def call_trace(starts: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame
     return reached.join(more, "node", "left").select("root", F.col("node").alias("method_id"), "depth", gap.alias("gap"))
 
 
-def endpoint_trace(seeds: DataFrame, calls: DataFrame, scoped: DataFrame, hops: DataFrame, depth: int = 3, max_hops: int = 2) -> DataFrame:
-    """States (root, method, hop, class, depth) from every root.
-
-    seeds: (root, method). calls and scoped: (subject_id, object_id) walkable; a scoped call is hidden from the plain
-    walk and leads into a critical section. hops: (subject_id, object_id, kind): a producer's method to a handler's, which
-    starts a call depth of its own; kind names the class that follows. A state exists if any path within the budgets
-    leads to it; its depth is the least. (A walk that continues only the first path to a state can miss such states.)
-    """
-    keys = ["root", "method", "hop", "class"]
-    hidden = scoped.select("subject_id", "object_id").distinct()
-    plain = calls.select("subject_id", "object_id").distinct().join(hidden, ["subject_id", "object_id"], "left_anti")
-    steps = plain.select("subject_id", "object_id", F.lit(None).cast("string").alias("into"), F.lit(0).alias("hops"))
-    steps = steps.unionByName(hidden.select("subject_id", "object_id", F.lit("critical_section").alias("into"), F.lit(0).alias("hops")))
-    steps = stage(steps.unionByName(hops.select("subject_id", "object_id", F.col("kind").alias("into"), F.lit(1).alias("hops")).distinct()), "trace-steps")
-    frontier = stage(seeds.select("root", "method").distinct().withColumns({"hop": F.lit(0), "class": F.lit("sync"), "depth": F.lit(0)}), "trace")
-    seen = frontier
-    while not frontier.isEmpty():
-        ahead = frontier.join(steps, F.col("method") == F.col("subject_id")).select(
-            "root", F.col("object_id").alias("method"), (F.col("hop") + F.col("hops")).alias("hop"), F.coalesce("into", "class").alias("class"),
-            F.when(F.col("hops") == 1, 0).otherwise(F.col("depth") + 1).alias("depth"),
-        ).where((F.col("depth") <= depth) & (F.col("hop") <= max_hops))
-        best = ahead.groupBy(*keys).agg(F.min("depth").alias("depth"))
-        known = seen.select(*keys, F.col("depth").alias("known"))
-        fresh = best.join(known, keys, "left").groupBy(*keys).agg(F.min("depth").alias("depth"), F.min("known").alias("known"))
-        frontier = stage(fresh.where("known is null or depth < known").select(*keys, "depth"), "trace")
-        seen = seen.unionByName(frontier)
-    return stage(seen.groupBy(*keys).agg(F.min("depth").alias("depth")), "trace-states")
-
-
 def trace_steps(reached: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
     """(root, subject_id, object_id, depth, status_rank, walked): the edges that leave what a walk reached before its last
     level, at the least depth of their start; those that are not walked (unresolved, without an object) too."""
@@ -76,41 +47,13 @@ def trace_steps(reached: DataFrame, edges: DataFrame, depth: int = 3) -> DataFra
     return steps.select("root", "subject_id", "object_id", "depth", "status_rank", (F.col("object_id").isNotNull() & (F.col("status_rank") <= 2)).alias("walked"))
 
 
-def trace_terminals(states: DataFrame, access: DataFrame) -> DataFrame:
-    """(root, class, hop, predicate, table_id, rank): the tables behind a trace's states, the best status of each."""
-    rows = states.join(access.select(F.col("subject_id").alias("method"), F.col("object_id").alias("table_id"), "predicate", "status_rank"), "method")
-    return rows.groupBy("root", "class", "hop", "predicate", "table_id").agg(F.min("status_rank").alias("rank"))
-
-
 def limit_states(states: DataFrame, n: int) -> DataFrame:
-    """The first n states of each root by hop, depth, method and class, with how many there were and a diagnostic where
-    some were left out."""
+    """The first n states of each root by hop, depth, method, scope and class, with how many there were and a diagnostic
+    where some were left out."""
     total = states.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
-    place = F.row_number().over(Window.partitionBy("root").orderBy("hop", "depth", "method", "class"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("hop", "depth", "method", "scope", "class"))
     rows = states.withColumn("place", place).where(F.col("place") <= n).join(total, "root")
-    return rows.select("root", "method", "hop", "class", "depth", "total", F.when(F.col("total") > n, "STATE_LIMIT").alias("diagnostic"))
-
-
-def trace_summary(states: DataFrame, access: DataFrame, interactions: DataFrame, calls: DataFrame, depth: int = 3) -> DataFrame:
-    """Per root: methods, deepest hop, tables read and written by class, interactions by kind, and whether the trace is
-    complete, with the codes of what it lacks. access: (subject_id, object_id, predicate); calls: all, unresolved ones too."""
-    effects = states.select("root", "class", F.col("method").alias("subject_id")).distinct().join(access.select("subject_id", "object_id", "predicate").distinct(), "subject_id")
-    distinct = effects.select("root", "class", "predicate", "object_id").distinct()
-    wide = distinct.groupBy("root").agg(
-        F.count_if(F.col("predicate") == "METHOD_READS_TABLE").alias("reads"), F.count_if(F.col("predicate") == "METHOD_WRITES_TABLE").alias("writes"),
-        F.count_if(F.col("class") == "sync").alias("sync_effects"), F.count_if(F.col("class") != "sync").alias("other_effects"),
-    )
-    sent = states.select("root", "method").distinct().join(interactions.select(F.col("source_method_id").alias("method"), "interaction_id", "kind"), "method")
-    kinds = {"events": "in_process_event", "messages": "microservice_message", "jobs": "job_queue"}
-    sent = sent.groupBy("root").agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()])
-    lost = calls.where("status_rank = 3").select(F.col("subject_id").alias("method")).distinct()
-    more = walkable(calls).select(F.col("subject_id").alias("method")).distinct()
-    coded = lambda rows, code: rows.select("root", F.lit(code).alias("code")).distinct()
-    codes = coded(states.join(lost, "method", "left_semi"), "CALL_TARGET_UNRESOLVED").unionByName(coded(states.where(F.col("depth") == depth).join(more, "method", "left_semi"), "CALL_DEPTH_LIMIT"))
-    codes = codes.groupBy("root").agg(F.array_join(F.sort_array(F.collect_set("code")), ";").alias("codes"))
-    base = states.groupBy("root").agg(F.count_distinct("method").alias("methods"), F.max("hop").alias("hops"))
-    rows = base.join(wide, "root", "left").join(sent, "root", "left").join(codes, "root", "left")
-    return rows.fillna(0, ["reads", "writes", "sync_effects", "other_effects", *kinds]).fillna("", ["codes"]).withColumn("complete", F.col("codes") == "")
+    return rows.select("root", "method", "scope", "hop", "class", "depth", "total", F.when(F.col("total") > n, "INTERACTION_TRACE_LIMIT_REACHED").alias("diagnostic"))
 
 
 def simple_paths(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.operators import causal as K
 from factgraph.operators import matching as M
 from factgraph.operators import walk as W
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
+from factgraph.sources.staging import stage
 
 SERVED = "select 'endpoint:'||c_custkey as endpoint_id, 'svc'||(c_custkey%4) as service_ns from customer"
 #: Endpoints of the after side and the methods that implement them: where walks begin.
@@ -68,7 +70,7 @@ def located(f: Facts) -> DataFrame:
 
 
 #: Of one contract; LOCAL within a service, MATCHES across all.
-FITS = "h.kind = i.kind and h.queue = i.queue and (h.job is null or h.job = i.job) and (h.transport is null or i.transport is null or h.transport = i.transport)"
+FITS = "h.kind = i.kind and h.queue = i.queue and (i.kind <> 'job_queue' or h.job is null or h.job = i.job) and (i.kind <> 'microservice_message' or (h.transport = i.transport and h.mode = i.mode))"
 MATCHES = f"select interaction_id, handler_id from fx_interactions i join fx_handlers h on {FITS}"
 LOCAL = f"{MATCHES} and h.service_ns = i.service_ns"
 
@@ -93,7 +95,7 @@ def wildcard(f: Facts) -> DataFrame:
 
 
 @query("j7_cap_fan_out", f"""
-select x.interaction_id, handler_id, place, total, case when kind = 'microservice_message' and total > 1 then 'ambiguous' else 'resolved' end as state, case when total > 2 then 'FAN_OUT_LIMIT' end as diagnostic
+select x.interaction_id, handler_id, place, total, case when kind = 'microservice_message' and mode = 'request_response' and total > 1 then 'ambiguous' else 'resolved' end as state, case when total > 2 then 'FAN_OUT_LIMIT' end as diagnostic
 from (select interaction_id, handler_id, row_number() over (partition by interaction_id order by handler_id) as place,
  count(*) over (partition by interaction_id) as total from ({LOCAL}) m) x join fx_interactions i on i.interaction_id = x.interaction_id where place <= 2""")
 def capped(f: Facts) -> DataFrame:
@@ -178,68 +180,108 @@ def call_steps(f: Facts) -> DataFrame:
     return W.trace_steps(W.walk(f.sql(SEEDS), f.sql(CALLS), 3), f.side("fx_calls"))
 
 
-HOPS = f"""select source_method_id as subject_id, method_id as object_id, case when i.kind <> 'in_process_event' then 'distributed' when i.activation = 'eager' then 'local_sync' else 'local_async' end as kind
-from fx_interactions i join fx_handlers h on {FITS} and h.service_ns = i.service_ns"""
+#: What a started interaction leads to, after the cap on fan-out.
+HOPS = f"""select m.interaction_id, h.method_id, case when i.kind <> 'in_process_event' then 'distributed' when i.dispatch = 'asynchronous' or h.rule_id like '%.async.%' then 'local_async' else 'local_sync' end as label,
+ case when i.kind = 'job_queue' and i.job is not null and h.handler_id in (select handler_id from fx_branches) then 'branches:'||h.handler_id||':'||i.job end as scope_id, h.handler_id, i.job
+from (select interaction_id, handler_id, row_number() over (partition by interaction_id order by handler_id) as place, count(*) over (partition by interaction_id) as total from ({LOCAL}) l) m
+join fx_interactions i on i.interaction_id = m.interaction_id join fx_handlers h on h.handler_id = m.handler_id
+where place <= 50 and registration = 'proven_registered' and not (i.kind = 'microservice_message' and i.mode = 'request_response' and total > 1)
+ and (i.kind <> 'in_process_event' or i.dispatch = 'asynchronous' or h.rule_id like '%.async.%' or h.rule_id like '%.sync.%')"""
+PARTS = f"""hops as materialized ({HOPS}),
+members as materialized (select scope_id, edge_id from fx_section_effects union select h.scope_id, f.edge_id from hops h join fx_branches b on b.handler_id = h.handler_id join fx_branch_effects f on f.branch_id = b.branch_id
+  where h.scope_id is not null and (selector_kind = 'all_jobs' or (selector_kind = 'exact_jobs' and list_contains(string_split(jobs, ','), h.job)) or (selector_kind = 'unmatched_jobs' and not list_contains(string_split(jobs, ','), h.job)))),
+scoped as materialized (select e.*, '' as scope from fx_edges e where edge_id not in (select edge_id from fx_section_effects) union all select e.*, m.scope_id from fx_edges e join members m on m.edge_id = e.edge_id),
+own as materialized (select * from scoped where status_rank <= 2 and object_id is not null),
+entered as (select s.method_id, s.scope_id, s.lock_edge_id from fx_sections s where lock_edge_id is not null and s.scope_id in (select scope_id from members)),
+steps as materialized (select subject_id as method, scope, cast(null as varchar) as label, 0 as hops, 1 as calls, object_id as to_method, '' as to_scope from own where predicate = 'METHOD_CALLS_METHOD'
+  union select method_id, '', 'critical_section', 0, 0, method_id, scope_id from entered
+  union select method_id, m.scope_id, 'critical_section', 0, 0, method_id, e.scope_id from entered e join members m on m.edge_id = e.lock_edge_id where m.scope_id <> e.scope_id
+  union select subject_id, scope, label, 1, 0, h.method_id, coalesce(h.scope_id, '') from own o join hops h on h.interaction_id = o.object_id where predicate = 'METHOD_INITIATES_INTERACTION')"""
 
 
 def trace_sql(seeds: str) -> str:
-    return f"""with recursive plain as (select subject_id, object_id from ({CALLS}) c where not exists (select 1 from fx_scoped_calls s where s.subject_id = c.subject_id and s.object_id = c.object_id)),
-steps as (select distinct subject_id, object_id, cast(null as varchar) as into_, 0 as hops from plain union all select distinct subject_id, object_id, 'critical_section', 0 from fx_scoped_calls
-  union all select distinct subject_id, object_id, kind, 1 from ({HOPS}) h),
-r(root, method, hop, class, depth) as (select root, node, 0, 'sync', 0 from ({seeds}) s union
-  select r.root, s.object_id, r.hop + s.hops, coalesce(s.into_, r.class), case when s.hops = 1 then 0 else r.depth + 1 end from r join steps s on s.subject_id = r.method
-  where r.hop + s.hops <= 2 and case when s.hops = 1 then 0 else r.depth + 1 end <= 3),
-states as (select root, method, hop, class, min(depth) as depth from r group by 1, 2, 3, 4)"""
-
-
-def trace(f: Facts, seeds: str = SEEDS) -> DataFrame:
-    scoped = f["fx_scoped_calls"].select("subject_id", "object_id")
-    return W.endpoint_trace(f.sql(seeds).select("root", F.col("node").alias("method")), f.sql(CALLS), scoped, f.sql(HOPS))
-
-
-@query("g2_endpoint_trace", trace_sql(SEEDS) + "\nselect root, method, hop, class, depth from states")
+    return f"""with recursive {PARTS},
+r(root, method, scope, hop, class, depth) as (select root, node, '', 0, 'sync', 0 from ({seeds}) s union
+  select r.root, to_method, to_scope, r.hop + s.hops, case when r.class = 'distributed' or s.label = 'distributed' then 'distributed' when r.class = 'critical_section' or s.label = 'critical_section' then 'critical_section' else coalesce(s.label, r.class) end,
+   case when s.hops = 1 then 0 else r.depth + s.calls end from r join steps s on s.method = r.method and s.scope = r.scope
+  where r.hop + s.hops <= 2 and case when s.hops = 1 then 0 else r.depth + s.calls end <= 3),
+states as materialized (select root, method, scope, hop, class, min(depth) as depth from r group by 1, 2, 3, 4, 5),
+terminals as (select t.root, t.method, t.class, predicate, object_id, min(status_rank) as rank from (select distinct root, method, scope, class from states) t
+  join own o on o.subject_id = t.method and o.scope = t.scope where predicate in ('METHOD_ACCESSES_RESOURCE', 'METHOD_READS_TABLE', 'METHOD_WRITES_TABLE') group by 1, 2, 3, 4, 5),
+gaps as (select root, method, 'CALL_DEPTH_LIMIT' as code from states t where depth = 3 and exists (select 1 from own o where o.subject_id = t.method and o.scope = t.scope and predicate = 'METHOD_CALLS_METHOD')
+  union select root, method, 'INTERACTION_TRACE_LIMIT_REACHED' from states t where hop = 2 and exists (select 1 from steps s where s.hops = 1 and s.method = t.method and s.scope = t.scope)
+  union select root, method, 'CALL_TARGET_UNRESOLVED' from states t where depth < 3 and exists (select 1 from scoped o where o.subject_id = t.method and o.scope = t.scope and predicate = 'METHOD_CALLS_METHOD' and (status_rank > 2 or object_id is null)))"""
+
+
+class Trace:
+    """The causal walk over the facts, with what it is made of."""
+
+    def __init__(self, f: Facts, seeds: str):
+        hops, chosen = K.contract_hops(f["fx_interactions"], f["fx_handlers"], f["fx_branches"])
+        members = stage(f["fx_section_effects"].unionByName(chosen.join(f["fx_branch_effects"], "branch_id").select("scope_id", "edge_id")).distinct(), "causal-members")
+        self.edges = stage(K.applying(f["fx_edges"], members, f["fx_sections"]), "causal-edges")
+        self.own = self.edges.where("status_rank <= 2 and object_id is not null")
+        self.steps = stage(K.product_steps(self.own, members, f["fx_sections"], hops), "causal-steps")
+        self.states = K.causal_states(f.sql(seeds).select("root", F.col("node").alias("method")), self.steps)
+
+    def terminals(self) -> DataFrame:
+        return K.causal_terminals(self.states, self.own)
+
+    def gaps(self) -> DataFrame:
+        return K.causal_gaps(self.states, self.own, self.steps, self.edges)
+
+
+@query("g2_endpoint_trace", trace_sql(SEEDS) + "\nselect * from states")
 def endpoint_trace(f: Facts) -> DataFrame:
-    return trace(f)
+    return Trace(f, SEEDS).states
 
 
-REACHED = f"select root, class, hop, predicate, object_id as table_id, min(status_rank) as rank from states t join ({ACCESS}) a on a.subject_id = t.method group by 1, 2, 3, 4, 5"
+@query("g2_trace_terminals", trace_sql(SEEDS) + "\nselect * from terminals")
+def trace_terminals(f: Facts) -> DataFrame:
+    return Trace(f, SEEDS).terminals()
 
 
-@query("g2_trace_terminals", trace_sql(SEEDS) + "\n" + REACHED)
-def trace_terminals(f: Facts) -> DataFrame:
-    return W.trace_terminals(trace(f), f.sql(ACCESS))
+@query("g2_trace_gaps", trace_sql(SEEDS) + "\nselect * from gaps")
+def trace_gaps(f: Facts) -> DataFrame:
+    return Trace(f, SEEDS).gaps()
 
 
 @query("g2_state_limit", trace_sql(SEEDS) + """
-select root, method, hop, class, depth, total, case when total > 5 then 'STATE_LIMIT' end as diagnostic from (select *, row_number() over (partition by root order by hop, depth, method, class) as place, count(*) over (partition by root) as total from states) x where place <= 5""")
+select root, method, scope, hop, class, depth, total, case when total > 5 then 'INTERACTION_TRACE_LIMIT_REACHED' end as diagnostic from (select *, row_number() over (partition by root order by hop, depth, method, scope, class) as place, count(*) over (partition by root) as total from states) x where place <= 5""")
 def state_limit(f: Facts) -> DataFrame:
-    return W.limit_states(trace(f), 5)
+    return W.limit_states(Trace(f, SEEDS).states, 5)
 
 
-SUMMARY = f"""
-select s.root, methods, hops, coalesce(reads, 0) as reads, coalesce(writes, 0) as writes, coalesce(sync_effects, 0) as sync_effects, coalesce(other_effects, 0) as other_effects,
- coalesce(events, 0) as events, coalesce(messages, 0) as messages, coalesce(jobs, 0) as jobs, coalesce(codes, '') = '' as complete, coalesce(codes, '') as codes
+SUMMARY = """
+select s.root, methods, hops, coalesce(sync_effects, 0) as sync_effects, coalesce(local_effects, 0) as local_effects, coalesce(critical_effects, 0) as critical_effects, coalesce(distributed_effects, 0) as distributed_effects,
+ coalesce(resources, 0) as resources, coalesce(events, 0) as events, coalesce(messages, 0) as messages, coalesce(jobs, 0) as jobs, coalesce(codes, '') = '' as complete, coalesce(codes, '') as codes
 from (select root, count(distinct method) as methods, max(hop) as hops from states group by root) s left join (
-  select root, count(case when predicate = 'METHOD_READS_TABLE' then 1 end) as reads, count(case when predicate = 'METHOD_WRITES_TABLE' then 1 end) as writes,
-   count(case when class = 'sync' then 1 end) as sync_effects, count(case when class <> 'sync' then 1 end) as other_effects
-  from (select distinct root, class, predicate, object_id from states t join ({ACCESS}) a on a.subject_id = t.method) d group by root) e on e.root = s.root
+  select root, count(case when class = 'sync' then 1 end) as sync_effects, count(case when class in ('local_sync', 'local_async') then 1 end) as local_effects,
+   count(case when class = 'critical_section' then 1 end) as critical_effects, count(case when class = 'distributed' then 1 end) as distributed_effects from terminals where predicate <> 'METHOD_ACCESSES_RESOURCE' group by root) e on e.root = s.root
+ left join (select root, count(distinct object_id) as resources from terminals where predicate = 'METHOD_ACCESSES_RESOURCE' group by root) c on c.root = s.root
  left join (select root, count(case when kind = 'in_process_event' then 1 end) as events, count(case when kind = 'microservice_message' then 1 end) as messages, count(case when kind = 'job_queue' then 1 end) as jobs
-  from (select distinct root, interaction_id, kind from states t join fx_interactions i on i.source_method_id = t.method) d group by root) i on i.root = s.root
- left join (select root, array_to_string(list_sort(list_distinct(list(code))), ';') as codes from (select root, 'CALL_TARGET_UNRESOLVED' as code from states t join fx_calls c on c.side='after' and c.status_rank = 3 and c.subject_id = t.method
-  union all select root, 'CALL_DEPTH_LIMIT' from states t where depth = 3 and method in (select subject_id from ({CALLS}) c)) d group by root) g on g.root = s.root"""
+  from (select distinct root, i.interaction_id, kind from states t join own o on o.subject_id = t.method and o.scope = t.scope and predicate = 'METHOD_INITIATES_INTERACTION' join fx_interactions i on i.interaction_id = o.object_id) d group by root) i on i.root = s.root
+ left join (select root, array_to_string(list_sort(list_distinct(list(code))), ';') as codes from gaps group by root) g on g.root = s.root"""
 
 
 @query("g4_trace_summary", trace_sql(SEEDS) + SUMMARY)
 def trace_summary(f: Facts) -> DataFrame:
-    return W.trace_summary(trace(f), f.sql(ACCESS), f["fx_interactions"], f.side("fx_calls"))
+    t = Trace(f, SEEDS)
+    started = t.own.where(F.col("predicate") == K.START).select(F.col("subject_id").alias("method"), "scope", F.col("object_id").alias("interaction_id")).join(f["fx_interactions"].select("interaction_id", "kind"), "interaction_id")
+    return K.causal_summary(t.states, t.terminals(), started, t.gaps())
 
 
 HANDLED = "select handler_id as root, method_id as node, 1 as rank from fx_handlers"
 
 
-@query("g5_handler_trace", trace_sql(HANDLED) + "\nselect root, method, hop, class, depth from states")
+@query("g5_handler_trace", trace_sql(HANDLED) + "\nselect * from states")
 def handler_trace(f: Facts) -> DataFrame:
-    return trace(f, HANDLED)
+    return Trace(f, HANDLED).states
+
+
+@query("g5_handler_terminals", trace_sql(HANDLED) + "\nselect * from terminals")
+def handler_terminals(f: Facts) -> DataFrame:
+    return Trace(f, HANDLED).terminals()
 
 
 #: Methods of files whose content changed.

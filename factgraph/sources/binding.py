@@ -116,14 +116,17 @@ select 'interaction:'||event_id as interaction_id, 'svc'||(user_id%8) as service
   case when event_id%13=0 then null else 'q'||(user_id%(n_queues-3)) end as queue,
   case when event_id%11=0 then null else 'j'||(cast(regexp_extract(props,'[0-9]+',0) as int)%5) end as job,
   case event_id%5 when 0 then null when 1 then 'kafka' else 'rmq' end as transport,
-  case event_id%6 when 0 then 'constructed_cold' when 1 then 'unknown' when 2 then 'proven_activated' else 'eager' end as activation, 'evidence:i'||event_id as evidence_id
+  case event_id%6 when 0 then 'constructed_cold' when 1 then 'unknown' when 2 then 'proven_activated' else 'eager' end as activation, 'evidence:i'||event_id as evidence_id,
+  case when event_type='signup' then case when event_id%3=0 then 'request_response' else 'event' end end as mode, case event_id%4 when 1 then 'asynchronous' when 2 then 'synchronous' else 'unknown' end as dispatch
 from events cross join fx_size where event_type in ('purchase','signup','click')
 """,
     "fx_handlers": """
 select 'handler:'||s_suppkey as handler_id, 'svc'||(s_suppkey%8) as service_ns, 'method:p'||s_suppkey as method_id,
-  case when s_suppkey%2=0 then 'job_queue' else 'microservice_message' end as kind,
-  'q'||(s_suppkey%n_queues) as queue, case s_suppkey%3 when 0 then null when 1 then 'kafka' else 'rmq' end as transport, case when s_suppkey%4=0 then null else 'j'||(s_suppkey%5) end as job,
-  case when s_suppkey%9=0 then 'registration_unknown' else 'proven_registered' end as registration, 'evidence:h'||s_suppkey as evidence_id
+  case when s_suppkey%2=0 then 'job_queue' when s_suppkey%6=1 then 'in_process_event' else 'microservice_message' end as kind,
+  'q'||(s_suppkey%n_queues) as queue, case s_suppkey%3 when 0 then null when 1 then 'kafka' else 'rmq' end as transport, case when s_suppkey%4=0 or s_suppkey%2=1 then null else 'j'||(s_suppkey%5) end as job,
+  case when s_suppkey%9=0 then 'registration_unknown' else 'proven_registered' end as registration, 'evidence:h'||s_suppkey as evidence_id,
+  case when s_suppkey%2=1 and s_suppkey%6<>1 then case when s_suppkey%5<2 then 'request_response' else 'event' end end as mode,
+  case when s_suppkey%2=0 then 'bullmq.worker' when s_suppkey%6=1 then case s_suppkey%4 when 1 then 'events.sync.handler' else 'events.plain.handler' end else 'messages.handler' end as rule_id
 from supplier cross join fx_size
 """,
     "fx_bindings": """
@@ -192,6 +195,26 @@ select 'resource:'||p_partkey as resource_id, 'method:p'||p_partkey as method_id
     "fx_scoped_calls": """
 select 'method:p'||p_partkey as subject_id, 'method:p'||((p_partkey*7+3)%n_parts) as object_id, 'section:'||p_partkey as section_id
 from part cross join fx_size where p_partkey%6=0
+""",
+    "fx_edges": """
+select 'METHOD_CALLS_METHOD|'||subject_id||'|'||object_id as edge_id, 'METHOD_CALLS_METHOD' as predicate, subject_id, object_id, status_rank from fx_calls where side='after'
+union all select predicate||'|'||subject_id||'|'||object_id, predicate, subject_id, object_id, status_rank from fx_access where side='after'
+union all select 'METHOD_ACCESSES_RESOURCE|'||method_id||'|'||resource_id, 'METHOD_ACCESSES_RESOURCE', method_id, resource_id, case when target is null then 2 else 1 end from fx_resources
+union all select 'METHOD_INITIATES_INTERACTION|'||source_method_id||'|'||interaction_id, 'METHOD_INITIATES_INTERACTION', source_method_id, interaction_id, 1 from fx_interactions
+""",
+    "fx_sections": """
+select 'section:'||p_partkey as scope_id, 'method:p'||p_partkey as method_id, case when p_partkey%18<>0 then 'METHOD_ACCESSES_RESOURCE|method:p'||p_partkey||'|resource:'||p_partkey end as lock_edge_id
+from part where p_partkey%6=0
+""",
+    "fx_section_effects": """
+select section_id as scope_id, 'METHOD_CALLS_METHOD|'||subject_id||'|'||object_id as edge_id from fx_scoped_calls
+union all select 'section:'||split_part(subject_id, ':p', 2), predicate||'|'||subject_id||'|'||object_id from fx_access where side='after' and cast(split_part(subject_id, ':p', 2) as bigint)%6=0 and cast(split_part(object_id, ':', 2) as bigint)%2=0
+union all select 'section:'||split_part(source_method_id, ':p', 2), 'METHOD_INITIATES_INTERACTION|'||source_method_id||'|'||interaction_id from fx_interactions where source_method_id like 'method:p%' and cast(split_part(source_method_id, ':p', 2) as bigint)%6=0
+""",
+    "fx_branch_effects": """
+select 'branch:'||split_part(subject_id, ':p', 2)||'_'||(cast(split_part(object_id, ':', 2) as bigint)%4) as branch_id, predicate||'|'||subject_id||'|'||object_id as edge_id
+from fx_access join fx_handlers on method_id = subject_id and kind = 'job_queue' where side='after'
+union all select branch_id, 'METHOD_CALLS_METHOD|'||subject_id||'|'||object_id from fx_calls join fx_handlers h on h.method_id = subject_id join fx_branches b on b.handler_id = h.handler_id and b.selector_kind <> 'unknown' where side='after'
 """,
     "fx_observations": """
 select side, 'svc'||s_suppkey as service_ns,
