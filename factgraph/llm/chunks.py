@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -55,6 +56,10 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def hashed(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+
+
 def word_table(ends: str, spaces: str) -> np.ndarray:
     """What each byte of a text becomes: A-Z lower case, `ends` END, `spaces` a space."""
     table = np.arange(256, dtype=np.uint8)
@@ -76,13 +81,14 @@ def words_of(texts: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), starts
 
 
-CHUNK = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.string())), ("langs", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("numbers", pa.binary()), ("ids", pa.list_(pa.int64())), ("kept", pa.list_(pa.bool_())), ("n", pa.int64())])
+CHUNK = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.string())), ("langs", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("hashes", pa.binary()), ("end", pa.int64()), ("numbers", pa.binary()), ("ids", pa.list_(pa.int64())), ("kept", pa.list_(pa.bool_())), ("n", pa.int64())])
 
 
 def word_chunks(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """docs: (doc_id long, text, lang, kept boolean). Returns a row for each chunk: its distinct (lang, word) with how often
-    the documents that are `kept` hold them, its words as numbers into these, its documents' ids and `kept`. A document's
-    last word is END; there is none else unless the table makes some. A null text is an empty one."""
+    """docs: (doc_id long, text, lang, kept boolean). Returns a row for each chunk: its distinct (lang, word), the most
+    frequent first, with how often the documents that are `kept` hold them and a hash each, the first of these that is END,
+    its words as numbers into these, its documents' ids and `kept`. A document's last word is END; there is none else unless
+    the table makes some. A null text is an empty one."""
 
     def chunk(key: int, held: list[tuple]) -> pa.RecordBatch:
         words, langs, ids, kept, sizes = (list(x) for x in zip(*held, strict=True))
@@ -90,9 +96,15 @@ def word_chunks(docs: DataFrame, table: np.ndarray) -> DataFrame:
         names = pa.concat_arrays(langs).dictionary_encode()
         sizes, kept = np.concatenate(sizes), np.concatenate(kept)
         n = len(coded.dictionary)
-        both, numbers = np.unique(np.repeat(names.indices.to_numpy().astype(np.int64), sizes) * n + coded.indices.to_numpy(), return_inverse=True)
+        both, numbers, every = np.unique(np.repeat(names.indices.to_numpy().astype(np.int64), sizes) * n + coded.indices.to_numpy(), return_inverse=True, return_counts=True)
+        order = np.argsort(-every, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        both, numbers = both[order], place[numbers]
         counts = np.bincount(numbers, np.repeat(kept, sizes), len(both)).astype(np.int64)
-        row = [key, coded.dictionary.take(pa.array(both % n)), names.dictionary.take(pa.array(both // n)), pa.array(counts), pack(numbers), pa.concat_arrays(ids), pa.array(kept), len(numbers)]
+        hashes = (hashed(coded.dictionary)[both % n] ^ mixed(hashed(names.dictionary))[both // n]) & np.uint64(0xFFFFFFFF)
+        end = int(np.argmax(both % n == coded.dictionary.index(END).as_py()))
+        row = [key, coded.dictionary.take(pa.array(both % n)), names.dictionary.take(pa.array(both // n)), pa.array(counts), pack(hashes), end, pack(numbers), pa.concat_arrays(ids), pa.array(kept), len(numbers)]
         listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(f.type) if isinstance(x, pa.Array) else pa.array([x], f.type) for x, f in zip(row, CHUNK, strict=True)]
         return pa.RecordBatch.from_arrays(listed, schema=CHUNK)
 
@@ -110,7 +122,7 @@ def word_chunks(docs: DataFrame, table: np.ndarray) -> DataFrame:
         if held:
             yield chunk(part << 24 | n, held)
 
-    schema = "chunk long, words array<string>, langs array<string>, counts array<long>, numbers binary, ids array<long>, kept array<boolean>, n long"
+    schema = "chunk long, words array<string>, langs array<string>, counts array<long>, hashes binary, end long, numbers binary, ids array<long>, kept array<boolean>, n long"
     return docs.select("doc_id", "text", "lang", "kept").mapInArrow(run, schema)
 
 

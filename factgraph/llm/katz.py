@@ -106,10 +106,10 @@ def coded(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """The chunks with numbers of the vocabulary for words, -1 for others, and how many words each document has."""
 
     def work(row: dict, known: pa.Table) -> list[pa.RecordBatch]:
-        table = np.full(len(row["words"]), UNKNOWN)
-        table[known["place"].to_numpy()] = known["id"].to_numpy()
         numbers = unpack(row["numbers"].as_py())
-        end = np.flatnonzero(numbers == row["words"].values.index(END).as_py())
+        table = np.full(int(numbers.max(initial=-1)) + 1, UNKNOWN)
+        table[known["place"].to_numpy()] = known["id"].to_numpy()
+        end = np.flatnonzero(numbers == row["end"].as_py())
         columns = [pa.array([row["chunk"].as_py()], pa.int64()), pa.array([pack(table[numbers])], pa.binary()), pa.array([pack(np.diff(end, prepend=-1))], pa.binary()), pa.array([row["ids"].as_py()], pa.list_(pa.int64())), pa.array([row["kept"].as_py()], pa.list_(pa.bool_()))]
         return [pa.RecordBatch.from_arrays(columns, schema=CODED)]
 
@@ -256,7 +256,7 @@ def katz_scores(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
     n_buckets = buckets(chunks.agg(F.sum("n")).first()[0] or 0, width(docs.sparkSession))
     known, words = vocabulary(chunks)
     ids = local_words(chunks).select("chunk", "place", "word").join(known, "word").select("chunk", "place", "id")
-    texts = stage(coded(chunks.select("chunk", "words", "numbers", "ids", "kept"), ids), "lm-texts")
+    texts = stage(coded(chunks.select("chunk", "end", "numbers", "ids", "kept"), ids), "lm-texts")
     unstage(chunks)
     answers = stage(merged(requests(texts, words, n_buckets)), "lm-pairs")
     pairs = answers.where("chunk is null")
