@@ -1,6 +1,6 @@
 """Words of documents in chunks, and counting over all chunks what is distinct in each.
 
-A chunk is a few million neighbouring words, as numbers into a dictionary of its own: one row. What a chunk knows locally
+A chunk is a million or two of neighbouring words, as numbers into a dictionary of its own: one row. What a chunk knows locally
 (words, pairs of words) it sends once, with a count; what all chunks together say comes back to it once. So shuffles carry
 what is distinct in a chunk, packed, and no row, task or driver ever holds a count table of the whole corpus.
 """
@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a chunk (the documents that begin in it are in it whole), and keys in a bucket that chunks are merged in.
-WORDS, KEYS = 4_000_000, 1 << 20
+#: Words in a chunk, a million or two (the documents that begin in it are in it whole), and keys in a bucket that chunks are merged in.
+WORDS, KEYS = 1_500_000, 1 << 20
 #: Rows that are cut at once.
 ROWS = 256
 #: Stands for the end of a document or piece among words, none of which can hold it.
