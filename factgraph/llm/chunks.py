@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 WORDS, KEYS = 1_500_000, 1 << 20
 #: Rows that are cut at once.
 ROWS = 256
+#: Counts of counts are told up to this count.
+COUNTS = 6
 #: Stands for the end of a document or piece among words, none of which can hold it.
 END = "\n"
 
@@ -126,12 +128,6 @@ def word_chunks(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", "lang", "kept").mapInArrow(run, schema)
 
 
-def local_words(chunks: DataFrame) -> DataFrame:
-    """(chunk, place, word, lang, n): the dictionaries of all chunks."""
-    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "langs", "counts")).alias("place", "w"))
-    return rows.select("chunk", "place", F.col("w.words").alias("word"), F.col("w.langs").alias("lang"), F.col("w.counts").alias("n"))
-
-
 def by_chunk(left: DataFrame, right: DataFrame, work: Callable[[dict, pa.Table], Iterator[pa.RecordBatch] | list[pa.RecordBatch]], schema: pa.Schema, sql: str) -> DataFrame:
     """For each row of `left`, one for a chunk, and all rows of `right` of that chunk: what `work` makes of them."""
 
@@ -153,3 +149,60 @@ def sent(chunk: int, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iter
     cuts = [0, *(np.flatnonzero(dealt[1:] != dealt[:-1]) + 1).tolist(), len(dealt)]
     for start, stop in zip(cuts, cuts[1:] if len(dealt) else [], strict=False):
         yield int(dealt[start]), {k: v[order[start:stop]] for k, v in columns.items()}
+
+
+def word_requests(chunks: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, chunk, words, names, langs, n): the words of every chunk, which are the stripe of the empty phrase, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(1).compress
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, words, langs, counts, hashes = (batch.column(c)[i] for c in range(5))
+                words, names = words.values, langs.values.dictionary_encode()
+                for b, x in sent(0, unpack(hashes.as_py()) % n_buckets, {"at": np.arange(len(words))}):
+                    at = pa.array(x["at"])
+                    yield pa.RecordBatch.from_pydict({
+                        "bucket": pa.array([b], pa.int64()), "chunk": pa.array([key.as_py()], pa.int64()), "words": [squeeze(END.join(w if w != END else "" for w in words.take(at).to_pylist()).encode())],
+                        "names": pa.array([names.dictionary.to_pylist()], pa.list_(pa.string())), "langs": [pack(names.indices.take(at).to_numpy())], "n": [pack(counts.values.take(at).to_numpy())],
+                    })
+
+    return chunks.select("chunk", "words", "langs", "counts", "hashes").mapInArrow(run, "bucket long, chunk long, words binary, names array<string>, langs binary, n binary")
+
+
+FOUND = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("found", pa.binary()), ("times", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("id", pa.int64()), ("n", pa.int64())])
+
+
+def merged_words(rows: DataFrame, n_buckets: int, least: int, listed: bool = True) -> DataFrame:
+    """Words merged over all chunks: for each chunk the ids (`found`) and counts (`times`) of what it sent, -1 and 0 for those
+    that do not occur `least` times in documents that count, and rows without a chunk. If `listed`, END is no word, and
+    these are the frequent words (lang, word, id, n) and each bucket's total of a language (word null). Else END is one, and
+    they are the counts of counts of a bucket: n words occur id times; id 0 is the number of its words, id -1 their total."""
+
+    def run(table: pa.Table) -> pa.Table:
+        open_, bucket = zstandard.ZstdDecompressor().decompress, table["bucket"][0].as_py()
+        parts = [open_(x).decode().split(END) for x in table["words"].to_pylist()]
+        words = pa.array([w for p in parts for w in p], pa.string()).dictionary_encode()
+        langs = pa.concat_arrays([pa.array(names, pa.string()).take(pa.array(unpack(x))) for names, x in zip(table["names"].to_pylist(), table["langs"].to_pylist(), strict=True)]).dictionary_encode()
+        size = len(words.dictionary)
+        keys, which = np.unique(langs.indices.to_numpy().astype(np.int64) * size + words.indices.to_numpy(), return_inverse=True)
+        n = np.bincount(which, np.concatenate([unpack(x) for x in table["n"].to_pylist()]), len(keys)).astype(np.int64)
+        real = np.ones(len(keys), bool) if not listed else np.array([w != "" for w in words.dictionary.to_pylist()])[keys % size]
+        order = np.flatnonzero(real & (n >= least))
+        order = order[np.argsort(-n[order], kind="stable")]
+        ids = np.full(len(keys), -1)
+        ids[order] = np.arange(len(order)) * n_buckets + bucket
+        cuts = np.cumsum([len(x) for x in parts])[:-1]
+        answers = {"found": [pack(x) for x in np.split(ids[which], cuts)], "times": [pack(x) for x in np.split(np.where(ids < 0, 0, n)[which], cuts)]}
+        batch = lambda rows, columns: pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in FOUND], schema=FOUND)
+        batches = [batch(len(parts), {"chunk": table["chunk"].to_pylist(), "bucket": table["bucket"].to_pylist(), **answers})]
+        if listed:
+            totals = np.bincount(keys[real] // size, n[real], len(langs.dictionary)).astype(np.int64)
+            batches.append(batch(len(order), {"lang": langs.dictionary.take(pa.array(keys[order] // size)).to_pylist(), "word": words.dictionary.take(pa.array(keys[order] % size)).to_pylist(), "id": ids[order], "n": n[order]}))
+            batches.append(batch(len(totals), {"lang": langs.dictionary.to_pylist(), "n": totals}))
+        else:
+            few = np.bincount(n[order][n[order] <= COUNTS], minlength=COUNTS + 1)
+            batches.append(batch(COUNTS + 2, {"id": np.arange(-1, COUNTS + 1), "n": np.concatenate([[n[order].sum(), len(order)], few[1:]]).astype(np.int64)}))
+        return pa.Table.from_batches(batches, FOUND)
+
+    return rows.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, found binary, times binary, lang string, word string, id long, n long")

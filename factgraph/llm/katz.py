@@ -1,10 +1,8 @@
 """A Katz back-off language model of word pairs, and its score of every document.
 
-Words are numbered by how often training documents hold them, most frequent first, so a word's count, and with it the
-probability that the model backs off to, follows from its number and a short table: the numbers at which counts change
-(there are no more different counts than the square root of twice the words, however large the corpus). Pairs are counted
-in buckets by their first word; a first word with more than its share is split by the second. What chunks ask about their
-distinct pairs comes back as counts; only pairs never seen in training need their first word's back-off weight, by a join.
+Words and pairs are counted in buckets by their hashes, pairs by their first word; a first word with more than its share is
+split by the second. What chunks ask about their distinct words and pairs comes back as numbers and counts, packed; only
+pairs never seen in training need their first word's back-off weight, by a join.
 
 Counts up to K are discounted by Good and Turing's estimate as Katz has it; larger ones stand but for a reserve of 1/100
 occurrence, so that every first word keeps some mass (Katz's own would leave none where all counts are large, and unseen
@@ -25,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.chunks import END, buckets, by_chunk, local_words, mixed, pack, pack_sorted, sent, unpack, unpack_sorted, word_chunks, word_table
-from factgraph.llm.common import documents, stage, unstage, width, with_row_number
+from factgraph.llm.chunks import COUNTS, buckets, by_chunk, merged_words, mixed, pack, pack_sorted, sent, unpack, unpack_sorted, word_chunks, word_requests, word_table
+from factgraph.llm.common import documents, stage, unstage, width
 
 #: Counts above this are taken as they are, but for the reserve.
 K, RESERVE = 5, 0.01
@@ -54,94 +52,99 @@ def worth(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """What follows from a word's number: `counts` fall, the words from `first` on have them. `starts` is the number that
-    stands for the beginning of a document, with as many occurrences as training documents."""
+    """What holds for all words: how many training documents' words there are (`total`) and how many different ones, what
+    small counts are worth, and in how many buckets pairs are counted."""
 
-    first: np.ndarray
-    counts: np.ndarray
-    starts: int
-    documents: int
     total: int
+    distinct: int
     table: np.ndarray
+    left: float
+    n_buckets: int
 
-    def count(self, ids: np.ndarray) -> np.ndarray:
-        if not len(self.counts):
-            return np.where(ids == self.starts, self.documents, 0)
-        known = self.counts[np.clip(np.searchsorted(self.first, ids, "right") - 1, 0, None)]
-        return np.where(ids == self.starts, self.documents, np.where(ids >= 0, known, 0))
-
-    def probability(self, ids: np.ndarray) -> np.ndarray:
-        """P(w); unknown words share what the discounts leave. Without training all words are that one."""
-        if not self.total:
-            return np.ones(len(ids))
-        per = np.diff(np.append(self.first, self.starts))
-        left = 1 - float((per * worth(self.counts, self.table)).sum()) / self.total
-        return np.where(ids >= 0, worth(self.count(ids), self.table) / self.total, left)
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        """P(w) of words that training has so often; unknown ones share what the discounts leave. Without training all words
+        are that one."""
+        return np.where(counts > 0, worth(counts, self.table) / max(1, self.total), self.left)
 
-    def bucket(self, before: np.ndarray, after: np.ndarray, n_buckets: int) -> np.ndarray:
-        """Pairs go by their first word; those of a word with more than an eighth of a bucket's share by both, in as many
-        parts as it has eighths."""
-        share = max(1, self.total // (8 * n_buckets))
-        parts = (self.count(before) // share + 1).astype(np.uint64)
-        return (mixed(mixed(before) + mixed(after) % parts) % np.uint64(n_buckets)).astype(np.int64)
+    def bucket(self, first: np.ndarray, second: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Pairs go by their first word; those of a word (it occurs `count` times) with more than an eighth of a bucket's
+        share by both, in as many parts as it has eighths."""
+        parts = (count // max(1, self.total // (8 * self.n_buckets)) + 1).astype(np.uint64)
+        return (mixed(mixed(first) + mixed(second) % parts) % np.uint64(self.n_buckets)).astype(np.int64)
 
 
-def vocabulary(chunks: DataFrame) -> tuple[DataFrame, Words]:
-    """(word, id) of all words of training documents, and what follows from the numbers. To the driver come the counts of
-    counts, no more than the square root of twice the words."""
-    counted = local_words(chunks).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-    ranked, size = with_row_number(counted, [F.desc("n"), F.col("word")], "lm-words", "id")
-    words = stage(ranked, "lm-vocabulary")
-    steps = sorted(((r["n"], r["k"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    counts, per = np.array([n for n, _ in steps], np.int64), np.array([k for _, k in steps], np.int64)
-    ends = words.where(F.col("word") == END).select("n").first()
-    table = discounted({n: k for n, k in steps if n <= K + 1})
-    return words.select("word", "id"), Words(np.cumsum(per) - per, counts, size, ends["n"] if ends else 0, int((counts * per).sum()), table)
+def counted_words(answers: DataFrame, n_buckets: int) -> Words:
+    """From the counts of counts of all buckets; a few numbers come to the driver."""
+    told = {r["id"]: r["n"] for r in answers.where("chunk is null").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    total, distinct, few = told.get(-1, 0), told.get(0, 0), {r: told.get(r, 0) for r in range(1, COUNTS + 1)}
+    table = discounted(few)
+    small = range(1, K + 1)
+    large = total - sum(r * few[r] for r in small) - table[0] * (distinct - sum(few[r] for r in small))
+    return Words(total, distinct, table, 1 - float(large + sum(few[r] * table[r] for r in small)) / total if total else 1.0, n_buckets)
 
 
-CODED = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("ids", pa.list_(pa.int64())), ("kept", pa.list_(pa.bool_()))])
+#: Stands for what is before a document's first word. Words have numbers from 1 on.
+START, UNKNOWN = 0, -1
+CODED = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("found", pa.binary()), ("times", pa.binary()), ("starts", pa.int64()), ("sizes", pa.binary()), ("ids", pa.list_(pa.int64())), ("kept", pa.list_(pa.bool_()))])
+CODED_SQL = "chunk long, numbers binary, found binary, times binary, starts long, sizes binary, ids array<long>, kept array<boolean>"
 
 
-def coded(chunks: DataFrame, ids: DataFrame) -> DataFrame:
-    """The chunks with numbers of the vocabulary for words, -1 for others, and how many words each document has."""
+def coded(chunks: DataFrame, answers: DataFrame, n_buckets: int) -> DataFrame:
+    """The chunks with the number and count of each of their words, how many documents training has, and how many words
+    each document has."""
 
-    def work(row: dict, known: pa.Table) -> list[pa.RecordBatch]:
-        numbers = unpack(row["numbers"].as_py())
-        table = np.full(int(numbers.max(initial=-1)) + 1, UNKNOWN)
-        table[known["place"].to_numpy()] = known["id"].to_numpy()
-        end = np.flatnonzero(numbers == row["end"].as_py())
-        columns = [pa.array([row["chunk"].as_py()], pa.int64()), pa.array([pack(table[numbers])], pa.binary()), pa.array([pack(np.diff(end, prepend=-1))], pa.binary()), pa.array([row["ids"].as_py()], pa.list_(pa.int64())), pa.array([row["kept"].as_py()], pa.list_(pa.bool_()))]
-        return [pa.RecordBatch.from_arrays(columns, schema=CODED)]
+    def work(row: dict, found: pa.Table) -> list[pa.RecordBatch]:
+        bucket = unpack(row["hashes"].as_py()) % n_buckets
+        ids, times = np.full(len(bucket), UNKNOWN), np.zeros(len(bucket), np.int64)
+        told = dict(zip(found["bucket"].to_pylist(), zip(found["found"].to_pylist(), found["times"].to_pylist(), strict=True), strict=True))
+        for b, x in sent(0, bucket, {"at": np.arange(len(bucket))}):
+            got, n = map(unpack, told[b])
+            ids[x["at"]], times[x["at"]] = np.where(got < 0, UNKNOWN, got + 1), n
+        end = row["end"].as_py()
+        sizes = np.diff(np.flatnonzero(unpack(row["numbers"].as_py()) == end), prepend=-1)
+        columns = [row["chunk"].as_py(), row["numbers"].as_py(), pack(ids), pack(times), int(times[end]), pack(sizes), row["ids"].as_py(), row["kept"].as_py()]
+        return [pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(columns, CODED, strict=True)], schema=CODED)]
 
-    return by_chunk(chunks, ids, work, CODED, "chunk long, words binary, sizes binary, ids array<long>, kept array<boolean>")
+    rows = chunks.select("chunk", "hashes", "end", "numbers", "ids", "kept")
+    return by_chunk(rows, answers.where("chunk is not null").select("chunk", "bucket", "found", "times"), work, CODED, CODED_SQL)
 
 
 @dataclass
 class Pairs:
-    """A chunk's words after what stands before each, and its distinct pairs of known words."""
+    """A chunk's words by place: whether each and what stands before it is known, with their counts; and its distinct pairs of
+    known words, with their counts and buckets."""
 
-    before: np.ndarray
-    after: np.ndarray
     sizes: np.ndarray
+    before: np.ndarray
+    after_count: np.ndarray
+    before_count: np.ndarray
     asked: np.ndarray
+    which: np.ndarray
     first: np.ndarray
     second: np.ndarray
-    which: np.ndarray
+    second_count: np.ndarray
+    bucket: np.ndarray
 
     @classmethod
     def of(cls, row: dict, words: Words) -> Pairs:
-        after, sizes = unpack(row["words"].as_py()), unpack(row["sizes"].as_py())
-        before = np.concatenate([[words.starts], after[:-1]])
-        before[np.cumsum(sizes)[:-1]] = words.starts
-        asked = np.flatnonzero((before >= 0) & (after >= 0))
-        bs, b = np.unique(before[asked], return_inverse=True)
-        ws, w = np.unique(after[asked], return_inverse=True)
-        keys, which = np.unique(b * max(1, len(ws)) + w, return_inverse=True)
-        return cls(before, after, sizes, asked, bs[keys // max(1, len(ws))], ws[keys % max(1, len(ws))], which)
-
-
-def requests(chunks: DataFrame, words: Words, n_buckets: int) -> DataFrame:
-    """(bucket, chunk, first, second, n): each chunk's distinct pairs with how often its training documents have them."""
+        numbers, ids, times, sizes = (unpack(row[c].as_py()) for c in ("numbers", "found", "times", "sizes"))
+        starts = len(ids)  # a place in the dictionary of its own
+        ids, times = np.append(ids, START), np.append(times, row["starts"].as_py())
+        prior = np.concatenate([[starts], numbers[:-1]])
+        prior[np.cumsum(sizes)[:-1]] = starts
+        asked = np.flatnonzero((times[prior] > 0) & (ids[numbers] >= 0))
+        keys, which = np.unique(prior[asked] * starts + numbers[asked], return_inverse=True)
+        first, second = keys // max(1, starts), keys % max(1, starts)
+        order = np.lexsort((ids[second], ids[first]))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        first, second = first[order], second[order]
+        return cls(sizes, ids[prior], times[numbers], times[prior], asked, place[which], ids[first], ids[second], times[second], words.bucket(ids[first], ids[second], times[first]))
+
+
+def requests(chunks: DataFrame, words: Words) -> DataFrame:
+    """(bucket, chunk, first, second, count, n): each chunk's distinct pairs with the second word's count and how often its
+    training documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,33 +153,35 @@ def requests(chunks: DataFrame, words: Words, n_buckets: int) -> DataFrame:
                 pairs = Pairs.of(row, words)
                 trained = np.repeat(np.array(row["kept"].as_py(), bool), pairs.sizes)[pairs.asked]
                 n = np.bincount(pairs.which, trained, len(pairs.first)).astype(np.int64)
-                for b, x in sent(0, words.bucket(pairs.first, pairs.second, n_buckets), {"first": pairs.first, "second": pairs.second, "n": n}):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "chunk": pa.array([row["chunk"].as_py()], pa.int64()), "first": [pack_sorted(x["first"])], "second": [pack(x["second"])], "n": [pack(x["n"])]})
+                for b, x in sent(0, pairs.bucket, {"first": pairs.first, "second": pairs.second, "count": pairs.second_count, "n": n}):
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "chunk": pa.array([row["chunk"].as_py()], pa.int64()), "first": [pack_sorted(x["first"])], **{c: [pack(x[c])] for c in ("second", "count", "n")}})
 
-    return chunks.mapInArrow(run, "bucket long, chunk long, first binary, second binary, n binary")
+    return chunks.mapInArrow(run, "bucket long, chunk long, first binary, second binary, count binary, n binary")
 
 
-TABLE = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("n", pa.binary())])
+TABLE = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("count", pa.binary()), ("n", pa.binary())])
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """The table of pairs by bucket (first, second, n: those that training has, chunk null), and the counts for each chunk
-    in the order in which it asked."""
+    """The table of pairs by bucket (first, second, count, n: those that training has, chunk null), and the counts for each
+    chunk in the order in which it asked."""
 
     def run(table: pa.Table) -> pa.Table:
-        first, second, n = ([unpacked(x) for x in table[c].to_pylist()] for c, unpacked in (("first", unpack_sorted), ("second", unpack), ("n", unpack)))
+        first, second, count, n = ([unpacked(x) for x in table[c].to_pylist()] for c, unpacked in (("first", unpack_sorted), ("second", unpack), ("count", unpack), ("n", unpack)))
         bucket = table["bucket"][0].as_py()
         bs, b = np.unique(np.concatenate(first), return_inverse=True)
-        ws, w = np.unique(np.concatenate(second), return_inverse=True)
+        ws, at, w = np.unique(np.concatenate(second), return_index=True, return_inverse=True)
+        known = np.concatenate(count)[at]
         keys, which = np.unique(b * max(1, len(ws)) + w, return_inverse=True)
         total = np.bincount(which, np.concatenate(n), len(keys)).astype(np.int64)
         answers = [pack(x) for x in np.split(total[which], np.cumsum([len(x) for x in first])[:-1])]
-        own = total > 0
-        held = [[bucket], [None], [pack_sorted(bs[keys // len(ws)][own])], [pack(ws[keys % len(ws)][own])], [pack(total[own])]]
-        replies = [[bucket] * len(answers), table["chunk"].to_pylist(), [None] * len(answers), [None] * len(answers), answers]
+        keys, total = keys[total > 0], total[total > 0]
+        held = [[bucket], [None], [pack_sorted(bs[keys // max(1, len(ws))])], [pack(ws[keys % max(1, len(ws))])], [pack(known[keys % max(1, len(ws))])], [pack(total)]]
+        none = [None] * len(answers)
+        replies = [[bucket] * len(answers), table["chunk"].to_pylist(), none, none, none, answers]
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(part, TABLE, strict=True)], schema=TABLE) for part in (held, replies)], TABLE)
 
-    return rows.groupBy("bucket").applyInArrow(run, "bucket long, chunk long, first binary, second binary, n binary")
+    return rows.groupBy("bucket").applyInArrow(run, "bucket long, chunk long, first binary, second binary, count binary, n binary")
 
 
 def counts_of_counts(pairs: DataFrame) -> dict[int, int]:
@@ -198,44 +203,43 @@ def contexts(pairs: DataFrame, words: Words, table: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                first, second, n = unpack_sorted(row["first"]), unpack(row["second"]), unpack(row["n"])
+                first, n, count = unpack_sorted(row["first"]), unpack(row["n"]), unpack(row["count"])
                 ids, which = np.unique(first, return_inverse=True)
-                sums = [np.bincount(which, x, len(ids)) for x in (worth(n, table) / words.count(first), words.probability(second))]
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "seen": pa.array(sums[0]), "below": pa.array(sums[1])})
+                sums = [np.bincount(which, x, len(ids)) for x in (worth(n, table), n, words.probability(count))]
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "seen": pa.array(sums[0]), "total": pa.array(sums[1]), "below": pa.array(sums[2])})
 
-    sums = pairs.select("first", "second", "n").mapInArrow(run, "id long, seen double, below double").groupBy("id").agg(F.sum("seen").alias("seen"), F.sum("below").alias("below"))
-    return sums.select("id", ((1 - F.col("seen")) / (1 - F.col("below"))).alias("weight"))
+    sums = pairs.select("first", "count", "n").mapInArrow(run, "id long, seen double, total double, below double").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("seen", "total", "below")])
+    return sums.select("id", ((1 - F.col("seen") / F.col("total")) / (1 - F.col("below"))).alias("weight"))
 
 
 SCORED = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("context", pa.int64()), ("times", pa.int64())])
 SCORED_SQL = "doc long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, context long, times long"
 
 
-def scored(chunks: DataFrame, replies: DataFrame, words: Words, table: np.ndarray, n_buckets: int) -> DataFrame:
+def scored(chunks: DataFrame, replies: DataFrame, words: Words, table: np.ndarray) -> DataFrame:
     """Two kinds of rows: of each document what is known without back-off weights, and how often (times) it backs off from
     which first word (context)."""
 
     def work(row: dict, found: pa.Table) -> Iterator[pa.RecordBatch]:
         pairs, chunk = Pairs.of(row, words), row["chunk"].as_py()
         counts, answers = np.zeros(len(pairs.first), np.int64), dict(zip(found["bucket"].to_pylist(), found["n"].to_pylist(), strict=True))
-        for b, x in sent(0, words.bucket(pairs.first, pairs.second, n_buckets), {"at": np.arange(len(pairs.first))}):
+        for b, x in sent(0, pairs.bucket, {"at": np.arange(len(pairs.first))}):
             counts[x["at"]] = unpack(answers[b])
-        n = np.zeros(len(pairs.after), np.int64)
+        n = np.zeros(len(pairs.before), np.int64)
         n[pairs.asked] = counts[pairs.which]
-        below, before = words.probability(pairs.after), words.count(pairs.before)
-        logs = np.log10(np.where(n > 0, worth(n, table) / np.maximum(before, 1), below))
         of = np.repeat(np.arange(len(pairs.sizes)), pairs.sizes)
         total = lambda x: np.bincount(of, x, len(pairs.sizes))
-        own = words.count(pairs.after)
-        base = np.log10((own + 1) / (words.total + 1 * (words.starts + 1)))
+        score = total(np.log10(np.where(n > 0, worth(n, table) / np.maximum(pairs.before_count, 1), words.probability(pairs.after_count))))
+        base = total(np.log10((pairs.after_count + 1) / (words.total + 1 * (words.distinct + 1))))
         doc = (chunk << 32) + np.arange(len(pairs.sizes))
-        none = pa.nulls(len(doc), pa.int64())
-        kept = np.array(row["kept"].as_py(), bool)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row["ids"].as_py(), pa.int64()), pa.array(~kept), pa.array(pairs.sizes), pa.array(total(own > 0).astype(np.int64)), pa.array(total(base)), pa.array(total(logs)), none, none], schema=SCORED)
-        back = np.flatnonzero((n == 0) & (before > 0))
-        key, times = np.unique(of[back] * (words.starts + 1) + pairs.before[back], return_counts=True)
+        none, kept = pa.nulls(len(doc), pa.int64()), np.array(row["kept"].as_py(), bool)
+        known = total(pairs.after_count > 0).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row["ids"].as_py(), pa.int64()), pa.array(~kept), pa.array(pairs.sizes), pa.array(known), pa.array(base), pa.array(score), none, none], schema=SCORED)
+        back = np.flatnonzero((n == 0) & (pairs.before_count > 0))
+        ids, local = np.unique(pairs.before[back], return_inverse=True)
+        key, times = np.unique(of[back] * max(1, len(ids)) + local, return_counts=True)
         empty = [pa.nulls(len(key), f.type) for f in SCORED]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[key // (words.starts + 1)]), *empty[1:7], pa.array(key % (words.starts + 1)), pa.array(times.astype(np.int64))], schema=SCORED)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[key // max(1, len(ids))]), *empty[1:7], pa.array(ids[key % max(1, len(ids))]), pa.array(times.astype(np.int64))], schema=SCORED)
 
     return by_chunk(chunks, replies.select("chunk", "bucket", "n"), work, SCORED, SCORED_SQL)
 
@@ -254,14 +258,14 @@ def katz_scores(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
     rows = rows.select("doc_id", "text", F.lit("").alias("lang"), F.coalesce(F.expr(trained), F.lit(True)).alias("kept"))
     chunks = stage(word_chunks(rows, word_table("", "\t\n\x0b\x0c\r ")), "lm-chunks")
     n_buckets = buckets(chunks.agg(F.sum("n")).first()[0] or 0, width(docs.sparkSession))
-    known, words = vocabulary(chunks)
-    ids = local_words(chunks).select("chunk", "place", "word").join(known, "word").select("chunk", "place", "id")
-    texts = stage(coded(chunks.select("chunk", "end", "numbers", "ids", "kept"), ids), "lm-texts")
+    answers = stage(merged_words(word_requests(chunks, n_buckets), n_buckets, 1, listed=False), "lm-words")
+    words = counted_words(answers, n_buckets)
+    texts = stage(coded(chunks, answers, n_buckets), "lm-texts")
     unstage(chunks)
-    answers = stage(merged(requests(texts, words, n_buckets)), "lm-pairs")
-    pairs = answers.where("chunk is null")
+    table_and_replies = stage(merged(requests(texts, words)), "lm-pairs")
+    pairs = table_and_replies.where("chunk is null")
     table = discounted(counts_of_counts(pairs))
-    found = stage(scored(texts, answers.where("chunk is not null"), words, table, n_buckets), "lm-scores")
+    found = stage(scored(texts, table_and_replies.where("chunk is not null"), words, table), "lm-scores")
     weights = contexts(pairs, words, table)
     back = found.where("context is not null").select("doc", "context", "times").join(weights, F.col("context") == F.col("id"))
     back = back.groupBy("doc").agg(F.sum(F.col("times") * F.log10("weight")).alias("backed"))

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factgraph.llm.chunks import END, buckets, by_chunk, mixed, pack, pack_sorted, sent, unpack, unpack_sorted, word_chunks, word_table
+from factgraph.llm.chunks import END, buckets, by_chunk, merged_words, mixed, pack, pack_sorted, sent, unpack, unpack_sorted, word_chunks, word_requests, word_table
 from factgraph.llm.common import documents, stage, unstage, width
 
 #: Parts that a language's best phrases are first sought in.
@@ -109,57 +108,6 @@ def advanced(state: DataFrame, replies: DataFrame, n_buckets: int) -> DataFrame:
     return by_chunk(state, replies.select("chunk", "bucket", "found"), work, STATE, STATE_SQL)
 
 
-def word_requests(chunks: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, chunk, words, names, langs, n): the words of every chunk, which are the stripe of the empty phrase, by bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(1).compress
-        for batch in batches:
-            for i in range(batch.num_rows):
-                key, words, langs, counts, hashes = (batch.column(c)[i] for c in range(5))
-                words, names = words.values, langs.values.dictionary_encode()
-                for b, x in sent(0, unpack(hashes.as_py()) % n_buckets, {"at": np.arange(len(words))}):
-                    at = pa.array(x["at"])
-                    yield pa.RecordBatch.from_pydict({
-                        "bucket": pa.array([b], pa.int64()), "chunk": pa.array([key.as_py()], pa.int64()), "words": [squeeze(END.join(w if w != END else "" for w in words.take(at).to_pylist()).encode())],
-                        "names": pa.array([names.dictionary.to_pylist()], pa.list_(pa.string())), "langs": [pack(names.indices.take(at).to_numpy())], "n": [pack(counts.values.take(at).to_numpy())],
-                    })
-
-    return chunks.select("chunk", "words", "langs", "counts", "hashes").mapInArrow(run, "bucket long, chunk long, words binary, names array<string>, langs binary, n binary")
-
-
-WORDS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("found", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("id", pa.int64()), ("n", pa.int64())])
-
-
-def merged_words(rows: DataFrame, n_buckets: int, least: int) -> DataFrame:
-    """Words merged over all chunks, in three kinds of rows: the frequent ones (lang, word, id, n), for each chunk the ids of
-    what it sent (-1: not frequent), and a bucket's total of a language (word null)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        open_, bucket = zstandard.ZstdDecompressor().decompress, table["bucket"][0].as_py()
-        parts = [open_(x).decode().split(END) for x in table["words"].to_pylist()]
-        words = pa.array([w for p in parts for w in p], pa.string()).dictionary_encode()
-        langs = pa.concat_arrays([pa.array(names, pa.string()).take(pa.array(unpack(x))) for names, x in zip(table["names"].to_pylist(), table["langs"].to_pylist(), strict=True)]).dictionary_encode()
-        size = len(words.dictionary)
-        keys, which = np.unique(langs.indices.to_numpy().astype(np.int64) * size + words.indices.to_numpy(), return_inverse=True)
-        n = np.bincount(which, np.concatenate([unpack(x) for x in table["n"].to_pylist()]), len(keys)).astype(np.int64)
-        real = np.array([w != "" for w in words.dictionary.to_pylist()])[keys % size]
-        order = np.flatnonzero(real & (n >= least))
-        order = order[np.argsort(-n[order], kind="stable")]
-        ids = np.full(len(keys), -1)
-        ids[order] = np.arange(len(order)) * n_buckets + bucket
-        answers = np.split(ids[which], np.cumsum([len(x) for x in parts])[:-1])
-        totals = np.bincount(keys[real] // size, n[real], len(langs.dictionary)).astype(np.int64)
-        batch = lambda rows, columns: pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in WORDS], schema=WORDS)
-        return pa.Table.from_batches([
-            batch(len(answers), {"chunk": table["chunk"].to_pylist(), "bucket": table["bucket"].to_pylist(), "found": [pack(x) for x in answers]}),
-            batch(len(order), {"lang": langs.dictionary.take(pa.array(keys[order] // size)).to_pylist(), "word": words.dictionary.take(pa.array(keys[order] % size)).to_pylist(), "id": ids[order], "n": n[order]}),
-            batch(len(totals), {"lang": langs.dictionary.to_pylist(), "n": totals}),
-        ], WORDS)
-
-    return rows.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, found binary, lang string, word string, id long, n long")
-
-
 def coded(chunks: DataFrame, replies: DataFrame, n_buckets: int) -> DataFrame:
     """The chunks as ids of frequent words by place."""
 
@@ -179,7 +127,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, ends: str, space
     cut = word_chunks(docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("und")).alias("lang"), F.lit(True).alias("kept")), word_table(ends, spaces))
     chunks = stage(cut, "phrase-chunks")
     n_buckets = buckets(chunks.agg(F.sum("n")).first()[0] or 0, width(docs.sparkSession))
-    counted = stage(merged_words(word_requests(chunks, n_buckets), n_buckets, least), "phrase-words")
+    counted = stage(merged_words(word_requests(chunks, n_buckets), n_buckets, least).drop("times"), "phrase-words")
     sizes = counted.where("found is null and word is null").groupBy("lang").agg(F.sum("n").alias("n"))
     vocabulary = counted.where("word is not null").select("lang", "word", "id", "n")
     state = stage(coded(chunks, counted.where("found is not null"), n_buckets), "phrase-state")
