@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What each predicate leads from and to.
+PREDICATE_KINDS = (
+    ("ENDPOINT_IMPLEMENTED_BY", "endpoint", "method"), ("METHOD_CALLS_METHOD", "method", "method"), ("CLASS_INJECTS_CLASS", "class", "class"), ("CLASS_INJECTS_REPOSITORY", "class", "repository_binding"),
+    ("REPOSITORY_FOR_ENTITY", "repository_binding", "entity"), ("ENTITY_MAPS_TO_TABLE", "entity", "table"), ("METHOD_READS_TABLE", "method", "table"), ("METHOD_WRITES_TABLE", "method", "table"),
+    ("ENDPOINT_USES_GUARD", "endpoint", "guard"), ("MODULE_IMPORTS_MODULE", "module", "module"), ("MODULE_PROVIDES_CLASS", "module", "class"), ("MODULE_EXPORTS_CLASS", "module", "class"),
+    ("MODULE_EXPORTS_MODULE", "module", "module"), ("MODULE_DECLARES_CONTROLLER", "module", "class"), ("MODULE_REGISTERS_GLOBAL_GUARD", "module", "guard"), ("APPLICATION_REGISTERS_GLOBAL_GUARD", "module", "guard"),
+    ("METHOD_DECLARES_REQUEST_PARAMETER", "method", "request_parameter"), ("METHOD_DECLARES_RESPONSE", "method", "response_contract"), ("CONTRACT_TYPE_DECLARES_FIELD", "contract_type", "contract_field"),
+    ("ENTITY_DECLARES_COLUMN", "entity", "entity_column"), ("REQUEST_PARAMETER_HAS_FIELD_ORIGIN", "request_parameter", "request_field_origin"), ("REQUEST_FIELD_MAY_FLOW_TO_COLUMN", "request_field_origin", "entity_column"),
+    ("APPLICATION_USES_ROOT_MODULE", "application", "module"), ("METHOD_INITIATES_INTERACTION", "method", "interaction"), ("INTERACTION_MATCHES_LOCAL_HANDLER", "interaction", "interaction_handler"),
+    ("HANDLER_IMPLEMENTED_BY", "interaction_handler", "method"), ("METHOD_ACCESSES_RESOURCE", "method", "resource_access"),
+)
+
 
 def check_ids(envelope: DataFrame) -> DataFrame:
     """envelope: (id, kind, payload). One row for each id that occurs more than once, with equal content
@@ -18,7 +30,7 @@ def check_ids(envelope: DataFrame) -> DataFrame:
 
 
 def check_references(edges: DataFrame, envelope: DataFrame, rules: DataFrame) -> DataFrame:
-    """edges: (subject_id, predicate, object_id); rules: (predicate, subject_kind, object_kind), a closed list. One row
+    """edges: (subject_id, predicate, object_id); rules: (predicate, subject_kind, object_kind), a closed list (PREDICATE_KINDS). One row
     for each end that is missing or of a kind that the predicate does not allow, and for each predicate without a rule."""
     known = envelope.select("id", "kind").distinct()
     ends = edges.join(F.broadcast(rules), "predicate").select(

@@ -9,59 +9,75 @@ from pyspark.sql import functions as F
 
 from factgraph.functions.columns import target_key
 from factgraph.operators.diff import diff_keyed
-from factgraph.operators.policy import finish, verdict
+from factgraph.operators.policy import evaluate_policies, verdict
 from factgraph.sources.staging import stage
 
 
 def project_system_endpoints(interactions: DataFrame, handlers: DataFrame) -> DataFrame:
-    """(record_id, service_ns, role, kind, queue, job, contract, eligible, reason) of all services."""
-    contract = target_key(kind=F.col("kind"), queue=F.col("queue"), job=F.col("job"))
-    made = F.when(F.col("queue").isNull(), "target_dynamic").when(F.col("activation") == "constructed_cold", "never_activated")
-    taken = F.when(F.col("registration") != "proven_registered", "registration_unknown")
-    part = lambda df, key, role, reason: df.select(F.col(key).alias("record_id"), "service_ns", F.lit(role).alias("role"), "kind", "queue", "job", contract.alias("contract"), reason.isNull().alias("eligible"), reason.alias("reason"))
+    """(record_id, service_ns, role, kind, queue, job, mode, contract, eligible, reason) of what crosses services: jobs and
+    messages. A producer needs an exact target and a proven activation, a consumer an exact queue or pattern (any job will
+    do) and a proven registration."""
+    crossing = F.col("kind").isin("job_queue", "microservice_message")
+    jobs = F.col("kind") == "job_queue"
+    exact = F.col("queue").isNotNull() & (~jobs | F.col("job").isNotNull())
+    made = F.when(~exact, "target identity is not exact").when(~F.col("activation").isin("eager", "proven_activated"), F.concat(F.lit("activation is "), "activation"))
+    taken = F.when(F.col("queue").isNull(), "handler target identity is not exact").when(F.col("registration") != "proven_registered", F.concat(F.lit("registration is "), "registration"))
+    job = F.when(jobs, F.col("job"))
+    contract = target_key(kind=F.col("kind"), queue=F.col("queue"), job=job, mode=F.col("mode"))
+    part = lambda df, key, role, reason: df.where(crossing).select(F.col(key).alias("record_id"), "service_ns", F.lit(role).alias("role"), "kind", "queue", job.alias("job"), "mode", contract.alias("contract"), reason.isNull().alias("eligible"), reason.alias("reason"))
     return part(interactions, "interaction_id", "producer", made).unionByName(part(handlers, "handler_id", "consumer", taken))
 
 
 def correlate(endpoints: DataFrame, bindings: DataFrame) -> DataFrame:
-    """(record_id, role, state, reason, consumers): how each producer finds consumers, and the consumers that nobody feeds.
-
-    Consumers are first counted for each contract and realm, so a queue with most producers meets a few rows, not every
-    consumer. A declared realm beats a shared name; a shared name that leads to several services is ambiguous.
+    """(record_id, role, state, reason, consumers, broker_realm): how each producer finds consumers, and the consumers that
+    none finds.
+
+    Consumers are counted once for each contract, with the least and the greatest realm that they are bound to, so a queue
+    that most producers share meets two rows a producer (consumers of its job and of any), not every consumer. Several
+    explicit realms never match; several consumers of a job or a request are ambiguous, of an event they are not. A
+    candidate is declared if all sides are bound to one realm, else it shares the target only. An endpoint that several
+    bindings select is not eligible.
     """
-    realms = bindings.groupBy("service_ns", "queue").agg(F.min("realm_id").alias("realm"))
-    bound = endpoints.join(realms, ["service_ns", "queue"], "left")
-    consumers = bound.where("role = 'consumer' and eligible")
-    groups = consumers.groupBy("kind", "queue", F.col("job").alias("their_job"), F.col("realm").alias("their_realm")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("service_ns").alias("lo"), F.max("service_ns").alias("hi")
-    )
-    producers = bound.where("role = 'producer'").select("record_id", "kind", "queue", "job", "realm", "eligible", "reason")
+    realms = bindings.groupBy("service_ns", "queue").agg(F.min("realm_id").alias("realm"), F.count_distinct("realm_id").alias("realms"))
+    bound = endpoints.join(realms, ["service_ns", "queue"], "left").withColumns({
+        "realm": F.when(F.col("realms") == 1, F.col("realm")), "eligible": F.col("eligible") & (F.coalesce("realms", F.lit(0)) < 2), "mode": F.coalesce("mode", F.lit("")),
+    })
+    keys = ["kind", "queue", "mode"]
+    consumers = bound.where("role = 'consumer'").select("record_id", *keys, "job", "realm", "eligible")
+    groups = consumers.where("eligible").groupBy(*keys, F.col("job").alias("their_job")).agg(F.count(F.lit(1)).alias("n"), F.min("realm").alias("lo"), F.max("realm").alias("hi"), F.count("realm").alias("bound"))
+    producers = bound.where("role = 'producer'").select("record_id", *keys, "job", "realm", "eligible")
     fits = "their_job is null or their_job = job"
-    hits = producers.where("eligible").join(groups, ["kind", "queue"]).where(fits).groupBy("record_id").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.sum(F.when(F.col("their_realm") == F.col("realm"), F.col("n")).otherwise(0)).alias("same"),
-        F.sum(F.when(F.col("their_realm").isNull() | F.col("realm").isNull(), F.col("n")).otherwise(0)).alias("open"),
-    )
-    joined = producers.join(hits, "record_id", "left")
-    state = (
-        F.when(~F.col("eligible") | F.col("n").isNull(), "unmatched").when(F.col("same") > 0, "declared_realm").when(F.col("open") == 0, "unmatched")
-        .when(F.col("lo") == F.col("hi"), "target_only").otherwise("ambiguous")
+    hits = producers.where("eligible").join(groups, keys).where(fits).groupBy("record_id").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("bound").alias("bound"))
+    kinds = consumers.where("eligible").groupBy("kind").agg(F.lit(True).alias("met"))
+    rows = producers.join(hits, "record_id", "left").join(kinds, "kind", "left")
+    lo, hi = F.least("lo", "realm"), F.greatest("hi", "realm")
+    lone, apart = ~F.col("eligible") | F.col("n").isNull(), F.coalesce(lo != hi, F.lit(False))
+    shared = F.when(F.col("realm").isNotNull() & (F.col("bound") == F.col("n")) & (lo == hi), F.col("realm"))
+    several = (F.col("n") > 1) & ((F.col("kind") == "job_queue") | (F.col("mode") == "request_response"))
+    state = F.when(lone | apart, "unmatched").when(several, "ambiguous").when(shared.isNotNull(), "declared_realm_candidate").otherwise("target_only_candidate")
+    reason = (
+        F.when(~F.col("eligible"), "unsupported_identity").when(F.col("n").isNull(), F.when(F.col("met"), "target_mismatch").otherwise("producer_only")).when(apart, "realm_mismatch")
+        .when(several, F.when(F.col("kind") == "job_queue", "multiple_job_consumers").otherwise("multiple_request_consumers"))
     )
-    reason = F.when(~F.col("eligible"), F.col("reason")).when(F.col("n").isNull(), "no_consumer").when((F.col("same") == 0) & (F.col("open") == 0), "realm_differs")
-    sent = joined.select("record_id", F.lit("producer").alias("role"), state.alias("state"), reason.alias("reason"), F.coalesce("n", F.lit(0)).cast("long").alias("consumers"))
-    offered = producers.where("eligible").select("kind", "queue", F.col("job").alias("sent_job")).distinct()
-    fed = consumers.join(offered, ["kind", "queue"]).where("job is null or job = sent_job").select("record_id").distinct()
+    realm = F.when(lone, F.col("realm")).when(~apart, shared)
+    sent = rows.select("record_id", F.lit("producer").alias("role"), state.alias("state"), reason.alias("reason"), F.coalesce("n", F.lit(0)).cast("long").alias("consumers"), realm.alias("broker_realm"))
+    offered = producers.where("eligible").select(*keys, F.col("job").alias("sent_job")).distinct()
+    fed = consumers.where("eligible").join(offered, keys).where("job is null or job = sent_job").select("record_id").distinct()
     idle = consumers.join(fed, "record_id", "left_anti")
-    return sent.unionByName(idle.select("record_id", F.lit("consumer").alias("role"), F.lit("unconsumed").alias("state"), F.lit("no_producer").alias("reason"), F.lit(0).cast("long").alias("consumers")))
+    why = F.when(F.col("eligible"), "consumer_only").otherwise("unsupported_identity")
+    return sent.unionByName(idle.select("record_id", F.lit("consumer").alias("role"), F.lit("unmatched").alias("state"), why.alias("reason"), F.lit(0).cast("long").alias("consumers"), F.col("realm").alias("broker_realm")))
 
 
 def system_policies(correlations: DataFrame) -> DataFrame:
-    """Every matched producer needs a declared realm; none may be ambiguous."""
-    matched = correlations.where("role = 'producer' and state <> 'unmatched'")
-    key = F.col("record_id").alias("subject_key")
-    none = F.lit("").alias("evidence_ids")
-    realm = matched.select(key, none, *verdict(F.col("state") == "target_only", F.col("state") == "ambiguous", ("realm_undeclared", "realm_ambiguous", "realm_declared")))
-    clear = matched.select(key, none, *verdict(F.col("state") == "ambiguous", F.lit(False), ("ambiguous", "", "unambiguous")))
-    return finish(realm, "declared_realm").unionByName(finish(clear, "no_ambiguity"))
+    """Every producer needs a candidate in a declared realm; none may be ambiguous. Consumers that none feeds are no subjects."""
+    lone, vague = F.col("role") == "consumer", F.col("state") == "ambiguous"
+    told = lambda *cases: correlations.select(F.col("record_id").alias("subject_key"), *verdict(*cases), F.lit("").alias("evidence_ids"))
+    realm = told(
+        (lone, "not_applicable", "declared_realm_candidate_unknown"), (F.col("state") == "declared_realm_candidate", "pass", "declared_realm_candidate_found"),
+        (vague | (F.col("reason") == "unsupported_identity"), "unknown", "declared_realm_candidate_unknown"), (None, "fail", "declared_realm_candidate_missing"),
+    )
+    clear = told((lone, "not_applicable", "correlation_unambiguous"), (vague, "fail", "correlation_ambiguous"), (None, "pass", "correlation_unambiguous"))
+    return evaluate_policies({"require-declared-realm-candidate": (realm, "error", "warning"), "forbid-ambiguous-system-correlation": (clear, "error", "warning")})
 
 
 def diff_systems(before: DataFrame, after: DataFrame, key: list[str], compare: list[str], service: str, observations: DataFrame) -> DataFrame:

@@ -116,11 +116,12 @@ def module_visibility(modules: DataFrame, edges: DataFrame, scope: str = "analys
     """(scope, module_id, class_id) visible, and (scope, module_id, complete).
 
     A module exports what it exports itself and what the modules it exports export (a fixpoint over rounds). It sees its
-    own providers, the exports of imports, and those of the global modules of its document. It is complete if no module
-    that its imports or exports lead to is incomplete. Ids hold within a document, which `scope` names.
+    own providers, the exports of imports, and those of the global modules of its document. It is complete if its imports
+    lead to no module that is incomplete or has no record. Only resolved edges count. Ids hold within a document, which
+    `scope` names.
     """
     whole = lambda c: F.concat_ws("/", scope, c)
-    of = lambda p: edges.where(F.col("predicate") == p).select(scope, whole("subject_id").alias("subject_id"), F.col("object_id").alias("raw"), whole("object_id").alias("object_id")).distinct()
+    of = lambda p: edges.where((F.col("predicate") == p) & (F.col("status_rank") == 1) & F.col("object_id").isNotNull()).select(scope, whole("subject_id").alias("subject_id"), F.col("object_id").alias("raw"), whole("object_id").alias("object_id")).distinct()
     resolved = lambda df: df.select("subject_id", "object_id").withColumn("status_rank", F.lit(1))
     known = modules.withColumn("node", whole("module_id"))
     every = known.select(F.col("node").alias("root"), "node", F.lit(1).alias("rank"))
@@ -133,9 +134,9 @@ def module_visibility(modules: DataFrame, edges: DataFrame, scope: str = "analys
     shared = known.select(scope, "node").join(everywhere, scope).select("node", "class_id")
     seen = own.unionByName(imported).unionByName(shared).distinct()
     visible = known.select(scope, "module_id", "node").join(seen, "node").select(scope, "module_id", "class_id")
-    links = of("MODULE_IMPORTS_MODULE").unionByName(of("MODULE_EXPORTS_MODULE")).distinct()
-    broken = known.where("completeness = 'incomplete'").select("node")
-    bad = walk(every, resolved(links), None).join(broken, "node", "left_semi").select(F.col("root").alias("node"), F.lit(False).alias("whole")).distinct()
+    whole_modules = known.where("completeness <> 'incomplete'").select("node")
+    led = walk(every, resolved(of("MODULE_IMPORTS_MODULE")), None)
+    bad = led.join(whole_modules, "node", "left_anti").select(F.col("root").alias("node"), F.lit(False).alias("whole")).distinct()
     complete = known.join(bad, "node", "left").select(scope, "module_id", F.coalesce("whole", F.lit(True)).alias("complete"))
     return visible, complete
 

@@ -183,10 +183,9 @@ def ids(f: Facts) -> DataFrame:
 
 
 EDGES = """select subject_id, 'ENDPOINT_IMPLEMENTED_BY' as predicate, object_id, status_rank from fx_impl
-union all select subject_id, 'CALLS', object_id, status_rank from fx_calls union all select subject_id, predicate, object_id, status_rank from fx_access
-union all select distinct subject_id, predicate, object_id, 1 from fx_module_edges"""
-RULES = """(values ('ENDPOINT_IMPLEMENTED_BY','endpoint','method'),('CALLS','method','method'),('METHOD_READS_TABLE','method','table'),('METHOD_WRITES_TABLE','method','table'),
-('MODULE_IMPORTS_MODULE','module','module'),('MODULE_EXPORTS_MODULE','module','class'),('MODULE_PROVIDES_CLASS','module','class')) as r(predicate, subject_kind, object_kind)"""
+union all select subject_id, 'METHOD_CALLS_METHOD', object_id, status_rank from fx_calls union all select subject_id, predicate, object_id, status_rank from fx_access
+union all select distinct subject_id, predicate, object_id, status_rank from fx_module_edges union all select subject_id, 'MODULE_OWNS_NOTHING', object_id, 1 from fx_impl where subject_id = 'endpoint:1'"""
+RULES = "(values " + ",".join(f"('{p}','{s}','{o}')" for p, s, o in integrity.PREDICATE_KINDS) + ") as r(predicate, subject_kind, object_kind)"
 
 
 @query("v2_check_references", f"""

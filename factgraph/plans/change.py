@@ -13,7 +13,7 @@ from factgraph.operators import policy as P
 from factgraph.operators import walk as W
 from factgraph.operators.matching import endpoint_authorization, match_exact
 from factgraph.operators.select import filter_policy
-from factgraph.plans.graph import ACCESS, CALLS, IMPL, LOCAL, SEEDS, SERVED, TERMINALS
+from factgraph.plans.graph import ACCESS, CALLS, IMPL, LOCAL, SEEDS, SERVED, TERMINALS, Trace, reach_sql, trace_sql
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
 
@@ -370,13 +370,19 @@ def ids_sql(col: str) -> str:
     return f"coalesce(array_to_string(list_sort(list_distinct(list({col}) filter ({col} is not null))), ';'), '')"
 
 
-P1 = f"""with own as (select class_id, count(case when a.status_rank = 1 then 1 end) as sure, count(case when a.status_rank = 2 then 1 end) as maybe, {ids_sql("case when a.status_rank <= 2 then a.evidence_id end")} as evidence_ids from fx_classes c left join fx_methods m using (class_id)
-  left join (select * from fx_access where side='after') a on a.subject_id = m.method_id where role = 'controller' group by class_id),
-rows_ as (select class_id as subject_key, case when sure > 0 then 'fail' when maybe > 0 then 'unknown' else 'pass' end as outcome, case when sure > 0 then 'direct_access' when maybe > 0 then 'access_ambiguous' else 'no_access' end as reason_code, evidence_ids from own)"""
+P1 = f"""with named as (select min(class_id) as class_id, count(*) as same from fx_classes where role = 'controller' group by file_id, qualified_name),
+own as (select n.class_id, m.method_id as subject_id from named n join fx_methods m on m.class_id = n.class_id),
+facts as (select class_id, a.status_rank = 1 as sure, evidence_id from own join (select * from fx_access where side='after') a on a.subject_id = own.subject_id union all select class_id, status_rank = 1, evidence_id from fx_injections
+ union all select class_id, code = 'TYPEORM_OPERATION_UNSUPPORTED' and d.subject_id <> class_id, evidence_id from (select * from own union all select class_id, class_id from named) s join fx_class_diagnostics d on d.subject_id = s.subject_id
+  where code in ('DI_TOKEN_UNSUPPORTED', 'TYPEORM_ENTITY_UNRESOLVED') or (code = 'TYPEORM_OPERATION_UNSUPPORTED' and d.subject_id <> class_id)),
+found as (select class_id, count(case when sure then 1 end) as sure, {ids_sql("case when sure then evidence_id end")} as proofs, {ids_sql("case when not sure then evidence_id end")} as doubts from facts group by 1),
+rows_ as (select n.class_id as subject_key, case when same > 1 then 'unknown' when sure > 0 then 'fail' when f.class_id is not null then 'unknown' else 'pass' end as outcome,
+ case when same > 1 then 'controller_repository_access_unknown' when sure > 0 then 'direct_repository_access' when f.class_id is not null then 'controller_repository_access_unknown' else 'no_direct_repository_access' end as reason_code,
+ case when same > 1 then '' when sure > 0 then proofs else coalesce(doubts, '') end as evidence_ids from named n left join found f on f.class_id = n.class_id)"""
 
 
 def p1(f: Facts) -> DataFrame:
-    return P.rule_no_direct_access(f["fx_classes"], f["fx_methods"], f.side("fx_access"))
+    return P.rule_no_direct_access(f["fx_classes"], f["fx_methods"], f.side("fx_access"), f["fx_injections"], f["fx_class_diagnostics"])
 
 
 @query("p1_no_direct_access", rule_sql("no_direct_access", P1))
@@ -384,33 +390,79 @@ def no_direct_access(f: Facts) -> DataFrame:
     return P.finish(p1(f), "no_direct_access")
 
 
-WRITING = TERMINALS + ", writing as (select root as endpoint_id, min(rank) as rank from terminals where predicate = 'METHOD_WRITES_TABLE' group by root)"
-P2 = WRITING + f""", g as (select w.endpoint_id, w.rank, count(u.guard_id) as any_, count(case when u.status_rank = 1 then 1 end) as sure, {ids_sql("evidence_id")} as evidence_ids from writing w left join fx_guard_use u on u.endpoint_id = w.endpoint_id group by 1, 2),
-rows_ as (select endpoint_id as subject_key, case when any_ = 0 and rank = 1 then 'fail' when sure = 0 then 'unknown' else 'pass' end as outcome, case when any_ = 0 and rank = 1 then 'guard_missing' when sure = 0 then 'guard_or_write_unproven' else 'guarded' end as reason_code, evidence_ids from g)"""
+SUBJECTS = """subjects as (select min(endpoint_id) as endpoint_id, http_method, count(*) as same, max(in_slot) as in_slot from (select e.*, object_id as handler, count(*) over (partition by http_method, path) as in_slot
+ from (select * from fx_endpoints where side='after') e left join (select subject_id, min(object_id) as object_id from fx_impl where side='after' group by 1) i on i.subject_id = e.endpoint_id) x group by http_method, path, handler)"""
+WRITING = reach_sql(SEEDS, CALLS) + f""", writing as (select root as endpoint_id, min(greatest(rank, status_rank)) as rank, {ids_sql("evidence_id")} as write_ids, list(evidence_id) as write_list
+ from (select root, node, min(rank) as rank from r group by 1, 2) r join (select * from fx_access where side='after' and status_rank <= 2) a on a.subject_id = r.node and predicate = 'METHOD_WRITES_TABLE' group by 1), {SUBJECTS}"""
+EFFECTIVE = f"select endpoint_id, status_rank, evidence_id from fx_guard_use union all select s.endpoint_id, 1, nullif('', '') from ({SERVED}) s join fx_global_guards g on g.service_ns = s.service_ns"
 
 
-def terminals(f: Facts) -> DataFrame:
-    return W.terminal_facts(f.sql(SEEDS), f.sql(CALLS), f.sql(ACCESS))
+def merged_ids(*lists: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter(flatten([{', '.join(f'coalesce({x}, [])' for x in lists)}]), lambda x: x is not null))), ';')"
 
 
-@query("p2_guard_on_write", rule_sql("guard_on_write", P2, on_unknown="error"))
-def guard_on_write(f: Facts) -> DataFrame:
-    return P.finish(P.rule_guard_on_write(terminals(f), f["fx_guard_use"]), "guard_on_write", on_unknown="error")
+P2 = WRITING + f""", g as (select endpoint_id, count(*) as any_, count(case when status_rank = 1 then 1 end) as sure, list(evidence_id) as guard_list from ({EFFECTIVE}) e group by 1),
+v as (select s.endpoint_id, write_ids, write_list, guard_list, case when same > 1 then 1 when rank is null then 2 when rank > 1 then 3 when sure > 0 then 4 when any_ > 0 then 5 else 6 end as c from subjects s left join writing w on w.endpoint_id = s.endpoint_id left join g on g.endpoint_id = s.endpoint_id),
+rows_ as (select endpoint_id as subject_key, ['unknown', 'not_applicable', 'unknown', 'pass', 'unknown', 'fail'][c] as outcome,
+ ['write_reachability_unknown', 'endpoint_has_no_write', 'write_reachability_unknown', 'write_endpoint_guard_declared', 'write_endpoint_guard_unknown', 'write_endpoint_guard_missing'][c] as reason_code,
+ case when c < 3 then '' when c = 3 then write_ids else {merged_ids("write_list", "guard_list")} end as evidence_ids from v)"""
+
+
+def subjects(f: Facts) -> DataFrame:
+    return P.endpoint_subjects(f.side("fx_endpoints"), f.side("fx_impl"))
+
+
+def written(f: Facts, reach: DataFrame) -> DataFrame:
+    access = f["fx_access"].where("side = 'after' and status_rank <= 2").select("subject_id", "predicate", "status_rank", "evidence_id")
+    return P.writes(reach.groupBy("root", "node").agg(F.min("rank").alias("rank")), access)
 
 
-P3 = WRITING + f""", holes as (select r.root, {ids_sql("evidence_id")} as evidence_ids from (select distinct root, node from r) r join fx_calls c on c.side='after' and c.status_rank = 3 and c.subject_id = r.node group by 1),
-rows_ as (select w.endpoint_id as subject_key, case when rank > 1 or h.root is not null then 'unknown' else 'pass' end as outcome, case when rank > 1 or h.root is not null then 'trace_incomplete' else 'trace_complete' end as reason_code,
- coalesce(evidence_ids, '') as evidence_ids from writing w left join holes h on h.root = w.endpoint_id)"""
+def p2(f: Facts, reach: DataFrame) -> DataFrame:
+    return P.rule_guard_on_write(subjects(f), written(f, reach), f.sql(EFFECTIVE))
+
+
+def reach_of(f: Facts) -> DataFrame:
+    return W.walk(f.sql(SEEDS), f.sql(CALLS), 3)
+
+
+@query("p2_guard_on_write", rule_sql("guard_on_write", P2, on_unknown="error"))
+def guard_on_write(f: Facts) -> DataFrame:
+    return P.finish(p2(f, reach_of(f)), "guard_on_write", on_unknown="error")
+
+
+#: Gaps of an endpoint's trace: steps that are not resolved, and diagnostics on it, on its methods and their classes.
+NOTES = "select subject_id, evidence_id from fx_class_diagnostics union all select subject_id, evidence_id from fx_diagnostics where side='after' and code in ('CALL_DEPTH_LIMIT', 'CALL_TARGET_UNRESOLVED')"
+HOLES = f"""select subject_id as endpoint_id, cast(null as varchar) as evidence_id from fx_impl where side='after' and status_rank > 1
+ union all ({trace_sql(SEEDS)}, met as (select distinct root, method from states) select t.root, o.evidence_id from states t join scoped o on o.subject_id = t.method and o.scope = t.scope where (o.status_rank > 1 or o.object_id is null) and (predicate <> 'METHOD_CALLS_METHOD' or t.depth < 3)
+  union all select root, evidence_id from met join ({NOTES}) n on n.subject_id = met.method union all select root, evidence_id from met join fx_methods m on m.method_id = met.method join ({NOTES}) n on n.subject_id = m.class_id)
+ union all select subject_id, evidence_id from ({NOTES}) n"""
+P3 = WRITING + f""", holes as (select endpoint_id, list(evidence_id) as gap_list from ({HOLES}) h group by 1),
+v as (select s.endpoint_id, same, in_slot, write_ids, write_list, gap_list, coalesce(rank = 1, false) as sure, rank, http_method in ('POST', 'PUT', 'PATCH', 'DELETE', 'ALL') as writes_, h.endpoint_id is not null or in_slot > 1 as open_
+ from subjects s left join writing w on w.endpoint_id = s.endpoint_id left join holes h on h.endpoint_id = s.endpoint_id),
+rows_ as (select endpoint_id as subject_key, case when same > 1 then 'unknown' when sure and open_ then 'fail' when sure then 'pass' when rank is not null or (writes_ and open_) then 'unknown' else 'not_applicable' end as outcome,
+ case when same > 1 then 'write_trace_unknown' when sure and open_ then 'write_trace_incomplete' when sure then 'write_trace_complete' when rank is not null or (writes_ and open_) then 'write_trace_unknown' else 'no_write_trace_subject' end as reason_code,
+ case when same > 1 then '' when in_slot > 1 then coalesce(write_ids, '') else {merged_ids("write_list", "gap_list")} end as evidence_ids from v)"""
+
+
+def trace_gaps(f: Facts) -> DataFrame:
+    t = Trace(f, SEEDS)
+    broken = t.edges.where("(status_rank > 1 or object_id is null)").select(F.col("subject_id").alias("method"), "scope", "predicate", "evidence_id")
+    steps = t.states.join(broken, ["method", "scope"]).where("predicate <> 'METHOD_CALLS_METHOD' or depth < 3").select(F.col("root").alias("endpoint_id"), "evidence_id")
+    met = t.states.select("root", "method").distinct()
+    on = met.select("root", F.col("method").alias("subject_id")).unionByName(met.join(f["fx_methods"].withColumnRenamed("method_id", "method"), "method").select("root", F.col("class_id").alias("subject_id")))
+    ends = f.side("fx_impl").select("subject_id", "status_rank")
+    notes = f.sql(NOTES)
+    noted = on.join(notes, "subject_id").select(F.col("root").alias("endpoint_id"), "evidence_id").unionByName(notes.select(F.col("subject_id").alias("endpoint_id"), "evidence_id"))
+    return steps.unionByName(noted).unionByName(ends.where("status_rank > 1").select(F.col("subject_id").alias("endpoint_id"), F.lit(None).cast("string").alias("evidence_id")))
 
 
 def p3(f: Facts, reach: DataFrame) -> DataFrame:
-    gaps = f.side("fx_calls").where("status_rank = 3").select(F.col("subject_id").alias("node"), "evidence_id")
-    return P.rule_complete_write_trace(W.terminals_of(reach, f.sql(ACCESS)), reach.select("root", "node").distinct(), gaps)
+    return P.rule_complete_write_trace(subjects(f), written(f, reach), trace_gaps(f))
 
 
 @query("p3_complete_write_trace", rule_sql("complete_write_trace", P3))
 def complete_write_trace(f: Facts) -> DataFrame:
-    return P.finish(p3(f, W.walk(f.sql(SEEDS), f.sql(CALLS), 3)), "complete_write_trace")
+    return P.finish(p3(f, reach_of(f)), "complete_write_trace")
 
 
 P4 = f"""with c as (select diagnostic_id, change from {keyed_sql('fx_diagnostics', 'diagnostic_id', 'severity')} d), s as (select diagnostic_id, severity, evidence_id from fx_diagnostics where side='after'),
@@ -428,8 +480,8 @@ def no_new_diagnostics(f: Facts) -> DataFrame:
     return P.finish(p4(f), "no_new_diagnostics")
 
 
-P5 = """with rows_ as (select interaction_id as subject_key, case when queue is null then 'fail' when job is null then 'unknown' else 'pass' end as outcome,
- case when queue is null then 'target_dynamic' when job is null then 'job_dynamic' else 'target_static' end as reason_code, coalesce(evidence_id, '') as evidence_ids from fx_interactions)"""
+P5 = """with v as (select interaction_id, evidence_id, case when queue is null or (kind = 'job_queue' and job is null) then 1 when kind = 'microservice_message' and transport is null then 2 else 3 end as c from fx_interactions),
+rows_ as (select interaction_id as subject_key, ['fail', 'unknown', 'pass'][c] as outcome, ['interaction_target_dynamic', 'interaction_target_unknown', 'interaction_target_static'][c] as reason_code, coalesce(evidence_id, '') as evidence_ids from v)"""
 
 
 @query("p5_static_target", rule_sql("static_target", P5))
@@ -438,7 +490,7 @@ def static_target(f: Facts) -> DataFrame:
 
 
 P6 = """with rows_ as (select interaction_id as subject_key, case activation when 'constructed_cold' then 'fail' when 'unknown' then 'unknown' else 'pass' end as outcome,
- case activation when 'constructed_cold' then 'never_activated' when 'unknown' then 'activation_unknown' else 'activation_proven' end as reason_code, coalesce(evidence_id, '') as evidence_ids from fx_interactions)"""
+ case activation when 'constructed_cold' then 'interaction_activation_cold' when 'unknown' then 'interaction_activation_unknown' else 'interaction_activation_proven' end as reason_code, coalesce(evidence_id, '') as evidence_ids from fx_interactions)"""
 
 
 @query("p6_activation", rule_sql("activation", P6, severity="warning", on_unknown="info"))
@@ -446,16 +498,15 @@ def activation(f: Facts) -> DataFrame:
     return P.finish(P.rule_activation(f["fx_interactions"]), "activation", "warning", "info")
 
 
-P7 = f"""with m as (select interaction_id, count(*) as any_, count(case when registration = 'proven_registered' then 1 end) as sure, list(distinct h.evidence_id) as theirs from ({LOCAL}) x join fx_handlers h on h.handler_id = x.handler_id group by 1),
-rows_ as (select i.interaction_id as subject_key, case when coalesce(any_, 0) = 0 and queue is not null then 'fail' when coalesce(sure, 0) = 0 then 'unknown' else 'pass' end as outcome,
- case when coalesce(any_, 0) = 0 and queue is not null then 'handler_missing' when coalesce(sure, 0) = 0 then 'handler_unproven' else 'handler_proven' end as reason_code,
- array_to_string(list_sort(list_append(coalesce(theirs, []), i.evidence_id)), ';') as evidence_ids
- from fx_interactions i left join m on m.interaction_id = i.interaction_id where kind in ('in_process_event', 'job_queue'))"""
+P7 = f"""with m as (select interaction_id, list(distinct h.evidence_id) as theirs from ({LOCAL}) x join fx_handlers h on h.handler_id = x.handler_id group by 1),
+rows_ as (select i.interaction_id as subject_key, case when m.interaction_id is not null then 'pass' when queue is null then 'unknown' else 'fail' end as outcome,
+ case when m.interaction_id is not null then 'local_event_handler_found' when queue is null then 'local_event_handler_unknown' else 'local_event_handler_missing' end as reason_code, {merged_ids("theirs", "[i.evidence_id]")} as evidence_ids
+ from fx_interactions i left join m on m.interaction_id = i.interaction_id where kind = 'in_process_event')"""
 
 
 def p7(f: Facts) -> DataFrame:
-    matches = match_exact(f["fx_interactions"], f["fx_handlers"], ("service_ns",))
-    return P.rule_local_handler(f["fx_interactions"], matches, f["fx_handlers"], ["in_process_event", "job_queue"])
+    matches = match_exact(f["fx_interactions"], f["fx_handlers"], ("service_ns",)).withColumn("status_rank", F.lit(1))
+    return P.rule_local_handler(f["fx_interactions"], matches, f["fx_handlers"])
 
 
 @query("p7_local_handler", rule_sql("local_handler", P7))
@@ -463,12 +514,14 @@ def local_handler(f: Facts) -> DataFrame:
     return P.finish(p7(f), "local_handler")
 
 
-P8 = f"""with a as (select m.endpoint_id, bool_or(state = 'configured_relationship') as bad, bool_and(state = 'proven_enforced') as all_, {ids_sql("evidence_id")} as evidence_ids from fx_auth_metadata m join fx_auth_enforcement e on e.metadata_id = m.metadata_id group by 1),
-rows_ as (select endpoint_id as subject_key, case when bad then 'fail' when not all_ then 'unknown' else 'pass' end as outcome, case when bad then 'not_enforced' when not all_ then 'enforcement_unknown' else 'enforced' end as reason_code, evidence_ids from a)"""
+P8 = f"""with {SUBJECTS}, a as (select m.endpoint_id, bool_or(state = 'configured_relationship') as configured, bool_and(state = 'proven_enforced') as all_, {ids_sql("evidence_id")} as evidence_ids from fx_auth_metadata m join fx_auth_enforcement e on e.metadata_id = m.metadata_id group by 1),
+v as (select s.endpoint_id, evidence_ids, case when same > 1 then 1 when all_ is null then 2 when all_ then 3 when configured then 4 else 5 end as c from subjects s left join a on a.endpoint_id = s.endpoint_id),
+rows_ as (select endpoint_id as subject_key, ['unknown', 'not_applicable', 'pass', 'unknown', 'unknown'][c] as outcome, ['authorization_enforcement_unknown', 'no_authorization_metadata', 'authorization_enforcement_proven', 'authorization_enforcement_configured', 'authorization_enforcement_unknown'][c] as reason_code,
+ case when c = 1 then '' else coalesce(evidence_ids, '') end as evidence_ids from v)"""
 
 
 def p8(f: Facts) -> DataFrame:
-    return P.rule_authorization(endpoint_authorization(f["fx_auth_metadata"], f["fx_auth_enforcement"]))
+    return P.rule_authorization(subjects(f), endpoint_authorization(f["fx_auth_metadata"], f["fx_auth_enforcement"]))
 
 
 @query("p8_authorization", rule_sql("authorization", P8))
@@ -486,9 +539,9 @@ RULES = " union all ".join(f"select * from ({rule_sql(n, *c)}) r_{n}" for n, c i
 
 
 def policies(f: Facts) -> DataFrame:
-    reach = W.walk(f.sql(SEEDS), f.sql(CALLS), 3)
+    reach = reach_of(f)
     rows = {
-        "no_direct_access": p1(f), "guard_on_write": P.rule_guard_on_write(W.terminals_of(reach, f.sql(ACCESS)), f["fx_guard_use"]), "complete_write_trace": p3(f, reach), "no_new_diagnostics": p4(f),
+        "no_direct_access": p1(f), "guard_on_write": p2(f, reach), "complete_write_trace": p3(f, reach), "no_new_diagnostics": p4(f),
         "static_target": P.rule_static_target(f["fx_interactions"]), "activation": P.rule_activation(f["fx_interactions"]), "local_handler": p7(f), "authorization": p8(f),
     }
     return P.evaluate_policies({rule: (rows[rule], *levels) for rule, (_, *levels) in CONFIG.items()})

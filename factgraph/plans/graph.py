@@ -337,13 +337,13 @@ def resolved(f: Facts) -> DataFrame:
     return W.resolved_reach(f.sql(SEEDS), f.sql(CALLS))
 
 
-VISIBLE = """with recursive ex(a, root, node) as (select analysis_id, module_id, module_id from fx_modules union select ex.a, ex.root, e.object_id from ex join fx_module_edges e on e.analysis_id = ex.a and e.subject_id = ex.node and e.predicate = 'MODULE_EXPORTS_MODULE'),
-exported as (select distinct a, root, object_id as class_id from ex join fx_module_edges e on e.analysis_id = ex.a and e.subject_id = ex.node and e.predicate = 'MODULE_EXPORTS_CLASS'),
-visible as (select analysis_id, subject_id as module_id, object_id as class_id from fx_module_edges where predicate = 'MODULE_PROVIDES_CLASS'
- union select i.analysis_id, i.subject_id, x.class_id from fx_module_edges i join exported x on x.a = i.analysis_id and x.root = i.object_id where i.predicate = 'MODULE_IMPORTS_MODULE'
+VISIBLE = """with recursive links as (select * from fx_module_edges where status_rank = 1 and object_id is not null), ex(a, root, node) as (select analysis_id, module_id, module_id from fx_modules union select ex.a, ex.root, e.object_id from ex join links e on e.analysis_id = ex.a and e.subject_id = ex.node and e.predicate = 'MODULE_EXPORTS_MODULE'),
+exported as (select distinct a, root, object_id as class_id from ex join links e on e.analysis_id = ex.a and e.subject_id = ex.node and e.predicate = 'MODULE_EXPORTS_CLASS'),
+visible as (select analysis_id, subject_id as module_id, object_id as class_id from links where predicate = 'MODULE_PROVIDES_CLASS'
+ union select i.analysis_id, i.subject_id, x.class_id from links i join exported x on x.a = i.analysis_id and x.root = i.object_id where i.predicate = 'MODULE_IMPORTS_MODULE'
  union select m.analysis_id, m.module_id, x.class_id from fx_modules m join exported x on x.a = m.analysis_id join fx_modules g on g.analysis_id = x.a and g.module_id = x.root and g.is_global),
-li(a, root, node) as (select analysis_id, module_id, module_id from fx_modules union select li.a, li.root, e.object_id from li join fx_module_edges e on e.analysis_id = li.a and e.subject_id = li.node and e.predicate in ('MODULE_IMPORTS_MODULE', 'MODULE_EXPORTS_MODULE')),
-broken as (select distinct li.a, li.root from li join fx_modules b on b.analysis_id = li.a and b.module_id = li.node and b.completeness = 'incomplete'),
+li(a, root, node) as (select analysis_id, module_id, module_id from fx_modules union select li.a, li.root, e.object_id from li join links e on e.analysis_id = li.a and e.subject_id = li.node and e.predicate = 'MODULE_IMPORTS_MODULE'),
+broken as (select distinct li.a, li.root from li left join fx_modules b on b.analysis_id = li.a and b.module_id = li.node where b.module_id is null or b.completeness = 'incomplete'),
 complete as (select m.analysis_id, m.module_id, b.root is null as complete from fx_modules m left join broken b on b.a = m.analysis_id and b.root = m.module_id)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +13,15 @@ from factgraph.operators import system as S
 from factgraph.operators import walk as W
 from factgraph.operators.diff import merge_ambiguities
 from factgraph.operators.select import distributed_candidates
-from factgraph.plans.change import ALL_IMPACT, P8, RULES, TWICE, every_impact, keyed_sql, p8, policies, rule_sql
+from factgraph.plans.change import ALL_IMPACT, P2, P8, RULES, TWICE, every_impact, keyed_sql, p2, p8, policies, rule_sql
 from factgraph.plans.graph import ACCESS, CALLS, LINEAGE, MATCHES, SEEDS, SERVED, TERMINALS, reach_sql
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
 
-PROJECTED = """select interaction_id as record_id, service_ns, 'producer' as role, kind, queue, job, '{"job":'||coalesce('"'||job||'"','null')||',"kind":"'||kind||'","queue":'||coalesce('"'||queue||'"','null')||'}' as contract,
- queue is not null and activation <> 'constructed_cold' as eligible, case when queue is null then 'target_dynamic' when activation = 'constructed_cold' then 'never_activated' end as reason from fx_interactions
-union all select handler_id, service_ns, 'consumer', kind, queue, job, '{"job":'||coalesce('"'||job||'"','null')||',"kind":"'||kind||'","queue":'||coalesce('"'||queue||'"','null')||'}', registration = 'proven_registered',
- case when registration <> 'proven_registered' then 'registration_unknown' end from fx_handlers"""
+CONTRACT = """'{"job":'||coalesce('"'||case when kind = 'job_queue' then job end||'"','null')||',"kind":"'||kind||'","mode":'||coalesce('"'||mode||'"','null')||',"queue":'||coalesce('"'||queue||'"','null')||'}'"""
+PROJECTED = f"""select record_id, service_ns, role, kind, queue, case when kind = 'job_queue' then job end as job, mode, {CONTRACT} as contract, reason is null as eligible, reason from (
+select interaction_id as record_id, service_ns, 'producer' as role, kind, queue, job, mode, case when queue is null or (kind = 'job_queue' and job is null) then 'target identity is not exact' when activation not in ('eager', 'proven_activated') then 'activation is '||activation end as reason from fx_interactions
+union all select handler_id, service_ns, 'consumer', kind, queue, job, mode, case when queue is null then 'handler target identity is not exact' when registration <> 'proven_registered' then 'registration is '||registration end from fx_handlers) p where kind <> 'in_process_event'"""
 
 
 def projected(f: Facts) -> DataFrame:
@@ -31,13 +33,16 @@ def project(f: Facts) -> DataFrame:
     return projected(f)
 
 
-CORRELATED = f"""b as (select p.*, r.realm from ({PROJECTED}) p left join (select service_ns as s, queue as q, min(realm_id) as realm from fx_bindings group by 1, 2) r on r.s = p.service_ns and r.q = p.queue),
-hits as (select p.record_id, count(*) as n, min(c.service_ns) as lo, max(c.service_ns) as hi, count(case when c.realm = p.realm then 1 end) as same, count(case when c.realm is null or p.realm is null then 1 end) as open_
- from b p join b c on c.kind = p.kind and c.queue = p.queue and (c.job is null or c.job = p.job) where p.role = 'producer' and p.eligible and c.role = 'consumer' and c.eligible group by 1),
-corr as (select p.record_id, 'producer' as role, case when not p.eligible or n is null then 'unmatched' when same > 0 then 'declared_realm' when open_ = 0 then 'unmatched' when lo = hi then 'target_only' else 'ambiguous' end as state,
- case when not p.eligible then p.reason when n is null then 'no_consumer' when same = 0 and open_ = 0 then 'realm_differs' end as reason, coalesce(n, 0) as consumers from b p left join hits h on h.record_id = p.record_id where p.role = 'producer'
- union all select c.record_id, 'consumer', 'unconsumed', 'no_producer', 0 from b c where c.role = 'consumer' and c.eligible and not exists (
-  select 1 from b p where p.role = 'producer' and p.eligible and p.kind = c.kind and p.queue = c.queue and (c.job is null or c.job = p.job)))"""
+CORRELATED = f"""b as (select p.record_id, role, kind, queue, job, coalesce(mode, '') as mode, case when realms = 1 then realm end as realm, eligible and coalesce(realms, 0) < 2 as eligible
+ from ({PROJECTED}) p left join (select service_ns as s, queue as q, min(realm_id) as realm, count(distinct realm_id) as realms from fx_bindings group by 1, 2) r on r.s = p.service_ns and r.q = p.queue),
+fits as (select p.record_id as p_id, c.record_id as c_id, c.realm from b p join b c on c.kind = p.kind and c.queue = p.queue and c.mode = p.mode and (c.job is null or c.job = p.job) where p.role = 'producer' and p.eligible and c.role = 'consumer' and c.eligible),
+hits as (select p_id, count(*) as n, min(realm) as lo, max(realm) as hi, count(realm) as bound from fits group by 1),
+sides as (select *, case when realm is not null and bound = n and least(lo, realm) = greatest(hi, realm) then realm end as shared, n is not null and coalesce(least(lo, realm) <> greatest(hi, realm), false) as apart, n > 1 and (kind = 'job_queue' or mode = 'request_response') as several
+ from b left join hits on p_id = record_id where role = 'producer'),
+corr as (select record_id, role, case when not eligible or n is null or apart then 'unmatched' when several then 'ambiguous' when shared is not null then 'declared_realm_candidate' else 'target_only_candidate' end as state,
+ case when not eligible then 'unsupported_identity' when n is null then case when kind in (select kind from b where role = 'consumer' and eligible) then 'target_mismatch' else 'producer_only' end when apart then 'realm_mismatch'
+  when several then case when kind = 'job_queue' then 'multiple_job_consumers' else 'multiple_request_consumers' end end as reason, coalesce(n, 0) as consumers, case when not eligible or n is null then realm when not apart then shared end as broker_realm from sides
+ union all select record_id, 'consumer', 'unmatched', case when eligible then 'consumer_only' else 'unsupported_identity' end, 0, realm from b where role = 'consumer' and record_id not in (select c_id from fits))"""
 
 
 def correlated(f: Facts) -> DataFrame:
@@ -49,20 +54,20 @@ def correlate(f: Facts) -> DataFrame:
     return correlated(f)
 
 
-@query("q7_distributed_candidates", f"with {CORRELATED}\nselect c.record_id as interaction_id, state, i.kind, queue, job, consumers from corr c join fx_interactions i on i.interaction_id = c.record_id where state in ('target_only', 'ambiguous') and i.kind = 'job_queue'")
+@query("q7_distributed_candidates", f"with {CORRELATED}\nselect c.record_id as interaction_id, state, i.kind, queue, job, consumers from corr c join fx_interactions i on i.interaction_id = c.record_id where state in ('target_only_candidate', 'ambiguous') and i.kind = 'job_queue'")
 def candidates(f: Facts) -> DataFrame:
     corr = correlated(f).withColumnRenamed("record_id", "interaction_id").join(f["fx_interactions"].select("interaction_id", "kind"), "interaction_id")
-    found = distributed_candidates(corr, ["job_queue"], ["target_only", "ambiguous"], f["fx_interactions"].select("interaction_id", "queue", "job"))
+    found = distributed_candidates(corr, ["job_queue"], ["target_only_candidate", "ambiguous"], f["fx_interactions"].select("interaction_id", "queue", "job"))
     return found.select("interaction_id", "state", "kind", "queue", "job", "consumers")
 
 
-X4A = f"""with {CORRELATED}, rows_ as (select record_id as subject_key, case state when 'target_only' then 'fail' when 'ambiguous' then 'unknown' else 'pass' end as outcome,
- case state when 'target_only' then 'realm_undeclared' when 'ambiguous' then 'realm_ambiguous' else 'realm_declared' end as reason_code, '' as evidence_ids from corr where role = 'producer' and state <> 'unmatched')"""
-X4B = f"""with {CORRELATED}, rows_ as (select record_id as subject_key, case state when 'ambiguous' then 'fail' else 'pass' end as outcome, case state when 'ambiguous' then 'ambiguous' else 'unambiguous' end as reason_code, '' as evidence_ids
- from corr where role = 'producer' and state <> 'unmatched')"""
+X4A = f"""with {CORRELATED}, v as (select record_id, case when role = 'consumer' then 1 when state = 'declared_realm_candidate' then 2 when state = 'ambiguous' or reason = 'unsupported_identity' then 3 else 4 end as c from corr),
+rows_ as (select record_id as subject_key, ['not_applicable', 'pass', 'unknown', 'fail'][c] as outcome, ['declared_realm_candidate_unknown', 'declared_realm_candidate_found', 'declared_realm_candidate_unknown', 'declared_realm_candidate_missing'][c] as reason_code, '' as evidence_ids from v)"""
+X4B = f"""with {CORRELATED}, v as (select record_id, case when role = 'consumer' then 1 when state = 'ambiguous' then 2 else 3 end as c from corr),
+rows_ as (select record_id as subject_key, ['not_applicable', 'fail', 'pass'][c] as outcome, ['correlation_unambiguous', 'correlation_ambiguous', 'correlation_unambiguous'][c] as reason_code, '' as evidence_ids from v)"""
 
 
-@query("x4_system_policies", f"select * from ({rule_sql('declared_realm', X4A)}) a union all select * from ({rule_sql('no_ambiguity', X4B)}) b")
+@query("x4_system_policies", f"select * from ({rule_sql('require-declared-realm-candidate', X4A)}) a union all select * from ({rule_sql('forbid-ambiguous-system-correlation', X4B)}) b")
 def system_policies(f: Facts) -> DataFrame:
     return S.system_policies(correlated(f))
 
@@ -256,10 +261,11 @@ def heat(f: Facts) -> DataFrame:
 
 #: Classes with the document that they stand in; some documents have no modules.
 CLASSES = "select case when doc_id % 13 = 0 then 'bare' else 'svc'||(doc_id%n_suppliers) end as analysis_id, 'class:'||doc_id as class_id from documents cross join fx_size"
-OWNED = f"""select c.analysis_id, c.class_id, case when c.analysis_id not in (select analysis_id from fx_modules) then 'unavailable' when n is null then 'not_declared' when n > 1 then 'multiple' when odd > 0 then 'unknown' else 'unique' end as state,
- case when n = 1 then first end as owner from ({CLASSES}) c left join (select e.analysis_id, object_id, count(*) as n, min(subject_id) as first, count(case when completeness = 'incomplete' then 1 end) as odd
- from (select distinct analysis_id, subject_id, object_id from fx_module_edges where predicate = 'MODULE_PROVIDES_CLASS') e
- join fx_modules m on m.analysis_id = e.analysis_id and m.module_id = e.subject_id group by 1, 2) o on o.analysis_id = c.analysis_id and o.object_id = c.class_id"""
+OWNED = f"""select analysis_id, class_id, state, case when state = 'uniquely_owned' then first end as owner from (select c.analysis_id, c.class_id, first, case when open_ is null then 'unavailable' when odd then 'ownership_unknown' when n = 1 then 'uniquely_owned' when n > 1 then 'multiple_owners'
+  when open_ then 'ownership_unknown' else 'not_declared_by_supported_modules' end as state from ({CLASSES}) c
+ left join (select analysis_id, object_id, count(distinct case when status_rank = 1 then subject_id end) as n, min(case when status_rank = 1 then subject_id end) as first, bool_or(status_rank > 1) as odd from fx_module_edges
+  where predicate in ('MODULE_PROVIDES_CLASS', 'MODULE_DECLARES_CONTROLLER') group by 1, 2) o on o.analysis_id = c.analysis_id and o.object_id = c.class_id
+ left join (select analysis_id, bool_or(completeness = 'incomplete') as open_ from fx_modules group by 1) m on m.analysis_id = c.analysis_id) x"""
 
 
 @query("m5_module_ownership", OWNED)
@@ -272,6 +278,10 @@ def summary(f: Facts) -> DataFrame:
     return X.architecture_summary(X.module_ownership(f.sql(CLASSES), f["fx_module_edges"], f["fx_modules"]))
 
 
+def named_rules(rules: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(rule).alias("rule_id"), "subject_key", "outcome", "reason_code") for rule, rows in rules.items()])
+
+
 GUARDS = f"""g0 as (select s.endpoint_id, guard_id, 0 as scope_rank, guard_order as place, 1 as status_rank from ({SERVED}) s join fx_global_guards gg on gg.service_ns = s.service_ns
  union all select endpoint_id, guard_id, case scope when 'controller' then 1 else 2 end, 0, status_rank from fx_guard_use),
 g as (select endpoint_id, string_agg(guard_id, '; ' order by scope_rank, place, guard_id) as guards, count(case when status_rank = 1 then 1 end) as proven_guards from g0 group by 1)"""
@@ -284,12 +294,13 @@ lin as (select method_id, count(distinct (label, column_name)) as lineage_column
 txt as (select method_id, string_agg(distinct label||' > '||column_name||' ('||state||')', '; ' order by label||' > '||column_name||' ('||state||')') as lineage from ({LINEAGE}) x join fx_origins o on o.origin_id = x.origin_id join fx_parameters p on p.parameter_id = o.parameter_id group by 1),
 sent as (select root, string_agg(distinct kind||' '||coalesce(queue, '?'), '; ' order by kind||' '||coalesce(queue, '?')) as interactions from (select distinct root, node from r) w join fx_interactions i on i.source_method_id = w.node group by 1),
 site as (select m.method_id, min(f.path) as location from fx_methods m join fx_classes c on c.class_id = m.class_id join fx_files f on f.side='after' and f.file_id = c.file_id group by 1),
-pol as (select subject_key, count(case when outcome = 'fail' then 1 end) as failed_rules from ({rule_sql('authorization', P8)}) y group by 1),
+pol as (select subject_key, count(case when outcome = 'fail' then 1 end) as failed_rules, array_to_string(list_sort(list(rule_id||' '||outcome||' '||reason_code)), '; ') as rules
+ from (select * from ({rule_sql('authorization', P8)}) y union all select * from ({rule_sql('guard_on_write', P2, on_unknown='error')}) z) u where outcome <> 'not_applicable' group by 1),
 e as (select *, count(*) over (partition by http_method, path) as in_slot from fx_endpoints where side='after'),
 cat as (select endpoint_id, http_method, path, i.object_id as method_id, case when in_slot > 1 then 'ambiguous' when i.object_id is null or i.status_rank > 2 then 'unresolved' when i.status_rank = 2 then 'ambiguous' else 'resolved' end as status
  from e left join (select * from fx_impl where side='after') i on i.subject_id = e.endpoint_id)
 select c.endpoint_id, http_method, path, status, coalesce(guards, '') as guards, coalesce(proven_guards, 0) as proven_guards, coalesce(db_reads, '') as db_reads, coalesce(db_writes, '') as db_writes,
- case when write_rank = 1 then 'write' when write_rank is not null or status <> 'resolved' then 'unknown' else 'non_write' end as mutation, coalesce(lineage_columns, 0) as lineage_columns, coalesce(failed_rules, 0) as failed_rules,
+ case when write_rank = 1 then 'write' when write_rank is not null or status <> 'resolved' then 'unknown' else 'non_write' end as mutation, coalesce(lineage_columns, 0) as lineage_columns, coalesce(failed_rules, 0) as failed_rules, coalesce(rules, '') as rules,
  coalesce(lineage, '') as lineage, coalesce(interactions, '') as interactions, location
 from cat c left join g on g.endpoint_id = c.endpoint_id left join t on t.endpoint_id = c.endpoint_id left join lin on lin.method_id = c.method_id left join pol on pol.subject_key = c.endpoint_id left join txt on txt.method_id = c.method_id left join sent on sent.root = c.endpoint_id left join site on site.method_id = c.method_id""")
 def control_evidence(f: Facts) -> DataFrame:
@@ -300,7 +311,7 @@ def control_evidence(f: Facts) -> DataFrame:
     sent = reached.select("root", F.col("node").alias("source_method_id")).distinct().join(f["fx_interactions"].select("source_method_id", "kind", "queue"), "source_method_id")
     lineage = M.column_lineage(f["fx_parameters"], f["fx_origins"], f["fx_influences"], f["fx_columns"])
     methods = f["fx_origins"].join(f["fx_parameters"], "parameter_id").select("origin_id", "method_id")
-    return X.control_evidence(catalogue, guards, terminals, lineage.join(methods, "origin_id"), p8(f), sent.select("root", "kind", "queue"), f.side("fx_files"))
+    return X.control_evidence(catalogue, guards, terminals, lineage.join(methods, "origin_id"), named_rules({"authorization": p8(f), "guard_on_write": p2(f, reached)}), sent.select("root", "kind", "queue"), f.side("fx_files"))
 
 
 SCENES = f"select s.root, c.subject_id as source, c.object_id as target, c.status_rank as kind_rank, c.subject_id||'>'||c.object_id as edge_id from ({SEEDS}) s join fx_calls c on c.side='after' and c.subject_id = s.node and c.object_id is not null"

@@ -85,12 +85,13 @@ select 'svc'||s_suppkey as analysis_id, 'module:'||n_nationkey as module_id, (n_
   case when (n_nationkey+s_suppkey)%6=5 then 'incomplete' else 'complete' end as completeness from nation cross join supplier
 """,
     "fx_module_edges": """
-select 'svc'||s_suppkey as analysis_id, 'module:'||n_nationkey as subject_id, 'MODULE_IMPORTS_MODULE' as predicate, 'module:'||((n_nationkey+3)%25) as object_id
+select 'svc'||s_suppkey as analysis_id, 'module:'||n_nationkey as subject_id, 'MODULE_IMPORTS_MODULE' as predicate, 'module:'||((n_nationkey+3)%27) as object_id, case when (n_nationkey+s_suppkey)%9=0 then 2 else 1 end as status_rank
 from nation cross join supplier where (n_nationkey+s_suppkey)%4<>0
-union all select 'svc'||s_suppkey, 'module:'||n_nationkey, 'MODULE_EXPORTS_MODULE', 'module:'||((n_nationkey*2+1)%25) from nation cross join supplier where n_nationkey%2=0
-union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%25), 'MODULE_PROVIDES_CLASS', 'class:'||doc_id from documents cross join fx_size
-union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%24), 'MODULE_PROVIDES_CLASS', 'class:'||doc_id from documents cross join fx_size where doc_id%9=0
-union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%25), 'MODULE_EXPORTS_CLASS', 'class:'||doc_id from documents cross join fx_size where doc_id%3=0
+union all select 'svc'||s_suppkey, 'module:'||n_nationkey, 'MODULE_EXPORTS_MODULE', 'module:'||((n_nationkey*2+1)%25), 1 from nation cross join supplier where n_nationkey%2=0
+union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%25), 'MODULE_PROVIDES_CLASS', 'class:'||doc_id, case when doc_id%31=0 then 2 else 1 end from documents cross join fx_size where doc_id%4<>0 and doc_id%8<>7
+union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%25), 'MODULE_DECLARES_CONTROLLER', 'class:'||doc_id, 1 from documents cross join fx_size where doc_id%4=0
+union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%24), 'MODULE_PROVIDES_CLASS', 'class:'||doc_id, 1 from documents cross join fx_size where doc_id%9=0
+union all select 'svc'||(doc_id%n_suppliers), 'module:'||(doc_id%25), 'MODULE_EXPORTS_CLASS', 'class:'||doc_id, 1 from documents cross join fx_size where doc_id%3=0
 """,
     "fx_evidence": """
 select 'evidence:'||l_orderkey||'_'||l_partkey as evidence_id, 'source:'||(l_partkey%n_docs) as file_id,
@@ -139,12 +140,12 @@ from (select page_id, split_part(rest, '/', 1) as first, split_part(rest, '/', 2
 """,
     "fx_interactions2": """
 select s.side, interaction_id, service_ns, source_method_id, kind, case when s.side='after' and n%17=0 then 'q0' else queue end as queue, job,
-  case when s.side='after' and n%19=0 then 'unknown' else activation end as activation
+  case when s.side='after' and n%19=0 then 'unknown' else activation end as activation, mode
 from (select *, cast(split_part(interaction_id, ':', 2) as bigint) as n from fx_interactions) i cross join fx_side s where (s.side='before' and n%10<>7) or (s.side='after' and n%10<>8)
 """,
     "fx_handlers2": """
 select s.side, handler_id, service_ns, method_id, kind, queue, case when s.side='after' and n%7=0 then null else job end as job,
-  case when s.side='after' and n%11=0 then 'registration_unknown' else registration end as registration
+  case when s.side='after' and n%11=0 then 'registration_unknown' else registration end as registration, mode
 from (select *, cast(split_part(handler_id, ':', 2) as bigint) as n from fx_handlers) h cross join fx_side s where (s.side='before' and n%10<>7) or (s.side='after' and n%10<>8)
 """,
     "fx_branches2": """
@@ -197,10 +198,17 @@ select 'method:p'||p_partkey as subject_id, 'method:p'||((p_partkey*7+3)%n_parts
 from part cross join fx_size where p_partkey%6=0
 """,
     "fx_edges": """
-select 'METHOD_CALLS_METHOD|'||subject_id||'|'||object_id as edge_id, 'METHOD_CALLS_METHOD' as predicate, subject_id, object_id, status_rank from fx_calls where side='after'
-union all select predicate||'|'||subject_id||'|'||object_id, predicate, subject_id, object_id, status_rank from fx_access where side='after'
-union all select 'METHOD_ACCESSES_RESOURCE|'||method_id||'|'||resource_id, 'METHOD_ACCESSES_RESOURCE', method_id, resource_id, case when target is null then 2 else 1 end from fx_resources
-union all select 'METHOD_INITIATES_INTERACTION|'||source_method_id||'|'||interaction_id, 'METHOD_INITIATES_INTERACTION', source_method_id, interaction_id, 1 from fx_interactions
+select 'METHOD_CALLS_METHOD|'||subject_id||'|'||object_id as edge_id, 'METHOD_CALLS_METHOD' as predicate, subject_id, object_id, status_rank, evidence_id from fx_calls where side='after'
+union all select predicate||'|'||subject_id||'|'||object_id, predicate, subject_id, object_id, status_rank, evidence_id from fx_access where side='after'
+union all select 'METHOD_ACCESSES_RESOURCE|'||method_id||'|'||resource_id, 'METHOD_ACCESSES_RESOURCE', method_id, resource_id, case when target is null then 2 else 1 end, 'evidence:r'||split_part(resource_id, ':', 2) from fx_resources
+union all select 'METHOD_INITIATES_INTERACTION|'||source_method_id||'|'||interaction_id, 'METHOD_INITIATES_INTERACTION', source_method_id, interaction_id, 1, evidence_id from fx_interactions
+""",
+    "fx_injections": """
+select 'class:'||doc_id as class_id, 'binding:'||doc_id as binding_id, case when doc_id%5=0 then 2 when doc_id%7=0 then 3 else 1 end as status_rank, 'evidence:b'||doc_id as evidence_id from documents where doc_id%12=0
+""",
+    "fx_class_diagnostics": """
+select 'class:'||doc_id as subject_id, 'DI_TOKEN_UNSUPPORTED' as code, 'evidence:dc'||doc_id as evidence_id from documents where doc_id%20=0
+union all select 'method:p'||p_partkey, case when p_partkey%26=0 then 'TYPEORM_OPERATION_UNSUPPORTED' else 'TYPEORM_ENTITY_UNRESOLVED' end, 'evidence:dm'||p_partkey from part where p_partkey%13=0
 """,
     "fx_sections": """
 select 'section:'||p_partkey as scope_id, 'method:p'||p_partkey as method_id, case when p_partkey%18<>0 then 'METHOD_ACCESSES_RESOURCE|method:p'||p_partkey||'|resource:'||p_partkey end as lock_edge_id
