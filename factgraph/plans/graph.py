@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factgraph.operators import causal as K
 from factgraph.operators import matching as M
+from factgraph.operators import reverse as R
 from factgraph.operators import walk as W
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
@@ -309,6 +310,43 @@ def endpoint_paths(f: Facts) -> DataFrame:
     return found.groupBy("target", "endpoint_id").agg(F.count(F.lit(1)).alias("n_paths"), (F.min(F.size("path")) - 1).alias("depth"), F.min("rank").alias("rank"))
 
 
+REVERSE_STEPS = f"""adds as (select edge_id, list_sort(list_distinct(list(selector_kind||'|'||jobs))) as adds from fx_branch_effects e join fx_branches b on b.branch_id = e.branch_id group by 1),
+walked as (select e.*, coalesce(a.adds, []) as adds from fx_edges e left join adds a on a.edge_id = e.edge_id where status_rank <= 2 and object_id is not null and predicate in ('METHOD_CALLS_METHOD', 'METHOD_INITIATES_INTERACTION')),
+named as (select *, {{contract}} as contract_id from fx_interactions where queue is not null and (kind <> 'microservice_message' or transport is not null and mode is not null)),
+served as (select distinct c.contract_id, h.handler_id, h.method_id, c.kind, c.mode, c.job from (select distinct contract_id, service_ns, kind, queue, transport, mode, case when kind = 'job_queue' then job end as job from named) c join fx_handlers h on h.service_ns = c.service_ns and {FITS.replace("i.", "c.")}),
+back as materialized (select object_id as node, subject_id as to_node, edge_id, status_rank, 1 as calls, 0 as hops, false as queued, cast(null as varchar) as job, adds from walked where predicate = 'METHOD_CALLS_METHOD'
+ union all select method_id, contract_id, 'HANDLER|'||handler_id||'|'||contract_id, 1, 0, 1, kind = 'job_queue', job, [] from (select *, count(*) over (partition by contract_id) as total from served) s where not (kind = 'microservice_message' and mode = 'request_response' and total > 1)
+ union all select contract_id, subject_id, edge_id, status_rank, 0, 0, false, null, adds from walked w join named n on n.interaction_id = w.object_id where predicate = 'METHOD_INITIATES_INTERACTION')"""
+#: A contract as the matching names it.
+REVERSE_STEPS = REVERSE_STEPS.format(contract="""'{{'||'"service_ns":"'||service_ns||'","kind":"'||kind||'","queue":"'||queue||'","way":"'||case when kind = 'microservice_message' then mode||'/'||transport else '' end||'"'
+  ||case when kind = 'job_queue' and job is not null then ',"job":"'||job||'"' else '' end||case when mode is not null then ',"mode":"'||mode||'"' else '' end||'}}'""".replace("{{", "{").replace("}}", "}"))
+RUNS = "not (queued and len(branches) > 0 and b.job is not null and len(list_filter(branches, lambda x: (split_part(x, '|', 1) = 'exact_jobs' and not list_contains(string_split(split_part(x, '|', 2), ','), b.job)) or (split_part(x, '|', 1) = 'unmatched_jobs' and list_contains(string_split(split_part(x, '|', 2), ','), b.job)))) = len(branches))"
+WALKS = f"""with recursive {REVERSE_STEPS}, t as ({CHANGED}),
+r(root, node, branches, calls, hops, rank) as (select root, root, cast([] as varchar[]), 0, 0, 1 from t union all
+ select r.root, to_node, list_sort(list_distinct(list_concat(branches, adds))), r.calls + b.calls, r.hops + b.hops, greatest(rank, status_rank) from r join back b on b.node = r.node where {RUNS} and r.calls + b.calls <= 3 and r.hops + b.hops <= 2)"""
+
+
+def reversed_walks(f: Facts) -> tuple[DataFrame, list[DataFrame]]:
+    steps = R.reverse_steps(f["fx_edges"], f["fx_interactions"], f["fx_handlers"], f["fx_branches"], f["fx_branch_effects"])
+    return R.reverse_rounds(f.sql(CHANGED), stage(steps, "reverse-steps"))
+
+
+@query("g7_endpoint_reach", WALKS + f"""
+select root as target, i.subject_id as endpoint_id, count(*) as walks, min(calls) as calls, min(hops) as hops, min(greatest(rank, status_rank)) as rank from r join ({IMPL}) i on i.object_id = r.node group by 1, 2""")
+def endpoint_reach(f: Facts) -> DataFrame:
+    return R.endpoint_reach(reversed_walks(f)[0], f.sql(IMPL))
+
+
+@query("g7_bounded_paths", f"""with recursive {REVERSE_STEPS}, t as ({CHANGED}),
+r(root, node, branches, calls, hops, rank, path, edges) as (select root, root, cast([] as varchar[]), 0, 0, 1, [root], cast([] as varchar[]) from t union all
+ select r.root, to_node, list_sort(list_distinct(list_concat(branches, adds))), r.calls + b.calls, r.hops + b.hops, greatest(rank, status_rank), list_prepend(to_node, path), list_prepend(edge_id, edges) from r join back b on b.node = r.node
+ where {RUNS} and r.calls + b.calls <= 3 and r.hops + b.hops <= 2 and not list_contains(path, to_node)),
+p as (select root as target, i.subject_id as endpoint_id, array_to_string(path, '>') as path, array_to_string(edges, '>') as edges, calls + 2 * hops as length, greatest(rank, status_rank) as rank from r join ({IMPL}) i on i.object_id = r.node)
+select * from (select target, endpoint_id, row_number() over (partition by target, endpoint_id order by length, path, edges) as place, path, edges, length, rank from p) x where place <= 3""")
+def bounded_paths(f: Facts) -> DataFrame:
+    return R.endpoint_paths(*reversed_walks(f), f.sql(IMPL), 3)
+
+
 GAPS = "select distinct subject_id as node from fx_calls where side='after' and status_rank = 3"
 
 
