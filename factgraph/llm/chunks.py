@@ -1,12 +1,13 @@
 """Words of documents in chunks, and counting over all chunks what is distinct in each.
 
-A chunk is a million or two of neighbouring words, as numbers into a dictionary of its own: one row. What a chunk knows locally
+A chunk is half a million neighbouring words, as numbers into a dictionary of its own: one row. What a chunk knows locally
 (words, pairs of words) it sends once, with a count; what all chunks together say comes back to it once. So shuffles carry
 what is distinct in a chunk, packed, and no row, task or driver ever holds a count table of the whole corpus.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a chunk, a million or two (the documents that begin in it are in it whole), and keys in a bucket that chunks are merged in.
-WORDS, KEYS = 1_500_000, 1 << 20
+from factgraph.llm.common import shared_dir, width
+
+#: Words in a chunk (the documents that begin in it are in it whole), and keys in a bucket that chunks are merged in.
+WORDS, KEYS = 500_000, 1 << 20
 #: Rows that are cut at once.
 ROWS = 256
 #: Counts of counts are told up to this count.
@@ -128,6 +131,14 @@ def word_chunks(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", "lang", "kept").mapInArrow(run, schema)
 
 
+def stage_chunks(df: DataFrame, name: str) -> DataFrame:
+    """Writes rows with a chunk into the shared folder, bucketed by it, so that what is later asked of or told to chunks moves
+    and the chunks themselves stay."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(width(spark), "chunk").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def by_chunk(left: DataFrame, right: DataFrame, work: Callable[[dict, pa.Table], Iterator[pa.RecordBatch] | list[pa.RecordBatch]], schema: pa.Schema, sql: str) -> DataFrame:
     """For each row of `left`, one for a chunk, and all rows of `right` of that chunk: what `work` makes of them."""
 

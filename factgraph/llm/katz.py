@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.chunks import COUNTS, buckets, by_chunk, merged_words, mixed, pack, pack_sorted, sent, unpack, unpack_sorted, word_chunks, word_requests, word_table
-from factgraph.llm.common import documents, stage, unstage, width
+from factgraph.llm.chunks import COUNTS, buckets, by_chunk, merged_words, mixed, pack, pack_sorted, sent, stage_chunks, unpack, unpack_sorted, word_chunks, word_requests, word_table
+from factgraph.llm.common import documents, stage, width
 
 #: Counts above this are taken as they are, but for the reserve.
 K, RESERVE = 5, 0.01
@@ -85,13 +85,11 @@ def counted_words(answers: DataFrame, n_buckets: int) -> Words:
 
 #: Stands for what is before a document's first word. Words have numbers from 1 on.
 START, UNKNOWN = 0, -1
-CODED = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("found", pa.binary()), ("times", pa.binary()), ("starts", pa.int64()), ("sizes", pa.binary()), ("ids", pa.list_(pa.int64())), ("kept", pa.list_(pa.bool_()))])
-CODED_SQL = "chunk long, numbers binary, found binary, times binary, starts long, sizes binary, ids array<long>, kept array<boolean>"
+CODED = pa.schema([("chunk", pa.int64()), ("found", pa.binary()), ("times", pa.binary())])
 
 
 def coded(chunks: DataFrame, answers: DataFrame, n_buckets: int) -> DataFrame:
-    """The chunks with the number and count of each of their words, how many documents training has, and how many words
-    each document has."""
+    """(chunk, found, times): the numbers and counts of each chunk's distinct words."""
 
     def work(row: dict, found: pa.Table) -> list[pa.RecordBatch]:
         bucket = unpack(row["hashes"].as_py()) % n_buckets
@@ -100,13 +98,9 @@ def coded(chunks: DataFrame, answers: DataFrame, n_buckets: int) -> DataFrame:
         for b, x in sent(0, bucket, {"at": np.arange(len(bucket))}):
             got, n = map(unpack, told[b])
             ids[x["at"]], times[x["at"]] = np.where(got < 0, UNKNOWN, got + 1), n
-        end = row["end"].as_py()
-        sizes = np.diff(np.flatnonzero(unpack(row["numbers"].as_py()) == end), prepend=-1)
-        columns = [row["chunk"].as_py(), row["numbers"].as_py(), pack(ids), pack(times), int(times[end]), pack(sizes), row["ids"].as_py(), row["kept"].as_py()]
-        return [pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(columns, CODED, strict=True)], schema=CODED)]
+        return [pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((row["chunk"].as_py(), pack(ids), pack(times)), CODED, strict=True)], schema=CODED)]
 
-    rows = chunks.select("chunk", "hashes", "end", "numbers", "ids", "kept")
-    return by_chunk(rows, answers.where("chunk is not null").select("chunk", "bucket", "found", "times"), work, CODED, CODED_SQL)
+    return by_chunk(chunks.select("chunk", "hashes"), answers.where("chunk is not null").select("chunk", "bucket", "found", "times"), work, CODED, "chunk long, found binary, times binary")
 
 
 @dataclass
@@ -127,9 +121,10 @@ class Pairs:
 
     @classmethod
     def of(cls, row: dict, words: Words) -> Pairs:
-        numbers, ids, times, sizes = (unpack(row[c].as_py()) for c in ("numbers", "found", "times", "sizes"))
-        starts = len(ids)  # a place in the dictionary of its own
-        ids, times = np.append(ids, START), np.append(times, row["starts"].as_py())
+        numbers, ids, times = (unpack(row[c].as_py()) for c in ("numbers", "found", "times"))
+        end, starts = row["end"].as_py(), len(ids)  # a place in the dictionary of its own
+        sizes = np.diff(np.flatnonzero(numbers == end), prepend=-1)
+        ids, times = np.append(ids, START), np.append(times, times[end])
         prior = np.concatenate([[starts], numbers[:-1]])
         prior[np.cumsum(sizes)[:-1]] = starts
         asked = np.flatnonzero((times[prior] > 0) & (ids[numbers] >= 0))
@@ -256,12 +251,11 @@ def katz_scores(docs: DataFrame, trained: str = "crc32(cast(doc_id as string)) %
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.lit("").alias("lang"), F.coalesce(F.expr(trained), F.lit(True)).alias("kept"))
-    chunks = stage(word_chunks(rows, word_table("", "\t\n\x0b\x0c\r ")), "lm-chunks")
+    chunks = stage_chunks(word_chunks(rows, word_table("", "\t\n\x0b\x0c\r ")), "lm-chunks")
     n_buckets = buckets(chunks.agg(F.sum("n")).first()[0] or 0, width(docs.sparkSession))
     answers = stage(merged_words(word_requests(chunks, n_buckets), n_buckets, 1, listed=False), "lm-words")
     words = counted_words(answers, n_buckets)
-    texts = stage(coded(chunks, answers, n_buckets), "lm-texts")
-    unstage(chunks)
+    texts = chunks.select("chunk", "end", "numbers", "ids", "kept").join(stage_chunks(coded(chunks, answers, n_buckets), "lm-dictionaries"), "chunk")
     table_and_replies = stage(merged(requests(texts, words)), "lm-pairs")
     pairs = table_and_replies.where("chunk is null")
     table = discounted(counts_of_counts(pairs))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factgraph.llm.chunks import END, buckets, by_chunk, merged_words, mixed, pack, pack_sorted, sent, unpack, unpack_sorted, word_chunks, word_requests, word_table
+from factgraph.llm.chunks import END, buckets, by_chunk, merged_words, mixed, pack, pack_sorted, sent, stage_chunks, unpack, unpack_sorted, word_chunks, word_requests, word_table
 from factgraph.llm.common import documents, stage, unstage, width
 
 #: Parts that a language's best phrases are first sought in.
@@ -125,12 +125,12 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, ends: str, space
     """For 1 to `longest` words the phrases that occur `least` times, (lang, id, phrase, n), each without what it begins with
     but for length 1 also (lang, n) of all words: see mine_collocations. docs: (text, lang)."""
     cut = word_chunks(docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("und")).alias("lang"), F.lit(True).alias("kept")), word_table(ends, spaces))
-    chunks = stage(cut, "phrase-chunks")
+    chunks = stage_chunks(cut, "phrase-chunks")
     n_buckets = buckets(chunks.agg(F.sum("n")).first()[0] or 0, width(docs.sparkSession))
     counted = stage(merged_words(word_requests(chunks, n_buckets), n_buckets, least).drop("times"), "phrase-words")
     sizes = counted.where("found is null and word is null").groupBy("lang").agg(F.sum("n").alias("n"))
     vocabulary = counted.where("word is not null").select("lang", "word", "id", "n")
-    state = stage(coded(chunks, counted.where("found is not null"), n_buckets), "phrase-state")
+    state = stage_chunks(coded(chunks, counted.where("found is not null"), n_buckets), "phrase-state")
     unstage(chunks)
     found = [vocabulary.select("lang", "id", F.col("word").alias("phrase"), "n")]
     words = vocabulary.select(F.col("id").alias("after"), "word")
@@ -140,7 +140,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, ends: str, space
         extensions = answers.where("id is not null").select("prefix", "after", "id", "n").join(heads, "prefix").join(words, "after")
         found.append(stage(extensions.select("lang", "id", F.concat_ws(" ", "head", "word").alias("phrase"), "n"), "phrases"))
         if len(found) < longest:
-            longer = stage(advanced(state, answers.where("found is not null"), n_buckets), "phrase-state")
+            longer = stage_chunks(advanced(state, answers.where("found is not null"), n_buckets), "phrase-state")
             unstage(state)
             state = longer
     return found, sizes
