@@ -326,23 +326,30 @@ r(root, node, branches, calls, hops, rank) as (select root, root, cast([] as var
  select r.root, to_node, list_sort(list_distinct(list_concat(branches, adds))), r.calls + b.calls, r.hops + b.hops, greatest(rank, status_rank) from r join back b on b.node = r.node where {RUNS} and r.calls + b.calls <= 3 and r.hops + b.hops <= 2)"""
 
 
+REACH = WALKS + f"""
+select root as target, i.subject_id as endpoint_id, count(*) as walks, min(calls) as calls, min(hops) as hops, min(greatest(rank, status_rank)) as rank from r join ({IMPL}) i on i.object_id = r.node group by 1, 2"""
+
+
 def reversed_walks(f: Facts) -> tuple[DataFrame, list[DataFrame]]:
     steps = R.reverse_steps(f["fx_edges"], f["fx_interactions"], f["fx_handlers"], f["fx_branches"], f["fx_branch_effects"])
     return R.reverse_rounds(f.sql(CHANGED), stage(steps, "reverse-steps"))
 
 
-@query("g7_endpoint_reach", WALKS + f"""
-select root as target, i.subject_id as endpoint_id, count(*) as walks, min(calls) as calls, min(hops) as hops, min(greatest(rank, status_rank)) as rank from r join ({IMPL}) i on i.object_id = r.node group by 1, 2""")
+@query("g7_endpoint_reach", REACH)
 def endpoint_reach(f: Facts) -> DataFrame:
     return R.endpoint_reach(reversed_walks(f)[0], f.sql(IMPL))
 
 
-@query("g7_bounded_paths", f"""with recursive {REVERSE_STEPS}, t as ({CHANGED}),
+#: The first three simple paths of each pair.
+PATHS = f"""with recursive {REVERSE_STEPS}, t as ({CHANGED}),
 r(root, node, branches, calls, hops, rank, path, edges) as (select root, root, cast([] as varchar[]), 0, 0, 1, [root], cast([] as varchar[]) from t union all
  select r.root, to_node, list_sort(list_distinct(list_concat(branches, adds))), r.calls + b.calls, r.hops + b.hops, greatest(rank, status_rank), list_prepend(to_node, path), list_prepend(edge_id, edges) from r join back b on b.node = r.node
  where {RUNS} and r.calls + b.calls <= 3 and r.hops + b.hops <= 2 and not list_contains(path, to_node)),
 p as (select root as target, i.subject_id as endpoint_id, array_to_string(path, '>') as path, array_to_string(edges, '>') as edges, calls + 2 * hops as length, greatest(rank, status_rank) as rank from r join ({IMPL}) i on i.object_id = r.node)
-select * from (select target, endpoint_id, row_number() over (partition by target, endpoint_id order by length, path, edges) as place, path, edges, length, rank from p) x where place <= 3""")
+select * from (select target, endpoint_id, row_number() over (partition by target, endpoint_id order by length, path, edges) as place, path, edges, length, rank from p) x where place <= 3"""
+
+
+@query("g7_bounded_paths", PATHS)
 def bounded_paths(f: Facts) -> DataFrame:
     return R.endpoint_paths(*reversed_walks(f), f.sql(IMPL), 3)
 

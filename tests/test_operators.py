@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
-from factgraph.operators import causal, diff, impact, matching, metrics, policy, select, system, walk
+from factgraph.operators import causal, diff, impact, matching, metrics, policy, reverse, select, system, walk
 from factgraph.sources import documents as S
 
 EDGE = "subject_id string, object_id string, status_rank int"
@@ -97,6 +97,60 @@ def test_contract_hops(spark):
     assert rows(chosen) == [("branches:w:a", "b1"), ("branches:w:a", "b3")]
 
 
+STEP = "node string, to_node string, edge_id string, status_rank int, calls int, hops int, queued boolean, job string, adds array<string>"
+
+
+def backwards(spark, steps, depth=3, max_hops=2, targets=("t",)):
+    ends = spark.createDataFrame([("e", "m", 1), ("f", "n", 2), ("g", "t", 1)], EDGE)
+    states, rounds = reverse.reverse_rounds(spark.createDataFrame([(t,) for t in targets], "root string"), spark.createDataFrame(steps, STEP), depth, max_hops)
+    return reverse.endpoint_reach(states, ends), reverse.endpoint_paths(states, rounds, ends, 2)
+
+
+def call(node, to, edge, rank=1, adds=()):
+    return (node, to, edge, rank, 1, 0, False, None, list(adds))
+
+
+def test_reverse_budgets_and_counts(spark):
+    steps = [call("t", "a", "1"), call("t", "b", "2", 2), call("a", "m", "3"), call("b", "m", "4"), call("m", "n", "5"), call("n", "m", "6"), call("n", "far", "7")]
+    reach, paths = backwards(spark, steps)
+    assert rows(reach.where("target = 't'")) == [("t", "e", 2, 2, 0, 1), ("t", "f", 2, 3, 0, 2), ("t", "g", 1, 0, 0, 1)]
+    assert rows(paths.select("endpoint_id", "place", "path", "edges", "rank")) == sorted([
+        ("e", 1, "m>a>t", "3>1", 1), ("e", 2, "m>b>t", "4>2", 2), ("f", 1, "n>m>a>t", "5>3>1", 2), ("f", 2, "n>m>b>t", "5>4>2", 2), ("g", 1, "t", "", 1),
+    ], key=str)
+    assert rows(backwards(spark, steps, depth=1)[0]) == [("t", "g", 1, 0, 0, 1)]  # the call budget
+
+
+def test_reverse_hops_have_a_budget_of_their_own(spark):
+    hop = lambda handler, contract, producer, queued=False, job=None: [(handler, contract, f"H|{handler}", 1, 0, 1, queued, job, []), (contract, producer, f"S|{producer}", 1, 0, 0, False, None, [])]
+    steps = [*hop("t", "q1", "p"), call("p", "h", "1"), *hop("h", "q2", "m"), *hop("m", "q3", "n")]
+    reach, paths = backwards(spark, steps, depth=1, max_hops=2)
+    assert rows(reach) == [("t", "e", 1, 1, 2, 1), ("t", "g", 1, 0, 0, 1)]
+    assert rows(paths.where("endpoint_id = 'e'").select("path", "length")) == [("m>q2>h>p>q1>t", 5)]
+    assert rows(backwards(spark, steps, depth=1, max_hops=1)[0]) == [("t", "g", 1, 0, 0, 1)]
+
+
+def test_reverse_branches_prune_jobs_that_never_run_them(spark):
+    def found(job, *branches, queued=True):
+        steps = [call("t", "h", "1", adds=branches), ("h", "q", "2", 1, 0, 1, queued, job, []), ("q", "m", "3", 1, 0, 0, False, None, [])]
+        return any(r.endpoint_id == "e" for r in backwards(spark, steps)[0].collect())
+
+    assert found("a", "exact_jobs|a,b") and not found("c", "exact_jobs|a,b")
+    assert found("c", "unmatched_jobs|a") and not found("a", "unmatched_jobs|a")
+    assert found(None, "exact_jobs|a") and found("c", "all_jobs|") and found("c", "unknown|")
+    assert found("c", "exact_jobs|a", "exact_jobs|c")  # one branch that may run is enough
+    assert found("c") and found("c", "exact_jobs|a", queued=False)  # no branch, or no queue
+
+
+def test_reverse_steps_of_contracts(spark):
+    edges = spark.createDataFrame([("1", "h", "t", reverse.CALL, 1), ("2", "m", "i1", reverse.START, 2), ("3", "n", "i2", reverse.START, 1), ("4", "x", "y", reverse.CALL, 3)], "edge_id string, subject_id string, object_id string, predicate string, status_rank int")
+    i = spark.createDataFrame([("i1", "s", "job_queue", "q", "a", None, None), ("i2", "s", "microservice_message", "q", None, "kafka", "request_response")], "interaction_id string, service_ns string, kind string, queue string, job string, transport string, mode string")
+    h = spark.createDataFrame([("w", "h", "s", "job_queue", "q", None, None, None), ("x", "k", "s", "microservice_message", "q", None, "kafka", "request_response"), ("y", "l", "s", "microservice_message", "q", None, "kafka", "request_response")], "handler_id string, method_id string, service_ns string, kind string, queue string, job string, transport string, mode string")
+    branches = spark.createDataFrame([("b", "w", "exact_jobs", "a")], "branch_id string, handler_id string, selector_kind string, jobs string")
+    got = reverse.reverse_steps(edges, i, h, branches, spark.createDataFrame([("b", "1")], "branch_id string, edge_id string"))
+    assert {(r.node, r.to_node if r.calls or not r.hops else "contract", r.status_rank, r.calls, r.hops, r.job, tuple(r.adds)) for r in got.where("node not like '{%'").collect()} == {("t", "h", 1, 1, 0, None, ("exact_jobs|a",)), ("h", "contract", 1, 0, 1, "a", ())}
+    assert rows(got.where("node like '{%'").select("to_node", "status_rank")) == [("m", 2), ("n", 1)]  # the ambiguous request has no step from its handlers
+
+
 def test_simple_paths_never_repeat_a_node(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "c", 2)], EDGE)
     got = rows(walk.simple_paths(spark.createDataFrame([("a",)], "root string"), edges, 5).select("node", F.array_join("path", ">"), "rank"))
