@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.operators import groups as G
 from factgraph.operators import matching as M
 from factgraph.operators import metrics as X
 from factgraph.operators import system as S
@@ -14,7 +15,7 @@ from factgraph.operators import walk as W
 from factgraph.operators.diff import merge_ambiguities
 from factgraph.operators.select import distributed_candidates
 from factgraph.plans.change import ALL_IMPACT, P2, P8, RULES, TWICE, every_impact, keyed_sql, p2, p8, policies, rule_sql
-from factgraph.plans.graph import ACCESS, CALLS, LINEAGE, MATCHES, SEEDS, SERVED, TERMINALS, reach_sql
+from factgraph.plans.graph import ACCESS, CALLS, FITS, LINEAGE, MATCHES, SEEDS, SERVED, TERMINALS, reach_sql
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
 
@@ -214,6 +215,60 @@ def path_edges(f: Facts) -> DataFrame:
     return S.path_edges(paths(f))
 
 
+#: Small enough to be met on the test tables.
+LIMITS = G.Limits(hops=3, paths=8, effects=2, states=6)
+GROUPED = f"""with recursive onward as materialized ({ONWARD}), named as (select interaction_id, kind, queue, case when kind = 'job_queue' then job end as job, mode, transport, '{{"kind":"'||kind||'","queue":"'||queue||'","way":"'||case when kind = 'microservice_message' then mode||'/'||transport else '' end||'"'
+  ||case when kind = 'job_queue' and job is not null then ',"job":"'||job||'"' else '' end||case when mode is not null then ',"mode":"'||mode||'"' else '' end||'}}' as contract_id from fx_interactions where queue is not null and (kind <> 'microservice_message' or transport is not null and mode is not null)),
+members as materialized (select distinct c.contract_id, h.handler_id from (select distinct contract_id, kind, queue, job, mode, transport from named) c join fx_handlers h on {FITS.replace("i.", "c.")}),
+graph as materialized (select distinct m.contract_id, n.contract_id as next_id from members m join onward o on o.handler_id = m.handler_id join named n on n.interaction_id = o.interaction_id),
+w(seed, contract_id, hop) as (select distinct r.seed, n.contract_id, 1 from ({ROOTS}) r join named n on n.interaction_id = r.interaction_id union select w.seed, g.next_id, w.hop + 1 from w join graph g on g.contract_id = w.contract_id where w.hop < 4),
+least_ as (select seed, contract_id, min(hop) as hop from w group by 1, 2),
+ranked as (select *, row_number() over (partition by seed order by hop, contract_id) as place from least_),
+kept as (select seed, hop, contract_id from ranked where place <= {LIMITS.states} and hop <= {LIMITS.hops}),
+full_ as (select seed, min(hop) as hop from ranked where place > {LIMITS.states} and hop <= {LIMITS.hops} group by 1),
+over_ as (select r.seed, 'state_limit' as reason, r.contract_id from ranked r join full_ f on f.seed = r.seed and f.hop = r.hop where place > {LIMITS.states}
+ union select k.seed, case when l.hop <= k.hop then 'cycle' else 'hop_limit' end, g.next_id from kept k join graph g on g.contract_id = k.contract_id join least_ l on l.seed = k.seed and l.contract_id = g.next_id left join full_ f on f.seed = k.seed
+  where (f.hop is null or k.hop < f.hop) and (l.hop <= k.hop or k.hop = {LIMITS.hops})),
+placed as (select k.*, size, sum(size) over (partition by seed order by hop, k.contract_id) - size as start from kept k join (select contract_id, count(*) as size from members group by 1) z on z.contract_id = k.contract_id),
+routes as (select seed, hop, p.contract_id, handler_id from placed p join (select *, row_number() over (partition by contract_id order by handler_id) as place from members) m on m.contract_id = p.contract_id where start + m.place <= {LIMITS.paths}),
+own_ as (select handler_id, predicate, table_id, min(status_rank) as rank from ({EFFECT_ROWS}) e group by 1, 2, 3),
+first_ as (select *, row_number() over (partition by handler_id order by predicate, table_id) as place, count(*) over (partition by handler_id) as of_ from own_),
+at_ as (select seed, handler_id, min(hop) as hop from routes group by 1, 2)"""
+
+
+class Propagation:
+    """Seeds through contract groups, with what each limit leaves out."""
+
+    def __init__(self, f: Facts):
+        members, graph, keys = G.contract_groups(f["fx_interactions"], f["fx_handlers"], onward(f))
+        self.states, self.cut = G.propagate_groups(f.sql(ROOTS).join(keys, "interaction_id").select("seed", "contract_id"), graph, LIMITS)
+        self.paths, self.paths_left = G.expand_groups(self.states, members, LIMITS)
+        self.effects, self.effects_left = G.limited_effects(self.paths, f.sql(EFFECT_ROWS), LIMITS)
+
+
+@query("x7_group_states", GROUPED + "\nselect * from kept")
+def group_states(f: Facts) -> DataFrame:
+    return Propagation(f).states
+
+
+@query("x7_group_effects", GROUPED + "\nselect seed, a.handler_id, hop, predicate, table_id, rank = 1 as certain from at_ a join first_ e on e.handler_id = a.handler_id where place <= 2")
+def group_effects(f: Facts) -> DataFrame:
+    return Propagation(f).effects
+
+
+@query("x7_group_truncations", GROUPED + f"""
+select seed, reason, count(*) as n from over_ group by 1, 2 union all select seed, 'path_limit', cast(sum(size) as bigint) - {LIMITS.paths} from placed group by 1 having sum(size) > {LIMITS.paths}
+union all select seed, 'effect_limit', cast(sum(of_ - {LIMITS.effects}) as bigint) from at_ a join (select distinct handler_id, of_ from first_ where of_ > {LIMITS.effects}) e on e.handler_id = a.handler_id group by 1""")
+def group_truncations(f: Facts) -> DataFrame:
+    p = Propagation(f)
+    return p.cut.unionByName(p.paths_left).unionByName(p.effects_left)
+
+
+@query("x9_group_paths", GROUPED + "\nselect * from routes")
+def group_paths(f: Facts) -> DataFrame:
+    return Propagation(f).paths
+
+
 FAN = """with c as (select distinct subject_id, object_id from fx_calls where side='after' and status_rank = 1)
 select method_id, coalesce(i.n, 0) as fan_in, coalesce(o.n, 0) as fan_out from fx_methods m left join (select object_id, count(*) as n from c group by 1) i on i.object_id = m.method_id left join (select subject_id, count(*) as n from c group by 1) o on o.subject_id = m.method_id"""
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
-from factgraph.operators import causal, diff, impact, matching, metrics, policy, reverse, select, system, walk
+from factgraph.operators import causal, diff, groups, impact, matching, metrics, policy, reverse, select, system, walk
 from factgraph.sources import documents as S
 
 EDGE = "subject_id string, object_id string, status_rank int"
@@ -453,3 +453,28 @@ def test_pages_and_groups(spark):
     df = spark.createDataFrame([(c,) for c in "abcdef"], "k string")
     assert rows(select.paginate(df, "k", "b", 3)) == [("c", 6, 2, 1), ("d", 6, 2, 1), ("e", 6, 2, 1)]
     assert select.paginate(df, "k", "f", 3).count() == 0
+
+
+def test_group_propagation_within_budgets(spark):
+    graph = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a"), ("b", "d"), ("c", "d"), ("d", "e")], "contract_id string, next_id string")
+    seeds = spark.createDataFrame([("s", "a"), ("s", "a"), ("u", "d")], "seed string, contract_id string")
+    states, cut = groups.propagate_groups(seeds, graph, groups.Limits(hops=3))
+    assert rows(states) == sorted([("s", 1, "a"), ("s", 2, "b"), ("s", 2, "c"), ("s", 3, "d"), ("u", 1, "d"), ("u", 2, "e")], key=str)
+    assert rows(cut) == [("s", "cycle", 1), ("s", "hop_limit", 1)]
+    # A quota that is used up ends the seed's walk, and only that one's.
+    states, cut = groups.propagate_groups(seeds, graph, groups.Limits(states=2))
+    assert rows(states) == sorted([("s", 1, "a"), ("s", 2, "b"), ("u", 1, "d"), ("u", 2, "e")], key=str) and rows(cut) == [("s", "state_limit", 1)]
+    members = spark.createDataFrame([("d", "h1", 1, 2), ("d", "h2", 2, 2), ("e", "h1", 1, 3), ("e", "h3", 2, 3), ("e", "h4", 3, 3), ("a", "h9", 1, 1), ("b", "h8", 1, 1)], "contract_id string, handler_id string, place int, size long")
+    paths, left = groups.expand_groups(states, members, groups.Limits(paths=4))
+    assert rows(paths) == sorted([("s", 1, "a", "h9"), ("s", 2, "b", "h8"), ("u", 1, "d", "h1"), ("u", 1, "d", "h2"), ("u", 2, "e", "h1"), ("u", 2, "e", "h3")], key=str) and rows(left) == [("u", "path_limit", 1)]
+    effects = spark.createDataFrame([("h1", "R", "t", 2), ("h1", "R", "t", 1), ("h1", "W", "u", 2), ("h9", "R", "t", 2)], "handler_id string, predicate string, table_id string, status_rank int")
+    done, more = groups.limited_effects(paths, effects, groups.Limits(effects=1))
+    assert rows(done) == sorted([("u", "h1", 1, "R", "t", True), ("s", "h9", 1, "R", "t", False)], key=str) and rows(more) == [("u", "effect_limit", 1)]
+
+
+def test_contract_groups_store_members_once(spark):
+    i = spark.createDataFrame([(f"i{k}", "s", "job_queue", "q", "a", None, None) for k in range(5)] + [("o", "t", "job_queue", "z", "b", None, None)], "interaction_id string, service_ns string, kind string, queue string, job string, transport string, mode string")
+    h = spark.createDataFrame([(f"h{k}", "u", "job_queue", "q", None, None, None) for k in range(4)] + [("x", "u", "job_queue", "z", "b", None, None)], "handler_id string, service_ns string, kind string, queue string, job string, transport string, mode string")
+    members, graph, keys = groups.contract_groups(i, h, spark.createDataFrame([("h0", "o"), ("h3", "o")], "handler_id string, interaction_id string"))
+    assert members.count() == 5 and graph.count() == 1 and keys.count() == 6
+    assert {(r.handler_id, r.place, r.size) for r in members.collect()} == {("h0", 1, 4), ("h1", 2, 4), ("h2", 3, 4), ("h3", 4, 4), ("x", 1, 1)}
