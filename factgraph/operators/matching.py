@@ -134,11 +134,26 @@ def select_branches(matches: DataFrame, interactions: DataFrame, branches: DataF
     return rows.select("interaction_id", "branch_id", verdict.alias("verdict"))
 
 
+def line_blocks(ranges: DataFrame, start: str = "start_line", end: str = "end_line") -> DataFrame:
+    """ranges with (level, block): a range lies in at most two blocks of 2^level lines, the power that its length asks for."""
+    level = F.ceil(F.log2(F.col(end) - F.col(start) + 1)).cast("int")
+    leveled = ranges.where(F.col(start) <= F.col(end)).withColumn("level", level)
+    return leveled.withColumn("block", F.explode(F.expr(f"sequence(shiftright({start}, level), shiftright({end}, level))")))
+
+
 def attribute_regions(evidence: DataFrame, regions: DataFrame) -> DataFrame:
-    """(evidence_id, region_id): the regions that hold an evidence range whole, within one file."""
+    """(evidence_id, region_id): the regions that hold an evidence range whole, within one file.
+
+    Regions are put into blocks of lines, of a size by their own length; evidence looks into the block of its start at each
+    size that its file has, of which there are no more than a line number has bits. So files with very many ranges are
+    joined by block, not each with each."""
     code = lambda p, x: F.col(f"{p}.{x}_line").cast("long") * (1 << 20) + F.col(f"{p}.{x}_column")
     inside = (code("e", "start") >= code("r", "start")) & (code("e", "end") <= code("r", "end"))
-    return evidence.alias("e").join(regions.alias("r"), (F.col("e.file_id") == F.col("r.file_id")) & inside).select("e.evidence_id", "r.region_id")
+    blocks = line_blocks(regions)
+    levels = blocks.groupBy("file_id").agg(F.collect_set("level").alias("levels"))
+    asked = evidence.join(levels, "file_id").withColumn("level", F.explode("levels")).drop("levels").withColumn("block", F.expr("shiftright(start_line, level)"))
+    same = [F.col(f"e.{c}") == F.col(f"r.{c}") for c in ("file_id", "level", "block")]
+    return asked.alias("e").join(blocks.alias("r"), [*same, inside]).select("e.evidence_id", "r.region_id")
 
 
 def match_api_slots(slots: DataFrame, endpoints: DataFrame) -> DataFrame:

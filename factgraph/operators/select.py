@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.matching import line_blocks
+
 
 def resolution(n: Column) -> Column:
     return F.when(n == 0, "not_found").when(n == 1, "resolved").otherwise("ambiguous")
@@ -22,10 +24,13 @@ def resolve_endpoints(selectors: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 def resolve_symbols(selectors: DataFrame, symbols: DataFrame) -> DataFrame:
     """selectors: (selector_id, file_id, line, column); symbols: (symbol_id, file_id and a half-open range). A symbol
-    matches if the position lies in its range; files are joined first, so ranges meet only within one file."""
+    matches if the position lies in its range. Ranges are met by blocks of lines within one file, see line_blocks."""
     at = F.col("line") * (1 << 20) + F.col("column")
     start, end = (F.col(f"{x}_line") * (1 << 20) + F.col(f"{x}_column") for x in ("start", "end"))
-    hits = selectors.join(symbols, "file_id").where((at >= start) & (at < end)).groupBy("selector_id").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first"))
+    blocks = line_blocks(symbols)
+    levels = blocks.groupBy("file_id").agg(F.collect_set("level").alias("levels"))
+    asked = selectors.join(levels, "file_id").withColumn("level", F.explode("levels")).drop("levels").withColumn("block", F.expr("shiftright(line, level)"))
+    hits = asked.join(blocks, ["file_id", "level", "block"]).where((at >= start) & (at < end)).groupBy("selector_id").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first"))
     n = F.coalesce("n", F.lit(0))
     return selectors.join(hits, "selector_id", "left").select("selector_id", resolution(n).alias("state"), n.alias("n_matches"), F.when(n == 1, F.col("first")).alias("symbol_id"))
 

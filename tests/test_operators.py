@@ -478,3 +478,13 @@ def test_contract_groups_store_members_once(spark):
     members, graph, keys = groups.contract_groups(i, h, spark.createDataFrame([("h0", "o"), ("h3", "o")], "handler_id string, interaction_id string"))
     assert members.count() == 5 and graph.count() == 1 and keys.count() == 6
     assert {(r.handler_id, r.place, r.size) for r in members.collect()} == {("h0", 1, 4), ("h1", 2, 4), ("h2", 3, 4), ("h3", 4, 4), ("x", 1, 1)}
+
+
+def test_regions_by_blocks_equal_all_pairs(spark):
+    draw = random.Random(5)
+    span = lambda n: (lambda a: (a, draw.randint(1, 9), a + draw.choice([0, 0, 1, 3, 40, n]), draw.randint(1, 9)))(draw.randint(0, 3000))
+    cols = "start_line int, start_column int, end_line int, end_column int"
+    regions = [(f"r{k}", f"f{k % 3}", *span(2500)) for k in range(200)]
+    evidence = [(f"e{k}", f"f{k % 4}", *span(10)) for k in range(300)]
+    got = rows(matching.attribute_regions(spark.createDataFrame(evidence, f"evidence_id string, file_id string, {cols}"), spark.createDataFrame(regions, f"region_id string, file_id string, {cols}")))
+    assert got == sorted([(e[0], r[0]) for e in evidence for r in regions if e[1] == r[1] and e[2:4] >= r[2:4] and e[4:6] <= r[4:6]], key=str) and got
