@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from factgraph.llm.common import shared_dir, width
 
 #: Words in a chunk (the documents that begin in it are in it whole), and keys in a bucket that chunks are merged in.
-WORDS, KEYS = 500_000, 1 << 20
+WORDS, KEYS = 500_000, 1 << 19
 #: Rows that are cut at once.
 ROWS = 256
 #: Counts of counts are told up to this count.
