@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,37 +77,6 @@ def match_exact(interactions: DataFrame, handlers: DataFrame, scope: tuple[str,
     return keys.join(matches, "contract_id").select("interaction_id", "handler_id")
 
 
-def pattern_regex(pattern: Column, delimiter: str = ".") -> Column:
-    """An event pattern as a regular expression over the event with a delimiter in front: * is one segment, ** any."""
-    d = re.escape(delimiter)
-    one = lambda s: F.when(s == "**", f"(?:{d}[^{d}]*)*").when(s == "*", f"{d}[^{d}]*").otherwise(F.concat(F.lit(d + r"\Q"), s, F.lit(r"\E")))
-    return F.concat(F.lit("^"), F.array_join(F.transform(F.split(pattern, d), one), ""), F.lit("$"))
-
-
-def match_wildcard(events: DataFrame, patterns: DataFrame, delimiter: str = ".") -> DataFrame:
-    """(event, pattern): distinct events against distinct patterns.
-
-    A pattern meets only events that hold its first plain segment somewhere. Patterns without a plain segment say no more
-    than how many segments an event has: those with one number meet the events of that number; with ** also longer ones,
-    so nearly every pair they meet in is a result.
-    """
-    parts, any_ = F.split("pattern", re.escape(delimiter)), F.lit("**")
-    plain = F.filter(parts, lambda s: ~s.isin("*", "**"))
-    rules = patterns.select("pattern").where("pattern is not null").distinct().select(
-        "pattern", pattern_regex(F.col("pattern"), delimiter).alias("rx"), F.get(plain, F.lit(0)).alias("segment"),
-        F.size(F.filter(parts, lambda s: s != any_)).alias("least"), F.array_contains(parts, any_).alias("open"),
-    )
-    names = events.select("event").where("event is not null").distinct().withColumn("parts", F.split("event", re.escape(delimiter)))
-    hit = F.regexp_like(F.concat(F.lit(delimiter), F.col("event")), F.col("rx"))
-    held = names.select("event", F.explode(F.array_distinct("parts")).alias("segment"))
-    fixed = held.join(rules.where("segment is not null"), "segment").where(hit)
-    counted = names.select("event", F.size("parts").alias("n"))
-    free = rules.where("segment is null").select("pattern", "least", "open")
-    same = counted.join(free.where("not open"), F.col("n") == F.col("least"))
-    longer = counted.join(free.where("open"), F.col("n") >= F.col("least"))
-    return fixed.select("event", "pattern").unionByName(same.select("event", "pattern")).unionByName(longer.select("event", "pattern"))
-
-
 def cap_fan_out(matches: DataFrame, interactions: DataFrame, n: int) -> DataFrame:
     """The first n handlers of each producer, with how many there were, the diagnostic where some were left out, and the
     state: a request (mode request_response) that several handlers would answer is ambiguous."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.operators import causal as K
+from factgraph.operators import events as E
 from factgraph.operators import matching as M
 from factgraph.operators import reverse as R
 from factgraph.operators import walk as W
@@ -92,7 +93,29 @@ EVENTS = "select distinct replace(regexp_replace(url, '^https?://[^/]+/', ''), '
 with rules as (select pattern, '^'||array_to_string(list_transform(string_split(pattern, '.'), lambda s: case s when '**' then '(?:[.][^.]*)*' when '*' then '[.][^.]*' else '[.]'||regexp_escape(s) end), '')||'$' as rx from fx_patterns)
 select event, pattern from ({EVENTS}) e join rules on regexp_matches('.'||event, rx)""")
 def wildcard(f: Facts) -> DataFrame:
-    return M.match_wildcard(f.sql(EVENTS), f["fx_patterns"])
+    return E.match_wildcard(f.sql(EVENTS), f["fx_patterns"])
+
+
+#: Pages send events of their address; every document listens to its name, by a pattern of its kind, in one of two applications.
+SENT = """select 'page:'||page_id as interaction_id, case when page_id%19=0 then 'dynamic' when page_id%17=0 then 'symbol' else 'string' end as identity,
+ replace(regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', ''), '/', case when page_id%3=0 then '::' else '.' end) as event, case when page_id%5=0 then null else 'app:'||(page_id%2) end as application_id from pages"""
+HEARD = """select 'doc:'||doc_id as handler_id, case when doc_id%23=0 then 'symbol' else 'string' end as identity,
+ case doc_id%6 when 0 then lang||'.'||doc_id when 1 then lang||'.*' when 2 then '*::'||doc_id when 3 then '**.'||doc_id when 4 then '**.'||lang||'.**' else '*.'||lang||'x*' end as value,
+ case doc_id%6 when 0 then null when 2 then '::' else '.' end as delimiter, case when doc_id%7=0 then null else 'app:'||(doc_id%2) end as application_id from documents"""
+
+
+@query("j6_match_events", f"""
+with sent as ({SENT}), heard as ({HEARD}),
+rules as (select * from heard
+ where delimiter is not null and identity = 'string' and len(list_filter(string_split(value, delimiter), lambda s: contains(s, '*') and s not in ('*', '**'))) = 0)
+select interaction_id, handler_id from sent s join heard h on h.identity = s.identity and h.value = s.event and h.delimiter is null and coalesce(s.application_id = h.application_id, true) where s.identity <> 'dynamic'
+union all
+select interaction_id, handler_id from sent s join rules r on s.identity = 'string' and coalesce(s.application_id = r.application_id, true)
+ and case split_part(r.value, r.delimiter, 1) when '*' then list_slice(string_split(s.event, r.delimiter), 2, 1000) = list_slice(string_split(r.value, r.delimiter), 2, 1000) and len(string_split(s.event, r.delimiter)) = 2
+ when '**' then case when ends_with(r.value, '**') then list_contains(string_split(s.event, r.delimiter), split_part(r.value, r.delimiter, 2)) else list_last(string_split(s.event, r.delimiter)) = split_part(r.value, r.delimiter, 2) end
+ else string_split(s.event, r.delimiter)[1] = split_part(r.value, r.delimiter, 1) and len(string_split(s.event, r.delimiter)) = 2 end""")
+def heard_events(f: Facts) -> DataFrame:
+    return E.match_events(f.sql(SENT), f.sql(HEARD))
 
 
 @query("j7_cap_fan_out", f"""

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from factgraph.functions import columns as C
-from factgraph.operators import causal, diff, groups, impact, matching, metrics, policy, reverse, select, system, walk
+from factgraph.operators import causal, diff, events, groups, impact, matching, metrics, policy, reverse, select, system, walk
 from factgraph.sources import documents as S
 
 EDGE = "subject_id string, object_id string, status_rank int"
@@ -299,10 +299,38 @@ def test_authorization_outcomes(spark):
 def test_wildcards(spark):
     patterns = ["a.**", "a.*", "**", "*.b", "a.*.c", "a.b", "**.c"]
     want = {"a": {"a.**", "**"}, "a.b": {"a.**", "a.*", "**", "*.b", "a.b"}, "a.b.c": {"a.**", "**", "a.*.c", "**.c"}, "c": {"**", "**.c"}, "a+b": {"**"}}
-    got = matching.match_wildcard(spark.createDataFrame([(e,) for e in want], "event string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()
+    got = events.match_wildcard(spark.createDataFrame([(e,) for e in want], "event string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()
     assert {e: {r.pattern for r in got if r.event == e} for e in want} == want
 
 
+def fits(event, pattern):
+    if not pattern or not event:
+        return event == pattern or all(p == "**" for p in pattern) and not event
+    if pattern[0] == "**":
+        return fits(event, pattern[1:]) or fits(event[1:], pattern)
+    return pattern[0] in ("*", event[0]) and fits(event[1:], pattern[1:])
+
+
+def test_patterns_against_plain_python(spark):
+    rng = random.Random(5)
+    text = lambda alphabet, mark, most: mark.join(rng.choice(alphabet) for _ in range(rng.randint(1, most)))
+    names = sorted({text(["a", "b", "c", "", "a.b", "a+"], rng.choice([".", "::"]), 6) for _ in range(150)})
+    rules = sorted({(text(["a", "b", "c", "*", "*", "**", "**", "a+", "x*"], mark, 5), mark) for mark in (".", "::", ".") for _ in range(120)})
+    rules += [("a.*", ""), ("a.*", "*"), (".".join(["*"] * 101), "."), (None, "."), ("a.*", None)]
+    got = events.match_patterns(spark.createDataFrame([(n,) for n in [*names, *names, None]], "event string"), spark.createDataFrame(rules * 2, "pattern string, delimiter string"))
+    valid = [(p, d) for p, d in rules if p and d and d != "*" and len(p.split(d)) <= 100 and "*" in p and all("*" not in s or s in ("*", "**") for s in p.split(d))]
+    assert rows(got) == sorted((n, p, d) for n in names for p, d in set(valid) if fits(n.split(d), p.split(d)))
+    assert not events.match_patterns(spark.createDataFrame([], "event string"), spark.createDataFrame(rules, "pattern string, delimiter string")).collect()
+    assert not events.match_patterns(spark.createDataFrame([("a",)], "event string"), spark.createDataFrame([], "pattern string, delimiter string")).collect()
+
+
+def test_events_keep_to_their_applications(spark):
+    sent = [("i1", "string", "a.b", "x"), ("i2", "string", "a.b", None), ("i3", "symbol", "a.b", "x"), ("i4", "dynamic", "a.b", "x"), ("i5", "string", None, "x"), ("i6", "string", "a::b", "y")]
+    heard = [("h1", "string", "a.b", None, "x"), ("h2", "string", "a.*", ".", "y"), ("h3", "string", "**", ".", None), ("h4", "symbol", "a.b", None, None), ("h5", "symbol", "a.*", ".", None), ("h6", "string", "a::*", "::", "y"), ("h7", "string", "a.b*", ".", None)]
+    got = events.match_events(spark.createDataFrame(sent, "interaction_id string, identity string, event string, application_id string"), spark.createDataFrame(heard, "handler_id string, identity string, value string, delimiter string, application_id string"))
+    assert rows(got) == [("i1", "h1"), ("i1", "h3"), ("i2", "h1"), ("i2", "h2"), ("i2", "h3"), ("i3", "h4"), ("i6", "h3"), ("i6", "h6")]
+
+
 def test_correlation_states(spark):
     cols = "record_id string, service_ns string, role string, kind string, queue string, job string, mode string, contract string, eligible boolean, reason string"
     end = lambda role: lambda i, s, q, j=None, kind="job_queue", mode=None, ok=True: (i, s, role, kind, q, j, mode, "", ok, None)
