@@ -2,68 +2,119 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factgraph.functions.columns import csv_cell
+from factgraph.sources.staging import stage
 
-ID = T.StructField("id", T.StringType())
-STRINGS = T.ArrayType(T.StringType())
-
-
-def _record(**fields: str) -> T.ArrayType:
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "b": T.BooleanType(), "a": STRINGS}
-    return T.ArrayType(T.StructType([ID, *[T.StructField(n, kinds[k]) for n, k in fields.items()]]))
+TEXT = "struct<resolution:string,value:string>"
+SHAPE = "struct<typeText:string,kind:string,source:string,alternatives:array<string>,contractTypeIds:array<string>>"
+#: What an interaction is aimed at: of one kind, so most fields are null; `targetKind` tells which are meant.
+TARGET = f"struct<targetKind:string,method:string,url:{TEXT},queryKeys:array<string>,identityKind:string,value:string,pattern:struct<kind:string,delimiter:string>,technology:string,queue:{TEXT},job:{TEXT},mode:string,patternKind:string,canonicalPattern:string,clientToken:{TEXT},transport:string>"
+RESOURCE = "struct<kind:string,value:string,token:string,segments:array<struct<kind:string,value:string,token:string,index:int>>>"
+RULE = "ruleId string, evidenceIds array<string>"
 
-
-#: The record families of a fact document that the jobs read. Others are ignored.
+#: The record families of a fact document in the order of its versions: kind, first version, fields beside id.
 FAMILIES = {
-    "sourceFiles": ("source", _record(path="s", contentHash="s", byteLength="i")),
-    "classes": ("class", _record(sourceFileId="s", qualifiedName="s", roles="a")),
-    "methods": ("method", _record(classId="s", name="s", signature="s")),
-    "endpoints": ("endpoint", _record(httpMethod="s", path="s")),
-    "guards": ("guard", _record(name="s")),
-    "entities": ("entity", _record(classId="s", name="s")),
-    "tables": ("table", _record(name="s")),
-    "modules": ("module", _record(classId="s", isGlobal="b", metadataCompleteness="s")),
-    "assertions": ("assertion", _record(subjectId="s", predicate="s", objectId="s", status="s", ruleId="s", evidenceIds="a")),
-    "evidence": ("evidence", _record(sourceFileId="s", startLine="i", startColumn="i", endLine="i", endColumn="i", role="s", contentHash="s")),
-    "diagnostics": ("diagnostic", _record(code="s", severity="s", subjectId="s", message="s")),
+    "sourceFiles": ("source", 1, "path string, contentHash string, byteLength long"),
+    "classes": ("class", 1, "sourceFileId string, qualifiedName string, displayName string, roles array<string>, declarationEvidenceId string"),
+    "methods": ("method", 1, "classId string, qualifiedName string, displayName string, signature string, declarationEvidenceId string"),
+    "endpoints": ("endpoint", 1, "httpMethod string, path string"),
+    "guards": ("guard", 1, "classId string, displayName string"),
+    "repositoryBindings": ("repository_binding", 1, "ownerClassId string, memberName string, declarationEvidenceId string"),
+    "entities": ("entity", 1, "classId string, displayName string"),
+    "tables": ("table", 1, "name string, nameSource string"),
+    "assertions": ("assertion", 1, f"subjectId string, predicate string, objectId string, status string, {RULE}"),
+    "evidence": ("evidence", 1, "fileId string, startLine int, startColumn int, endLine int, endColumn int, role string, snippet string, contentHash string"),
+    "diagnostics": ("diagnostic", 1, "code string, severity string, message string, subjectId string, evidenceIds array<string>"),
+    "modules": ("module", 2, "classId string, isGlobal boolean, metadataCompleteness string, declarationEvidenceId string"),
+    "globalGuardRegistrations": ("global_guard_registration", 2, "guardId string, moduleId string, kind string, order int, assertionId string, registrationEvidenceId string"),
+    "contractTypes": ("contract_type", 2, "sourceFileId string, qualifiedName string, displayName string, declarationKind string, shapeSource string, declarationEvidenceId string"),
+    "contractFields": ("contract_field", 2, "contractTypeId string, declaringContractTypeId string, name string, typeText string, optional boolean, readonly boolean, inherited boolean, shapeSource string, declarationEvidenceId string, declaredConstraints array<struct<name:string,argumentTexts:array<string>,decoratorEvidenceId:string>>"),
+    "requestParameters": ("request_parameter", 2, f"methodId string, parameterIndex int, parameterName string, sourceKind string, selector string, selectorState string, optional boolean, declaredType {SHAPE}, declarationEvidenceId string, decoratorEvidenceId string"),
+    "responseContracts": ("response_contract", 2, f"methodId string, handling string, outerTypeText string, promiseUnwrapped boolean, declaredType {SHAPE}, declarationEvidenceId string, manualResponseEvidenceId string"),
+    "entityColumns": ("entity_column", 2, "entityId string, declaringClassId string, propertyName string, databaseName string, databaseNameSource string, columnKind string, insert boolean, update boolean, transformer string, inherited boolean, declarationEvidenceId string, decoratorEvidenceId string"),
+    "requestFieldOrigins": ("request_field_origin", 2, "requestParameterId string, propertyPath array<string>, contractFieldIds array<string>, resolution string, originEvidenceId string"),
+    "columnInfluences": ("column_influence", 2, "methodId string, originId string, columnId string, state string, sinkKind string, sinkPropertyName string, assertionId string, sinkEvidenceId string, operationEvidenceId string, propagationEvidenceIds array<string>, callPath array<struct<callerMethodId:string,calleeMethodId:string,callEvidenceId:string>>"),
+    "applications": ("application", 3, "kind string, rootModuleId string, rootResolution string, transportState string, transport string, bootstrapEvidenceId string"),
+    "interactions": ("interaction", 3, f"kind string, sourceMethodId string, applicationId string, direction string, activation string, boundary string, dispatchTiming string, target {TARGET}, {RULE}"),
+    "interactionHandlers": ("interaction_handler", 3, f"kind string, methodId string, applicationId string, registrationState string, target {TARGET}, configurationEvidenceIds array<string>, ruleId string, handlerEvidenceId string"),
+    "interactionHandlerDispatches": ("handler_dispatch", 4, f"handlerId string, state string, branchIds array<string>, {RULE}"),
+    "interactionHandlerBranches": ("handler_branch", 4, f"dispatchId string, selector struct<kind:string,jobs:array<string>,excludedJobs:array<string>>, controlFlow string, {RULE}"),
+    "interactionHandlerBranchEffects": ("handler_branch_effect", 4, f"branchId string, kind string, targetId string, sourceAssertionId string, status string, {RULE}"),
+    "authorizationMetadata": ("authorization_metadata", 5, f"endpointId string, scope string, metadataKey string, source string, decorator struct<kind:string,moduleSpecifier:string,exportedName:string,sourceFileId:string>, valueShape struct<kind:string,scalarType:string,itemCount:int,itemTypes:array<string>,dynamicItems:boolean,keys:array<string>,dynamicKeys:boolean,redacted:boolean>, {RULE}"),
+    "authorizationEnforcements": ("authorization_enforcement", 5, f"metadataId string, endpointId string, state string, guardId string, guardAssertionId string, {RULE}"),
+    "resourceAccesses": ("resource_access", 6, f"resourceKind string, operation string, technology string, api string, sourceMethodId string, target {RESOURCE}, selector {RESOURCE}, {RULE}"),
+    "criticalSections": ("critical_section", 7, f"sourceMethodId string, lockResourceAccessIds array<string>, callbackKind string, callbackEvidenceId string, effectAssertionIds array<string>, {RULE}"),
+}
+#: What a document says of its analyses as a whole, by first version.
+STATES = {
+    "globalGuardAnalysis": (2, "struct<completeness:string,state:string>"),
+    "interactionAnalysis": (3, "struct<schemaKinds:array<string>,supportedKinds:array<string>,enabledKinds:array<string>,state:string>"),
+    "resourceAccessAnalysis": (6, "struct<supportedTechnologies:array<string>,enabledTechnologies:array<string>,state:string>"),
 }
-SCHEMA = T.StructType([T.StructField("schemaVersion", T.StringType()), T.StructField("runId", T.StringType()), *[T.StructField(n, t) for n, (_, t) in FAMILIES.items()]])
+RUN = "struct<id:string,repositoryRevision:string,tsconfigPath:string,tool:struct<name:string,version:string,typescriptVersion:string>,configuration:string>"
+SCHEMA = ", ".join([
+    "schemaVersion string, runId string, resultState string", f"analysisRun {RUN}", *[f"{n} {t}" for n, (_, t) in STATES.items()],
+    *[f"{n} array<struct<id string, {fields}>>" for n, (_, _, fields) in FAMILIES.items()], "unreadable string",
+])
 VERSIONS = tuple(f"{n}.0.0" for n in range(1, 9))
 
 
-def read_documents(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """One table for each family, its rows with analysis_id (the file they come from). A fixed schema, never inferred."""
-    docs = spark.read.schema(SCHEMA).json(path, multiLine=True).withColumn("analysis_id", F.input_file_name())
-    tables = {name: docs.select("analysis_id", F.explode(name).alias("r")).select("analysis_id", "r.*") for name in FAMILIES}
-    return {"runs": docs.select("analysis_id", "schemaVersion", "runId"), **tables}
+def problems(whole: bool) -> Column:
+    """Why a document is not taken, an array: it cannot be read, is of an unknown version, has what its version has not, or
+    (if it must be whole) lacks what its version has."""
+    number = F.element_at(F.split("schemaVersion", r"\."), 1).cast("int")
+    parts = {**{n: since for n, (_, since, _) in FAMILIES.items()}, **{n: since for n, (since, _) in STATES.items()}}
+    early = [F.when(F.col(n).isNotNull() & (number < since), f"unexpected {n}") for n, since in parts.items() if since > 1]
+    lacking = [F.when(F.col(n).isNull() & (number >= since), f"missing {n}") for n, since in parts.items()] if whole else []
+    known = F.coalesce(F.col("schemaVersion").isin(*VERSIONS), F.lit(False))
+    found = F.filter(F.array(*early, *lacking), lambda p: p.isNotNull())
+    return F.when(F.col("unreadable").isNotNull(), F.array(F.lit("unreadable"))).when(~known, F.array(F.lit("unknown version"))).otherwise(found)
 
 
-def qualify_ids(tables: dict[str, DataFrame], scope: str = "analysis_id") -> dict[str, DataFrame]:
-    """The tables with the document in front of every id and of every reference (columns named id, ...Id, ...Ids): then the
-    jobs take the records of many documents at once, though ids repeat from one to the next."""
+def read_documents(spark: SparkSession, path: str, whole: bool = False) -> dict[str, DataFrame]:
+    """One table for each family, its rows with analysis_id (the file they come from); `runs`, one row a document that could be
+    read; and `rejected`, (analysis_id, problem), whose documents have no rows in any family.
 
-    def whole(name: str, kind: str) -> Column:
-        within = lambda c: F.concat(F.col(scope), F.lit("/"), c)
-        return F.transform(F.col(name), within) if kind.startswith("array") else within(F.col(name))
+    The schema is fixed, never inferred; JSON is parsed once and staged by column, so that a job reads the families it uses.
+    If `whole`, a document that lacks a family of its version is rejected, else that family is empty."""
+    raw = spark.read.schema(SCHEMA).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="unreadable")
+    docs = stage(raw.withColumn("analysis_id", F.input_file_name()).withColumn("problems", problems(whole)), "documents")
+    runs = docs.where("unreadable is null").select("analysis_id", "schemaVersion", F.coalesce("analysisRun.id", "runId").alias("runId"), "resultState", "analysisRun", *STATES)
+    taken = docs.where(F.size("problems") == 0)
+    tables = {name: taken.select("analysis_id", F.explode(name).alias("r")).select("analysis_id", "r.*") for name in FAMILIES}
+    return {"runs": runs, **tables, "rejected": docs.select("analysis_id", F.explode("problems").alias("problem"))}
 
+
+def within(col: Column, kind: T.DataType, name: str, scope: Column) -> Column:
+    """A value with the scope in front of the ids in it, at any depth."""
+    if isinstance(kind, T.StructType):
+        parts = [within(col[f.name], f.dataType, f.name, scope).alias(f.name) for f in kind.fields]
+        return F.when(col.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda c: within(c, kind.elementType, name, scope))
+    return F.concat(scope, F.lit("/"), col) if name == "id" or name.endswith(("Id", "Ids")) else col
+
+
+def qualify_ids(tables: dict[str, DataFrame], scope: str = "analysis_id") -> dict[str, DataFrame]:
+    """The tables with the document in front of every id and of every reference (fields named id, ...Id, ...Ids, also those
+    within structs and arrays): then the jobs take the records of many documents at once, though ids repeat."""
     out = {}
     for family, df in tables.items():
-        names = {n: whole(n, k).alias(n) for n, k in df.dtypes if n != scope and (n == "id" or n.endswith(("Id", "Ids")))}
-        out[family] = df.select(*[names.get(n, F.col(n)) for n in df.columns]) if scope in df.columns else df
+        cols = [F.col(f.name) if f.name == scope else within(F.col(f.name), f.dataType, f.name, F.col(scope)).alias(f.name) for f in df.schema.fields]
+        out[family] = df.select(*cols) if scope in df.columns else df
     return out
 
 
 def record_envelope(tables: dict[str, DataFrame]) -> DataFrame:
     """(id, kind, payload) of all records."""
-    parts = [tables[n].select("id", F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("payload")) for n, (kind, _) in FAMILIES.items() if n in tables]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [tables[n].select("id", F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("payload")) for n, (kind, _, _) in FAMILIES.items() if n in tables]
+    return reduce(DataFrame.unionByName, parts)
 
 
 #: The first version that has each group of families.
