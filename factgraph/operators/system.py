@@ -28,6 +28,14 @@ def project_system_endpoints(interactions: DataFrame, handlers: DataFrame) -> Da
     return part(interactions, "interaction_id", "producer", made).unionByName(part(handlers, "handler_id", "consumer", taken))
 
 
+def bound_endpoints(endpoints: DataFrame, bindings: DataFrame) -> DataFrame:
+    """The endpoints with the realm that they are bound to; one that several bindings select is not eligible."""
+    realms = bindings.groupBy("service_ns", "queue").agg(F.min("realm_id").alias("realm"), F.count_distinct("realm_id").alias("realms"))
+    return endpoints.join(realms, ["service_ns", "queue"], "left").withColumns({
+        "realm": F.when(F.col("realms") == 1, F.col("realm")), "eligible": F.col("eligible") & (F.coalesce("realms", F.lit(0)) < 2), "mode": F.coalesce("mode", F.lit("")),
+    })
+
+
 def correlate(endpoints: DataFrame, bindings: DataFrame) -> DataFrame:
     """(record_id, role, state, reason, consumers, broker_realm): how each producer finds consumers, and the consumers that
     none finds.
@@ -38,10 +46,7 @@ def correlate(endpoints: DataFrame, bindings: DataFrame) -> DataFrame:
     candidate is declared if all sides are bound to one realm, else it shares the target only. An endpoint that several
     bindings select is not eligible.
     """
-    realms = bindings.groupBy("service_ns", "queue").agg(F.min("realm_id").alias("realm"), F.count_distinct("realm_id").alias("realms"))
-    bound = endpoints.join(realms, ["service_ns", "queue"], "left").withColumns({
-        "realm": F.when(F.col("realms") == 1, F.col("realm")), "eligible": F.col("eligible") & (F.coalesce("realms", F.lit(0)) < 2), "mode": F.coalesce("mode", F.lit("")),
-    })
+    bound = bound_endpoints(endpoints, bindings)
     keys = ["kind", "queue", "mode"]
     consumers = bound.where("role = 'consumer'").select("record_id", *keys, "job", "realm", "eligible")
     groups = consumers.where("eligible").groupBy(*keys, F.col("job").alias("their_job")).agg(F.count(F.lit(1)).alias("n"), F.min("realm").alias("lo"), F.max("realm").alias("hi"), F.count("realm").alias("bound"))

@@ -11,6 +11,7 @@ from factgraph.operators import groups as G
 from factgraph.operators import matching as M
 from factgraph.operators import metrics as X
 from factgraph.operators import system as S
+from factgraph.operators import transitions as T
 from factgraph.operators import walk as W
 from factgraph.operators.diff import merge_ambiguities
 from factgraph.operators.select import distributed_candidates
@@ -18,6 +19,7 @@ from factgraph.plans.change import ALL_IMPACT, P2, P8, RULES, TWICE, every_impac
 from factgraph.plans.graph import ACCESS, CALLS, FITS, LINEAGE, MATCHES, SEEDS, SERVED, TERMINALS, reach_sql
 from factgraph.plans.registry import query
 from factgraph.sources.binding import Facts
+from factgraph.sources.staging import stage
 
 CONTRACT = """'{"job":'||coalesce('"'||case when kind = 'job_queue' then job end||'"','null')||',"kind":"'||kind||'","mode":'||coalesce('"'||mode||'"','null')||',"queue":'||coalesce('"'||queue||'"','null')||'}'"""
 PROJECTED = f"""select record_id, service_ns, role, kind, queue, case when kind = 'job_queue' then job end as job, mode, {CONTRACT} as contract, reason is null as eligible, reason from (
@@ -140,6 +142,115 @@ def system_summary(f: Facts) -> DataFrame:
     return S.system_summary({"bindings": binding_changes(f), "correlations": correlation_changes(f)})
 
 
+def available(table: str, side: str) -> str:
+    return f"(select * from {table} where side='{side}' and service_ns in (select o.service_ns from fx_observations o where o.side='{side}' and o.state = 'available'))"
+
+
+def observed(text: str, side: str) -> str:
+    """A text over the system as one of its sides, of the services whose artifacts are there."""
+    text = text.replace("from fx_interactions", f"from {available('fx_interactions2', side)}").replace("from fx_handlers", f"from {available('fx_handlers2', side)}")
+    return text.replace("from fx_bindings", f"from (select * from ({BOUND}) y where side='{side}')")
+
+
+#: All artifacts that are not there taken for services that are not there, so that correlations can be compared.
+SEEN = "select side, service_ns, case state when 'missing' then 'not_present' else state end as state from fx_observations"
+TOPOLOGY = {"before": "available", "after": "available"}
+TRANSPORTS = "select interaction_id as record_id, transport from fx_interactions union all select handler_id, transport from fx_handlers"
+
+
+def observed_ends(f: Facts, side: str) -> tuple[DataFrame, DataFrame]:
+    """The endpoints of a side and its bindings, staged, as a diff reads them several times."""
+    there = lambda table: f.sql(f"select * from {available(table, side)} x").drop("side")
+    ends = S.project_system_endpoints(there("fx_interactions2"), there("fx_handlers2"))
+    return stage(ends, "system-ends"), stage(f.sql(BOUND).where(f"side = '{side}'").drop("side"), "system-bindings")
+
+
+def differs(pairs: dict[str, str], noun: str) -> str:
+    """Change and reasons of b and a, in SQL."""
+    why = ", ".join(f"case when b.{c} is distinct from a.{c} then '{w}' end" for c, w in pairs.items())
+    return f"""case when b.record_id is null then 'added' when a.record_id is null then 'removed' else 'modified' end as change,
+ case when b.record_id is null then '{noun}_added' when a.record_id is null then '{noun}_removed' else concat_ws(';', {why}) end as reasons"""
+
+
+def ends_sql(side: str, other: str) -> str:
+    """The endpoints of a side whose service is known on the other."""
+    return f"""(with {observed(CORRELATED, side)} select b.role, b.record_id, p.kind, p.contract, t.transport, b.realm from b join ({observed(PROJECTED, side)}) p on p.record_id = b.record_id
+ join ({TRANSPORTS}) t on t.record_id = b.record_id where p.service_ns in (select service_ns from fx_observations o2 where o2.side = '{other}' and o2.state in ('available', 'not_present')))"""
+
+
+def selected_sql(side: str) -> str:
+    return f"""(with {observed(CORRELATED, side)}, sel as (select p_id, string_agg(c_id, ',' order by c_id) as sel from fits group by 1)
+ select c.role, c.record_id, p.contract, c.state, case c.role when 'consumer' then 'own' else coalesce(sel, '0') end as selection, c.broker_realm, case when c.state = 'unmatched' then c.reason end as unmatched_reason, case when c.state = 'ambiguous' then c.reason end as ambiguity_reason
+ from corr c join ({observed(PROJECTED, side)}) p on p.record_id = c.record_id left join sel on sel.p_id = c.record_id)"""
+
+
+ENDPOINT_CHANGES = f"""(select * from (select coalesce(b.role, a.role) as role, coalesce(b.record_id, a.record_id) as record_id, {differs(T.ENDPOINT_REASONS, 'endpoint')}
+ from {ends_sql('before', 'after')} b full outer join {ends_sql('after', 'before')} a on a.role = b.role and a.record_id = b.record_id) e where reasons <> '')"""
+SELECTION_CHANGES = f"""(select * from (select coalesce(b.role, a.role) as role, coalesce(b.record_id, a.record_id) as record_id, {differs(T.CORRELATION_REASONS, 'correlation')}, b.state as before_state, a.state as after_state
+ from {selected_sql('before')} b full outer join {selected_sql('after')} a on a.role = b.role and a.record_id = b.record_id) e where reasons <> '')"""
+CANDIDATE_CHANGES = f"""(select *, 'candidate_'||change as reason from (select coalesce(b.record_id, a.record_id) as record_id, case when b.record_id is null then 'added' when a.record_id is null then 'removed' else 'modified' end as change, b.broker_realm as before_realm, a.broker_realm as after_realm
+ from (select * from {selected_sql('before')} x where role = 'producer' and state = 'declared_realm_candidate') b full outer join (select * from {selected_sql('after')} y where role = 'producer' and state = 'declared_realm_candidate') a on a.record_id = b.record_id
+ where b.selection is distinct from a.selection or b.broker_realm is distinct from a.broker_realm) c)"""
+UNKNOWNS = """(select distinct 'SERVICE_ARTIFACT_'||upper(state) as code, side, 'service:'||service_ns as subject from fx_observations where state not in ('available', 'not_present')
+ union all select distinct 'CORRELATION_FACTS_UNAVAILABLE', 'both', 'correlations' from fx_observations where state not in ('available', 'not_present'))"""
+
+
+def flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("reasons", F.array_join("reasons", ";")).drop("before", "after")
+
+
+def endpoint_changes(f: Facts) -> DataFrame:
+    transports = f.sql(TRANSPORTS)
+    sides = [T.bound_endpoints(*observed_ends(f, side)).join(transports, "record_id") for side in ("before", "after")]
+    return T.diff_endpoints(*sides, f["fx_observations"])
+
+
+def selection_changes(f: Facts) -> DataFrame:
+    return T.diff_selections(T.selections(*observed_ends(f, "before")), T.selections(*observed_ends(f, "after")), f.sql(SEEN), TOPOLOGY)
+
+
+@query("x5_diff_endpoints", f"select * from {ENDPOINT_CHANGES} e")
+def diff_ends(f: Facts) -> DataFrame:
+    return flat(endpoint_changes(f))
+
+
+@query("x5_diff_selections", f"select * from {SELECTION_CHANGES} e")
+def diff_chosen(f: Facts) -> DataFrame:
+    rows = selection_changes(f)
+    return flat(rows.withColumns({"before_state": F.col("before.state"), "after_state": F.col("after.state")}))
+
+
+@query("x5_diff_candidates", f"select * from {CANDIDATE_CHANGES} c")
+def diff_candidates(f: Facts) -> DataFrame:
+    return T.diff_candidates(selection_changes(f))
+
+
+def group_sql(side: str) -> str:
+    return f"(with {observed(CORRELATED, side)} select kind, queue, mode, job, record_id from b where role = 'consumer' and eligible)"
+
+
+@query("x5_changed_members", f"""
+select coalesce(b.kind, a.kind) as kind, coalesce(b.queue, a.queue) as queue, coalesce(b.mode, a.mode) as mode, coalesce(b.job, a.job) as their_job, coalesce(b.record_id, a.record_id) as record_id, case when b.record_id is null then 'added' else 'removed' end as change
+from {group_sql('before')} b full outer join {group_sql('after')} a on a.record_id = b.record_id and a.kind = b.kind and a.queue = b.queue and a.mode = b.mode and a.job is not distinct from b.job where a.record_id is null or b.record_id is null""")
+def changed_members(f: Facts) -> DataFrame:
+    return T.changed_members(*[T.consumer_groups(*observed_ends(f, side)) for side in ("before", "after")])
+
+
+@query("x5_uncertainties", f"select * from {UNKNOWNS} u")
+def unknowns(f: Facts) -> DataFrame:
+    return T.uncertainties(f["fx_observations"], TOPOLOGY, {})
+
+
+@query("x5_transition_summary", f"""
+select role||'s' as family, change, count(*) as n from {ENDPOINT_CHANGES} e group by 1, 2 union all select 'correlations', change, count(*) from {SELECTION_CHANGES} s group by 2
+union all select 'candidates', change, count(*) from {CANDIDATE_CHANGES} c group by 2 union all select 'uncertainties', code, count(*) from {UNKNOWNS} u group by 2
+union all select * from (select 'ambiguities', case when coalesce(before_state, '') <> 'ambiguous' and coalesce(after_state, '') = 'ambiguous' then 'introduced' when coalesce(before_state, '') = 'ambiguous' and coalesce(after_state, '') <> 'ambiguous' then 'resolved' end as change, count(*) from {SELECTION_CHANGES} t group by 2) v where change is not null""")
+def transition_summary(f: Facts) -> DataFrame:
+    ends, chosen = stage(endpoint_changes(f), "endpoint-changes"), stage(selection_changes(f), "selection-changes")
+    parts = {f"{r}s": ends.where(F.col("role") == r) for r in ("producer", "consumer")}
+    return T.transition_summary({**parts, "correlations": chosen, "candidates": T.diff_candidates(chosen)}, chosen, T.uncertainties(f["fx_observations"], TOPOLOGY, {}))
+
+
 ROOTS = f"select s.root as seed, i.interaction_id from ({SEEDS}) s join fx_interactions i on i.source_method_id = s.node"
 CONSUMERS = "select handler_id as root, method_id as node, 1 as rank from fx_handlers"
 #: The producers that a handler's calls lead to.

@@ -4,9 +4,10 @@ import json
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factgraph.functions import columns as C
-from factgraph.operators import causal, diff, events, groups, impact, matching, metrics, policy, reverse, select, system, walk
+from factgraph.operators import causal, diff, events, groups, impact, matching, metrics, policy, reverse, select, system, transitions, walk
 from factgraph.sources import documents as S
 
 EDGE = "subject_id string, object_id string, status_rank int"
@@ -367,6 +368,40 @@ def test_several_requests_and_projection(spark):
     assert found["r"] == ("ambiguous", "multiple_request_consumers") and found["a"] == ("unmatched", "producer_only")  # its one consumer is not registered
 
 
+def test_transitions_between_systems(spark):
+    cols = "record_id string, service_ns string, role string, kind string, queue string, job string, mode string, contract string, eligible boolean, reason string, transport string"
+    end = lambda i, s, role: (i, s, role, "job_queue", "q", "j" if role == "producer" else None, None, "c", True, None, None)
+    p, c, d = end("p", "api", "producer"), end("c", "worker", "consumer"), end("d", "shadow", "consumer")
+    table = lambda ends: spark.createDataFrame(ends, cols)
+    free = spark.createDataFrame([], "service_ns string, queue string, realm_id string")
+    bound = spark.createDataFrame([("api", "q", "r"), ("worker", "q", "r")], "service_ns string, queue string, realm_id string")
+    seen = lambda worker: spark.createDataFrame([(side, "api", "available") for side in ("before", "after")] + [("before", "worker", "available"), ("after", "worker", worker)], "side string, service_ns string, state string")
+    there = {"before": "available", "after": "available"}
+
+    def compare(before, after, observations, topology=there):
+        chosen = transitions.diff_selections(transitions.selections(*before), transitions.selections(*after), observations, topology)
+        ends = transitions.diff_endpoints(*[transitions.bound_endpoints(*side) for side in (before, after)], observations)
+        tell = lambda df: {(r.role, r.record_id): (r.change, r.reasons) for r in df.collect()}
+        return tell(ends), tell(chosen), {(r.record_id, r.change) for r in transitions.diff_candidates(chosen).collect()}, {r.code for r in transitions.uncertainties(observations, topology, {}).collect()}
+
+    rebound = ("modified", ["broker_binding_changed"])
+    assert compare((table([p, c]), free), (table([p, c]), bound), seen("available")) == (
+        {("producer", "p"): rebound, ("consumer", "c"): rebound}, {("producer", "p"): ("modified", ["state_changed", "broker_realm_changed"])}, {("p", "added")}, set(),
+    )
+    assert compare((table([p, c]), bound), (table([p]), bound), seen("missing")) == ({}, {}, set(), {"SERVICE_ARTIFACT_MISSING", "CORRELATION_FACTS_UNAVAILABLE"})
+    assert compare((table([p, c]), bound), (table([p]), bound), seen("not_present")) == (
+        {("consumer", "c"): ("removed", ["endpoint_removed"])}, {("producer", "p"): ("modified", ["state_changed", "consumer_selection_changed", "unmatched_reason_changed"])}, {("p", "removed")}, set(),
+    )
+    found = compare((table([p, c]), free), (table([p, c, d]), free), seen("available"))
+    assert found[1:] == ({("producer", "p"): ("modified", ["state_changed", "consumer_selection_changed", "ambiguity_reason_changed"])}, set(), set())
+    assert compare((table([p, c]), bound), (table([p, c]), bound), seen("available"), {**there, "after": "missing"})[3] == {"TOPOLOGY_ARTIFACT_MISSING", "CORRELATION_FACTS_UNAVAILABLE"}
+    groups = [transitions.consumer_groups(table(e), free) for e in ([p, c], [p, c, d])]
+    assert [(r.record_id, r.change, r.their_job) for r in transitions.changed_members(*groups).collect()] == [("d", "added", None)]
+    left, right, several = transitions.unique_on_both(table([p, c, c]), table([p, c]), ["role", "record_id"])
+    assert {r.record_id for r in left.collect()} == {r.record_id for r in right.collect()} == {"p"}
+    assert [r.subject for r in transitions.uncertainties(seen("available"), there, {"interaction endpoint": several}).collect()] == ["interaction endpoint:consumer:c"]
+
+
 def test_a_missing_artifact_is_unknown_not_removed(spark):
     b = spark.createDataFrame([("s1", "h", "q"), ("s2", "h", "q")], "service_ns string, handler_id string, queue string")
     seen = spark.createDataFrame([("after", "s1", "missing"), ("after", "s2", "available")], "side string, service_ns string, state string")
@@ -458,6 +493,35 @@ def test_documents_are_read_by_family(spark, tmp_path):
     assert got["interactions"] == "available" and got["authorization"] == "unavailable"
 
 
+def sample(kind, name="x"):
+    """A value for every field of a type."""
+    if isinstance(kind, T.StructType):
+        return {f.name: sample(f.dataType, f.name) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [sample(kind.elementType, name)]
+    return {"boolean": True, "int": 3, "bigint": 3}.get(kind.simpleString(), f"{name}:1")
+
+
+def test_a_document_of_the_last_version_comes_back_whole(spark, tmp_path):
+    doc = {k: v for k, v in sample(T.StructType.fromDDL(S.SCHEMA)).items() if k not in ("unreadable", "runId")} | {"schemaVersion": "8.0.0"}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    bad = {"b": "{", "c": json.dumps({**doc, "schemaVersion": "9.0.0"}), "d": json.dumps({**doc, "schemaVersion": "6.0.0"}), "e": json.dumps({k: v for k, v in doc.items() if k not in ("methods", "criticalSections")})}
+    for name, text in bad.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    tables = S.read_documents(spark, str(tmp_path), whole=True)
+    assert {(r.analysis_id[-6], r.problem) for r in tables["rejected"].collect()} == {("b", "unreadable"), ("c", "unknown version"), ("d", "unexpected criticalSections"), ("e", "missing methods"), ("e", "missing criticalSections")}
+    kinds = {kind: name for name, (kind, _, _) in S.FAMILIES.items()}
+    got = {kinds[r.kind]: json.loads(r.payload) for r in S.record_envelope(tables).collect()}
+    assert {n: [{k: v for k, v in r.items() if k != "analysis_id"}] for n, r in got.items()} == {n: doc[n] for n in S.FAMILIES}
+    run = tables["runs"].where("schemaVersion = '8.0.0' and analysis_id like '%/a.json'").first()
+    assert run.runId == "id:1" and run.interactionAnalysis.state == "state:1"
+    names = ("interactions", "columnInfluences", "authorizationMetadata")
+    whole = S.qualify_ids({n: tables[n] for n in names})
+    first = {n: whole[n].first().asDict(True) for n in names}
+    assert first["columnInfluences"]["callPath"][0]["callerMethodId"].endswith("/a.json/callerMethodId:1") and first["interactions"]["target"]["queue"]["value"] == "value:1"
+    assert first["authorizationMetadata"]["decorator"]["sourceFileId"].endswith("/a.json/sourceFileId:1")
+
+
 def test_ids_of_two_documents_stay_apart(spark, tmp_path):
     for name, target in (("a", "method:2"), ("b", "method:3")):
         doc = {"schemaVersion": "3.0.0", "runId": name, "assertions": [{"id": "assertion:1", "subjectId": "method:1", "predicate": "P", "objectId": target, "status": "resolved", "evidenceIds": ["evidence:1"]}]}
