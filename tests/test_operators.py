@@ -580,3 +580,27 @@ def test_regions_by_blocks_equal_all_pairs(spark):
     evidence = [(f"e{k}", f"f{k % 4}", *span(10)) for k in range(300)]
     got = rows(matching.attribute_regions(spark.createDataFrame(evidence, f"evidence_id string, file_id string, {cols}"), spark.createDataFrame(regions, f"region_id string, file_id string, {cols}")))
     assert got == sorted([(e[0], r[0]) for e in evidence for r in regions if e[1] == r[1] and e[2:4] >= r[2:4] and e[4:6] <= r[4:6]], key=str) and got
+
+
+def test_closure_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    """A chain of 200 nodes into a ring, a fork halfway, and a ring of its own: all that is reached, in rounds by the chain's logarithm."""
+    step = {f"n{k}": [f"n{k + 1}"] for k in range(200)}
+    step |= {"n200": ["n150"], "n100": ["n101", "f0"], "f0": ["f1"], "f1": [], "r0": ["r1"], "r1": ["r2"], "r2": ["r0"], "own": ["own"]}
+    edges = spark.createDataFrame([(a, b, 1) for a, to in step.items() for b in to] + [("f1", "n0", 2), ("f1", None, 1)], "subject_id string, object_id string, status_rank int")
+    seeds = [("a", "n0"), ("b", "n99"), ("b", "r1"), ("c", "n180"), ("d", "alone"), ("e", "own")]
+
+    def reach(node):
+        found, left = set(), [node]
+        while left:
+            n = left.pop()
+            if n not in found:
+                found.add(n)
+                left += step.get(n, [])
+        return found
+
+    staged = []
+    monkeypatch.setattr(walk, "stage", lambda df, name, keep=walk.stage: staged.append(name) or keep(df, name))
+    got = walk.resolved_reach(spark.createDataFrame([(*s, 1) for s in seeds] + [("a", "f1", 2)], "root string, node string, rank int"), edges).collect()
+    assert len(got) == len(set(got))
+    assert {tuple(r) for r in got} == {(root, n) for root, node in seeds for n in reach(node)}
+    assert len(staged) < 50
