@@ -604,3 +604,14 @@ def test_closure_of_long_chains_takes_few_rounds(spark, monkeypatch):
     assert len(got) == len(set(got))
     assert {tuple(r) for r in got} == {(root, n) for root, node in seeds for n in reach(node)}
     assert len(staged) < 50
+
+
+def test_impact_leaves_callers_that_no_endpoint_reaches(spark, monkeypatch):
+    """Of a method's callers only those that an endpoint reaches become states; what reaches it is found as before."""
+    calls = [("h", "m", 1), ("m", "t", 2), ("t", "u", 1), ("u", "m", 1), ("g", "u", 1)] + [(f"x{k}", "t", 1) for k in range(50)] + [("y", f"x{k}", 1) for k in range(50)]
+    ends = [("e1", "h", 1), ("e2", "g", 2), ("e3", "t", 1), ("e4", None, 3)]
+    walked = []
+    monkeypatch.setattr(impact, "walk", lambda *args, keep=impact.walk: walked.append(keep(*args)) or walked[-1])
+    got = impact.reaching_endpoints(spark.createDataFrame([("t",), ("u",), ("x0",)], "method_id string"), spark.createDataFrame(calls, EDGE), spark.createDataFrame(ends, EDGE))
+    assert rows(got) == [("t", "e1", 2, 2), ("t", "e2", 3, 2), ("t", "e3", 0, 1), ("u", "e1", 3, 2), ("u", "e2", 1, 2), ("u", "e3", 1, 1)]
+    assert not walked[0].where("node like 'x%' and depth > 0 or node = 'y'").count()
