@@ -615,3 +615,12 @@ def test_impact_leaves_callers_that_no_endpoint_reaches(spark, monkeypatch):
     got = impact.reaching_endpoints(spark.createDataFrame([("t",), ("u",), ("x0",)], "method_id string"), spark.createDataFrame(calls, EDGE), spark.createDataFrame(ends, EDGE))
     assert rows(got) == [("t", "e1", 2, 2), ("t", "e2", 3, 2), ("t", "e3", 0, 1), ("u", "e1", 3, 2), ("u", "e2", 1, 2), ("u", "e3", 1, 1)]
     assert not walked[0].where("node like 'x%' and depth > 0 or node = 'y'").count()
+
+
+def test_edges_of_methods_that_no_walk_meets_are_left(spark):
+    """Callers that nothing calls, starts at or leads to have no part in a walk; unresolved calls lead to nobody."""
+    edges = [("1", causal.CALL, "s", "m", 1), ("2", causal.CALL, "m", "n", 2), ("3", causal.TABLES[0], "n", "t", 3), ("4", causal.CALL, "h", "n", 1), ("5", causal.CALL, "idle", "m", 1), ("6", causal.CALL, "m", "lost", 3), ("7", causal.TABLES[1], "lost", "t", 1)]
+    every = spark.createDataFrame([(*e, None) for e in edges], EDGES)
+    named = lambda *names: spark.createDataFrame([(n,) for n in names], "method string")
+    got = causal.of_met(every, named("s"), named("h", "s"))
+    assert sorted(r.edge_id for r in got.collect()) == ["1", "2", "3", "4", "6"]
