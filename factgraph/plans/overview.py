@@ -261,29 +261,42 @@ least_ as (select seed, interaction_id, min(hop) as hop from p group by 1, 2),
 links as (select seed, hop, l.interaction_id, handler_id from least_ l join m on m.interaction_id = l.interaction_id)"""
 
 
+def onward_places(f: Facts) -> DataFrame:
+    return W.walk(f.sql(CONSUMERS), f.sql(CALLS), 3).select(F.col("root").alias("handler_id"), F.col("node").alias("place")).distinct()
+
+
 def onward(f: Facts) -> DataFrame:
-    reached = W.walk(f.sql(CONSUMERS), f.sql(CALLS), 3).select(F.col("root").alias("handler_id"), F.col("node").alias("source_method_id")).distinct()
-    return reached.join(f["fx_interactions"].select("interaction_id", "source_method_id"), "source_method_id").select("handler_id", "interaction_id").distinct()
+    sent = f["fx_interactions"].select("interaction_id", F.col("source_method_id").alias("place"))
+    return onward_places(f).join(sent, "place").select("handler_id", "interaction_id").distinct()
 
 
-def propagated(f: Facts) -> tuple[DataFrame, DataFrame]:
-    return S.propagate(f.sql(ROOTS), M.match_exact(f["fx_interactions"], f["fx_handlers"]), onward(f))
+class Places:
+    """Propagation by the methods that send: where each seed meets them, where its paths end, and what the methods send."""
 
+    def __init__(self, f: Facts):
+        self.f = f
+        self.sent = stage(f["fx_interactions"].where("source_method_id is not null").select(F.col("source_method_id").alias("place"), "interaction_id").distinct(), "sent")
+        self.fits = stage(self.sent.join(M.match_exact(f["fx_interactions"], f["fx_handlers"]), "interaction_id"), "fits")
+        places = self.sent.select("place").distinct()
+        seeds = f.sql(SEEDS).select(F.col("root").alias("seed"), F.col("node").alias("place")).join(places, "place")
+        self.states, self.cut = S.propagate_places(seeds, self.fits, onward_places(f).join(places, "place"))
 
-def linked(f: Facts) -> DataFrame:
-    return propagated(f)[0]
+    def marked(self) -> DataFrame:
+        return stage(S.marked_fits(self.fits, self.f["fx_interactions"], self.f.sql(EFFECTS), self.f["fx_handlers"]), "marked-fits")
 
 
 @query("x7_propagate", HOPPED + "\nselect * from links")
 def propagate(f: Facts) -> DataFrame:
-    return linked(f)
+    p = Places(f)
+    return S.place_links(p.states, p.fits)
 
 
 @query("x7_truncations", HOPPED + """
 , ahead as (select distinct l.seed, o.interaction_id, l.hop from links l join onward o on o.handler_id = l.handler_id)
 select distinct a.seed, a.interaction_id, case when x.hop <= a.hop then 'cycle' else 'hop_limit' end as reason from ahead a left join least_ x on x.seed = a.seed and x.interaction_id = a.interaction_id where x.hop <= a.hop or (x.hop is null and a.hop = 4)""")
 def truncations(f: Facts) -> DataFrame:
-    return propagated(f)[1]
+    p = Places(f)
+    return p.cut.join(p.sent, "place").select("seed", "interaction_id", "reason")
 
 
 EFFECT_ROWS = f"select h.handler_id, a.predicate, a.object_id as table_id, a.status_rank from fx_handlers h join ({ACCESS}) a on a.subject_id = h.method_id"
@@ -292,12 +305,14 @@ EFFECT_ROWS = f"select h.handler_id, a.predicate, a.object_id as table_id, a.sta
 @query("x7_effects", HOPPED + f"""
 select seed, predicate, table_id, min(hop) as hop, bool_or(status_rank = 1) as certain from links l join ({EFFECT_ROWS}) e on e.handler_id = l.handler_id group by 1, 2, 3""")
 def effects(f: Facts) -> DataFrame:
-    return S.propagated_effects(linked(f), f.sql(EFFECT_ROWS))
+    p = Places(f)
+    return S.place_effects(p.states, p.fits, f.sql(EFFECT_ROWS))
 
 
 @query("x7_propagation_summary", HOPPED + "\nselect hop, count(distinct seed) as seeds, count(distinct interaction_id) as producers, count(distinct handler_id) as consumers, count(*) as links from links group by hop")
 def propagation_summary(f: Facts) -> DataFrame:
-    return S.propagation_summary(linked(f))
+    p = Places(f)
+    return S.place_summary(p.states, p.fits)
 
 
 EFFECTS = f"select h.handler_id, count(*) as n_effects, bool_and(a.status_rank = 1) as certain from fx_handlers h join ({ACCESS}) a on a.subject_id = h.method_id group by 1"
@@ -305,25 +320,24 @@ PATHS = HOPPED + f""", paths as (select seed, hop, l.interaction_id, i.queue, l.
  from links l join fx_interactions i on i.interaction_id = l.interaction_id join fx_handlers h on h.handler_id = l.handler_id left join ({EFFECTS}) e on e.handler_id = l.handler_id)"""
 
 
-def paths(f: Facts) -> DataFrame:
-    return S.conditional_paths(linked(f), f["fx_interactions"], f.sql(EFFECTS), f["fx_handlers"])
-
-
 @query("x9_conditional_paths", PATHS + "\nselect * from paths")
 def conditional_paths(f: Facts) -> DataFrame:
-    return paths(f)
+    p = Places(f)
+    return S.place_paths(p.states, p.marked())
 
 
 @query("x10_path_graph", PATHS + """, at_ as (select 'root' as kind, seed as node_id, hop, complete from paths union all select 'producer', interaction_id, hop, complete from paths union all select 'consumer', handler_id, hop, complete from paths)
 select kind, node_id, count(*) as n_paths, min(hop) as hop, case when bool_and(complete) then 'proven' else 'conditional' end as state from at_ group by 1, 2""")
 def path_graph(f: Facts) -> DataFrame:
-    return S.path_graph(paths(f))
+    p = Places(f)
+    return S.place_graph(p.states, p.marked())
 
 
 @query("x10_path_edges", PATHS + """, at_ as (select seed as source, interaction_id as target, hop, complete from paths union all select interaction_id, handler_id, hop, complete from paths)
 select source, target, count(*) as n_paths, min(hop) as hop, case when bool_and(complete) then 'proven' else 'conditional' end as state from at_ group by 1, 2""")
 def path_edges(f: Facts) -> DataFrame:
-    return S.path_edges(paths(f))
+    p = Places(f)
+    return S.place_edges(p.states, p.marked())
 
 
 #: Small enough to be met on the test tables.
