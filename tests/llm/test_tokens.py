@@ -90,3 +90,13 @@ def test_odd_rows(docs):
     assert {r.decoded for r in tokens.decode_documents(nulls).collect()} == {""}
     again = tokens.decode_documents(tokens.encode_documents(docs).withColumn("decoded", F.lit(0)))
     assert again.columns.count("decoded") == 1 and all(r.decoded == (r.text or "") for r in again.collect())
+
+
+def test_ids_travel_packed(spark):
+    """The check's disk budget: ids of long texts were shuffled four bytes each."""
+    ids = [[5, 31999, 7, -1] * 500, [], [3]]
+    made = tokens.packed(pa.array(ids, pa.list_(pa.int32())))
+    assert len(made[0].as_py()) < 1000
+    assert tokens.unpacked(pa.array([[made[0].as_py(), made[1].as_py(), made[2].as_py()], []], pa.list_(pa.binary()))).to_pylist() == [ids[0] + ids[2], []]
+    parts = tokens.encode_giants(spark.createDataFrame([("k", "some words of a text " * 40)], "key string, text string"), tokens.plain_model(tokens.MODEL), 64)
+    assert dict(parts.dtypes) == {"key": "string", "ids": "array<binary>"}
