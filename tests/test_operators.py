@@ -6,9 +6,12 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import factgraph.plans  # noqa: F401
 from factgraph.functions import columns as C
 from factgraph.operators import causal, diff, events, groups, impact, matching, metrics, policy, reverse, select, system, transitions, walk
+from factgraph.plans.registry import QUERIES
 from factgraph.sources import documents as S
+from factgraph.sources.binding import Facts
 
 EDGE = "subject_id string, object_id string, status_rank int"
 
@@ -668,3 +671,35 @@ def test_edges_of_methods_that_no_walk_meets_are_left(spark):
     named = lambda *names: spark.createDataFrame([(n,) for n in names], "method string")
     got = causal.of_met(every, named("s"), named("h", "s"))
     assert sorted(r.edge_id for r in got.collect()) == ["1", "2", "3", "4", "6"]
+
+
+def test_reasons_walk_only_what_their_endpoints_meet(spark, monkeypatch):
+    f, staged = Facts(spark, "/root/testdata/sf0.001"), []
+    real = walk.stage
+    monkeypatch.setattr(walk, "stage", lambda df, name: staged.append((name, real(df, name))) or staged[-1][1])
+    QUERIES["d4_endpoint_reasons"](spark, f.sf_dir)
+    most = max(df.count() for name, df in staged if name == "walk-steps")
+    assert most < f["fx_calls"].where("side = 'after' and status_rank <= 2").count() / 2
+    lines = f["fx_call_rows"].groupBy("side", "subject_id", "object_id").agg(F.min("status_rank").alias("status_rank"))
+    assert lines.exceptAll(f["fx_calls"].select(lines.columns)).isEmpty() and lines.count() == f["fx_calls"].count()
+    lines = f["fx_access_rows"].groupBy("side", "subject_id", "object_id", "predicate").agg(F.min("status_rank").alias("status_rank"))
+    assert lines.exceptAll(f["fx_access"].select(lines.columns)).isEmpty() and lines.count() == f["fx_access"].count()
+
+
+def test_changed_terminals_and_reasons_of_pairs(spark):
+    pairs = spark.createDataFrame([(f"b{n}", f"a{n}") for n in range(6)] + [("gone", None), (None, "new")], "before_id string, after_id string")
+    ends = diff.of_pairs(pairs)
+    starts = ends.select("before_id", "after_id", "side", F.concat(F.lit("m"), F.substring("before_id", 2, 1)).alias("node"), F.lit(1).alias("rank"))
+    edge = "side string, subject_id string, object_id string, status_rank int"
+    steps = spark.createDataFrame([("before", "m1", "p", 1), ("after", "m1", "p", 2), ("before", "m2", "p", 1), ("after", "m2", "p", 1), ("before", "m2", "q", 2), ("before", "m3", "q", 1)], edge)
+    access = spark.createDataFrame(
+        [("before", "p", "t", 1, "R"), ("after", "p", "t", 1, "R"), ("before", "q", "t", 2, "R"), ("before", "m4", None, 1, "R"), ("before", "m5", None, 1, "R"), ("after", "m5", None, 2, "R")], edge + ", predicate string"
+    )
+    # m1: a worse way on one side; m2: the same best status, so no change; m3: on one side only; m4, m5: rows without a table.
+    changed = diff.changed_terminals(starts, steps, access)
+    assert sorted(r.before_id for r in changed.collect()) == ["b1", "b3", "b4"]
+    value = "side string, endpoint_id string, value string"
+    first = spark.createDataFrame([("before", "b0", "x"), ("after", "a0", "x"), ("after", "a0", "x"), ("before", "b1", "x"), ("after", "a1", "y"), ("before", "gone", "x")], value)
+    last = spark.createDataFrame([("before", "b2", None), ("after", "a3", None), ("before", "b3", None), ("before", "b4", "x"), ("after", "a4", "x"), ("after", "a4", None)], value)
+    got = diff.endpoint_reasons(ends, {"z": first, "terminals": None, "c": last}, changed.withColumn("facet", F.lit("terminals")))
+    assert rows(got) == [("b1", "a1", "z;terminals"), ("b2", "a2", "c"), ("b3", "a3", "terminals"), ("b4", "a4", "terminals")]
