@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 import factgraph.plans  # noqa: F401
 from factgraph.functions import columns as C
 from factgraph.operators import causal, diff, events, groups, impact, matching, metrics, policy, reverse, select, system, transitions, walk
-from factgraph.plans.registry import QUERIES
+from factgraph.plans.registry import ORACLES, QUERIES
 from factgraph.sources import documents as S
 from factgraph.sources.binding import Facts
 
@@ -101,6 +101,17 @@ def test_contract_hops(spark):
     assert rows(chosen) == [("branches:w:a", "b1"), ("branches:w:a", "b3")]
 
 
+def test_hops_without_a_cap_lead_to_every_handler(spark):
+    """Of sixty handlers of one queue, the least ids alone pass a cap of fifty; without one a trace reaches all."""
+    i = spark.createDataFrame([("j", "s", "job_queue", "q", None, None, None, "unknown")], "interaction_id string, service_ns string, kind string, queue string, job string, transport string, mode string, dispatch string")
+    h = spark.createDataFrame([(f"h{k:02}", "s", "job_queue", "q", None, None, None, "proven_registered", "w", f"m{k:02}") for k in range(60)],
+        "handler_id string, service_ns string, kind string, queue string, job string, transport string, mode string, registration string, rule_id string, method_id string")
+    branches = spark.createDataFrame([], "branch_id string, handler_id string, selector_kind string, jobs string")
+    met = lambda *cap: sorted(r.method_id for r in causal.contract_hops(i, h, branches, *cap)[0].collect())
+    assert met(None) == [f"m{k:02}" for k in range(60)] and len(met()) == 50
+    assert "place <= 50" not in ORACLES["g2_trace_terminals"]
+
+
 STEP = "node string, to_node string, edge_id string, status_rank int, calls int, hops int, queued boolean, job string, adds array<string>"
 
 
