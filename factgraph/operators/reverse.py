@@ -93,9 +93,9 @@ def endpoint_reach(states: DataFrame, implementations: DataFrame) -> DataFrame:
 
 def endpoint_paths(states: DataFrame, rounds: list[DataFrame], implementations: DataFrame, n: int = 3) -> DataFrame:
     """(target, endpoint_id, place, path, edges, length, rank): the first n simple paths from each endpoint to each target, the
-    shortest first, then by their nodes and edges. Read back round by round from the endpoint's end: at each step n of a
-    target, endpoint and length go on. (A path is given up if only a walk that meets a node twice completes it; where that
-    fills all n places, fewer than n are found.)"""
+    shortest first, then by their nodes and edges. Read back round by round from the endpoint's end: of the paths of a target,
+    endpoint and length that have come to one state over the same nodes, what lies ahead is the same, so n of these go on and
+    none that the first n need is given up."""
     pair = ["root", "endpoint_id", "length"]
     length = F.col("calls") + 2 * F.col("hops")
     begun = ends_of(states, implementations).select("root", "endpoint_id", length.alias("length"), F.col("node").alias("path"), F.lit("").alias("edges"), F.col("end_rank").alias("rank"), *STATE[1:])
@@ -106,7 +106,9 @@ def endpoint_paths(states: DataFrame, rounds: list[DataFrame], implementations:
             *pair, F.concat_ws(">", "path", "from_node").alias("path"), F.concat_ws(">", F.nullif("edges", F.lit("")), "edge_id").alias("edges"), F.greatest("rank", "status_rank").alias("rank"),
             F.col("from_node").alias("node"), F.col("from_branches").alias("branches"), F.col("from_calls").alias("calls"), F.col("from_hops").alias("hops"),
         )
-        place = F.row_number().over(Window.partitionBy(*pair).orderBy("path", "edges"))
+        # A closing mark, so that parts of paths come in the order of the whole: a>b10> before a>b1>.
+        nodes, order = F.array_join(F.array_sort(F.split("path", ">")), ">"), [F.concat(c, F.lit(">")) for c in ("path", "edges")]
+        place = F.row_number().over(Window.partitionBy(*pair, *STATE[1:], nodes).orderBy(*order))
         live = stage(back.withColumn("place", place).where(F.col("place") <= n).drop("place"), "reverse-paths")
     every = live.unionByName(begun.where("length = 0"))
     place = F.row_number().over(Window.partitionBy("root", "endpoint_id").orderBy("length", "path", "edges"))

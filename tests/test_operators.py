@@ -135,6 +135,21 @@ def test_reverse_budgets_and_counts(spark):
     assert rows(backwards(spark, steps, depth=1)[0]) == [("t", "g", 1, 0, 0, 1)]  # the call budget
 
 
+def test_paths_that_meet_a_node_twice_take_no_places(spark):
+    """m>t>x1 and m>t>x2 lead back to t alone; they leave m>u>v>t its place among the first two."""
+    steps = [call("t", "m", "1"), *[call("t", x, f"{x}>t") for x in ("x1", "x2")], *[call(x, "t", f"t>{x}") for x in ("x1", "x2")], call("t", "v", "2"), call("v", "u", "3"), call("u", "m", "4")]
+    _, paths = backwards(spark, steps)
+    assert rows(paths.where("endpoint_id = 'e'").select("place", "path")) == [(1, "m>t"), (2, "m>u>v>t")]
+
+
+def test_evidence_is_traced_from_added_files_too(spark):
+    """A changed file that the before side has not (doc_id % 10 = 7) is a change like one of other content."""
+    f = Facts(spark, "/root/testdata/sf0.001")
+    subjects = {r.subject for r in QUERIES["i7_impact_evidence"](spark, f.sf_dir).select("subject").distinct().collect()}
+    added = {s for s in subjects if int(s.split(":")[1]) % 10 == 7}
+    assert added and subjects - added
+
+
 def test_reverse_hops_have_a_budget_of_their_own(spark):
     hop = lambda handler, contract, producer, queued=False, job=None: [(handler, contract, f"H|{handler}", 1, 0, 1, queued, job, []), (contract, producer, f"S|{producer}", 1, 0, 0, False, None, [])]
     steps = [*hop("t", "q1", "p"), call("p", "h", "1"), *hop("h", "q2", "m"), *hop("m", "q3", "n")]
