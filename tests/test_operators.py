@@ -712,6 +712,38 @@ def test_reasons_walk_only_what_their_endpoints_meet(spark, monkeypatch):
     assert lines.exceptAll(f["fx_access"].select(lines.columns)).isEmpty() and lines.count() == f["fx_access"].count()
 
 
+def test_both_sides_in_a_row_are_the_sides(spark):
+    """What a row holds for both sides are the calls and accesses of each, and the changes those of the keyed diff."""
+    f = Facts(spark, "/root/testdata/sf0.001")
+    for both, one, key in (("fx_call_both", "fx_calls", ["subject_id", "object_id"]), ("fx_access_both", "fx_access", ["subject_id", "predicate", "object_id"])):
+        met = diff.of_both(f[both], key).withColumn("change", diff.change_of_both())
+        for side in ("before", "after"):
+            got, want = met.where(f"{side}_n = 1").select(*key, f"{side}_rank"), f.side(one, side).select(*key, "status_rank")
+            assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+        want = diff.diff_keyed(f.side(one, "before"), f.side(one), key, ["status_rank"]).select(*key, "change")
+        got = met.where("change is not null").select(*key, "change")
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    copies = spark.createDataFrame([("a", 1, 2, 0), ("a", 3, None, 0), ("b", 1, 1, 1), ("b", 1, None, 1), ("c", None, 1, 0), ("d", 2, 2, 1)], "id string, before_rank int, after_rank int, copies int")
+    assert rows(diff.of_both(copies, ["id"]).select("id", "before_n", "after_n", "before_rank", "after_rank", diff.change_of_both())) == [("a", 1, 1, 1, 2, "modified"), ("b", 2, 1, 1, 1, "ambiguous"), ("c", 0, 1, None, 1, "added"), ("d", 1, 1, 2, 2, None)]
+    nulls = spark.createDataFrame([(None, 1)], "id string, v int")
+    assert not diff.diff_keyed(nulls, nulls, ["id"], ["v"]).count()  # a key without a value meets its like, as in SQL
+
+
+def test_impact_of_sides_writes_only_changes_below_endpoints(spark, monkeypatch):
+    """One walk for both sides gives what a walk each gave, and changed methods that no endpoint reaches are not written."""
+    changed = [("before", "t", "f", "s", 1), ("after", "t", "f", "s", 1), ("after", "u", "f", "s", 2), *[("after", f"x{k}", "f", "s", 1) for k in range(50)]]
+    changed = spark.createDataFrame(changed, "side string, method_id string, category string, subject string, own_rank int")
+    calls = spark.createDataFrame([("before", "m", "t", 2), ("after", "m", "u", 1), ("after", "y", "x1", 1)], "side string, subject_id string, object_id string, status_rank int")
+    ends = spark.createDataFrame([("before", "e", "m", 1), ("after", "e", "m", 1), ("after", "g", "t", 1)], "side string, subject_id string, object_id string, status_rank int")
+    staged = []
+    monkeypatch.setattr(impact, "stage", lambda df, name, keep=impact.stage: staged.append((name, keep(df, name))) or staged[-1][1])
+    got = impact.impact_of_sides(changed, calls, ends)
+    of = lambda df, side: df.where(f"side = '{side}'").drop("side")
+    want = impact.either_side(*[impact.impact_methods(of(changed, s), of(calls, s), of(ends, s)) for s in ("before", "after")])
+    assert rows(got) == rows(want) == [("e", "f", "s", False, 2), ("g", "f", "s", True, 1)]
+    assert next(df.count() for name, df in staged if name == "changed") == 3
+
+
 def test_changed_terminals_and_reasons_of_pairs(spark):
     pairs = spark.createDataFrame([(f"b{n}", f"a{n}") for n in range(6)] + [("gone", None), (None, "new")], "before_id string, after_id string")
     ends = diff.of_pairs(pairs)
