@@ -699,6 +699,15 @@ def test_edges_of_methods_that_no_walk_meets_are_left(spark):
     assert sorted(r.edge_id for r in got.collect()) == ["1", "2", "3", "4", "6"]
 
 
+def test_calls_at_hand_tell_what_is_met(spark):
+    """Rows behind the calls, several an edge, meet the same methods as the edges; the gate reads its calls once for all."""
+    edges = [("1", causal.CALL, "s", "m", 1), ("2", causal.CALL, "m", "n", 2), ("3", causal.TABLES[0], "n", "t", 3), ("4", causal.CALL, "idle", "m", 1), ("5", causal.CALL, "m", "lost", 3), ("6", causal.TABLES[1], "lost", "t", 1)]
+    every = spark.createDataFrame([(*e, None) for e in edges], EDGES)
+    calls = spark.createDataFrame([("m", 3), ("m", 1), ("n", 2), ("lost", 3), (None, 1)], "object_id string, status_rank int")
+    start = spark.createDataFrame([("s",)], "method string")
+    assert rows(causal.of_met(every, start, calls=calls).select("edge_id")) == rows(causal.of_met(every, start).select("edge_id")) == [("1",), ("2",), ("3",), ("5",)]
+
+
 def test_reasons_walk_only_what_their_endpoints_meet(spark, monkeypatch):
     f, staged = Facts(spark, "/root/testdata/sf0.001"), []
     real = walk.stage
